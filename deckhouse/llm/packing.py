@@ -8,6 +8,7 @@ set bit above its length. When all bins are open, the fullest closes first.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import slices, store, table
 
-#: Most chunks whose ids a worker keeps; beyond, it starts anew.
-CACHE_CHUNKS = 200_000
+#: Chunks whose ids a worker keeps in a generation.
+CACHE_CHUNKS = 400_000
 #: Pieces that one packing task takes, on average.
 TASK_PIECES = 200_000
 
@@ -30,13 +31,22 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def byte_signs() -> dict[int, str]:
+    """The sign that byte-level tokenizers write for a byte: itself if printable, else one from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class ChunkEncoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
-    The tokenizer splits at white space before any merge, so the ids of a text are those of its
-    chunks between spaces, tabs and line feeds in turn; chunks recur, so their ids are kept. Other
-    white space stays inside a chunk for the tokenizer to see. (Only valid for tokenizers that drop
-    white space; ``tests/llm`` compares with whole-text encoding.)
+    The tokenizer splits at white space, and between letters and other signs, before any merge, so
+    the ids of a text are those of its chunks in turn. Chunks recur, so their ids are kept, in two
+    generations of at most CACHE_CHUNKS. A new chunk of letters and ASCII punctuation is put
+    together from both, so that only new words are encoded. White space other than space, tab
+    and line feed stays inside a chunk for the tokenizer to see. (Valid for tokenizers that lower
+    case and drop white space; ``tests/llm`` compares with whole-text encoding.)
     """
 
     def __init__(self, path: str) -> None:
@@ -44,18 +54,66 @@ class ChunkEncoder:
 
         self.encoder = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.signs = byte_signs()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         chunked = [text.replace("\n", " ").replace("\t", " ").split(" ") for text in texts]
         if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
-        cache = self.cache
-        new = list({c for chunks in chunked for c in chunks if c not in cache})
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for c, e in zip(some, self.encoder.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                cache[c] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(cache.__getitem__, chunks)) for chunks in chunked]
+            self.older, self.cache = self.cache, {}
+        self.learn(list({c for chunks in chunked for c in chunks}.difference(self.cache)))
+        ids = self.cache.__getitem__
+        return [b"".join(map(ids, chunks)) for chunks in chunked]
+
+    def learn(self, new: list[str]) -> None:
+        cache, older = self.cache, self.older
+        put_together, plain = [], set()
+        for c in new:
+            kept = older.get(c)
+            if kept is not None:
+                cache[c] = kept
+                continue
+            word = c.rstrip(_PUNCTUATION)
+            if len(word) < len(c) and word.isalpha():
+                mark = c[len(word) :]
+            else:
+                word, mark = c, ""
+            if word.isascii() and word.isalpha():
+                word = word.lower()
+            if word != c:
+                put_together.append((c, word, mark))
+                if mark and mark not in cache:
+                    plain.add(mark)
+            if word not in cache:
+                plain.add(word)
+        for w in [w for w in plain if w in older]:
+            cache[w] = older[w]
+            plain.discard(w)
+        model, signs = self.encoder.model, self.signs
+        some = []
+        for w in plain:
+            # A word of letters is one unit to the model: it needs only what the tokenizer does to it before.
+            x = w if w.isascii() else unicodedata.normalize("NFC", w).lower()
+            if x.isalpha() and "Σ" not in w:
+                x = x.lower() if x.isascii() else x.encode().decode("latin-1").translate(signs)
+                cache[w] = b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(x)])
+            else:
+                some.append(w)
+        for w, e in zip(some, self.encoder.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            cache[w] = np.array(e.ids, dtype="<u4").tobytes()
+        for c, word, mark in put_together:
+            cache[c] = cache[word] + cache[mark] if mark else cache[word]
+
+
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A worker process keeps its encoder between tasks.
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
+def encoder_for(path: str) -> ChunkEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ChunkEncoder(path)
+    return _ENCODERS[path]
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -73,7 +131,7 @@ def tokenize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path:
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(where)
+        encoder = encoder_for(where)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in slices(batches, 1):
             out: list[tuple] = []
