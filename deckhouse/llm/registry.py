@@ -6,15 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, packing
+from . import audio, chat, licenses, mixing, packing, pages, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mih_topk": topk.op1_mih_topk,
     "op2_chat_format": chat.op2_chat_format,
+    "op3_license_scan": licenses.op3_license_scan,
+    "op4_telephony_audio": audio.op4_telephony_audio,
+    "op6_template_extract": pages.op6_template_extract,
     "op7_wfq_mix": mixing.op7_wfq_mix,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_best_fit_pack": packing.op9_best_fit_pack,
 }
 
 SQL: dict[str, str] = {
+    "op1_mih_topk": topk.OP1_SQL,
     "op2_chat_format": chat.OP2_SQL,
+    "op3_license_scan": licenses.OP3_SQL,
     "op7_wfq_mix": mixing.OP7_SQL,
 }
