@@ -101,6 +101,22 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     return out.select("doc_id", "size", "source", "source_size", "target", "copies", "taken")
 
 
+def apply_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, most: int = 3, share: float = 1.0) -> DataFrame:
+    """The mix itself: every row of ``docs``, all columns, as often as ``mix`` takes it.
+
+    Rows that tie in id, source and size are told apart by their order: equal rows are
+    interchangeable, and so are equal sizes for the sums.
+    """
+    own = ["id", "source", "size"]
+    place = F.row_number().over(Window.partitionBy(*own).orderBy("copies"))
+    counts = mix(docs, doc_id, text, source, seed, most, share).where("copies > 0").select(F.col("doc_id").alias("id"), "source", "size", "copies").withColumn("place", place)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("id"), F.col(source).alias("source"), word_count(text).alias("size"))
+    whole = whole.withColumn("place", F.row_number().over(Window.partitionBy(*own).orderBy(F.col(f"row.`{text}`"))))
+    a, b = whole.alias("a"), counts.alias("b")
+    met = a.join(b, F.col("a.id").eqNullSafe(F.col("b.id")) & F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size")) & (F.col("a.place") == F.col("b.place")))
+    return met.select("a.row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("b.copies")))).select("row.*")
+
+
 def op7_wfq_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")

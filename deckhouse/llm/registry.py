@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, chat, licenses, mixing, packing, pages, topk, toxicity
+from . import audio, chat, licenses, minmax, mixing, packing, pages, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mih_topk": topk.op1_mih_topk,
     "op2_chat_format": chat.op2_chat_format,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_telephony_audio": audio.op4_telephony_audio,
+    "op5_minmax_dedup": minmax.op5_minmax_dedup,
     "op6_template_extract": pages.op6_template_extract,
     "op7_wfq_mix": mixing.op7_wfq_mix,
     "op8_toxicity": toxicity.op8_toxicity,
@@ -23,5 +24,6 @@ SQL: dict[str, str] = {
     "op1_mih_topk": topk.OP1_SQL,
     "op2_chat_format": chat.OP2_SQL,
     "op3_license_scan": licenses.OP3_SQL,
+    "op5_minmax_dedup": minmax.OP5_SQL,
     "op7_wfq_mix": mixing.OP7_SQL,
 }

@@ -169,33 +169,55 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return fit(indptr, keys, severity_grades(indptr, keys, toxic))
 
 
+def _scorer(model: OrdinalModel):
+    """A function from texts to rows of P(grade > j); it keeps the active features of the words it has met."""
+    weights = model.weights
+    cache: dict[str, tuple[int, ...]] = {}
+
+    def score_texts(texts: list[str | None]) -> list[list[float]]:
+        if len(cache) > CACHE_WORDS:
+            cache.clear()
+        out = []
+        for t in texts:
+            active: set[int] = set()
+            for word in words_of(t or ""):
+                hit = cache.get(word)
+                if hit is None:
+                    hit = cache[word] = tuple(k for k in features_of(word) if k in weights)
+                if hit:
+                    active.update(hit)
+            out.append(model.above(sum(weights[k] for k in sorted(active))))
+        return out
+
+    return score_texts
+
+
 def score(docs: DataFrame, model: OrdinalModel, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, severity, p_toxic, toxic`` of every whole text; null and empty texts have no features
-    and so the base rate. Rows with null or repeated ids are scored like any other."""
-    # The model is bounded by the sample it was fitted on; it travels with the task.
-    weights = model.weights
+    and so the base rate. Rows with null or repeated ids are scored like any other. (The model is
+    bounded by the sample it was fitted on; it travels with the task.)"""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, tuple[int, ...]] = {}
+        score_texts = _scorer(model)
         for batch in slices(batches, 1):
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-            out = []
-            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                active: set[int] = set()
-                for word in words_of(t or ""):
-                    hit = cache.get(word)
-                    if hit is None:
-                        hit = cache[word] = tuple(k for k in features_of(word) if k in weights)
-                    if hit:
-                        active.update(hit)
-                above = model.above(sum(weights[k] for k in sorted(active)))
-                out.append((key, float(sum(above)), float(above[0]), bool(above[0] >= threshold)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.float64(), pa.float64(), pa.bool_()], strict=True)], names=["doc_id", "severity", "p_toxic", "toxic"])
+            above = score_texts(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([float(sum(x)) for x in above]), pa.array([float(x[0]) for x in above]), pa.array([bool(x[0] >= threshold) for x in above])], names=["doc_id", "severity", "p_toxic", "toxic"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, severity double, p_toxic double, toxic boolean")
 
 
+def drop_toxic(docs: DataFrame, model: OrdinalModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is not toxic by ``score``; no shuffle."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score_texts = _scorer(model)
+        for batch in slices(batches, at):
+            yield batch.filter(pa.array([x[0] < threshold for x in score_texts(batch.column(at).to_pylist())]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return score(docs, train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
