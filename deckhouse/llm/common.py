@@ -42,6 +42,14 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstore(df: DataFrame) -> None:
+    """Delete a stored step that nothing will read again."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete every step stored by this application; call it once the results have been written."""
     jvm = spark.sparkContext._jvm

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, chat, licenses, minmax, mixing, packing, pages, topk, toxicity
+from . import audio, chat, hpylm, licenses, minmax, mixing, packing, pages, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mih_topk": topk.op1_mih_topk,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_wfq_mix": mixing.op7_wfq_mix,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_best_fit_pack": packing.op9_best_fit_pack,
+    "op10_hpylm_score": hpylm.op10_hpylm_score,
 }
 
 SQL: dict[str, str] = {
