@@ -284,14 +284,14 @@ def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     text (nulls last) stays.
     """
     found = near_duplicates(docs, doc_id, text)
-    gone = found.where("doc_id is not null and not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    left = docs.join(gone, docs[doc_id] == F.col("gone_id"), "left_anti")
-    repeated = store(docs.where(docs[doc_id].isNotNull()).groupBy(F.col(doc_id).alias("again_id")).count().where("count > 1").select("again_id"), "repeated")
-    once = left.join(repeated, left[doc_id] == F.col("again_id"), "left_anti")
-    again = left.join(repeated, left[doc_id] == F.col("again_id"), "left_semi")
-    place = "_place" + "_" * max(map(len, docs.columns))  # no column of docs has that name
-    first = again.withColumn(place, F.row_number().over(Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_last()))).where(F.col(place) == 1).drop(place)
-    return once.union(first)
+    gone = found.where("doc_id is not null and not kept").select("doc_id").distinct()
+    repeated = store(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    left = rows.join(gone, "doc_id", "left_anti")
+    again = left.join(repeated, "doc_id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col(f"row.`{text}`").asc_nulls_last()))
+    first = again.withColumn("place", place).where("place = 1").select("row")
+    return left.join(repeated, "doc_id", "left_anti").select("row").union(first).select("row.*")
 
 
 def op5_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

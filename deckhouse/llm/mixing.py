@@ -110,7 +110,7 @@ def apply_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     own = ["id", "source", "size"]
     place = F.row_number().over(Window.partitionBy(*own).orderBy("copies"))
     counts = mix(docs, doc_id, text, source, seed, most, share).where("copies > 0").select(F.col("doc_id").alias("id"), "source", "size", "copies").withColumn("place", place)
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("id"), F.col(source).alias("source"), word_count(text).alias("size"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(doc_id).alias("id"), F.col(source).alias("source"), word_count(text).alias("size"))
     whole = whole.withColumn("place", F.row_number().over(Window.partitionBy(*own).orderBy(F.col(f"row.`{text}`"))))
     a, b = whole.alias("a"), counts.alias("b")
     met = a.join(b, F.col("a.id").eqNullSafe(F.col("b.id")) & F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size")) & (F.col("a.place") == F.col("b.place")))
