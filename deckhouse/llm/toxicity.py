@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ PREFIXES = (3, 4, 5, 6, 7)
 #: (chi-squared with one degree of freedom: chance alone reaches 20 once in 100,000 features).
 LEAST_TEXTS, LEAST_G = 5, 20.0
 #: Most words whose features a worker keeps; beyond, it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Rejected from this probability of any toxicity.
 THRESHOLD = 0.25
 
@@ -75,6 +76,28 @@ def _telling(dirty: np.ndarray, count: np.ndarray, bad: int, n: int) -> np.ndarr
     return 2 * sum(term(x, expected) for x, expected in cells)
 
 
+def _counts(indptr: np.ndarray, keys: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, in how many texts they are, in how many toxic ones. (Sorted copies only: no index of all entries.)"""
+    names, count = np.unique(keys, return_counts=True)
+    bad, times = np.unique(keys[np.repeat(toxic, np.diff(indptr))], return_counts=True)
+    dirty = np.zeros(len(names), np.int64)
+    dirty[np.searchsorted(names, bad)] = times
+    return names, count, dirty
+
+
+def _entries(indptr: np.ndarray, keys: np.ndarray, names: np.ndarray, rows: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of every entry whose feature is in the sorted ``names``, a block of rows at a time."""
+    found_row, found_column = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for at in range(0, len(indptr) - 1, rows) if len(names) else ():
+        ends = indptr[at : at + rows + 1]
+        some = keys[ends[0] : ends[-1]]
+        place = np.minimum(np.searchsorted(names, some), len(names) - 1)
+        known = np.flatnonzero(names[place] == some)
+        found_row.append(at + np.searchsorted(ends - ends[0], known, "right") - 1)
+        found_column.append(place[known])
+    return np.concatenate(found_row), np.concatenate(found_column)
+
+
 def fit(indptr: np.ndarray, keys: np.ndarray, grades: np.ndarray, l1: float = 1e-4, rounds: int = 1500) -> OrdinalModel:
     """Proximal gradient (FISTA) on the mean cumulative log loss of presence features.
 
@@ -84,13 +107,9 @@ def fit(indptr: np.ndarray, keys: np.ndarray, grades: np.ndarray, l1: float = 1e
     top = int(grades.max(initial=0))
     if not len(grades) or top == int(grades.min(initial=0)):
         return OrdinalModel({}, [-10.0] * top + [10.0] * (not top))
-    names, column, count = np.unique(keys, return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(grades)), np.diff(indptr))
-    dirty = np.bincount(column, grades[row] > 0, len(names))
-    kept = (count >= LEAST_TEXTS) & (_telling(dirty, count, int((grades > 0).sum()), len(grades)) >= LEAST_G)
-    place = np.cumsum(kept) - 1
-    chosen = kept[column]
-    row, column, names = row[chosen], place[column[chosen]], names[kept]
+    names, count, dirty = _counts(indptr, keys, grades > 0)
+    names = names[(count >= LEAST_TEXTS) & (_telling(dirty, count, int((grades > 0).sum()), len(grades)) >= LEAST_G)]
+    row, column = _entries(indptr, keys, names)
     n, d = len(grades), len(names)
     above = (grades[:, None] > np.arange(top)[None, :]).astype(float)
     share = np.clip(above.mean(0), 1e-4, 1 - 1e-4)
@@ -136,12 +155,12 @@ def sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -
             packed = [np.array(x, np.uint32).tobytes() for x in keys]
             yield pa.RecordBatch.from_arrays([batch.column(2).cast(pa.int64()), batch.column(0).cast(pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "toxic", "keys"])
 
-    found = rows.mapInArrow(run, "doc_id long, toxic int, keys binary").collect()  # sample_rows rows
-    found.sort(key=lambda r: (r.doc_id, bytes(r.keys)))
-    found = found[: 2 * sample_rows]
-    toxic = np.array([r.toxic for r in found], np.int64)
-    each = [np.frombuffer(bytes(r["keys"]), np.uint32) for r in found]
-    return np.cumsum([0, *map(len, each)]), np.concatenate([np.empty(0, np.uint32), *each]), toxic
+    found = rows.mapInArrow(run, "doc_id long, toxic int, keys binary").toArrow()  # sample_rows rows
+    found = found.take(pc.sort_indices(found, [("doc_id", "ascending"), ("toxic", "ascending")]))
+    toxic = found.column("toxic").to_numpy().astype(np.int64)
+    sizes = pc.binary_length(found.column("keys")).to_numpy().astype(np.int64) // 4
+    keys = np.frombuffer(b"".join(x.as_buffer() for x in found.column("keys")), np.uint32)
+    return np.concatenate([[0], np.cumsum(sizes)]), keys, toxic
 
 
 def severity_grades(indptr: np.ndarray, keys: np.ndarray, toxic: np.ndarray, grades: int = 4) -> np.ndarray:
@@ -151,12 +170,9 @@ def severity_grades(indptr: np.ndarray, keys: np.ndarray, toxic: np.ndarray, gra
     is this density of evidence.)"""
     if not toxic.any():
         return np.zeros(len(toxic), np.int64)
-    names, column = np.unique(keys, return_inverse=True)
-    row = np.repeat(np.arange(len(toxic)), np.diff(indptr))
-    dirty = np.bincount(column, toxic[row] > 0, len(names))
-    clean = np.bincount(column, toxic[row] == 0, len(names))
-    telling = (clean == 0) & (dirty >= LEAST_TEXTS)
-    weight = np.bincount(row, telling[column] / np.maximum(1, 1.0 + np.log1p(np.diff(indptr)))[row], len(toxic))
+    names, count, dirty = _counts(indptr, keys, toxic > 0)
+    row, _ = _entries(indptr, keys, names[(count == dirty) & (dirty >= LEAST_TEXTS)])
+    weight = np.bincount(row, minlength=len(toxic)) / (1.0 + np.log1p(np.diff(indptr)))
     bad = np.flatnonzero(toxic > 0)
     cuts = np.quantile(weight[bad], np.arange(1, grades - 1) / (grades - 1))
     out = np.zeros(len(toxic), np.int64)
