@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import slices, store, table
 
 #: Chunks whose ids a worker keeps in a generation.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 250_000
 #: Pieces that one packing task takes, on average.
 TASK_PIECES = 200_000
 
