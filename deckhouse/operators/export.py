@@ -46,38 +46,44 @@ def destinations(decks: DataFrame, layout: str, root: str, out: str | None = Non
 
     A deck clashes if its name repeats in a flat layout, if an earlier deck (by path) has its destination, or if
     ``manifest(dest, path)`` says that another deck wrote it (a null path is taken as the same deck). It is then
-    named after its folder, else after two folders, else by the lowest free number from 2. Each step is one
-    window over the decks that want the same name; nothing is compared with all claims.
+    named after its folder, else after two folders, else by its own earlier number or the lowest free one from 2.
+
+    Decks and earlier folders are one table throughout; each step is a window over those that want the same name,
+    so the plan is a chain of shuffles of paths, and no claim is compared with all claims.
     """
-    rows = base_destinations(decks, layout, root, out)
-    written = manifest.groupBy("dest").agg(F.max("path").alias("writer")) if manifest is not None else decks.sparkSession.createDataFrame([], "dest string, writer string")
-    rows = rows.join(written, "dest", "left").withColumn("foreign", F.coalesce(F.col("writer") != F.col("path"), F.lit(False))).drop("writer")
-    if layout == "flat":
-        rows = rows.join(repeated_names(rows).select("stem", F.lit(True).alias("repeats")), "stem", "left")
-    else:
-        rows = rows.withColumn("repeats", F.lit(False))
-    order = Window.partitionBy("dest").orderBy("path")
-    free = ~F.coalesce("repeats", F.lit(False)) & ~F.col("foreign")
-    rows = rows.withColumn("clash", ~free | (F.row_number().over(Window.partitionBy("dest", free).orderBy("path")) > 1))
-    folder = text.folder_name(F.col("path"))
+    deck = base_destinations(decks.select("path"), layout, root, out).select("path", "stem", "parent", "dest", F.lit(None).cast("string").alias("writer"), F.lit(False).alias("written"))
+    if manifest is not None:
+        none = F.lit(None).cast("string")
+        deck = deck.union(manifest.groupBy("dest").agg(F.max("path").alias("writer")).select(none, none, none, "dest", "writer", F.lit(True)))
+    path, mine, written = F.col("path"), F.col("dest"), F.col("written")
+    foreign = lambda w: F.coalesce(F.max(F.when(written, F.col("writer"))).over(w) != path, F.lit(False))
+    repeats = F.count("path").over(Window.partitionBy("stem")) > 1 if layout == "flat" else F.lit(False)
+    rows = deck.withColumn("wants", ~written & ~repeats & ~foreign(Window.partitionBy("dest")))
+    first = F.row_number().over(Window.partitionBy("dest", "wants").orderBy("path")) == 1
+    rows = rows.withColumn("settled", F.col("wants") & first).withColumn("clash", ~F.col("settled")).drop("wants")
+    folder = text.folder_name(path)
     one = text.base_name(folder)
     two = F.concat_ws("-", text.base_name(text.folder_name(folder)), one)
-    named = lambda what: F.concat("parent", F.lit("/"), "stem", F.lit(" ("), what, F.lit(")" + SUFFIX))
-    settled = rows.where("not clash").select("path", "stem", "dest", "clash")
-    claims = settled.select("dest").union(written.select("dest"))
-    left = rows.where("clash")
+    head = F.concat("parent", F.lit("/"), "stem")
+    named = lambda what: F.concat(head, F.lit(" ("), what, F.lit(")" + SUFFIX))
+    settled = F.col("settled")
     for what in (one, two):
-        tried = left.withColumn("dest", named(what)).join(claims.distinct().withColumn("taken", F.lit(True)), "dest", "left")
-        tried = tried.withColumn("won", F.col("taken").isNull() & (F.row_number().over(order) == 1)).drop("taken")
-        settled = settled.union(tried.where("won").select("path", "stem", "dest", "clash"))
-        claims = claims.union(tried.where("won").select("dest"))
-        left = tried.where("not won").drop("won")
-    number = F.row_number().over(Window.partitionBy("parent", "stem").orderBy("path")) + 1
-    taken = claims.select(F.regexp_extract("dest", r"^(.*) \((\d+)\) \(export\)$", 1).alias("head"), F.regexp_extract("dest", r" \((\d+)\) \(export\)$", 1).alias("n")).where("n <> ''")
-    taken = taken.groupBy("head").agg(F.array_sort(F.collect_set(F.col("n").cast("int"))).alias("used"))
-    numbered = left.withColumn("rank", number - 1).withColumn("head", F.concat("parent", F.lit("/"), "stem")).join(taken, "head", "left")
-    numbered = numbered.withColumn("n", lowest_free(F.col("rank"), F.coalesce("used", F.array().cast("array<int>"))))
-    return settled.union(numbered.select("path", "stem", named(F.col("n").cast("string")).alias("dest"), "clash"))
+        rows = rows.withColumn("name", F.when(settled | written, mine).otherwise(named(what)))
+        same = Window.partitionBy("name")
+        taken = F.max(settled).over(same) | foreign(same)
+        first = F.row_number().over(Window.partitionBy("name", settled | written).orderBy("path")) == 1
+        rows = rows.withColumn("won", ~settled & ~written & ~taken & first)
+        rows = rows.withColumn("dest", F.when(F.col("won"), F.col("name")).otherwise(mine)).withColumn("settled", settled | F.col("won")).drop("name", "won")
+    numbered = r"^(.*) \((\d+)\) \(export\)$"
+    rows = rows.withColumn("head", F.when(settled | written, F.regexp_extract("dest", numbered, 1)).otherwise(head))
+    rows = rows.withColumn("n", F.when(settled | written, F.nullif(F.regexp_extract("dest", numbered, 2), F.lit("")).cast("int")))
+    same = Window.partitionBy("head")
+    folders = F.collect_list(F.when(written & F.col("n").isNotNull(), F.struct("n", "writer"))).over(same)
+    used = F.array_union(F.transform(folders, lambda f: f["n"]), F.collect_set(F.when(settled, F.col("n"))).over(same))
+    rows = rows.withColumn("used", F.array_sort(used)).withColumn("own", F.array_min(F.transform(F.filter(folders, lambda f: f["writer"] == path), lambda f: f["n"])))
+    rank = F.row_number().over(Window.partitionBy("head", settled | written | F.col("own").isNotNull()).orderBy("path"))
+    number = F.coalesce("own", lowest_free(rank, F.col("used")))
+    return rows.withColumn("number", number).where(~written).select("path", "stem", F.when(settled, mine).otherwise(named(F.col("number").cast("string"))).alias("dest"), "clash")
 
 
 def lowest_free(rank, used):
@@ -121,9 +127,9 @@ def failure_runs(outcomes: DataFrame, keys: list[str], order: list[str]) -> Data
     """Adds ``failures_in_a_row`` to ``outcomes(..., status)``; a success ends a run, a skip does not."""
     within = Window.partitionBy(*keys).orderBy(*order)
     run = F.sum(F.when(F.col("status") == "ok", 1).otherwise(0)).over(within.rowsBetween(Window.unboundedPreceding, 0))
-    rows = outcomes.withColumn("run", run)
-    in_run = Window.partitionBy(*keys, "run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("failures_in_a_row", F.when(F.col("status") == "fail", F.sum(F.when(F.col("status") == "fail", 1).otherwise(0)).over(in_run)).otherwise(0).cast("long")).drop("run")
+    rows = outcomes.withColumn("_run", run)
+    in_run = Window.partitionBy(*keys, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("failures_in_a_row", F.when(F.col("status") == "fail", F.sum(F.when(F.col("status") == "fail", 1).otherwise(0)).over(in_run)).otherwise(0).cast("long")).drop("_run")
 
 
 def reached(outcomes: DataFrame, keys: list[str], order: list[str], most: int = 3) -> DataFrame:

@@ -57,7 +57,11 @@ def alias_candidates(faces: DataFrame) -> DataFrame:
         F.when(known & F.col("optical").isNotNull(), F.array(spaced(family, wanted), family)).otherwise(none),
         F.when(known, F.array(dashed(base, style), spaced(base, style), base, dashed(family, wanted), dashed(family, style), spaced(family, wanted), family)).otherwise(none),
     ]
-    every = F.flatten(F.array(*(F.transform(t, lambda name, i, n=n: F.struct(F.lit(n).alias("tier"), i.alias("ord"), plain_key(name).alias("key"))) for n, t in enumerate(tiers, 1))))
+
+    def keyed(tier: int):
+        return lambda name, i: F.struct(F.lit(tier).alias("tier"), i.alias("ord"), plain_key(name).alias("key"))
+
+    every = F.flatten(F.array(*(F.transform(names, keyed(n)) for n, names in enumerate(tiers, 1))))
     return named.select("face", F.explode(every).alias("c")).select("face", "c.tier", "c.ord", "c.key")
 
 
