@@ -46,15 +46,22 @@ def is_deck(path: str, root: str, hidden: str) -> bool:
     return not name.startswith((".", "~$")) and not any(f.startswith(".") for f in folders)
 
 
-def list_decks(uri: str, hidden: str = "audit", only: str = "") -> list[tuple[str, int]]:
-    """Decks of a library, by code point of their path, with their sizes."""
+def open_library(uri: str) -> tuple[pafs.FileSystem, pafs.FileInfo]:
+    """S3: the file system of a folder or deck and its entry; an error for anything else."""
     files, root = pafs.FileSystem.from_uri(uri) if re.match(r"[a-z0-9+.-]+://", uri) else (pafs.LocalFileSystem(), uri)
     info = files.get_file_info(root)
     if info.type == pafs.FileType.NotFound:
         raise FileNotFoundError(f"no such file or folder: {uri}")
+    if info.type == pafs.FileType.File and not root.lower().endswith(".pptx"):
+        raise ValueError(f"not a .pptx file: {uri}")
+    return files, info
+
+
+def list_decks(uri: str, hidden: str = "audit", only: str = "") -> list[tuple[str, int]]:
+    """Decks of a library, by code point of their path, with their sizes."""
+    files, info = open_library(uri)
+    root = info.path
     if info.type == pafs.FileType.File:
-        if not root.lower().endswith(".pptx"):
-            raise ValueError(f"not a .pptx file: {uri}")
         found = [info]
     else:
         listed = files.get_file_info(pafs.FileSelector(root, recursive=True))
