@@ -45,11 +45,13 @@ STRUCTURE = frozenset("html head body main article section div nav header footer
 FURNITURE = frozenset("head nav footer aside form menu dialog button select option label input object embed canvas audio video map".split())
 #: Words in class, id or role that mark an element as page furniture.
 FURNITURE_WORDS = frozenset(
-    "nav navbar navigation menu header masthead topbar footer sidebar aside rail ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion "
+    "nav navbar navigation menu masthead topbar footer sidebar aside rail ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion "
     "cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe signup login form search share sharing social related recommended "
     "breadcrumb breadcrumbs pagination pager comment comments reply replies respond discussion disqus widget toolbar copyright".split()
 )
 MAIN_WORDS = frozenset("articlebody main".split())
+#: A header of an article is its title; any other is the page's.
+HEADER_WORDS = frozenset(("header",))
 
 
 def blocks_of(page: str) -> Iterator[tuple[str, tuple[str, ...], str, bool, bool]]:
@@ -101,7 +103,8 @@ def blocks_of(page: str) -> Iterator[tuple[str, tuple[str, ...], str, bool, bool
             words = {w for v in attributes.values() for w in _PIECES.findall(v)}
             _, _, furniture, main = stack[-1]
             core = name in ("article", "main") or bool(words & MAIN_WORDS)
-            bad = name in FURNITURE or (name == "header" and not main) or bool(words & FURNITURE_WORDS and name not in ("html", "body", "main"))
+            marks = set() if name in ("html", "body", "main") else words
+            bad = name in FURNITURE or bool(marks & FURNITURE_WORDS) or (not main and (name == "header" or bool(marks & HEADER_WORDS)))
             value = name + "".join(f"[{a}={attributes[a]}]" for a in ("class", "id") if a in attributes)
             yield "tag", path, value, furniture or bad, main or core
             if not m[4].endswith("/"):
