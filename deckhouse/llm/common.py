@@ -34,11 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
+def store(df: DataFrame, name: str, packed: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    ``packed``: the columns are compressed already; readers then need no buffers to inflate large pages.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/deckhouse/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "none" if packed else "snappy").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
