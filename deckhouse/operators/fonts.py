@@ -162,6 +162,35 @@ def recommend(groups: DataFrame, widths: DataFrame, anchor: float) -> DataFrame:
     return joined.select("family", "deck_count", F.coalesce("successor", top["candidate"]).alias("pick"), F.when(F.col("successor").isNull(), top["delta_pct"]).alias("delta_pct"), "ranked").orderBy(F.desc("deck_count"), "family")
 
 
+#: Text to measure where the decks have next to none of their own.
+SAMPLE_TEXT = "Findings and Recommendations. Key Results for the Board, Quarter by Quarter. The five boxing wizards jump quickly. 0123456789"
+
+
+def deck_texts(parts: DataFrame) -> DataFrame:
+    """``path, text, chars`` of the text runs of each deck's slides, in part order, joined by a space."""
+    slides = parts.where(F.col("part").startswith("ppt/slides/slide") & F.col("part").endswith(".xml"))
+    runs = F.regexp_extract_all(F.decode("content", "UTF-8"), F.lit(r"(?s)<a:t>(.*?)</a:t>"), F.lit(1))
+    found = slides.groupBy("path").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", runs.alias("runs")))), lambda s: s["runs"])).alias("runs"))
+    chars = F.aggregate("runs", F.lit(0).cast("long"), lambda n, t: n + F.length(t))
+    return found.select("path", F.array_join("runs", " ").alias("text"), chars.alias("chars"))
+
+
+def sample_text(texts: DataFrame, limit: int = 200_000) -> DataFrame:
+    """One row with ``text``: that of the decks within the budget, and SAMPLE_TEXT if it has 200 characters or less.
+    It is as long as the limit and the last deck, whatever the library's size."""
+    chosen = texts.join(text_budget(texts.select("path", "chars"), limit).select("path"), "path")
+    whole = chosen.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda d: d["text"]), " ").alias("t"))
+    return whole.select(F.when(F.length("t") > 200, F.col("t")).otherwise(F.concat_ws(" ", "t", F.lit(SAMPLE_TEXT))).alias("text"))
+
+
+def group_label(family: Column, faces: Column, delta_pct: Column) -> Column:
+    """A family with its number of further weights, and the width of its substitute in per cent."""
+    more = F.size(faces) - 1
+    weights = F.when(more > 0, F.concat(F.lit(" +"), more.cast("string"), F.when(more == 1, " weight").otherwise(" weights"))).otherwise("")
+    width = F.when(delta_pct.isNotNull(), F.concat(F.lit("  "), F.format_string("%+.1f%% width", delta_pct))).otherwise("")
+    return F.concat(family, weights, width)
+
+
 def text_budget(texts: DataFrame, limit: int = 200_000) -> DataFrame:
     """Decks of ``texts(path, chars)`` in path order until the sum passes the limit, that deck included.
 

@@ -74,7 +74,7 @@ def aspect(ratio: Column) -> Column:
 
 
 def deck_records(parts: DataFrame, available: DataFrame) -> DataFrame:
-    """TV9: a record for each deck, from parts with content and a catalogue ``available(key)`` of font keys.
+    """TV9 (A1-A7, F2, F4, U3, U4): a record for each deck, from parts with content and a catalogue ``available(key)`` of font keys.
 
     All features of a part are computed on its row; a deck's rows then meet once (they come from one task, so
     partial aggregation has already merged them). Members that can't be read give the deck an ``error`` and

@@ -72,6 +72,11 @@ def notes_on_pages(parts: DataFrame, pages: DataFrame | None = None) -> DataFram
     return page_notes(pages, notes) if pages is not None else notes_without_map(notes, page_of(presentation_slides(parts)))
 
 
+def notes_total(notes: DataFrame) -> DataFrame:
+    """``deck, notes, chars`` of notes on pages, their build prefixes included."""
+    return notes.groupBy("deck").agg(F.count("*").alias("notes"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
 def notes_json(notes: DataFrame) -> DataFrame:
     """K6: ``deck, json`` with pages as keys, for decks that have notes."""
     pairs = F.array_sort(F.collect_list(F.struct("page", "text")))

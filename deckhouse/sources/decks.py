@@ -10,7 +10,7 @@ path       a folder or a single deck
 hidden     ``audit`` (default): dot folders and names starting ``.`` or ``~$`` are left out (S1);
            ``export``: only names starting ``~$`` or ``._`` are (S2)
 only       a literal part of the path (F1)
-rows       ``parts`` (default): a row for each member (M2); ``decks``: a row for each deck (M1)
+rows       ``parts`` (default): a row for each member (M2, S5); ``decks``: a row for each deck (M1)
 content    regular expression of the members whose bytes are wanted (S6); default: XML and
            relationships. With ``rows=decks``: ``true`` for the whole package.
 partition_bytes  size of the decks that one task takes together; a larger deck is a task of its own
@@ -69,6 +69,13 @@ def list_decks(uri: str, hidden: str = "audit", only: str = "") -> list[tuple[st
     return sorted((f.path, f.size) for f in found if only in f.path)
 
 
+def list_files(uri: str, suffix: str, only: str = "") -> list[tuple[str, int]]:
+    """Files below a folder whose name ends so, by path, with their sizes."""
+    files, root = pafs.FileSystem.from_uri(uri) if re.match(r"[a-z0-9+.-]+://", uri) else (pafs.LocalFileSystem(), uri)
+    listed = files.get_file_info(pafs.FileSelector(root, recursive=True))
+    return sorted((f.path, f.size) for f in listed if f.type == pafs.FileType.File and f.path.endswith(suffix) and only in f.path)
+
+
 @dataclass
 class DeckPartition(InputPartition):
     decks: list[tuple[str, int]]
