@@ -8,6 +8,7 @@ set bit above its length. When all bins are open, the fullest closes first.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import slices, store, table
 
 #: Chunks whose ids a worker keeps in a generation.
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 300_000
 #: Pieces that one packing task takes, on average.
 TASK_PIECES = 200_000
 
@@ -38,74 +39,78 @@ def byte_signs() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class _Ids(dict):
+    """Ids of chunks; a chunk that isn't there is made, or taken over from the generation before."""
+
+    def __init__(self, make, older: dict[str, bytes]) -> None:
+        self.make, self.older = make, older
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self.make(chunk)
+        self[chunk] = ids
+        return ids
+
+
+#: A full stop or comma beside another sign: the tokenizer takes such a run as one.
+_RUN = re.compile(r"[.,](?:(?=[^\w\s]|[_\x1c-\x1f])|(?<=[^\w\s][.,])|(?<=[_\x1c-\x1f][.,]))")
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class ChunkEncoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
-    The tokenizer splits at white space, and between letters and other signs, before any merge, so
-    the ids of a text are those of its chunks in turn. Chunks recur, so their ids are kept, in two
-    generations of at most CACHE_CHUNKS. A new chunk of letters and ASCII punctuation is put
-    together from both, so that only new words are encoded. White space other than space, tab
-    and line feed stays inside a chunk for the tokenizer to see. (Valid for tokenizers that lower
-    case and drop white space; ``tests/llm`` compares with whole-text encoding.)
+    The tokenizer lower-cases, drops white space and splits between letters and other signs before any
+    merge, so the ids of a text are those of its chunks in turn. Chunks recur: their ids are kept, in
+    two generations of at most CACHE_CHUNKS. A word of letters goes straight to the model; anything
+    odd, and white space other than space, tab and line feed, is left to the whole tokenizer, chunk
+    by chunk. (``tests/llm`` compares with whole-text encoding.)
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.signs = byte_signs()
+        self.model, self.signs = self.encoder.model, byte_signs()
+        self.ids = _Ids(self.make, {})
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunked = [text.replace("\n", " ").replace("\t", " ").split(" ") for text in texts]
-        if len(self.cache) > CACHE_CHUNKS:
-            self.older, self.cache = self.cache, {}
-        self.learn(list({c for chunks in chunked for c in chunks}.difference(self.cache)))
-        ids = self.cache.__getitem__
-        return [b"".join(map(ids, chunks)) for chunks in chunked]
-
-    def learn(self, new: list[str]) -> None:
-        cache, older = self.cache, self.older
-        put_together, plain = [], set()
-        for c in new:
-            kept = older.get(c)
-            if kept is not None:
-                cache[c] = kept
-                continue
-            word = c.rstrip(_PUNCTUATION)
-            if len(word) < len(c) and word.isalpha():
-                mark = c[len(word) :]
-            else:
-                word, mark = c, ""
-            if word.isascii() and word.isalpha():
-                word = word.lower()
-            if word != c:
-                put_together.append((c, word, mark))
-                if mark and mark not in cache:
-                    plain.add(mark)
-            if word not in cache:
-                plain.add(word)
-        for w in [w for w in plain if w in older]:
-            cache[w] = older[w]
-            plain.discard(w)
-        model, signs = self.encoder.model, self.signs
-        some = []
-        for w in plain:
-            # A word of letters is one unit to the model: it needs only what the tokenizer does to it before.
-            x = w if w.isascii() else unicodedata.normalize("NFC", w).lower()
-            if x.isalpha() and "Σ" not in w:
-                x = x.lower() if x.isascii() else x.encode().decode("latin-1").translate(signs)
-                cache[w] = b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(x)])
-            else:
-                some.append(w)
-        for w, e in zip(some, self.encoder.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-        for c, word, mark in put_together:
-            cache[c] = cache[word] + cache[mark] if mark else cache[word]
+        out = []
+        for text in texts:
+            if len(self.ids) > CACHE_CHUNKS:
+                self.ids.older = {}
+                self.ids = _Ids(self.make, self.ids)
+            out.append(b"".join(map(self.ids.__getitem__, self.chunks(text))))
+        return out
+
+    @staticmethod
+    def chunks(text: str) -> list[str]:
+        """Pieces that encode on their own; empty ones have no ids."""
+        spaced = text.replace("\n", " ").replace("\t", " ")
+        if "<|" in text or "Σ" in text or "İ" in text:  # special tokens; letters whose lower case isn't theirs alone
+            return spaced.split(" ")
+        spaced = spaced.lower()
+        if not _RUN.search(spaced):
+            spaced = spaced.replace(".", " .").replace(",", " ,")
+        return spaced.split(" ")
+
+    def make(self, chunk: str) -> bytes:
+        # A word of letters is one unit to the model: it needs only what the tokenizer does to it before.
+        if chunk.isascii():
+            if chunk.isalpha():
+                return self._merged(chunk.lower())
+        elif "Σ" not in chunk and (x := unicodedata.normalize("NFC", chunk).lower()).isalpha():
+            return self._merged(x.encode().decode("latin-1").translate(self.signs))
+        word = chunk.rstrip(_PUNCTUATION)
+        if len(word) < len(chunk) and word.isalpha() and "<|" not in chunk:
+            return self.ids[word] + self.ids[chunk[len(word) :]]
+        return np.array(self.encoder.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _merged(self, signs: str) -> bytes:
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(signs)])
 
 
-_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A worker process keeps its encoder between tasks.
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
