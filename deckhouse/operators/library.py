@@ -14,11 +14,20 @@ from ..functions.binary import gif_frame_count
 from .builds import click_effects
 
 
-def with_duplicates(decks: DataFrame) -> DataFrame:
+def with_duplicates(decks: DataFrame, one_pass: bool = False) -> DataFrame:
     """A8, W7 (Q15): ``duplicate_of`` and ``duplicate_group_size`` by (bytes, slides). The first deck by path is the
-    original. Only groups of several come back to the decks, and a group is only a minimum and a count."""
-    groups = decks.groupBy("bytes", "slides").agg(F.min("path").alias("first"), F.count("*").alias("n")).where("n > 1")
-    met = decks.join(groups, ["bytes", "slides"], "left")
+    original.
+
+    Only groups of several come back to the decks, and a group is only a minimum and a count, so a group of any
+    size is harmless; but ``decks`` is evaluated twice. With ``one_pass`` a window does it in one evaluation,
+    which is right where that means opening packages.
+    """
+    if one_pass:
+        same = Window.partitionBy("bytes", "slides")
+        met = decks.withColumn("first", F.min("path").over(same)).withColumn("n", F.count("*").over(same))
+    else:
+        groups = decks.groupBy("bytes", "slides").agg(F.min("path").alias("first"), F.count("*").alias("n")).where("n > 1")
+        met = decks.join(groups, ["bytes", "slides"], "left")
     return met.withColumn("duplicate_of", F.when(F.col("first") != F.col("path"), F.col("first"))).withColumn("duplicate_group_size", F.coalesce("n", F.lit(1)).cast("long")).drop("first", "n")
 
 
@@ -76,19 +85,21 @@ def aspect(ratio: Column) -> Column:
 def deck_records(parts: DataFrame, available: DataFrame) -> DataFrame:
     """TV9 (A1-A7, F2, F4, U3, U4): a record for each deck, from parts with content and a catalogue ``available(key)`` of font keys.
 
-    All features of a part are computed on its row; a deck's rows then meet once (they come from one task, so
-    partial aggregation has already merged them). Members that can't be read give the deck an ``error`` and
-    keep what was gathered (Q18).
+    One pass: all features of a part are computed on its row, and a deck's rows meet once (they come from one
+    task, so partial aggregation has merged them by then). Faces are looked up with the record beside them, which
+    keeps the partitioning by deck. Members that can't be read give the deck an ``error`` and keep what was
+    gathered (Q18).
     """
     kind, body = xml.part_kind(F.col("part")), F.decode("content", "UTF-8")
     p = parts.withColumn("kind", kind).withColumn("xml", F.when(~F.col("kind").isin("media", "font"), body))
     slide, rels = F.col("kind") == "slide", F.col("kind") == "slide_rels"
-    file_no = xml.number_in(F.col("part"), xml.SLIDE_RELS)
-    effects = F.when(slide & F.contains("xml", F.lit("<p:timing")), click_effects(F.when(slide & F.contains("xml", F.lit("<p:timing")), F.col("content"))))
+    timed = slide & F.contains("xml", F.lit("<p:timing"))
+    effects = F.when(timed, click_effects(F.when(timed, F.col("content"))))
     extension = text.extension(F.col("part"))
+    file_no = xml.number_in(F.col("part"), xml.SLIDE_RELS)
     external = F.transform(F.filter(xml.external_targets(F.col("xml")), lambda u: text.is_playable(u, text.AUDIT_HOSTS)), lambda u: F.struct(file_no.alias("slide"), u.alias("url")))
     none = F.array().cast("array<string>")
-    faces = F.when(F.col("kind").isin("slide", "slide_like", "layout", "master"), xml.latin_faces(F.col("xml"))).when(F.col("kind") == "theme", xml.theme_faces(F.col("xml"))).otherwise(none)
+    faces = F.when(F.col("kind").isin("slide", "slide_like", "layout", "master"), xml.latin_faces(F.col("xml"))).when(F.col("kind") == "theme", xml.theme_faces(F.col("xml")))
     p = p.withColumns({"steps": F.coalesce(F.array_max(F.transform(effects, lambda e: e["step"])), F.lit(0)), "ext": extension, "frames": F.when((F.col("kind") == "media") & (extension == ".gif"), gif_frame_count(F.when(F.col("kind") == "media", F.col("content"))))})
     p = p.withColumn("media", F.when(F.col("kind") != "media", None).when(F.col("ext").isin(text.VIDEO), "video").when(F.col("ext").isin(text.AUDIO), "audio").when(F.col("frames") > 1, "gif"))
     presentation = F.when(F.col("kind") == "presentation", F.col("xml"))
@@ -96,32 +107,38 @@ def deck_records(parts: DataFrame, available: DataFrame) -> DataFrame:
         F.first("name").alias("name"), F.first("bytes").alias("bytes"), F.count_if(slide).cast("int").alias("slides"),
         F.max(xml.size_attribute(presentation, "cx")).alias("cx"), F.max(xml.size_attribute(presentation, "cy")).alias("cy"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(faces)))).alias("fonts"),
-        F.max(xml.embedded_faces(presentation)).alias("embedded"),
+        F.coalesce(F.max(xml.embedded_faces(presentation)), none).alias("fonts_embedded"),
         F.count_if(slide & (F.col("steps") > 0)).cast("int").alias("animated_slides"), F.sum(F.when(slide, F.col("steps")).otherwise(0)).cast("int").alias("build_states"),
         F.count_if(slide & xml.hidden_anywhere(F.col("xml"))).cast("int").alias("hidden_slides"),
         *(F.count_if(F.col("media") == m).cast("int").alias(n) for m, n in (("gif", "gifs"), ("video", "videos"), ("audio", "audio"))),
-        F.array_sort(F.collect_list(F.when(rels, F.struct("ordinal", external.alias("links"))))).alias("links"),
+        F.array_sort(F.collect_list(F.when(rels & (F.size(external) > 0), F.struct("ordinal", external.alias("links"))))).alias("links"),
         F.sum(F.when(F.col("media").isNotNull(), F.col("part_bytes")).otherwise(0)).alias("media_bytes"),
+        F.collect_list(F.when(rels, xml.notes_target(F.col("xml")))).alias("targets"),
+        F.map_from_entries(F.collect_list(F.when(F.col("kind") == "notes", F.struct("part", F.length(xml.note_lines(F.col("xml"))).alias("chars"))))).alias("noted"),
         F.max("error").alias("error"),
     )
-    targets = p.where(rels).select("path", xml.notes_target(F.col("xml")).alias("target")).where("target is not null")
-    noted = p.where("kind = 'notes'").select(F.col("path").alias("of"), F.col("part").alias("found"), F.length(xml.note_lines(F.col("xml"))).alias("chars"))
-    notes = targets.join(noted, (F.col("path") == F.col("of")) & (F.col("target") == F.col("found"))).where("chars > 0").groupBy("path").agg(F.count("*").cast("int").alias("noted_slides"), F.sum("chars").cast("int").alias("notes_chars"))
-    embedded = decks.select(F.col("path").alias("deck"), F.explode("embedded").alias("e")).select("deck", F.explode(F.array(text.face_key(F.col("e")), text.plain_key(F.col("e")))).alias("key"))
-    missed = face_misses(decks.select(F.col("path").alias("deck"), F.explode("fonts").alias("face")), available, embedded).groupBy(F.col("deck").alias("path")).agg(F.array_sort(F.collect_list("face")).alias("fonts_missing"))
-    out = decks.join(notes, "path", "left").join(missed, "path", "left")
-    ratio = F.try_divide(F.col("cx").cast("double"), F.col("cy").cast("double"))
+    chars = F.filter(F.transform("targets", lambda t: F.try_element_at("noted", t)), lambda n: n > 0)
+    decks = decks.withColumns({"noted_slides": F.size(chars), "notes_chars": F.aggregate(chars, F.lit(0), lambda n, c: n + c), "external_media": F.flatten(F.transform("links", lambda x: x["links"]))}).drop("targets", "noted", "links")
+    record = [c for c in decks.columns if c != "path"]
+    own = F.flatten(F.transform("fonts_embedded", lambda e: F.array(text.face_key(e), text.plain_key(e))))
+    one = decks.select("path", F.struct(*record).alias("r"), own.alias("own"), F.explode_outer("fonts").alias("face"))
+    known = available.select("key").distinct()
+    for k, key in (("k1", text.face_key(F.col("face"))), ("k2", text.plain_key(F.col("face")))):
+        one = one.withColumn(k, key).join(known.select(F.col("key").alias(k), F.lit(True).alias(f"has_{k}")), k, "left")
+    held = F.col("has_k1").isNotNull() | F.col("has_k2").isNotNull() | F.array_contains("own", F.col("k1")) | F.array_contains("own", F.col("k2"))
+    missing = F.when(F.col("face").isNotNull() & ~F.coalesce(held, F.lit(False)), F.col("face"))
+    out = one.groupBy("path").agg(F.first("r").alias("r"), F.array_sort(F.collect_list(missing)).alias("fonts_missing")).select("path", "r.*", "fonts_missing")
     both = F.col("cx").isNotNull() & F.col("cy").isNotNull()
     return out.select(
-        "path", "name", "bytes", "slides", F.when(both, text.pixels(F.col("cx"))).alias("width_px"), F.when(both, text.pixels(F.col("cy"))).alias("height_px"), aspect(ratio).alias("aspect"), "fonts",
-        F.coalesce("embedded", none).alias("fonts_embedded"), F.coalesce("fonts_missing", none).alias("fonts_missing"), "animated_slides", "build_states", "hidden_slides", "gifs", "videos", "audio",
-        F.flatten(F.transform("links", lambda x: x["links"])).alias("external_media"), "media_bytes", F.coalesce("noted_slides", F.lit(0)).alias("noted_slides"), F.coalesce("notes_chars", F.lit(0)).alias("notes_chars"), "error",
+        "path", "name", "bytes", "slides", F.when(both, text.pixels(F.col("cx"))).alias("width_px"), F.when(both, text.pixels(F.col("cy"))).alias("height_px"),
+        aspect(F.try_divide(F.col("cx").cast("double"), F.col("cy").cast("double"))).alias("aspect"), "fonts", "fonts_embedded", "fonts_missing", "animated_slides", "build_states", "hidden_slides",
+        "gifs", "videos", "audio", "external_media", "media_bytes", "noted_slides", "notes_chars", "error",
     )
 
 
 def audit(parts: DataFrame, available: DataFrame) -> DataFrame:
     """TV10: deck records with their duplicates, by path."""
-    return with_duplicates(deck_records(parts, available)).orderBy("path")
+    return with_duplicates(deck_records(parts, available), one_pass=True).orderBy("path")
 
 
 def summary(decks: DataFrame) -> DataFrame:
