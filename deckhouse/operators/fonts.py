@@ -148,9 +148,9 @@ def rank_candidates(rows: DataFrame, partition: list[str]) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))
 
 
-def recommend(groups: DataFrame, widths: DataFrame, anchor: float) -> DataFrame:
-    """TV13, J10, K15: ``family, deck_count, pick, delta_pct, ranked``: a known successor, else the best of
-    ``widths(candidate, width)`` against the anchor's width; ``ranked`` has the best five."""
+def recommend(groups: DataFrame, widths: DataFrame, anchor: float, chars: int = 0) -> DataFrame:
+    """TV13, J10, K15: ``family, deck_count, pick, delta_pct, why, ranked``: a known successor, else the best of
+    ``widths(candidate, width)`` against the anchor's width, measured on ``chars`` characters; ``ranked`` has the best five."""
     spark = groups.sparkSession
     pool = spark.createDataFrame([(n, g, i) for i, (n, g) in enumerate(CANDIDATES.items())], "candidate string, genre string, pool int")
     usable = pool.where("genre not in ('display', 'mono')").join(widths.where("width > 0"), "candidate")  # F9
@@ -159,11 +159,15 @@ def recommend(groups: DataFrame, widths: DataFrame, anchor: float) -> DataFrame:
     best = rank_candidates(measured, ["family"]).where("rank <= 5").groupBy("family").agg(F.array_sort(F.collect_list(F.struct("rank", "candidate", "ratio", ((F.col("ratio") - 1) * 100).alias("delta_pct")))).alias("ranked"))
     joined = rows.join(best, "family", "left")
     top = F.try_element_at("ranked", F.lit(1))
-    return joined.select("family", "deck_count", F.coalesce("successor", top["candidate"]).alias("pick"), F.when(F.col("successor").isNull(), top["delta_pct"]).alias("delta_pct"), "ranked").orderBy(F.desc("deck_count"), "family")
+    why = F.when(F.col("successor").isNotNull(), "the same design, free").when(F.col("ranked").isNotNull(), f"measured on {chars} characters from these decks").otherwise("no candidate could be measured")
+    return joined.select("family", "deck_count", F.coalesce("successor", top["candidate"]).alias("pick"), F.when(F.col("successor").isNull(), top["delta_pct"]).alias("delta_pct"), why.alias("why"), "ranked").orderBy(F.desc("deck_count"), "family")
 
 
-#: Text to measure where the decks have next to none of their own.
-SAMPLE_TEXT = "Findings and Recommendations. Key Results for the Board, Quarter by Quarter. The five boxing wizards jump quickly. 0123456789"
+#: Text to measure where the decks have next to none of their own (fixed value).
+SAMPLE_TEXT = (
+    "The quick brown fox jumps over the lazy dog. Research Findings and Recommendations. Customer Journey Mapping. "
+    "Key Takeaways for the Board. 0123456789 How might we improve onboarding conversion this quarter?"
+)
 
 
 def deck_texts(parts: DataFrame) -> DataFrame:

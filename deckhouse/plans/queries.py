@@ -370,8 +370,8 @@ def d22(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("d23_noise", VFACE + """
-SELECT p_partkey, face, CASE WHEN lower(trim(face)) = 'serif' THEN 'CSS keyword, not a font' WHEN regexp_matches(face, '[\\\\/<>{}|]') THEN 'corrupted name'
-  WHEN length(trim(face)) < 3 THEN 'too short to be a face name' WHEN NOT regexp_matches(lower(face), '[a-z]') THEN 'no letters' END AS reason FROM vface""")
+SELECT p_partkey, face, CASE WHEN lower(trim(face)) = 'serif' THEN 'CSS keyword, not a font - pasted in from a web page' WHEN regexp_matches(face, '[\\\\/<>{}|]') THEN 'corrupted name - not a real face'
+  WHEN length(trim(face)) < 3 THEN 'too short to be a face name' WHEN NOT regexp_matches(lower(face), '[a-z]') THEN 'no letters - not a face name' END AS reason FROM vface""")
 def d23(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vface(spark, sf_dir).select("p_partkey", "face", noise_reason(F.col("face")).alias("reason"))
 

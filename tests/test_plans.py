@@ -115,7 +115,7 @@ def test_ranking(spark):
     groups = spark.createDataFrame([("Graphik", 3), ("Muli", 1)], "family string, deck_count int")
     widths = spark.createDataFrame([("Inter", 1.05), ("Archivo", 0.97), ("Jost", 0.99), ("Bebas Neue", 0.5)], "candidate string, width double")
     picks = {r.family: r for r in fonts.recommend(groups, widths, 1.0).collect()}
-    assert (picks["Graphik"].pick, round(picks["Graphik"].delta_pct, 1), len(picks["Graphik"].ranked)) == ("Archivo", -3.0, 3) and picks["Muli"].pick == "Mulish"
+    assert (picks["Graphik"].pick, round(picks["Graphik"].delta_pct, 1), len(picks["Graphik"].ranked)) == ("Archivo", -3.0, 3) and picks["Muli"].pick == "Mulish" and picks["Muli"].why == "the same design, free"
 
 
 def test_weights_and_genres(spark):
