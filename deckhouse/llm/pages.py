@@ -43,11 +43,14 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 STRUCTURE = frozenset("html head body main article section div nav header footer aside form table ul ol dl menu dialog fieldset figure details blockquote".split())
 #: Elements that are never main text.
 FURNITURE = frozenset("head nav footer aside form menu dialog button select option label input object embed canvas audio video map".split())
+#: Elements without content, and blocks that end where the next one begins.
+EMPTY = frozenset("area base br col embed hr img input link meta source track wbr".split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6".split())
 #: Words in class, id or role that mark an element as page furniture.
 FURNITURE_WORDS = frozenset(
     "nav navbar navigation menu masthead topbar footer sidebar aside rail ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion "
     "cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe signup login form search share sharing social related recommended "
-    "breadcrumb breadcrumbs pagination pager comment comments reply replies respond discussion disqus widget toolbar copyright".split()
+    "breadcrumb breadcrumbs contentinfo complementary pagination pager comment comments reply replies respond discussion disqus widget toolbar copyright".split()
 )
 MAIN_WORDS = frozenset("articlebody main".split())
 #: A header of an article is its title; any other is the page's.
@@ -66,17 +69,17 @@ def blocks_of(page: str) -> Iterator[tuple[str, tuple[str, ...], str, bool, bool
     stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
     path: tuple[str, ...] = ()
     parts: list[str] = []
-    leaf = ""  # the furniture element that is open though not structural, such as a button
+    mute: tuple[str, bool] | None = None  # an element whose text goes; does it last until its end tag?
     at = 0
 
     def flush() -> Iterator[tuple]:
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            yield "text", path, text, stack[-1][2] or bool(leaf), stack[-1][3]
+            yield "text", path, text, stack[-1][2], stack[-1][3]
 
     for m in _MARKUP.finditer(page):
-        if m.start() > at:
+        if m.start() > at and not mute:
             parts.append(page[at : m.start()])
         at = m.end()
         name = (m[3] or "").lower()
@@ -84,35 +87,43 @@ def blocks_of(page: str) -> Iterator[tuple[str, tuple[str, ...], str, bool, bool
             if m[1] and m[1].lower() not in ("script", "style", "noscript", "template"):
                 yield from flush()
             continue
+        attributes = {k.lower(): (x or y or z).lower() for k, x, y, z in _ATTRIBUTE.findall(m[4])} if len(m[4]) > 4 and not m[2] else {}
+        words = {w for v in attributes.values() for w in _PIECES.findall(v)}
+        marked = bool(words & FURNITURE_WORDS) and name not in ("html", "body", "main")
+        empty = m[4].endswith("/") or name in EMPTY
         if name in INLINE and name not in FURNITURE:
+            if mute and m[2] and mute[0] == name:
+                mute = None
+            elif marked and not mute and not empty:
+                mute = (name, False)
             continue
         if name == "br":
-            parts.append(" ")
+            if not mute:
+                parts.append(" ")
             continue
         yield from flush()
+        if mute and (not mute[1] or m[2] and mute[0] == name):
+            mute = None
+            if m[2]:
+                continue
         if m[2]:
-            if name == leaf:
-                leaf = ""
-            elif name in STRUCTURE and any(x[0] == name for x in stack):
+            if any(x[0] == name for x in stack):
                 while stack.pop()[0] != name:
                     pass
                 path = tuple(x[1] for x in stack[1:])
             continue
-        if name in STRUCTURE:
-            attributes = {a.lower(): (b or c or d).lower() for a, b, c, d in _ATTRIBUTE.findall(m[4])}
-            words = {w for v in attributes.values() for w in _PIECES.findall(v)}
-            _, _, furniture, main = stack[-1]
-            core = name in ("article", "main") or bool(words & MAIN_WORDS)
-            marks = set() if name in ("html", "body", "main") else words
-            bad = name in FURNITURE or bool(marks & FURNITURE_WORDS) or (not main and (name == "header" or bool(marks & HEADER_WORDS)))
-            value = name + "".join(f"[{a}={attributes[a]}]" for a in ("class", "id") if a in attributes)
+        _, _, furniture, main = stack[-1]
+        core = name in ("article", "main") or bool(words & MAIN_WORDS)
+        bad = name in FURNITURE or marked or (not main and name not in ("html", "body") and (name == "header" or bool(words & HEADER_WORDS)))
+        if name in STRUCTURE or (bad and name not in FURNITURE and name not in PARAGRAPHS):
+            value = name + "".join(f"[{k}={attributes[k]}]" for k in ("class", "id") if k in attributes)
             yield "tag", path, value, furniture or bad, main or core
-            if not m[4].endswith("/"):
+            if not empty:
                 stack.append((name, value, furniture or bad, main or core))
                 path = (*path, value)
-        elif name in FURNITURE and name not in ("input", "embed") and not leaf and not m[4].endswith("/"):
-            leaf = name
-    if at < len(page):
+        elif bad and not empty and not mute:
+            mute = (name, name in FURNITURE)
+    if at < len(page) and not mute:
         parts.append(page[at:])
     yield from flush()
 

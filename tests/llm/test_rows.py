@@ -165,9 +165,10 @@ PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{{}}</style
 <header class="top">Site</header><nav><ul><li><a href="/">Home</a></li></ul></nav><!-- <article>no</article> -->
 <div class="cookie-notice">We use cookies</div><div class='ad'>Buy {n}</div><div id=strip>Always the same</div>
 <div class="page-header">Slogan</div><article><div class="post-header"><h1>Title {n}</h1></div><p><b>Bold{n}<br>next &lt;x&gt;<p>Se<i>con</i>d\xa0  line&nbsp;&eacute;</p><form>name <input></form><aside>side</aside>
-<div class="share">Share this</div><p>2 < 3 &amp;amp; {n}</p><script>no()</script><ul><li>one</li><li>two</li></ul></article>
+<div class="share">Share this</div><p>2 < 3 &amp;amp; {n}</p><script>no()</script><ul><li>one</li><li class="ad">an ad<p>more ad</p></li><li>two</li></ul>
+<p class="ad">Sponsored<p>thr<span class="share-count">99</span>ee<button>Go<b>!</b></button></p><h2 class="notice">Mind</h2><select><option>a</select> four<hr class="ad">five</article>
 <section class="comments"><article class="comment">Nice {n}</article></section><div class="sidebar">More</div><footer>&copy; x</footer></body>"""
-TEXT = "Title {n} Bold{n} next <x> Second line é 2 < 3 &amp; {n} one two"
+TEXT = "Title {n} Bold{n} next <x> Second line é 2 < 3 &amp; {n} one two three four five"
 
 
 class Reader(html.parser.HTMLParser):
