@@ -2,8 +2,9 @@
 
 Every context (the class of the word before; 0 at a text's start) is a restaurant, and all share one
 parent restaurant of words over a uniform base. A customer is a token, a table serves one word, and
-each table of a context sends one customer to the parent. Gibbs sweeps take customers up and seat
-them anew; predictive probabilities are averaged over the sweeps after the burn-in.
+each table of a context sends one customer to the parent. A Gibbs sweep seats all customers of a
+pair anew in one draw: of its number of tables, which is all that probabilities depend on.
+Predictive probabilities are averaged over the sweeps after the burn-in.
 
 Contexts are a fixed number of classes, so the totals of all restaurants are a small vector. The
 rest is dealt by word: all tables that serve a word, in every context and in the parent, are in
@@ -18,8 +19,10 @@ is what distinct pairs there are in a block, packed, not tokens.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +39,10 @@ from .minmax import _WORDS
 CLASSES = 1024
 #: Tokens in a block; texts in a part, in bytes.
 BLOCK_TOKENS, PART_BYTES = 2_000_000, 8 << 20
-#: Sweeps that are thrown away, sweeps that are averaged, customers a pair seats anew in a sweep.
-BURN_IN, SAMPLES, RESEATED = 2, 3, 3
+#: Sweeps that are thrown away, sweeps that are averaged.
+BURN_IN, SAMPLES = 2, 3
+#: Customers up to which table counts are drawn from a table of Stirling numbers; beyond, from contour integrals.
+STIRLING = 1024
 #: Strength of a restaurant and of the parent. Discounts come from the counts: n1 / (n1 + 2 * n2).
 THETA = 1.0
 #: The end of a text as a token: no word has a space.
@@ -142,7 +147,7 @@ def _pairs(place: np.ndarray, classes: np.ndarray, lengths: np.ndarray, train: n
 
 def merge(asked: DataFrame, parts: int) -> DataFrame:
     """``part, counts, totals, shape``: the pairs of each part that training texts hold, with their counts; token
-    totals by context; and how many pairs and words there are of count 1 and 2, words, tokens."""
+    and pair totals by context; and how many pairs and words there are of count 1 and 2, words, tokens."""
     rows = asked.repartition(parts, "part").sortWithinPartitions("part", "block")
 
     def merged(part: int, got: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +161,7 @@ def merge(asked: DataFrame, parts: int) -> DataFrame:
             return
         trained = np.unique(pair // CLASSES)
         of_word = np.searchsorted(trained, pair // CLASSES)
-        total = np.bincount(pair % CLASSES, count, CLASSES).astype(np.int64)
+        total = np.concatenate([np.bincount(pair % CLASSES, count, CLASSES), np.bincount(pair % CLASSES, minlength=CLASSES)]).astype(np.int64)
         by_word = np.bincount(of_word, count, len(trained)).astype(np.int64)
         shape = [int((count == 1).sum()), int((count == 2).sum()), int((by_word == 1).sum()), int((by_word == 2).sum()), len(trained), int(count.sum())]
         body = _pack(words[trained], of_word.astype(np.uint32), (pair % CLASSES).astype(np.uint16), count.astype(np.uint32))
@@ -188,8 +193,117 @@ def _sums(df: DataFrame, column: str, size: int) -> np.ndarray:
 # ---------------------------------------------------------------- Gibbs
 
 
+@lru_cache(2)
+def _stirling(discount: float) -> np.ndarray:
+    """Logs of the generalised Stirling numbers: row c, column t is the weight of all ways to seat c customers at t tables."""
+    out = np.full((STIRLING + 1, STIRLING + 1), -np.inf)
+    out[1, 1] = 0.0
+    t = np.arange(1, STIRLING + 1)
+    with np.errstate(divide="ignore"):
+        for c in range(1, STIRLING):
+            out[c + 1, 1:] = np.logaddexp(out[c, :-1], out[c, 1:] + np.log(np.maximum(c - discount * t, 0.0)))
+    return out
+
+
+def log_ways(customers: np.ndarray, tables: np.ndarray, discount: float) -> np.ndarray:
+    """Log of the generalised Stirling number over (customers - 1)!, by the contour integral of its generating function.
+
+    With g(x) = 1 - (1 - x)**d it is [x**(c - 1)] g**(t - 1) g' / (t - 1)! / d**t, and x = exp(-v) runs on a parabola
+    around the cut through (about) the saddle; if that leaves the strip of width 2 pi, on the circle.
+    """
+    c, t = customers.astype(float)[:, None], tables.astype(float)[:, None]
+
+    def log_value(v: np.ndarray) -> np.ndarray:
+        rest = np.log(-np.expm1(-v))
+        return (c - 1) * v + (t - 1) * np.log(-np.expm1(discount * rest)) + (discount - 1) * rest
+
+    def slope(v: np.ndarray) -> np.ndarray:
+        x, rest = np.exp(-v), -np.expm1(-v)
+        return (c - 1) - (t - 1) * discount * x * rest ** (discount - 1) / -np.expm1(discount * np.log(rest)) + (discount - 1) * x / rest
+
+    low, high = np.full(c.shape, -50.0), np.full(c.shape, 4.0)
+    for _ in range(50):
+        middle = (low + high) / 2
+        rising = slope(np.exp(middle)) > 0
+        low, high = np.where(rising, low, middle), np.where(rising, middle, high)
+    a = np.exp(high) + 1 / c
+    step = 1e-4 * a
+    bend = (slope(a + step) - slope(a - step)) / (2 * step)
+    reach = 1.5 * np.sqrt(40 / np.maximum(2 * a * a * bend + a * np.maximum(slope(a), 0), 1e-3))
+    around = 2 * a * reach > np.pi
+    at = np.arange(65) / 64
+    u = reach * at
+    v = np.where(around, a + 1j * np.pi * at, a * (1 + 1j * u) ** 2)
+    dv = np.where(around, np.pi / 64 + 0j, 2 * a * (1 + 1j * u) * reach / 64)
+    top = log_value(a)
+    parts = (np.exp(log_value(v) - top) * dv).real
+    whole = parts[:, 1:-1].sum(1) + (parts[:, 0] + parts[:, -1]) / 2
+    with np.errstate(invalid="ignore"):
+        out = top[:, 0] + np.log(whole / np.pi) - log_gamma(t[:, 0]) + (1 - t[:, 0]) * np.log(discount)
+    return np.where(t[:, 0] == c[:, 0], -log_gamma(c[:, 0]), out)
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    return np.fromiter(map(math.lgamma, x.ravel().tolist()), float, x.size).reshape(x.shape)
+
+
+def _many_tables(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Table counts of pairs with many customers, each drawn from its whole distribution (cut where it is below 1e-12)."""
+    # The mean: with w (1 - e) e**(d - 1) = c, about w (1 - e**d) / d.
+    low, high = np.full(len(customers), -700.0), np.zeros(len(customers))
+    for _ in range(60):
+        middle = (low + high) / 2
+        over = np.log(weight) + np.log(-np.expm1(middle)) + (discount - 1) * middle > np.log(customers)
+        low, high = np.where(over, middle, low), np.where(over, high, middle)
+    mean = -weight * np.expm1(discount * high) / discount
+    spread = 8 * np.sqrt(mean + 1)
+    least = np.clip(np.floor(mean - spread - 4), 1, customers).astype(np.int64)
+    most = np.clip(np.ceil(mean + spread + 14), 1, customers).astype(np.int64)
+    nodes = np.rint(least[:, None] + (most - least)[:, None] * (1 - np.cos(np.pi * np.arange(28) / 27)) / 2).astype(np.int64)
+    out = np.empty(len(customers), np.int64)
+    for at in range(0, len(customers), 64):
+        these = slice(at, at + 64)
+        ways = log_ways(np.repeat(customers[these], 28), nodes[these].ravel(), discount).reshape(-1, 28)
+        for i, w in zip(range(at, at + 64), ways, strict=False):
+            # Logs of the ways are smooth in the number of tables, but for (t - 1)!, which goes and comes back.
+            t = np.arange(least[i], most[i] + 1)
+            scale = max(1.0, (most[i] - least[i]) / 2)
+            middle = (most[i] + least[i]) / 2
+            known, place = np.unique(nodes[i], return_index=True)
+            if len(t) <= len(known):
+                log_p = w[place]
+            else:
+                fit = np.polynomial.chebyshev.chebfit((known - middle) / scale, w[place] + log_gamma(known.astype(float)), min(18, len(known) - 1))
+                log_p = np.polynomial.chebyshev.chebval((t - middle) / scale, fit) - log_gamma(t.astype(float))
+            log_p = log_p + (t - middle) * math.log(weight[i])
+            mass = np.cumsum(np.exp(log_p - log_p.max()))
+            out[i] = t[min(np.searchsorted(mass, rng.random() * mass[-1], "right"), len(t) - 1)]
+    return out
+
+
+def draw_tables(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """The number of tables of each pair, all its customers seated anew: t with probability in proportion to
+    weight**t times the generalised Stirling number of its customers and t. ``weight`` is that of a new table."""
+    out = np.minimum(customers, 1).astype(np.int64)
+    many = np.flatnonzero(customers > STIRLING)
+    if len(many):
+        out[many] = _many_tables(customers[many], weight[many], discount, rng)
+    order = np.argsort(customers, kind="stable")
+    values, starts = np.unique(customers[order], return_index=True)
+    for c, lo, hi in zip(values.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+        if not 2 <= c <= STIRLING:
+            continue
+        ways, step = _stirling(discount)[c, 1 : c + 1], max(1, 500_000 // c)
+        for at in range(lo, hi, step):
+            who = order[at : min(at + step, hi)]
+            log_p = ways + np.log(weight[who])[:, None] * np.arange(1, c + 1)
+            mass = np.cumsum(np.exp(log_p - log_p.max(1, keepdims=True)), 1)
+            out[who] = 1 + np.minimum((mass < (rng.random(len(who)) * mass[:, -1])[:, None]).sum(1), c - 1)
+    return out
+
+
 class Seating:
-    """Tables of many independent (restaurant, dish) pairs, flat: the sizes of a pair's tables follow one another."""
+    """Tables of many independent (restaurant, dish) pairs, flat, customer by customer: what ``draw_tables`` is tested against."""
 
     def __init__(self, customers: np.ndarray, tables: np.ndarray | None = None, sizes: np.ndarray | None = None) -> None:
         self.customers = customers.astype(np.int64)
@@ -287,37 +401,26 @@ def sweep(state: DataFrame, number: int, shape: dict, totals: np.ndarray, first:
         rng = np.random.default_rng([seed, number, part])
         words, word, context, count = _unpack(counts)
         many = np.flatnonzero(count > 1)
+        alone = np.bincount(word, minlength=len(words))
         if first:
-            children = Seating(count[many])
-            up = np.bincount(word, minlength=len(words))
-            parents = Seating(up)
-            sampled: list[np.ndarray] = []
+            up, up_tables = alone, np.ones(len(words), np.int64)
             summed = np.zeros(len(many), np.uint32)
+            sampled: list[np.ndarray] = []
         else:
-            tables, sizes, up_tables, up_sizes, summed, *sampled = _unpack(seating)
-            children = Seating(count[many], tables, sizes)
-            up = np.bincount(word, minlength=len(words)) + np.bincount(word[many], tables.astype(np.int64) - 1, len(words)).astype(np.int64)
-            parents = Seating(up, up_tables, up_sizes)
-        known = parent_probability(parents.customers, parents.tables, totals[CLASSES], totals[CLASSES + 1], shape["parent"], shape["words"])
+            tables, up_tables, summed, *sampled = _unpack(seating)
+            up = alone + np.bincount(word[many], tables.astype(np.int64) - 1, len(words)).astype(np.int64)
+        known = parent_probability(up, up_tables, totals[CLASSES], totals[CLASSES + 1], shape["parent"], shape["words"])
         weight = (THETA + shape["child"] * totals[context[many]]) * known[word[many]]
-        every = np.arange(len(many))
-        for turn in range(RESEATED):
-            who = every if turn < 2 else every[count[many] > turn]
-            if len(who):
-                children.reseat(who, weight[who], shape["child"], rng)
-        up = np.bincount(word, minlength=len(words)) + np.bincount(word[many], children.tables - 1, len(words)).astype(np.int64)
+        tables = draw_tables(count[many].astype(np.int64), weight, shape["child"], rng)
+        up = alone + np.bincount(word[many], tables - 1, len(words)).astype(np.int64)
         up_weight = np.full(len(words), (THETA + shape["parent"] * totals[CLASSES + 1]) / (shape["words"] + 1))
-        parents.resize(up, up_weight, shape["parent"], rng)
-        for _ in range(RESEATED):
-            who = np.flatnonzero(parents.customers > 1)
-            if len(who):
-                parents.reseat(who, up_weight[who], shape["parent"], rng)
+        up_tables = draw_tables(up, up_weight, shape["parent"], rng)
         if keep:
-            summed = summed + children.tables.astype(np.uint32)
-            sampled += [parents.customers.astype(np.uint32), parents.tables.astype(np.uint32)]
-        by_context = np.bincount(context, minlength=CLASSES) + np.bincount(context[many], children.tables - 1, CLASSES).astype(np.int64)
-        body = _pack(children.tables.astype(np.uint32), children.sizes.astype(np.uint32), parents.tables.astype(np.uint32), parents.sizes.astype(np.uint32), summed, *sampled)
-        return part, counts, body, [*by_context.tolist(), int(parents.customers.sum()), int(parents.tables.sum())]
+            summed = summed + tables.astype(np.uint32)
+            sampled += [up.astype(np.uint32), up_tables.astype(np.uint32)]
+        by_context = np.bincount(context, minlength=CLASSES) + np.bincount(context[many], tables - 1, CLASSES).astype(np.int64)
+        body = _pack(tables.astype(np.uint32), up_tables.astype(np.uint32), summed, *sampled)
+        return part, counts, body, [*by_context.tolist(), int(up.sum()), int(up_tables.sum())]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -363,7 +466,7 @@ def answers(asked: DataFrame, state: DataFrame, parts: int, shape: dict, tokens:
 
     def load(counts: bytes, seating: bytes) -> list:
         words, word, context, count = _unpack(counts)
-        _, _, _, _, summed, *ups = _unpack(seating)
+        _, _, summed, *ups = _unpack(seating)
         tables = np.ones(len(count))
         tables[count > 1] = summed / len(sampled)
         gathered = count - shape["child"] * tables
@@ -431,11 +534,11 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", see
     blocks = store(read_blocks(rows, parts), "blocks", packed=True)
     asked = blocks.where(F.col("part") < LAST).select("part", "block", "asked")
     counts = store(merge(asked, parts), "counts", packed=True)
-    sums = _sums(counts, "totals", CLASSES + 6)
-    tokens, (n1, n2, w1, w2, words, all_tokens) = sums[:CLASSES], map(int, sums[CLASSES:])
+    sums = _sums(counts, "totals", 2 * CLASSES + 6)
+    tokens, pairs, (n1, n2, w1, w2, words, all_tokens) = sums[:CLASSES], sums[CLASSES : 2 * CLASSES], map(int, sums[2 * CLASSES :])
     shape = {"child": n1 / (n1 + 2 * n2) if n2 else 0.5, "parent": w1 / (w1 + 2 * w2) if w2 else 0.5, "words": words, "tokens": all_tokens}
     # To start with, each pair has one table in its context, each word one in the parent.
-    totals = np.zeros(CLASSES + 2, np.int64)
+    totals = np.array([*pairs, pairs.sum(), words], np.int64)
     state = counts.select("part", "counts", F.lit(None).cast("binary").alias("seating"))
     sampled = []
     for number in range(BURN_IN + SAMPLES):

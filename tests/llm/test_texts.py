@@ -272,6 +272,42 @@ def test_gibbs_reaches_the_exact_posterior():
         assert abs(seen[p] / n - m / sum(mass.values())) < 0.015
 
 
+@pytest.mark.parametrize("discount", [0.2, 0.75])
+def test_table_counts_of_one_draw(discount):
+    """All customers of a pair are seated anew: exact by the Stirling numbers, whatever number of customers."""
+    ways, rng = hpylm._stirling(discount), np.random.default_rng(3)
+    for customers in (30, 1024):
+        t = np.unique(np.linspace(1, customers, 40).astype(int))
+        got = hpylm.log_ways(np.full(len(t), customers), t, discount) + math.lgamma(customers)
+        assert np.abs(got - ways[customers, t]).max() < 1e-4
+    for customers, weight in ((2, 0.4), (40, 3.0), (1000, 0.3), (1000, 60.0), (1000, 4000.0)):
+        log_p = ways[customers, 1 : customers + 1] + np.log(weight) * np.arange(1, customers + 1)
+        p = np.exp(log_p - log_p.max())
+        mean = p @ np.arange(1, customers + 1) / p.sum()
+        deviation = np.sqrt(p @ (np.arange(1, customers + 1) - mean) ** 2 / p.sum())
+        for draw in (hpylm.draw_tables, hpylm._many_tables) if customers > 100 else (hpylm.draw_tables,):
+            seen = draw(np.full(2000, customers), np.full(2000, weight), discount, rng)
+            assert abs(seen.mean() - mean) < 5 * deviation / 2000**0.5 + 1e-9 and (seen >= 1).all() and (seen <= customers).all()
+
+
+def test_frequent_pairs_get_their_tables(spark):
+    """One sweep takes pairs of thousands of customers from a table each to their posterior, and production has five."""
+    words, count, discount = 400, 5000, 0.5
+    shape = {"child": discount, "parent": 0.5, "words": words}
+    body = hpylm._pack(np.arange(words, dtype=np.uint64), np.arange(words, dtype=np.uint32), np.zeros(words, np.uint16), np.full(words, count, np.uint32))
+    totals = np.zeros(hpylm.CLASSES + 2, np.int64)
+    totals[[0, -2, -1]] = 1_000_000, 10_000, 400
+    weight = (hpylm.THETA + discount * totals[0]) * hpylm.parent_probability(np.ones(1), np.ones(1), 10_000, 400, 0.5, words)[0]
+    log_p = np.full(count + 1, -np.inf)  # by the recursion of the Stirling numbers, weights in it
+    log_p[1] = 0.0
+    for c in range(1, count):
+        log_p[1:] = np.logaddexp(log_p[:-1] + math.log(weight), log_p[1:] + np.log(np.maximum(c - discount * np.arange(1, count + 1), 1e-300)))
+    p = np.exp(log_p - log_p.max())
+    mean = p @ np.arange(count + 1) / p.sum()
+    row = hpylm.sweep(spark.createDataFrame([(0, bytearray(body), None)], "part int, counts binary, seating binary"), 0, shape, totals, True, 1).first()
+    assert mean > 2 * 16 and abs(row.totals[0] / words / mean - 1) < 0.05
+
+
 def test_resizing_keeps_the_books():
     rng = np.random.default_rng(2)
     start = rng.integers(1, 6, 500)
