@@ -46,7 +46,8 @@ FURNITURE = frozenset("head nav footer aside form menu dialog button select opti
 #: Elements without content, and blocks that end where the next one begins.
 EMPTY = frozenset("area base br col embed hr img input link meta source track wbr".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6".split())
-#: Words in class, id or role that mark an element as page furniture.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words that mark an element as page furniture if one is a whole class, id, role or itemprop of it.
 FURNITURE_WORDS = frozenset(
     "nav navbar navigation menu masthead topbar footer sidebar aside rail ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion "
     "cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe signup login form search share sharing social related recommended "
@@ -65,7 +66,22 @@ def blocks_of(page: str) -> Iterator[tuple[str, tuple[str, ...], str, bool, bool
     around it is boilerplate by name, ``main`` that it is inside an article or main element. Unclosed and
     unmatched tags are taken as browsers do in the common cases: an end tag closes down to its start
     tag if there is one, inline tags never nest.
+
+    A word in class, id, role or itemprop marks an element only as a whole token (of an inline element also
+    as its head, as in ``share-count``), never an html, body, main or article element, a heading by its id,
+    or what is in code, and never an element around an article that no such word names.
     """
+    around: dict[bool, set[int]] = {False: set(), True: set()}  # elements by word around articles that no word names, or one does
+    events = list(_events(page, frozenset(), around))
+    exempt = (around[False] or around[True]) - {-1}
+    yield from _events(page, frozenset(exempt), {False: set(), True: set()}) if exempt else events
+
+
+def _events(page: str, exempt: frozenset[int], around: dict[bool, set[int]]) -> Iterator[tuple[str, tuple[str, ...], str, bool, bool]]:
+    """``blocks_of``, where words don't mark the elements at the offsets ``exempt``; adds to ``around`` the
+    offsets of the marked elements around articles (-1 if there is an article), by whether a word names the article."""
+    code = False
+    marks: list[int] = [-1]  # for each element in the stack, its offset if a word marks it, else -1
     stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
     path: tuple[str, ...] = ()
     parts: list[str] = []
@@ -89,7 +105,13 @@ def blocks_of(page: str) -> Iterator[tuple[str, tuple[str, ...], str, bool, bool
             continue
         attributes = {k.lower(): (x or y or z).lower() for k, x, y, z in _ATTRIBUTE.findall(m[4])} if len(m[4]) > 4 and not m[2] else {}
         words = {w for v in attributes.values() for w in _PIECES.findall(v)}
-        marked = bool(words & FURNITURE_WORDS) and name not in ("html", "body", "main")
+        if name in ("pre", "code"):
+            code = not m[2]
+        tokens = {w for k, v in attributes.items() if k != "id" or name not in HEADINGS for w in v.split()}
+        if name in INLINE:
+            tokens |= {w.split("-")[0].split("_")[0] for w in tokens}
+        named = bool(tokens & FURNITURE_WORDS)
+        marked = named and not code and name not in ("html", "body", "main", "article") and m.start() not in exempt
         empty = m[4].endswith("/") or name in EMPTY
         if name in INLINE and name not in FURNITURE:
             if mute and m[2] and mute[0] == name:
@@ -110,15 +132,20 @@ def blocks_of(page: str) -> Iterator[tuple[str, tuple[str, ...], str, bool, bool
             if any(x[0] == name for x in stack):
                 while stack.pop()[0] != name:
                     pass
+                del marks[len(stack) :]
                 path = tuple(x[1] for x in stack[1:])
             continue
         _, _, furniture, main = stack[-1]
         core = name in ("article", "main") or bool(words & MAIN_WORDS)
-        bad = name in FURNITURE or marked or (not main and name not in ("html", "body") and (name == "header" or bool(words & HEADER_WORDS)))
+        head = bool(tokens & HEADER_WORDS) and name not in ("html", "body", "main", "article") and m.start() not in exempt and not main
+        bad = name in FURNITURE or marked or head or (not main and name == "header")
         if name in STRUCTURE or (bad and name not in FURNITURE and name not in PARAGRAPHS):
             value = name + "".join(f"[{k}={attributes[k]}]" for k in ("class", "id") if k in attributes)
             yield "tag", path, value, furniture or bad, main or core
+            if core:
+                around[named].update(marks)
             if not empty:
+                marks.append(m.start() if (marked or head) and name not in FURNITURE else -1)
                 stack.append((name, value, furniture or bad, main or core))
                 path = (*path, value)
         elif bad and not empty and not mute:

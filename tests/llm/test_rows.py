@@ -199,6 +199,25 @@ def test_main_text():
     assert pages.main_text("", frozenset()) == "" and pages.main_text("<p>a<script>x", frozenset()) == "a"
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<body><article class="post has-sidebar"><p>one</p></article></body>', "one"),
+        ('<div class="content-with-sidebar"><article><p>one</p></article></div>', "one"),
+        ('<div id="no-sidebar"><p>one</p></div>', "one"),
+        ('<div class="search"><div><article class="post"><p>one</p></article></div></div><div class="ad">ad</div>', "one"),
+        ('<div class="search"><article class="notice"><p>one</p></article></div>', "one"),
+        ('<article><section id="related-work"><h2 id="search">Search</h2><p>one</p></section></article>', "Search one"),
+        ('<article><pre><code>x <span class="hljs-comment"># why</span> <span class="comment">y</span></code></pre><span class="comment">z</span></article>', "x # why y"),
+        ('<div class="has-header"><article>one</article></div>', "one"),
+        ('<article>one</article><section class="comments"><article class="comment">two</article></section>', "one"),
+        ('<article>one<div class="wide share">two</div></article>', "one"),
+    ],
+)
+def test_words_mark_whole_tokens_only(page, text):
+    assert pages.main_text(page, frozenset()) == text
+
+
 def test_templates_are_deduced(spark):
     rows = [(i, f"http://www.a.org/{i}", f"<html><body><div id=z1>Follow us</div><div id=z2>Story {i}</div><div id=z1>All rights kept</div><p>Tail {i}</p></body></html>") for i in range(12)]
     rows += [(20 + i, f"http://b.org/{i}", f"<html><body><div id=z1>Follow us</div><div>Once {i}</div></body></html>") for i in range(3)]
