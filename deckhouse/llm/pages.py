@@ -2,10 +2,10 @@
 
 Tokens of a page are its structural start tags and its text blocks, each told apart by its path of
 structural elements. Tokens of one host with the same occurrence vector over the host's pages form
-an equivalence class. A class is valid if it occurs on enough pages, is large enough, and nests: it
-holds the element around each of its texts, and its tags always follow the same tag. Valid classes
-are the host's template: their texts are page furniture, and what remains between their tags are
-slots. The slots under boilerplate elements are dropped, those of the article make the text.
+an equivalence class. A class is valid if it occurs on enough pages and is large enough. Of a valid
+class, the texts that keep their place (after the same sibling tag, or first in the same element) are
+the host's template: they are page furniture, and what remains between its tags are slots. What stands
+inside another element of the page, such as an article, changes no place. The slots under boilerplate elements are dropped, those of the article make the text.
 
 Occurrence vectors are never collected: a vector is represented by its support and by two sums of
 31-bit hashes of (page, count), which partial aggregation adds up before any shuffle. So a host
@@ -28,6 +28,9 @@ from .common import slices, store, table
 
 #: A template class must occur on so many pages of a host and hold so many tokens.
 LEAST_PAGES, LEAST_TOKENS = 8, 3
+#: On a host of fewer pages (two at least) a class must be on all of them, and its texts outside articles, counted
+#: once for each page, must be so many: few pages say as much by many texts as many pages by one.
+LEAST_SIGHTINGS = 8
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|textarea|svg|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -181,11 +184,12 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
 
 
-OCCURRENCES = "host string, token long, before long, tag boolean, half1 long, half2 long"
+OCCURRENCES = "host string, token long, before long, tag boolean, main boolean, half1 long, half2 long"
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """One row for each token of each page: the token, the tag before it, and the page's share of its occurrence vector."""
+    """One row for each token of each page: the token, the tag before it among its siblings (or around it), whether it is a tag,
+    whether it is in an article, and the page's share of its occurrence vector."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
@@ -195,21 +199,23 @@ def occurrences(pages: DataFrame) -> DataFrame:
                     continue
                 count: Counter[int] = Counter()
                 before: dict[int, int] = {}
-                tags = set()
-                last = 0
-                for kind, path, value, _, _ in blocks_of(page):
+                tags, mains = set(), set()
+                last: dict[tuple[str, ...], int] = {}
+                for kind, path, value, _, main in blocks_of(page):
                     token = token_hash(kind, path, value)
                     count[token] += 1
-                    before.setdefault(token, last)
+                    before.setdefault(token, last.get(path, 0))
+                    if main:
+                        mains.add(token)
                     if kind == "tag":
                         tags.add(token)
-                        last = token
+                        last[path] = last[(*path, value)] = token
                 seed = xxhash.xxh64_intdigest(f"{url}\x1f{page}")
                 for token, n in count.items():
                     h = xxhash.xxh64_intdigest(n.to_bytes(8, "little"), seed)
-                    out.append((host, token, before[token], token in tags, h & 0x7FFFFFFF, h >> 33))
+                    out.append((host, token, before[token], token in tags, token in mains, h & 0x7FFFFFFF, h >> 33))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()], strict=True)], names=["host", "token", "before", "tag", "half1", "half2"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64()], strict=True)], names=["host", "token", "before", "tag", "main", "half1", "half2"])
 
     return pages.mapInArrow(run, OCCURRENCES)
 
@@ -221,13 +227,18 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
     is frequent enough; a template is as large as the host's page furniture, not as its pages.
     """
     tokens = occurrences(pages).groupBy("host", "token").agg(
-        F.count("*").alias("support"), F.sum("half1").alias("half1"), F.sum("half2").alias("half2"), F.max("tag").alias("tag"), F.min("before").alias("low"), F.max("before").alias("high")
+        F.count("*").alias("support"), F.sum("half1").alias("half1"), F.sum("half2").alias("half2"), F.max("tag").alias("tag"), F.max("main").alias("main"), F.min("before").alias("low"), F.max("before").alias("high")
     )
-    frequent = tokens.where(F.col("support") >= LEAST_PAGES).withColumn("ordered", F.col("low") == F.col("high"))
+    frequent = tokens.where("support >= 2").withColumn("ordered", F.col("low") == F.col("high"))
     vector = ["host", "support", "half1", "half2"]
-    classes = frequent.groupBy(*vector).agg(F.count("*").alias("size"), F.count_if("tag").alias("tags"), F.min(F.when(F.col("tag"), F.col("ordered")).otherwise(True)).alias("ordered"), F.collect_list(F.when(~F.col("tag") & F.col("ordered"), F.col("token"))).alias("texts"))
-    valid = classes.where((F.col("size") >= LEAST_TOKENS) & (F.col("tags") >= 2) & F.col("ordered") & (F.size("texts") > 0))
-    return valid.groupBy("host").agg(F.array_sort(F.flatten(F.collect_list("texts"))).alias("texts"))
+    small = F.col("support") < LEAST_PAGES
+    classes = frequent.groupBy(*vector).agg(F.count("*").alias("size"), F.count_if("tag").alias("tags"), F.collect_list(F.when(~F.col("tag") & F.col("ordered") & ~(small & F.col("main")), F.col("token"))).alias("texts"))
+    enough = (F.col("size") >= LEAST_TOKENS) & (F.col("tags") >= 2) & (~small | (F.col("support") * F.size("texts") >= LEAST_SIGHTINGS))
+    found = F.collect_list(F.when(enough & (F.size("texts") > 0), F.struct("support", "texts")))
+    # The most frequent token of a small host is on all of its pages.
+    hosts = classes.groupBy("host").agg(F.max("support").alias("pages"), found.alias("found"))
+    whole = F.filter("found", lambda c: (c["support"] >= LEAST_PAGES) | (c["support"] == F.col("pages")))
+    return hosts.select("host", F.array_sort(F.flatten(F.transform(whole, lambda c: c["texts"]))).alias("texts")).where(F.size("texts") > 0)
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

@@ -232,6 +232,27 @@ def test_templates_are_deduced(spark):
     assert pages.extract(df.limit(0)).count() == 0
 
 
+def test_templates_of_ordinary_hosts(spark):
+    """Articles may hold what they like, and hosts may be small."""
+    inner = ["<p>Story {}</p>", "<ul><li>Story {}</li></ul>", "<section>Story {}</section>", "<table><tr><td>Story {}</td></tr></table>"]
+
+    def page(i, texts):
+        marks = [f"<div id=z{k}>Text {k}</div>" for k in range(texts)]
+        return f"<html><body><div id=top>{marks[0]}</div><div id=story>{inner[i % 4].format(i)}</div><div id=end>{''.join(marks[1:])}</div></body></html>"
+
+    rows = [(i, f"http://large.org/{i}", page(i, 4)) for i in range(12)]
+    rows += [(100 + i, f"http://two.org/{i}", page(i, 4)) for i in range(2)]
+    rows += [(200 + i, f"http://five.org/{i}", page(i, 2)) for i in range(5)]
+    # One story at two places of a host of many pages is no template of it, nor is what two articles of a small host share.
+    rows += [(300 + i, f"http://copies.org/{i}", page(max(1, i), 1).replace("Story", f"<div id=a{max(1, i)}>A<div>B</div><div>C</div><div>D</div></div>Story")) for i in range(6)]
+    shared = "".join(f"<p>Shared {k}</p>" for k in range(6))
+    rows += [(400 + i, f"http://versions.org/{i}", f"<html><body><article>{shared}<p>Version {i}</p></article></body></html>") for i in range(2)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i}" for i in range(12))
+    assert all(got[100 + i] == f"Story {i}" for i in range(2)) and all(got[200 + i] == f"Story {i}" for i in range(5))
+    assert all("A B C D" in got[300 + i] for i in range(6)) and all("Shared 5 Version" in got[400 + i] for i in range(2))
+
+
 def test_pages_of_the_tables(spark):
     source = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r.page_id: r.text for r in pages.extract(source).collect()}
