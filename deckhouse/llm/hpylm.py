@@ -1,16 +1,16 @@
 """Language-model scores from a hierarchical Pitman-Yor model whose seating is sampled by Gibbs.
 
-Every context (the class of the word before; 0 at a text's start) is a restaurant, and all share one
+Every context (the word before; the end of a text at the start of the next) is a restaurant, and all share one
 parent restaurant of words over a uniform base. A customer is a token, a table serves one word, and
 each table of a context sends one customer to the parent. A Gibbs sweep seats all customers of a
 pair anew in one draw: of its number of tables, which is all that probabilities depend on.
 Predictive probabilities are averaged over the sweeps after the burn-in.
 
-Contexts are a fixed number of classes, so the totals of all restaurants are a small vector. The
-rest is dealt by word: all tables that serve a word, in every context and in the parent, are in
-one part, of at most CLASSES entries a word, so no frequent word or context makes a part large,
-and a sweep exchanges nothing but the totals (which are those of the sweep before: sweeps run in
-parallel over the parts).
+Pairs are dealt by word: all tables that serve a word, in every context and in the parent, are in
+one part, of at most an entry for each context a word, so no frequent word or context makes a part
+large. The totals of contexts are a table of their own, dealt the same way: after a sweep each part
+tells the parts of its contexts how many tables it has there and gets the sums back. They and the
+parent's totals are those of the sweep before, so sweeps run in parallel over the parts.
 
 Texts are read once, into blocks. A block asks each part about its distinct (word, context) pairs;
 counts are the sums of what blocks ask with, and answers go back to the block. So what is shuffled
@@ -35,8 +35,6 @@ from pyspark.sql import functions as F
 from .common import low_words, slices, store, table, unstore, utf8
 from .minmax import _WORDS
 
-#: Context restaurants: classes of the word before, and 0 for the start of a text.
-CLASSES = 1024
 #: Tokens in a block; texts in a part, in bytes.
 BLOCK_TOKENS, PART_BYTES = 2_000_000, 8 << 20
 #: Sweeps that are thrown away, sweeps that are averaged.
@@ -45,7 +43,7 @@ BURN_IN, SAMPLES = 2, 3
 STIRLING = 1024
 #: Strength of a restaurant and of the parent. Discounts come from the counts: n1 / (n1 + 2 * n2).
 THETA = 1.0
-#: The end of a text as a token: no word has a space.
+#: The end of a text as a token, and the context of its first word: no word has a space.
 END = xxhash.xxh64_intdigest(b" ")
 LAST = (1 << 31) - 1
 
@@ -71,8 +69,12 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def classes_of(words: np.ndarray) -> np.ndarray:
-    return (1 + (words >> np.uint64(33)) % np.uint64(CLASSES - 1)).astype(np.int64)
+def _parts(words: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
+    """``part, from, to`` of each part that sorted words are in."""
+    part = ((words >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    edges = np.flatnonzero(np.diff(part, prepend=-1))
+    for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(words)], strict=True):
+        yield int(part[lo]), lo, hi
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -86,22 +88,21 @@ def read_blocks(docs: DataFrame, parts: int) -> DataFrame:
     """``part, block, asked, texts``: for each block a row of its texts (part LAST) and a row for each part.
 
     ``asked``: distinct words, pairs of each, contexts of the pairs, training count of each pair.
-    ``texts``: ids, lengths, training flags, the place of each token's word, the class of each word.
+    ``texts``: ids, lengths, training flags, the place of each token's word.
     """
 
     def block_rows(block: int, ids: list, texts: list[np.ndarray]) -> Iterator[tuple]:
         lengths = np.array(list(map(len, texts)), np.int64)
         train = np.array([not held_out(i) for i in ids])
         words, place = np.unique(np.concatenate(texts), return_inverse=True)
-        pair, count = _pairs(place, classes_of(words), lengths, np.repeat(train, lengths))
-        word = pair // CLASSES
+        end = int(np.searchsorted(words, np.uint64(END)))
+        pair, count = _pairs(place, end, len(words), lengths, np.repeat(train, lengths))
+        word, context = np.divmod(pair, len(words))
         named = np.array([i is not None for i in ids])
-        yield LAST, block, None, _pack(np.array([i or 0 for i in ids], np.int64), named.astype(np.uint8), lengths, train.astype(np.uint8), place.astype(np.uint32), classes_of(words).astype(np.uint16))
-        part = (words >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-        edges = np.flatnonzero(np.diff(part, prepend=part[0] - np.uint64(1) if part[0] else np.uint64(1 << 40)))
-        for lo, hi in zip(edges, [*edges[1:], len(words)], strict=True):
+        yield LAST, block, None, _pack(np.array([i or 0 for i in ids], np.int64), named.astype(np.uint8), lengths, train.astype(np.uint8), place.astype(np.uint32), np.array([end, len(words)]))
+        for part, lo, hi in _parts(words, parts):
             a, b = np.searchsorted(word, [lo, hi])
-            yield int(part[lo]), block, _pack(words[lo:hi], np.bincount(word[a:b] - lo, minlength=hi - lo).astype(np.uint16), (pair[a:b] % CLASSES).astype(np.uint16), count[a:b].astype(np.uint32)), None
+            yield part, block, _pack(words[lo:hi], np.bincount(word[a:b] - lo, minlength=hi - lo).astype(np.uint32), words[context[a:b]], count[a:b].astype(np.uint32)), None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -129,16 +130,16 @@ def read_blocks(docs: DataFrame, parts: int) -> DataFrame:
     return docs.mapInArrow(run, "part int, block long, asked binary, texts binary")
 
 
-def _codes(place: np.ndarray, classes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """word place * CLASSES + context, for every token."""
+def _codes(place: np.ndarray, end: int, words: int, lengths: np.ndarray) -> np.ndarray:
+    """word place * words + place of the word before, for every token."""
     context = np.empty(len(place), np.int64)
-    context[1:] = classes[place[:-1]]
-    context[np.cumsum(lengths) - lengths] = 0
-    return place.astype(np.int64) * CLASSES + context
+    context[1:] = place[:-1]
+    context[np.cumsum(lengths) - lengths] = end
+    return place.astype(np.int64) * words + context
 
 
-def _pairs(place: np.ndarray, classes: np.ndarray, lengths: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    pair, at = np.unique(_codes(place, classes, lengths), return_inverse=True)
+def _pairs(place: np.ndarray, end: int, words: int, lengths: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    pair, at = np.unique(_codes(place, end, words, lengths), return_inverse=True)
     return pair, np.bincount(at[train], minlength=len(pair))
 
 
@@ -146,26 +147,29 @@ def _pairs(place: np.ndarray, classes: np.ndarray, lengths: np.ndarray, train: n
 
 
 def merge(asked: DataFrame, parts: int) -> DataFrame:
-    """``part, counts, totals, shape``: the pairs of each part that training texts hold, with their counts; token
-    and pair totals by context; and how many pairs and words there are of count 1 and 2, words, tokens."""
+    """``part, counts, shares, totals``: the pairs of each part that training texts hold, with their counts; its contexts, their
+    tokens and pairs; and how many pairs and words there are of count 1 and 2, words, tokens, pairs."""
     rows = asked.repartition(parts, "part").sortWithinPartitions("part", "block")
 
     def merged(part: int, got: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         words, at = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
         start = np.cumsum([0, *(len(g[0]) for g in got)])
-        code = np.concatenate([np.repeat(at[s : s + len(g[0])], g[1]) * CLASSES + g[2] for s, g in zip(start, got, strict=False)])
+        context, to = np.unique(np.concatenate([g[2] for g in got]), return_inverse=True)
+        code = np.concatenate([np.repeat(at[s : s + len(g[0])], g[1]) for s, g in zip(start, got, strict=False)]) * len(context) + to
         pair, back = np.unique(code, return_inverse=True)
         count = np.bincount(back, np.concatenate([g[3] for g in got]), len(pair)).astype(np.int64)
         pair, count = pair[count > 0], count[count > 0]
         if not len(pair):
             return
-        trained = np.unique(pair // CLASSES)
-        of_word = np.searchsorted(trained, pair // CLASSES)
-        total = np.concatenate([np.bincount(pair % CLASSES, count, CLASSES), np.bincount(pair % CLASSES, minlength=CLASSES)]).astype(np.int64)
+        word, to = np.divmod(pair, len(context))
+        trained, of_word = np.unique(word, return_inverse=True)
+        used, to = np.unique(to, return_inverse=True)
+        context = context[used]
         by_word = np.bincount(of_word, count, len(trained)).astype(np.int64)
-        shape = [int((count == 1).sum()), int((count == 2).sum()), int((by_word == 1).sum()), int((by_word == 2).sum()), len(trained), int(count.sum())]
-        body = _pack(words[trained], of_word.astype(np.uint32), (pair % CLASSES).astype(np.uint16), count.astype(np.uint32))
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([body], pa.binary()), pa.array([total.tolist() + shape], pa.list_(pa.int64()))], names=["part", "counts", "totals"])
+        shape = [int((count == 1).sum()), int((count == 2).sum()), int((by_word == 1).sum()), int((by_word == 2).sum()), len(trained), int(count.sum()), len(pair)]
+        body = _pack(words[trained], of_word.astype(np.uint32), to.astype(np.uint32), count.astype(np.uint32), context)
+        shares = _pack(context, np.bincount(to, count, len(context)).astype(np.uint32), np.bincount(to, minlength=len(context)).astype(np.uint32))
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([body], pa.binary()), pa.array([shares], pa.binary()), pa.array([shape], pa.list_(pa.int64()))], names=["part", "counts", "shares", "totals"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, got = None, []
@@ -179,7 +183,7 @@ def merge(asked: DataFrame, parts: int) -> DataFrame:
         if got:
             yield from merged(now, got)
 
-    return rows.select("part", "asked").mapInArrow(run, "part int, counts binary, totals array<long>")
+    return rows.select("part", "asked").mapInArrow(run, "part int, counts binary, shares binary, totals array<long>")
 
 
 def _sums(df: DataFrame, column: str, size: int) -> np.ndarray:
@@ -190,6 +194,63 @@ def _sums(df: DataFrame, column: str, size: int) -> np.ndarray:
     return out
 
 
+def _by_key(batches: Iterable[pa.RecordBatch], columns: int) -> Iterator[tuple[int, list[tuple]]]:
+    """Runs of rows with one first column, the others as tuples."""
+    now, got = None, []
+    for batch in batches:
+        for key, *row in zip(*(batch.column(i).to_pylist() for i in range(columns)), strict=True):
+            if key != now and got:
+                yield now, got
+                got = []
+            now = key
+            got.append(tuple(row))
+    if got:
+        yield now, got
+
+
+def _dealt(state: DataFrame, parts: int) -> DataFrame:
+    """``home, part, share``: the shares of each part's contexts, at the parts of the contexts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, got in _by_key(batches, 2):
+            context, *values = _unpack(got[0][0])
+            rows = [(home, part, _pack(context[lo:hi], *(v[lo:hi] for v in values))) for home, lo, hi in _parts(context, parts)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int32(), pa.binary()], strict=True)], names=["home", "part", "share"])
+
+    dealt = state.select("part", "shares").mapInArrow(run, "home int, part int, share binary")
+    return dealt.repartition(parts, "home").sortWithinPartitions("home", "part")
+
+
+def _summed(got: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    context, at = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+    return context, at, [np.bincount(at, np.concatenate([g[i] for g in got]), len(context)).astype(np.int64) for i in range(1, len(got[0]))]
+
+
+def context_tables(state: DataFrame, parts: int) -> DataFrame:
+    """``part, home, tables``: of each part's contexts, in order of home, the tables that all parts have there (the last of the shares)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for home, rows in _by_key(batches, 3):
+            got = [_unpack(share) for _, share in rows]
+            _, at, sums = _summed(got)
+            edges = np.cumsum([0, *(len(g[0]) for g in got)])
+            replies = [_pack(sums[-1][at[lo:hi]]) for lo, hi in zip(edges, edges[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array([part for part, _ in rows], pa.int32()), pa.array([home] * len(rows), pa.int32()), pa.array(replies, pa.binary())], names=["part", "home", "tables"])
+
+    return _dealt(state, parts).mapInArrow(run, "part int, home int, tables binary")
+
+
+def contexts(state: DataFrame, parts: int) -> DataFrame:
+    """``part, contexts``: the contexts of each part as their home with the sums of all their shares."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for home, rows in _by_key(batches, 3):
+            context, _, sums = _summed([_unpack(share) for _, share in rows])
+            yield pa.RecordBatch.from_arrays([pa.array([home], pa.int32()), pa.array([_pack(context, *sums)], pa.binary())], names=["part", "contexts"])
+
+    return _dealt(state, parts).mapInArrow(run, "part int, contexts binary")
+
+
 # ---------------------------------------------------------------- Gibbs
 
 
@@ -393,95 +454,109 @@ def parent_probability(customers: np.ndarray, tables: np.ndarray, all_customers:
     return (seated + (THETA + discount * all_tables) / (words + 1)) / (THETA + all_customers)
 
 
-def sweep(state: DataFrame, number: int, shape: dict, totals: np.ndarray, first: bool, seed: int) -> DataFrame:
-    """One Gibbs sweep over every part: ``part, counts, seating, totals`` (tables by context, parent customers, parent tables)."""
-    keep = number >= BURN_IN
-
-    def swept(part: int, counts: bytes, seating: bytes | None) -> tuple[int, bytes, bytes, list[int]]:
-        rng = np.random.default_rng([seed, number, part])
-        words, word, context, count = _unpack(counts)
-        many = np.flatnonzero(count > 1)
-        alone = np.bincount(word, minlength=len(words))
-        if first:
-            up, up_tables = alone, np.ones(len(words), np.int64)
-            summed = np.zeros(len(many), np.uint32)
-            sampled: list[np.ndarray] = []
-        else:
-            tables, up_tables, summed, *sampled = _unpack(seating)
-            up = alone + np.bincount(word[many], tables.astype(np.int64) - 1, len(words)).astype(np.int64)
-        known = parent_probability(up, up_tables, totals[CLASSES], totals[CLASSES + 1], shape["parent"], shape["words"])
-        weight = (THETA + shape["child"] * totals[context[many]]) * known[word[many]]
-        tables = draw_tables(count[many].astype(np.int64), weight, shape["child"], rng)
-        up = alone + np.bincount(word[many], tables - 1, len(words)).astype(np.int64)
-        up_weight = np.full(len(words), (THETA + shape["parent"] * totals[CLASSES + 1]) / (shape["words"] + 1))
-        up_tables = draw_tables(up, up_weight, shape["parent"], rng)
-        if keep:
-            summed = summed + tables.astype(np.uint32)
-            sampled += [up.astype(np.uint32), up_tables.astype(np.uint32)]
-        by_context = np.bincount(context, minlength=CLASSES) + np.bincount(context[many], tables - 1, CLASSES).astype(np.int64)
-        body = _pack(tables.astype(np.uint32), up_tables.astype(np.uint32), summed, *sampled)
-        return part, counts, body, [*by_context.tolist(), int(up.sum()), int(up_tables.sum())]
+def swept(part: int, counts: bytes, seating: bytes | None, shares: bytes, in_context: np.ndarray, number: int, shape: dict, totals: tuple[int, int], seed: int) -> tuple[int, bytes, bytes, bytes, list[int]]:
+    """A sweep over one part: ``part, counts, seating, shares, totals`` (parent customers, parent tables).
+    ``in_context``: tables of each of its contexts in all parts. Shares: contexts, tokens, tables of each sweep kept, tables now."""
+    rng = np.random.default_rng([seed, number, part])
+    words, word, context, count, names = _unpack(counts)
+    _, tokens, *kept = _unpack(shares)
+    many = np.flatnonzero(count > 1)
+    alone = np.bincount(word, minlength=len(words))
+    if seating is None:
+        up, up_tables = alone, np.ones(len(words), np.int64)
+        summed = np.zeros(len(many), np.uint32)
+        sampled: list[np.ndarray] = []
+    else:
+        tables, up_tables, summed, *sampled = _unpack(seating)
+        up = alone + np.bincount(word[many], tables.astype(np.int64) - 1, len(words)).astype(np.int64)
+    known = parent_probability(up, up_tables, *totals, shape["parent"], shape["words"])
+    weight = (THETA + shape["child"] * in_context[context[many]]) * known[word[many]]
+    tables = draw_tables(count[many].astype(np.int64), weight, shape["child"], rng)
+    up = alone + np.bincount(word[many], tables - 1, len(words)).astype(np.int64)
+    up_weight = np.full(len(words), (THETA + shape["parent"] * totals[1]) / (shape["words"] + 1))
+    up_tables = draw_tables(up, up_weight, shape["parent"], rng)
+    by_context = (np.bincount(context, minlength=len(names)) + np.bincount(context[many], tables - 1, len(names))).astype(np.uint32)
+    kept = kept[:-1]
+    if number >= BURN_IN:
+        summed = summed + tables.astype(np.uint32)
+        sampled += [up.astype(np.uint32), up_tables.astype(np.uint32)]
+        kept.append(by_context)
+    body = _pack(tables.astype(np.uint32), up_tables.astype(np.uint32), summed, *sampled)
+    return part, counts, body, _pack(names, tokens, *kept, by_context), [int(up.sum()), int(up_tables.sum())]
+
+
+def sweep(state: DataFrame, number: int, shape: dict, totals: tuple[int, int], parts: int, seed: int) -> DataFrame:
+    """One Gibbs sweep over every part of ``state(part, counts, seating, shares)``."""
+    mine = state.select("part", F.lit(-1).alias("home"), "counts", "seating", "shares", F.lit(None).cast("binary").alias("tables"))
+    nothing = F.lit(None).cast("binary")
+    told = context_tables(state, parts).select("part", "home", nothing.alias("counts"), nothing.alias("seating"), nothing.alias("shares"), "tables")
+    rows = mine.union(told).repartition(parts, "part").sortWithinPartitions("part", "home")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()]
-            for row in zip(*columns, strict=True):
-                out = swept(*row)
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(out, [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())], strict=True)], names=["part", "counts", "seating", "totals"])
+        for part, got in _by_key(batches, 6):
+            (_, counts, seating, shares, _), *replies = got
+            in_context = np.concatenate([_unpack(reply[4])[0] for reply in replies])
+            out = swept(part, counts, seating, shares, in_context, number, shape, totals, seed)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(out, [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())], strict=True)], names=["part", "counts", "seating", "shares", "totals"])
 
-    return state.select("part", "counts", "seating").mapInArrow(run, "part int, counts binary, seating binary, totals array<long>")
+    return rows.mapInArrow(run, "part int, counts binary, seating binary, shares binary, totals array<long>")
 
 
 # ---------------------------------------------------------------- answers
 
 
-def answers(asked: DataFrame, state: DataFrame, parts: int, shape: dict, tokens: np.ndarray, sampled: list[np.ndarray]) -> DataFrame:
-    """``part, block, answer``: log10 of the averaged probability of each asked pair, and each word's training count."""
-    both = state.select("part", F.lit(-1).cast("long").alias("block"), "counts", "seating").union(asked.select("part", "block", F.col("asked"), F.lit(None).cast("binary")))
-    both = both.repartition(parts, "part").sortWithinPartitions("part", "block")
-    back = np.array([(THETA + shape["child"] * t[:CLASSES]) for t in sampled]) / (THETA + tokens)  # weight of the parent, by sample and context
+def answers(asked: DataFrame, state: DataFrame, parts: int, shape: dict, sampled: list[tuple[int, int]]) -> DataFrame:
+    """``part, block, answer``: of each asked pair the customers less discounts, averaged; of each word its training count,
+    its tokens as a context, and for each sample its probability in the parent and its tables as a context."""
+    nothing, size = F.lit(None).cast("binary"), len(sampled)
+    both = state.select("part", F.lit(-2).cast("long").alias("block"), "counts", "seating").union(contexts(state, parts).select("part", F.lit(-1).cast("long"), "contexts", nothing))
+    both = both.union(asked.select("part", "block", "asked", nothing)).repartition(parts, "part").sortWithinPartitions("part", "block")
+    none = np.zeros(1, np.int64)
+    unseen = [parent_probability(none, none, *t, shape["parent"], shape["words"])[0] for t in sampled]
+
+    def places(known: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+        return at, known[at] == words
 
-    def answer(model: list | None, got: list[np.ndarray]) -> bytes:
+    def answer(model: list | None, around: list | None, got: list[np.ndarray]) -> bytes:
         words, pairs, context, _ = got
-        word = np.repeat(np.arange(len(words)), pairs)
-        nothing = np.zeros(1, np.int64)
-        probability = np.zeros(len(context))
-        in_training = np.zeros(len(words), np.int64)
-        place = np.full(len(words), -1)
+        gathered, in_training = np.zeros(len(context)), np.zeros(len(words), np.int64)
+        up = [np.full(len(words), p) for p in unseen]
+        tokens, tables = np.zeros(len(words), np.int64), [np.zeros(len(words), np.int64)] * size
         if model is not None:
-            known, pair, gathered, by_word, ups = model
-            at = np.minimum(np.searchsorted(known, words), len(known) - 1)
-            place = np.where(known[at] == words, at, -1)
-            in_training = np.where(place >= 0, by_word[at], 0)
-            code = place[word] * CLASSES + context
-            at = np.minimum(np.searchsorted(pair, code), len(pair) - 1)
-            probability = np.where(pair[at] == code, gathered[at], 0.0) / (THETA + tokens[context])
-        for s, t in enumerate(sampled):
-            unseen = parent_probability(nothing, nothing, t[CLASSES], t[CLASSES + 1], shape["parent"], shape["words"])[0]
-            up = np.full(len(words), unseen)
-            if model is not None:
-                up = np.where(place >= 0, parent_probability(*ups[s], t[CLASSES], t[CLASSES + 1], shape["parent"], shape["words"])[np.maximum(place, 0)], unseen)
-            probability += back[s][context] * up[word] / len(sampled)
-        return _pack(np.log10(probability).astype(np.float32), in_training.astype(np.uint32))
+            known, pair, customers, by_word, ups, names = model
+            at, there = places(known, words)
+            in_training = np.where(there, by_word[at], 0)
+            up = [np.where(there, ups[s][at], up[s]) for s in range(size)]
+            to, met = places(names, context)
+            code = np.repeat(at, pairs) * len(names) + to
+            place, same = places(pair, code)
+            gathered = np.where(same & met & np.repeat(there, pairs), customers[place], 0.0)
+        if around is not None:
+            at, there = places(around[0], words)
+            tokens, *tables = [np.where(there, x[at], 0) for x in around[1 : 2 + size]]
+        return _pack(gathered.astype(np.float32), in_training.astype(np.uint32), tokens.astype(np.uint32), *(x.astype(np.float32) for x in up), *(x.astype(np.uint32) for x in tables))
 
     def load(counts: bytes, seating: bytes) -> list:
-        words, word, context, count = _unpack(counts)
+        words, word, context, count, names = _unpack(counts)
         _, _, summed, *ups = _unpack(seating)
         tables = np.ones(len(count))
-        tables[count > 1] = summed / len(sampled)
-        gathered = count - shape["child"] * tables
-        return [words, word.astype(np.int64) * CLASSES + context, gathered, np.bincount(word, count, len(words)).astype(np.int64), [(ups[2 * s].astype(float), ups[2 * s + 1]) for s in range(len(sampled))]]
+        tables[count > 1] = summed / size
+        up = [parent_probability(ups[2 * s].astype(float), ups[2 * s + 1], *sampled[s], shape["parent"], shape["words"]) for s in range(size)]
+        return [words, word.astype(np.int64) * len(names) + context, count - shape["child"] * tables, np.bincount(word, count, len(words)).astype(np.int64), up, names]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, model = None, None
+        now, model, around = None, None, None
         for batch in batches:
             for part, block, body, seating in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if part != now:
-                    now, model = part, None
-                if block < 0:
+                    now, model, around = part, None, None
+                if block == -2:
                     model = load(body, seating)
+                elif block == -1:
+                    around = _unpack(body)
                 else:
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([answer(model, _unpack(body))], pa.binary())], names=["part", "block", "answer"])
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([answer(model, around, _unpack(body))], pa.binary())], names=["part", "block", "answer"])
 
     return both.mapInArrow(run, "part int, block long, answer binary")
 
@@ -496,10 +571,13 @@ def gather_scores(texts: DataFrame, replies: DataFrame, parts: int, shape: dict)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("perplexity", pa.float64())])
 
     def scored(body: bytes, got: list[list[np.ndarray]]) -> pa.RecordBatch:
-        ids, named, lengths, train, place, classes = _unpack(body)
-        log_p = np.concatenate([g[0] for g in got]).astype(float)
-        count = np.concatenate([g[1] for g in got]).astype(np.int64)
-        at = np.unique(_codes(place, classes.astype(np.int64), lengths), return_inverse=True)[1]
+        ids, named, lengths, train, place, (end, words) = _unpack(body)
+        gathered, count, tokens, *rest = (np.concatenate(x).astype(float) for x in zip(*got, strict=True))
+        pair, at = np.unique(_codes(place, int(end), int(words), lengths), return_inverse=True)
+        word, context = np.divmod(pair, words)
+        ups, tables = rest[:SAMPLES], rest[SAMPLES:]
+        back = sum((THETA + shape["child"] * t[context]) * up[word] for up, t in zip(ups, tables, strict=True)) / SAMPLES
+        log_p = np.log10((gathered + back) / (THETA + tokens[context]))
         starts = np.cumsum(lengths) - lengths
         base = np.log10((count + 1) / (shape["tokens"] + shape["words"] + 1))
         score = np.add.reduceat(log_p[at], starts)
@@ -534,21 +612,20 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", see
     blocks = store(read_blocks(rows, parts), "blocks", packed=True)
     asked = blocks.where(F.col("part") < LAST).select("part", "block", "asked")
     counts = store(merge(asked, parts), "counts", packed=True)
-    sums = _sums(counts, "totals", 2 * CLASSES + 6)
-    tokens, pairs, (n1, n2, w1, w2, words, all_tokens) = sums[:CLASSES], sums[CLASSES : 2 * CLASSES], map(int, sums[2 * CLASSES :])
-    shape = {"child": n1 / (n1 + 2 * n2) if n2 else 0.5, "parent": w1 / (w1 + 2 * w2) if w2 else 0.5, "words": words, "tokens": all_tokens}
+    n1, n2, w1, w2, words, tokens, pairs = map(int, _sums(counts, "totals", 7))
+    shape = {"child": n1 / (n1 + 2 * n2) if n2 else 0.5, "parent": w1 / (w1 + 2 * w2) if w2 else 0.5, "words": words, "tokens": tokens}
     # To start with, each pair has one table in its context, each word one in the parent.
-    totals = np.array([*pairs, pairs.sum(), words], np.int64)
-    state = counts.select("part", "counts", F.lit(None).cast("binary").alias("seating"))
+    totals = (pairs, words)
+    state = counts.select("part", "counts", F.lit(None).cast("binary").alias("seating"), "shares")
     sampled = []
     for number in range(BURN_IN + SAMPLES):
-        after = store(sweep(state, number, shape, totals, number == 0, seed), "seating", packed=True)
+        after = store(sweep(state, number, shape, totals, parts, seed), "seating", packed=True)
         if number:
             unstore(state)
-        state, totals = after, _sums(after, "totals", CLASSES + 2)
+        state, totals = after, tuple(map(int, _sums(after, "totals", 2)))
         if number >= BURN_IN:
             sampled.append(totals)
-    replies = answers(asked, state, parts, shape, tokens, sampled)
+    replies = answers(asked, state, parts, shape, sampled)
     return gather_scores(blocks.where(F.col("part") == LAST), replies, parts, shape)
 
 

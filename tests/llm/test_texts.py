@@ -290,22 +290,30 @@ def test_table_counts_of_one_draw(discount):
             assert abs(seen.mean() - mean) < 5 * deviation / 2000**0.5 + 1e-9 and (seen >= 1).all() and (seen <= customers).all()
 
 
-def test_frequent_pairs_get_their_tables(spark):
+def test_frequent_pairs_get_their_tables():
     """One sweep takes pairs of thousands of customers from a table each to their posterior, and production has five."""
     words, count, discount = 400, 5000, 0.5
     shape = {"child": discount, "parent": 0.5, "words": words}
-    body = hpylm._pack(np.arange(words, dtype=np.uint64), np.arange(words, dtype=np.uint32), np.zeros(words, np.uint16), np.full(words, count, np.uint32))
-    totals = np.zeros(hpylm.CLASSES + 2, np.int64)
-    totals[[0, -2, -1]] = 1_000_000, 10_000, 400
-    weight = (hpylm.THETA + discount * totals[0]) * hpylm.parent_probability(np.ones(1), np.ones(1), 10_000, 400, 0.5, words)[0]
+    names = np.array([7], np.uint64)
+    body = hpylm._pack(np.arange(words, dtype=np.uint64), np.arange(words, dtype=np.uint32), np.zeros(words, np.uint32), np.full(words, count, np.uint32), names)
+    shares = hpylm._pack(names, np.array([words * count], np.uint32), np.array([words], np.uint32))
+    tables, totals = 1_000_000, (10_000, 400)
+    weight = (hpylm.THETA + discount * tables) * hpylm.parent_probability(np.ones(1), np.ones(1), *totals, 0.5, words)[0]
     log_p = np.full(count + 1, -np.inf)  # by the recursion of the Stirling numbers, weights in it
     log_p[1] = 0.0
     for c in range(1, count):
         log_p[1:] = np.logaddexp(log_p[:-1] + math.log(weight), log_p[1:] + np.log(np.maximum(c - discount * np.arange(1, count + 1), 1e-300)))
     p = np.exp(log_p - log_p.max())
     mean = p @ np.arange(count + 1) / p.sum()
-    row = hpylm.sweep(spark.createDataFrame([(0, bytearray(body), None)], "part int, counts binary, seating binary"), 0, shape, totals, True, 1).first()
-    assert mean > 2 * 16 and abs(row.totals[0] / words / mean - 1) < 0.05
+    seated = hpylm.swept(0, body, None, shares, np.array([tables]), 0, shape, totals, 1)[4][0]
+    assert mean > 2 * 16 and abs(seated / words / mean - 1) < 0.05
+
+
+def test_contexts_are_words(spark):
+    """What follows a word is learnt for it alone, however many other words there are: 3000 words with one follower each."""
+    rows = [(k, f"head{k % 3000} tail{k % 3000}", "s") for k in range(12_000)]
+    got = [r for r in hpylm.score_texts(docs(spark, rows)).collect() if r.held_out and r.n_known == 3]
+    assert sum(10 ** (r.score + math.log10(3000)) > 0.25 for r in got) > 0.9 * len(got) > 900
 
 
 def test_resizing_keeps_the_books():
