@@ -186,6 +186,17 @@ def describe(codec: int, samples: np.ndarray, pcm: np.ndarray) -> str:
     return f"codec={CODEC_NAMES[codec]} samples={len(samples)} peak={int(np.abs(wide).max(initial=0))} power={int(wide @ wide) // max(1, len(wide))} crossings={crossings} pcm={len(pcm)}@{TARGET_RATE} pcm_crc32={zlib.crc32(pcm.astype('<i2').tobytes())}"
 
 
+def as_pcm(files: list[bytes], target: int = TARGET_RATE) -> Iterator[tuple[int, int, bytes, int, str, bytes] | ValueError]:
+    """``codec, rate, coded payload, number of samples, feature, 16-bit WAVE file at the target rate`` of each file."""
+    for got in decode_waves(files):
+        if isinstance(got, ValueError):
+            yield got
+            continue
+        codec, rate, payload, samples = got
+        pcm = resample(samples, rate, target)
+        yield codec, rate, payload, len(samples), describe(codec, samples, pcm), write_wave(PCM, pcm.astype("<i2").tobytes(), target)
+
+
 def store_pcm(df: DataFrame, key: str, media: str, target: int = TARGET_RATE) -> DataFrame:
     """``key, codec, rate, n_samples, feature, pcm, error`` for a column of WAVE files.
 
@@ -197,13 +208,12 @@ def store_pcm(df: DataFrame, key: str, media: str, target: int = TARGET_RATE) ->
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             out = []
-            for got, k in zip(decode_waves(batch.column(1).fill_null(b"").to_pylist()), batch.column(0).to_pylist(), strict=True):
+            for got, k in zip(as_pcm(batch.column(1).fill_null(b"").to_pylist(), target), batch.column(0).to_pylist(), strict=True):
                 if isinstance(got, ValueError):
                     out.append((k, None, None, None, None, None, str(got)))
                     continue
-                codec, rate, _, samples = got
-                pcm = resample(samples, rate, target)
-                out.append((k, CODEC_NAMES[codec], rate, len(samples), describe(codec, samples, pcm), write_wave(PCM, pcm.astype("<i2").tobytes(), target), None))
+                codec, rate, _, n, feature, pcm = got
+                out.append((k, CODEC_NAMES[codec], rate, n, feature, pcm, None))
             types = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["key", "codec", "rate", "n_samples", "feature", "pcm", "error"])
 
@@ -223,15 +233,16 @@ def carry(payload: bytes) -> bytes:
     return write_wave(codec, blocks.tobytes())
 
 
-CARRIED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string"
-_CARRIED_ARROW = pa.schema([(n, pa.string() if t == "string" else pa.int64()) for n, t in (x.split() for x in CARRIED.split(", "))])
+CARRIED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, pcm binary"
+_CARRIED_ARROW = pa.schema([(n, {"string": pa.string(), "binary": pa.binary()}.get(t, pa.int64())) for n, t in (x.split() for x in CARRIED.split(", "))])
 
 
 def carry_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Store every whole text as telephony audio, read it back and describe it.
+    """Store every whole text as telephony audio, read it back, store it as PCM and describe it.
 
     The payload is the text as UTF-8 with bytes 0 up to a positive multiple of 64; a null text is
-    empty and gives 64 zero bytes. All digests are of what was read back. Every row has its row;
+    empty and gives 64 zero bytes. All digests are of what was read back. ``pcm`` is the 16-bit WAVE file
+    at TARGET_RATE that ``store_pcm`` gives for the audio. Every row has its row;
     an empty table gives none.
     """
 
@@ -240,9 +251,8 @@ def carry_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             raw = utf8(batch.column(1))
             media = [carry(x + b"\0" * (-len(x) % BLOCK or (not x) * BLOCK)) for x in raw]
             out = []
-            for key, text, file, (codec, rate, payload, samples) in zip(batch.column(0).to_pylist(), raw, media, decode_waves(media), strict=True):
-                feature = describe(codec, samples, resample(samples, rate, TARGET_RATE))
-                out.append((key, len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(file), hashlib.sha256(file).hexdigest(), feature, CODEC_NAMES[codec]))
+            for key, text, file, (codec, _, payload, _, feature, pcm) in zip(batch.column(0).to_pylist(), raw, media, as_pcm(media), strict=True):
+                out.append((key, len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(file), hashlib.sha256(file).hexdigest(), feature, CODEC_NAMES[codec], pcm))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _CARRIED_ARROW.types, strict=True)], schema=_CARRIED_ARROW)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, CARRIED)

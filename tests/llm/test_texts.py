@@ -137,6 +137,13 @@ def test_carried_texts(spark):
     assert audio.carry_texts(docs(spark, [])).count() == 0
 
 
+def test_carried_texts_have_stored_pcm(spark):
+    for r in audio.carry_texts(docs(spark)).collect():
+        codec, rate, _, data = audio.read_wave(bytes(r.pcm))
+        assert (codec, rate) == (audio.PCM, audio.TARGET_RATE)
+        assert f"pcm={len(data) // 2}@{rate} pcm_crc32={zlib.crc32(data)}" in r.feature
+
+
 def payload_digest(text):
     raw = (text or "").encode()
     return hashlib.sha256(raw + b"\0" * (64 if not raw else -len(raw) % 64)).hexdigest()
