@@ -27,9 +27,14 @@ from .components import components
 
 #: Words in a shingle, and the similarity from which documents are linked, in hundredths.
 WORDS, PERCENT = 5, 75
-#: 60 bands of 6 values from 180 permutations: a pair at similarity 0.75 shares no band with
-#: probability (1 - 0.75**6)**60 = 8e-6, one at 0.8 with 1e-8.
+#: 60 bands of 6 values from 180 permutations: a pair of large sets at similarity 0.75 shares no band
+#: with probability (1 - 0.75**6)**60 = 8e-6, one at 0.8 with 1e-8. In small sets the smallest and the
+#: largest value depend on each other, so those are joined exactly.
 BANDS, PAIRED = 60, 3
+#: Pairs whose smaller set has up to SMALL shingles are found by prefix filter and compared in full, so the
+#: larger one has up to EXACT.
+SMALL = 48
+EXACT = SMALL * 100 // PERCENT
 #: Most words whose hashes a worker keeps; beyond, it starts anew.
 CACHE_WORDS = 300_000
 #: Comparisons that one stream of a leader takes.
@@ -89,6 +94,13 @@ def band_keys(distinct: np.ndarray) -> np.ndarray:
     return _mixed(_mixed((both + np.uint64(1)) * _VALUE).sum(1, keepdims=True) * _BAND).ravel().view(np.int64)
 
 
+def prefix_keys(distinct: np.ndarray) -> np.ndarray:
+    """The smallest shingles of a sorted set of up to EXACT, so many that linked sets have one of them in common; none of a larger set."""
+    n = len(distinct)
+    least = -(-n * PERCENT // 100)  # shingles that a linked set shares at least
+    return distinct[: n - least + 1].view(np.int64) if 0 < n <= EXACT else np.empty(0, np.int64)
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sorted shingle sets have PERCENT hundredths of their union in common."""
     if min(len(a), len(b)) * 100 < PERCENT * max(len(a), len(b)) or not len(a):
@@ -128,7 +140,7 @@ def sketch(distinct: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """``doc_id, digest, n_shingles, keys`` of ``docs(doc_id, text)``: the digest of the word sequence (null
-    without words), the size of the shingle set and its band keys."""
+    without words), the size of the shingle set, its band keys and, of a small set, its prefix."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -138,7 +150,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 distinct = shingles(words)
                 sizes.append(len(distinct))
                 digests.append(blake2b(b" ".join(words), digest_size=16).digest() if words else None)
-                keys.append(band_keys(distinct) if words else None)
+                keys.append(np.concatenate([band_keys(distinct), prefix_keys(distinct)]) if words else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "n_shingles", "keys"])
 
     return docs.mapInArrow(run, "doc_id long, digest binary, n_shingles long, keys array<long>")
@@ -179,9 +191,9 @@ def _sketches(texts: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             sets = [shingles(low_words(t)) for t in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array([band_keys(s).tobytes() for s in sets], pa.binary()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())], names=["rep", "size", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array([band_keys(s).tobytes() for s in sets], pa.binary()), pa.array([sketch(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() if len(s) <= EXACT else b"" for s in sets], pa.binary())], names=["rep", "size", "keys", "sketch", "small"])
 
-    return texts.mapInArrow(run, "rep long, size long, keys binary, sketch binary")
+    return texts.mapInArrow(run, "rep long, size long, keys binary, sketch binary, small binary")
 
 
 def open_pairs(buckets: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
@@ -197,13 +209,17 @@ def open_pairs(buckets: DataFrame, labels: DataFrame, texts: DataFrame) -> DataF
     known = store(_sketches(texts.join(wanted, F.col("rep") == F.col("of")).select("rep", "text")), "sketches")
     rows = mixed.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     rows = rows.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "label", F.col("rep").alias("of"))
-    rows = rows.join(known, F.col("of") == F.col("rep")).select("key", "i", "j", "chunk", "rep", "label", "size", "keys", "sketch")
+    rows = rows.join(known, F.col("of") == F.col("rep")).select("key", "i", "j", "chunk", "rep", "label", "size", "keys", "sketch", "small")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
 
     def compare(key: int, i: int, j: int, cell: list[tuple]) -> Iterator[tuple[int, int]]:
         chunk, rep, label, size = (np.array(x, np.int64) for x in list(zip(*cell, strict=True))[:4])
         keys = np.frombuffer(b"".join(x[4] for x in cell), np.int64).reshape(len(cell), -1)
         bytes_ = np.frombuffer(b"".join(x[5] for x in cell), np.uint8).reshape(len(cell), -1)
+        # Small sets in rows of EXACT, filled up with what no other set has.
+        sets = np.zeros((len(cell), EXACT), np.uint64)
+        held = np.arange(EXACT) < np.where(size <= EXACT, size, 0)[:, None]
+        sets[held] = np.frombuffer(b"".join(x[6] for x in cell), np.uint64)
         for x in range(len(cell) - 1):
             later = slice(x + 1, None)
             near = (label[later] != label[x]) & (np.minimum(size[later], size[x]) * 100 >= PERCENT * np.maximum(size[later], size[x])) & (rep[later] != rep[x])
@@ -212,6 +228,12 @@ def open_pairs(buckets: DataFrame, labels: DataFrame, texts: DataFrame) -> DataF
             at = np.flatnonzero(near) + x + 1
             if not len(at):
                 continue
+            if size[x] <= EXACT:
+                exact = at[size[at] <= EXACT]
+                common = (np.isin(sets[exact], sets[x][held[x]]) & held[exact]).sum(1)
+                for y in exact[100 * common >= PERCENT * (size[exact] + size[x] - common)]:
+                    yield (int(rep[x]), int(rep[y])) if rep[x] < rep[y] else (int(rep[y]), int(rep[x]))
+                at = at[size[at] > EXACT]
             at = at[np.count_nonzero(bytes_[at] == bytes_[x], axis=1) >= LEAST_EQUAL * SKETCH]
             if not len(at):
                 continue
@@ -229,7 +251,7 @@ def open_pairs(buckets: DataFrame, labels: DataFrame, texts: DataFrame) -> DataF
 
         now, cell = None, []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in range(9)), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in range(10)), strict=True):
                 if row[:3] != now:
                     yield from finish()
                     now, cell = row[:3], []

@@ -147,6 +147,29 @@ def test_band_and_sketch_estimates():
     assert minmax.linked(a, b) and not minmax.linked(a, b[:500]) and not minmax.linked(a[:0], a[:0])
 
 
+def test_small_sets_are_joined_exactly(spark, monkeypatch):
+    """Texts of 7 and 8 words at the threshold are found whatever the bands say."""
+    rng = np.random.default_rng(5)
+    for n in range(1, minmax.SMALL + 1):
+        a = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        for m in range(n, min(n * 4 // 3, minmax.EXACT) + 1):
+            b = np.unique(np.concatenate([rng.permutation(a)[: -(-(m + n) * 3 // 7)], rng.integers(0, 1 << 63, m, np.uint64)])[:m])
+            assert not minmax.linked(a, b) or np.isin(minmax.prefix_keys(a), minmax.prefix_keys(b)).any()
+    none = iter(range(1 << 40))
+    monkeypatch.setattr(minmax, "band_keys", lambda s: np.array([next(none) for _ in range(minmax.BANDS)]))
+    rows = []
+    for i in range(40):
+        words = [f"w{i}x{j}" for j in range(8)]
+        rows += [(3 * i, " ".join(words), "s"), (3 * i + 1, " ".join(words[:7]), "s"), (3 * i + 2, " ".join(words[1:]), "s")]
+    texts = docs(spark, rows).select("doc_id", "text")
+    keys = {i: minmax.prefix_keys(minmax.shingles(t.encode().split())) for i, t, _ in rows}
+    assert all(np.isin(keys[3 * i], keys[3 * i + 1]).any() and np.isin(keys[3 * i], keys[3 * i + 2]).any() for i in range(40))
+    buckets = spark.createDataFrame([(int(k), i) for i, ks in keys.items() for k in ks], "key long, rep long")
+    labels = spark.createDataFrame([], "node long, label long")
+    got = {(r.a, r.b) for r in minmax.open_pairs(buckets, labels, texts.withColumnRenamed("doc_id", "rep")).collect()}
+    assert got == {(3 * i, 3 * i + d) for i in range(40) for d in (1, 2)}
+
+
 def test_connected_components(spark):
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(200, 260)] + [(500, 500 + i) for i in range(1, 50)] + [(rng.randrange(100), rng.randrange(100)) for _ in range(60)] + [(700, 700)]
