@@ -9,7 +9,6 @@ set bit above its length. When all bins are open, the fullest closes first.
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -58,14 +57,28 @@ _RUN = re.compile(r"[.,](?:(?=[^\w\s]|[_\x1c-\x1f])|(?<=[^\w\s][.,])|(?<=[_\x1c-
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+class _Letters(dict):
+    """Whether the tokenizer takes a sign of a normalised text for a letter: it is asked once for each sign."""
+
+    def __init__(self, pre_tokenizer) -> None:
+        self.pieces = pre_tokenizer.pre_tokenize_str
+
+    def __missing__(self, sign: str) -> bool:
+        self[sign] = found = len(self.pieces(f"a{sign}a")) == 1
+        return found
+
+
 class ChunkEncoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
-    The tokenizer lower-cases, drops white space and splits between letters and other signs before any
-    merge, so the ids of a text are those of its chunks in turn. Chunks recur: their ids are kept, in
-    two generations of at most CACHE_CHUNKS. A word of letters goes straight to the model; anything
-    odd, and white space other than space, tab and line feed, is left to the whole tokenizer, chunk
-    by chunk. (``tests/llm`` compares with whole-text encoding.)
+    The tokenizer normalises (NFC, lower case of each sign by itself), drops white space and splits between letters
+    and other signs before any merge, so the ids of a text are those of its chunks in turn. Chunks recur: their ids
+    are kept, in two generations of at most CACHE_CHUNKS. Cuts are made at spaces, tabs and line feeds, which normalise
+    with nothing, and in texts of Latin-1 (where normalising keeps every sign apart) before a stop or comma. A word goes
+    straight to the model only if what the tokenizer's own normaliser makes of it is letters by the tokenizer's own
+    splitter; ASCII punctuation after such a word never normalises with it. All else is left to the whole tokenizer,
+    chunk by chunk. An empty text has no ids. (``tests/llm`` compares with whole-text encoding, for every sign that
+    normalising or lower case changes.)
     """
 
     def __init__(self, path: str) -> None:
@@ -73,6 +86,7 @@ class ChunkEncoder:
 
         self.encoder = Tokenizer.from_file(path)
         self.model, self.signs = self.encoder.model, byte_signs()
+        self.normal, self.letters = self.encoder.normalizer.normalize_str, _Letters(self.encoder.pre_tokenizer)
         self.ids = _Ids(self.make, {})
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -88,7 +102,7 @@ class ChunkEncoder:
     def chunks(text: str) -> list[str]:
         """Pieces that encode on their own; empty ones have no ids."""
         spaced = text.replace("\n", " ").replace("\t", " ")
-        if "<|" in text or "Σ" in text or "İ" in text:  # special tokens; letters whose lower case isn't theirs alone
+        if "<|" in text or not _latin(text):  # special tokens; signs that change their neighbours
             return spaced.split(" ")
         spaced = spaced.lower()
         if not _RUN.search(spaced):
@@ -96,14 +110,14 @@ class ChunkEncoder:
         return spaced.split(" ")
 
     def make(self, chunk: str) -> bytes:
-        # A word of letters is one unit to the model: it needs only what the tokenizer does to it before.
+        # A word of letters is one unit to the model.
         if chunk.isascii():
             if chunk.isalpha():
                 return self._merged(chunk.lower())
-        elif "Σ" not in chunk and (x := unicodedata.normalize("NFC", chunk).lower()).isalpha():
+        elif "<|" not in chunk and all(map(self.letters.__getitem__, x := self.normal(chunk))):
             return self._merged(x.encode().decode("latin-1").translate(self.signs))
         word = chunk.rstrip(_PUNCTUATION)
-        if len(word) < len(chunk) and word.isalpha() and "<|" not in chunk:
+        if word and len(word) < len(chunk) and "<|" not in chunk and all(map(self.letters.__getitem__, self.normal(word))):
             return self.ids[word] + self.ids[chunk[len(word) :]]
         return np.array(self.encoder.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -111,6 +125,13 @@ class ChunkEncoder:
         return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(signs)])
 
 
+def _latin(text: str) -> bool:
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 #: A worker process keeps its encoder between tasks.
 _ENCODERS: dict[str, ChunkEncoder] = {}
 

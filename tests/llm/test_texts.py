@@ -2,6 +2,8 @@
 
 import hashlib
 import math
+import random
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -191,6 +193,28 @@ def test_any_text_encodes_as_whole(text):
     assert e.encode([text])[0] == np.array(e.encoder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def whole_ids(encoder, text):
+    return np.array(encoder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_signs_that_normalising_changes_before_punctuation():
+    """Every sign with a canonical decomposition, of two cases or that combines, beside all ASCII punctuation."""
+    e = packing.ChunkEncoder(packing.vocabulary())
+    signs = [c for i in range(0x110000) if not 0xD800 <= i < 0xE000 for c in [chr(i)] if (d := unicodedata.decomposition(c)) and d[0] != "<" or c.lower() != c or unicodedata.category(c)[0] == "M"]
+    assert len(signs) > 5000
+    for c in signs:
+        text = " ".join(f"a{c}{p}b {c}{p} {c}a{p} J{c}{p}{p}" for p in packing._PUNCTUATION)
+        assert e.encode([text])[0] == whole_ids(e.encoder, text), hex(ord(c))
+
+
+def test_random_texts_of_changing_signs():
+    e, rng = packing.ChunkEncoder(packing.vocabulary()), random.Random(1)
+    alphabet = [*"aBİıΣσßJ .,;'\n_-1éÉ<|#\u0301\u030c\u0307\u0345\x85\xa0\x1c", *map(chr, [*range(0x9DC, 0x9E0), *range(0x958, 0x960), *range(0xFB1D, 0xFB4F)])]
+    for _ in range(100_000):
+        text = "".join(rng.choices(alphabet, k=rng.randrange(1, 14)))
+        assert e.encode([text])[0] == whole_ids(e.encoder, text), text
+
+
 def test_best_fit():
     rng = np.random.default_rng(5)
     lengths = rng.integers(1, 101, 4000).tolist()
