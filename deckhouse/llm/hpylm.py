@@ -8,13 +8,17 @@ Predictive probabilities are averaged over the sweeps after the burn-in.
 
 Pairs are dealt by word: all tables that serve a word, in every context and in the parent, are in
 one part, of at most an entry for each context a word, so no frequent word or context makes a part
-large. The totals of contexts are a table of their own, dealt the same way: after a sweep each part
+large. The totals of contexts are a table of their own, dealt the same way: before a sweep each part
 tells the parts of its contexts how many tables it has there and gets the sums back. They and the
 parent's totals are those of the sweep before, so sweeps run in parallel over the parts.
 
-Texts are read once, into blocks. A block asks each part about its distinct (word, context) pairs;
+A pair with one customer has one table whatever is drawn, and a word with one customer in the parent too: sweeps
+leave both out and count them once. So what a sweep moves is the repeated pairs, not the corpus.
+
+Texts are read once, into blocks. A block asks each part about its distinct (context, word) pairs;
 counts are the sums of what blocks ask with, and answers go back to the block. So what is shuffled
-is what distinct pairs there are in a block, packed, not tokens.
+is what distinct pairs there are in a block, packed, not tokens. Sorted numbers travel as their gaps, all numbers
+by byte position, compressed. Words are 64-bit hashes, contexts the first 48 bits of theirs.
 """
 
 from __future__ import annotations
@@ -35,8 +39,8 @@ from pyspark.sql import functions as F
 from .common import low_words, slices, store, table, unstore, utf8
 from .minmax import _WORDS
 
-#: Tokens in a block; texts in a part, in bytes.
-BLOCK_TOKENS, PART_BYTES = 2_000_000, 8 << 20
+#: Tokens in a block; texts in a part, in bytes; most tasks that share the parts.
+BLOCK_TOKENS, PART_BYTES, TASKS = 2_000_000, 16 << 20, 16_384
 #: Sweeps that are thrown away, sweeps that are averaged.
 BURN_IN, SAMPLES = 2, 3
 #: Customers up to which table counts are drawn from a table of Stirling numbers; beyond, from contour integrals.
@@ -46,6 +50,8 @@ THETA = 1.0
 #: The end of a text as a token, and the context of its first word: no word has a space.
 END = xxhash.xxh64_intdigest(b" ")
 LAST = (1 << 31) - 1
+#: Bits of a word's hash that don't name its context.
+_SHORT = np.uint64(16)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -69,40 +75,92 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def _parts(words: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
-    """``part, from, to`` of each part that sorted words are in."""
-    part = ((words >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+def _gaps(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending.astype(np.uint64), prepend=np.uint64(0))
+
+
+def _whole(gaps: np.ndarray) -> np.ndarray:
+    return np.cumsum(gaps, dtype=np.uint64)
+
+
+def _u32(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint32)
+
+
+def _part_of(names: np.ndarray, parts: int) -> np.ndarray:
+    """The part of words or contexts, by the first 32 bits of their 48."""
+    return ((names >> np.uint64(16)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _runs(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """``value, from, to`` of each run of equal values."""
     edges = np.flatnonzero(np.diff(part, prepend=-1))
-    for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(words)], strict=True):
+    for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(part)], strict=False):  # (no edges, no runs)
         yield int(part[lo]), lo, hi
 
 
+def _sums_at(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    return np.bincount(at, values, size).astype(np.int64)
+
+
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
 
+def _dealt(rows: DataFrame, parts: int, key: str, then: str) -> DataFrame:
+    """Rows of one key together, in order; at most TASKS tasks, each with its share of the keys."""
+    tasks = min(parts, TASKS)
+    return rows.repartitionById(tasks, F.pmod(F.col(key), F.lit(tasks)).cast("int")).sortWithinPartitions(key, then)
+
+
+def _by_key(batches: Iterable[pa.RecordBatch], columns: int) -> Iterator[tuple[int, list[tuple]]]:
+    """Runs of rows with one first column, the others as tuples."""
+    now, got = None, []
+    for batch in batches:
+        for key, *row in zip(*(batch.column(i).to_pylist() for i in range(columns)), strict=True):
+            if key != now and got:
+                yield now, got
+                got = []
+            now = key
+            got.append(tuple(row))
+    if got:
+        yield now, got
+
+
 # ---------------------------------------------------------------- reading
 
 
 def read_blocks(docs: DataFrame, parts: int) -> DataFrame:
     """``part, block, asked, texts``: for each block a row of its texts (part LAST) and a row for each part.
 
-    ``asked``: distinct words, pairs of each, contexts of the pairs, training count of each pair.
-    ``texts``: ids, lengths, training flags, the place of each token's word.
+    ``asked``: distinct words, contexts of their pairs, the pairs (context * words + word), training count of each pair.
+    ``texts``: ids, lengths, training flags, number of words in each part, part and place there of each token's word.
     """
 
     def block_rows(block: int, ids: list, texts: list[np.ndarray]) -> Iterator[tuple]:
         lengths = np.array(list(map(len, texts)), np.int64)
         train = np.array([not held_out(i) for i in ids])
         words, place = np.unique(np.concatenate(texts), return_inverse=True)
-        end = int(np.searchsorted(words, np.uint64(END)))
-        pair, count = _pairs(place, end, len(words), lengths, np.repeat(train, lengths))
-        word, context = np.divmod(pair, len(words))
+        part = _part_of(words >> _SHORT, parts)
+        runs = list(_runs(part))
+        starts = np.zeros(len(words), np.int64)
+        for _, lo, hi in runs:
+            starts[lo:hi] = lo
+        code = _codes(place, int(np.searchsorted(words, np.uint64(END))), len(words), lengths)
+        pair, of = _pairs(code, part, len(words))
+        trained, times = np.unique(code[np.repeat(train, lengths)], return_counts=True)
+        count = np.zeros(len(pair), np.int64)
+        order = np.argsort(pair, kind="stable")
+        count[order[np.searchsorted(pair[order], trained)]] = times
         named = np.array([i is not None for i in ids])
-        yield LAST, block, None, _pack(np.array([i or 0 for i in ids], np.int64), named.astype(np.uint8), lengths, train.astype(np.uint8), place.astype(np.uint32), np.array([end, len(words)]))
-        for part, lo, hi in _parts(words, parts):
-            a, b = np.searchsorted(word, [lo, hi])
-            yield part, block, _pack(words[lo:hi], np.bincount(word[a:b] - lo, minlength=hi - lo).astype(np.uint32), words[context[a:b]], count[a:b].astype(np.uint32)), None
+        number = np.repeat(np.arange(len(runs)), [hi - lo for _, lo, hi in runs])
+        yield LAST, block, None, _pack(np.array([i or 0 for i in ids], np.int64), named.astype(np.uint8), lengths, train.astype(np.uint8), np.array([hi - lo for _, lo, hi in runs]), _u32(number[place]), _u32((np.arange(len(words)) - starts)[place]))
+        edges = {p: (a, b) for p, a, b in _runs(of)}
+        for p, lo, hi in runs:
+            a, b = edges[p]
+            context, word = np.divmod(pair[a:b], len(words))
+            used, to = np.unique(context, return_inverse=True)
+            yield p, block, _pack(_gaps(words[lo:hi]), _gaps(words[used] >> _SHORT), _gaps(to * (hi - lo) + word - lo), _u32(count[a:b])), None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -131,124 +189,148 @@ def read_blocks(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def _codes(place: np.ndarray, end: int, words: int, lengths: np.ndarray) -> np.ndarray:
-    """word place * words + place of the word before, for every token."""
+    """place of the word before * words + place of the word, for every token."""
     context = np.empty(len(place), np.int64)
     context[1:] = place[:-1]
     context[np.cumsum(lengths) - lengths] = end
-    return place.astype(np.int64) * words + context
+    return context * words + place
 
 
-def _pairs(place: np.ndarray, end: int, words: int, lengths: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    pair, at = np.unique(_codes(place, end, words, lengths), return_inverse=True)
-    return pair, np.bincount(at[train], minlength=len(pair))
+def _pairs(code: np.ndarray, part: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs by part of their word, then in order; and those parts."""
+    pair = np.unique(code)
+    of = part[pair % words]
+    order = np.argsort(of, kind="stable")
+    return pair[order], of[order]
 
 
 # ---------------------------------------------------------------- counting
 
 
-def merge(asked: DataFrame, parts: int) -> DataFrame:
-    """``part, counts, shares, totals``: the pairs of each part that training texts hold, with their counts; its contexts, their
-    tokens and pairs; and how many pairs and words there are of count 1 and 2, words, tokens, pairs."""
-    rows = asked.repartition(parts, "part").sortWithinPartitions("part", "block")
-
-    def merged(part: int, got: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        words, at = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-        start = np.cumsum([0, *(len(g[0]) for g in got)])
-        context, to = np.unique(np.concatenate([g[2] for g in got]), return_inverse=True)
-        code = np.concatenate([np.repeat(at[s : s + len(g[0])], g[1]) for s, g in zip(start, got, strict=False)]) * len(context) + to
-        pair, back = np.unique(code, return_inverse=True)
-        count = np.bincount(back, np.concatenate([g[3] for g in got]), len(pair)).astype(np.int64)
-        pair, count = pair[count > 0], count[count > 0]
-        if not len(pair):
-            return
-        word, to = np.divmod(pair, len(context))
-        trained, of_word = np.unique(word, return_inverse=True)
-        used, to = np.unique(to, return_inverse=True)
-        context = context[used]
-        by_word = np.bincount(of_word, count, len(trained)).astype(np.int64)
-        shape = [int((count == 1).sum()), int((count == 2).sum()), int((by_word == 1).sum()), int((by_word == 2).sum()), len(trained), int(count.sum()), len(pair)]
-        body = _pack(words[trained], of_word.astype(np.uint32), to.astype(np.uint32), count.astype(np.uint32), context)
-        shares = _pack(context, np.bincount(to, count, len(context)).astype(np.uint32), np.bincount(to, minlength=len(context)).astype(np.uint32))
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([body], pa.binary()), pa.array([shares], pa.binary()), pa.array([shape], pa.list_(pa.int64()))], names=["part", "counts", "shares", "totals"])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, got = None, []
-        for batch in batches:
-            for part, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if part != now and got:
-                    yield from merged(now, got)
-                    got = []
-                now = part
-                got.append(_unpack(body))
-        if got:
-            yield from merged(now, got)
+class Merged:
+    """What all blocks asked one part: its words and contexts, the pairs (word * contexts + context) and their training counts."""
+
+    def __init__(self, asked: list[bytes]) -> None:
+        got = [_unpack(body) for body in asked]
+        words, contexts = [_whole(g[0]) for g in got], [_whole(g[1]) for g in got]
+        self.words, at = np.unique(np.concatenate(words), return_inverse=True)
+        self.contexts, to = np.unique(np.concatenate(contexts), return_inverse=True)
+        #: For each block, its words among all.
+        self.at = np.split(at, np.cumsum([len(w) for w in words])[:-1])
+        codes = []
+        for (_, _, code, _), mine, theirs in zip(got, self.at, np.split(to, np.cumsum([len(c) for c in contexts])[:-1]), strict=True):
+            context, word = np.divmod(_whole(code).astype(np.int64), max(1, len(mine)))
+            codes.append(mine[word] * len(self.contexts) + theirs[context])
+        self.pairs, back = np.unique(np.concatenate(codes), return_inverse=True)
+        self.back = np.split(back, np.cumsum([len(c) for c in codes])[:-1])
+        self.count = _sums_at(back, np.concatenate([g[3] for g in got]), len(self.pairs))
+        word, context = np.divmod(self.pairs, max(1, len(self.contexts)))
+        known = self.count > 0
+        self.in_training = _sums_at(word, self.count, len(self.words))
+        self.alone = np.bincount(word[known], minlength=len(self.words))
+        #: Pairs and words whose tables are drawn: of more than one customer.
+        self.many = np.flatnonzero(self.count > 1)
+        self.busy = np.flatnonzero((self.alone > 1) | (np.bincount(word[self.many], minlength=len(self.words)) > 0))
+        self.word, self.context = word, context
 
-    return rows.select("part", "asked").mapInArrow(run, "part int, counts binary, shares binary, totals array<long>")
 
+def merge(asked: DataFrame, parts: int) -> DataFrame:
+    """``part, drawn, shares, totals``. ``drawn``: pairs of each busy word, then word, context and customers of the pairs that are
+    drawn, names of those contexts, and how many words with a pair aren't busy. ``shares``: contexts, their tokens and their pairs
+    of one customer. ``totals``: pairs and words of count 1 and 2, words, tokens, pairs."""
 
-def _sums(df: DataFrame, column: str, size: int) -> np.ndarray:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _by_key(batches, 2):
+            m = Merged([body for (body,) in rows])
+            known, by_word = m.count > 0, m.in_training
+            shape = [int((m.count == 1).sum()), int((m.count == 2).sum()), int((by_word == 1).sum()), int((by_word == 2).sum()), int((by_word > 0).sum()), int(m.count.sum()), int(known.sum())]
+            used, to = np.unique(m.context[m.many], return_inverse=True)
+            place = np.zeros(len(m.words), np.int64)
+            place[m.busy] = np.arange(len(m.busy))
+            drawn = _pack(_u32(m.alone[m.busy]), _gaps(place[m.word[m.many]]), _u32(to), _u32(m.count[m.many]), _gaps(m.contexts[used]), np.array([shape[4] - len(m.busy)]))
+            tokens = _sums_at(m.context, m.count, len(m.contexts))
+            there = np.flatnonzero(tokens)
+            single = np.bincount(m.context[m.count == 1], minlength=len(m.contexts))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([drawn], pa.binary()), pa.array([_pack(_gaps(m.contexts[there]), _u32(tokens[there]), _u32(single[there]))], pa.binary()), pa.array([shape], pa.list_(pa.int64()))], names=["part", "drawn", "shares", "totals"])
+
+    return _dealt(asked, parts, "part", "block").select("part", "asked").mapInArrow(run, "part int, drawn binary, shares binary, totals array<long>")
+
+
+def _sums(df: DataFrame, column: str, size: int) -> list[int]:
     """Element sums of an array column: as many rows as elements reach the driver."""
-    out = np.zeros(size, np.int64)
+    out = [0] * size
     for r in df.select(F.posexplode(column)).groupBy("pos").agg(F.sum("col").alias("n")).collect():
-        out[r.pos] = r.n
+        out[r.pos] = int(r.n)
     return out
 
 
-def _by_key(batches: Iterable[pa.RecordBatch], columns: int) -> Iterator[tuple[int, list[tuple]]]:
-    """Runs of rows with one first column, the others as tuples."""
-    now, got = None, []
-    for batch in batches:
-        for key, *row in zip(*(batch.column(i).to_pylist() for i in range(columns)), strict=True):
-            if key != now and got:
-                yield now, got
-                got = []
-            now = key
-            got.append(tuple(row))
-    if got:
-        yield now, got
+# ---------------------------------------------------------------- totals of contexts
 
 
-def _dealt(state: DataFrame, parts: int) -> DataFrame:
-    """``home, part, share``: the shares of each part's contexts, at the parts of the contexts."""
+def _to_homes(shares: DataFrame, parts: int) -> DataFrame:
+    """``part, home, body``: the shares of each part's contexts, for the parts of the contexts. A share's first array is the contexts' gaps."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, got in _by_key(batches, 2):
-            context, *values = _unpack(got[0][0])
-            rows = [(home, part, _pack(context[lo:hi], *(v[lo:hi] for v in values))) for home, lo, hi in _parts(context, parts)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int32(), pa.binary()], strict=True)], names=["home", "part", "share"])
+            gaps, *values = _unpack(got[0][0])
+            context = _whole(gaps)
+            rows = [(home, part, _pack(_gaps(context[lo:hi]), *(v[lo:hi] for v in values))) for home, lo, hi in _runs(_part_of(context, parts))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int32(), pa.binary()], strict=True)], names=["home", "part", "body"])
+
+    return shares.mapInArrow(run, "home int, part int, body binary")
 
-    dealt = state.select("part", "shares").mapInArrow(run, "home int, part int, share binary")
-    return dealt.repartition(parts, "home").sortWithinPartitions("home", "part")
 
+def homes(counts: DataFrame, parts: int) -> DataFrame:
+    """``home, part, body``: the contexts of each home (part -1), their tokens and pairs of one customer in all parts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for home, rows in _by_key(batches, 3):
+            got = [_unpack(body) for _, body in rows]
+            context, at = np.unique(np.concatenate([_whole(g[0]) for g in got]), return_inverse=True)
+            sums = [_u32(_sums_at(at, np.concatenate([g[i] for g in got]), len(context))) for i in (1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array([home], pa.int32()), pa.array([-1], pa.int32()), pa.array([_pack(_gaps(context), *sums)], pa.binary())], names=["home", "part", "body"])
+
+    return _dealt(_to_homes(counts.select("part", "shares"), parts), parts, "home", "part").mapInArrow(run, "home int, part int, body binary")
 
-def _summed(got: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    context, at = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-    return context, at, [np.bincount(at, np.concatenate([g[i] for g in got]), len(context)).astype(np.int64) for i in range(1, len(got[0]))]
 
+def _with_tables(own: bytes, shares: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Contexts of a home, their tokens, their tables by each array of the shares, and where each share's contexts are."""
+    gaps, tokens, single = _unpack(own)
+    context = _whole(gaps)
+    at = [np.searchsorted(context, _whole(g[0])) for g in shares]
+    tables = [single.astype(np.int64) for _ in shares[0][1:]] if shares else []
+    for where, (_, *values) in zip(at, shares, strict=True):
+        for total, value in zip(tables, values, strict=True):
+            total[where] += value  # (a share names a context once)
+    return context, tokens, tables, at
 
-def context_tables(state: DataFrame, parts: int) -> DataFrame:
-    """``part, home, tables``: of each part's contexts, in order of home, the tables that all parts have there (the last of the shares)."""
+
+def context_tables(around: DataFrame, shares: DataFrame, parts: int) -> DataFrame:
+    """``part, home, tables``: of each part's drawn contexts, in order of home, the tables that all parts have there."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for home, rows in _by_key(batches, 3):
-            got = [_unpack(share) for _, share in rows]
-            _, at, sums = _summed(got)
-            edges = np.cumsum([0, *(len(g[0]) for g in got)])
-            replies = [_pack(sums[-1][at[lo:hi]]) for lo, hi in zip(edges, edges[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array([part for part, _ in rows], pa.int32()), pa.array([home] * len(rows), pa.int32()), pa.array(replies, pa.binary())], names=["part", "home", "tables"])
+            (_, own), *told = rows
+            if not told:
+                continue
+            _, _, (tables,), at = _with_tables(own, [_unpack(body) for _, body in told])
+            yield pa.RecordBatch.from_arrays([pa.array([part for part, _ in told], pa.int32()), pa.array([home] * len(told), pa.int32()), pa.array([_pack(_u32(tables[x])) for x in at], pa.binary())], names=["part", "home", "tables"])
 
-    return _dealt(state, parts).mapInArrow(run, "part int, home int, tables binary")
+    return _dealt(around.union(_to_homes(shares, parts)), parts, "home", "part").mapInArrow(run, "part int, home int, tables binary")
 
 
-def contexts(state: DataFrame, parts: int) -> DataFrame:
-    """``part, contexts``: the contexts of each part as their home with the sums of all their shares."""
+def context_samples(around: DataFrame, kept: DataFrame, parts: int, samples: int) -> DataFrame:
+    """``part, body``: of each home its contexts, their tokens and their tables in each sample."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for home, rows in _by_key(batches, 3):
-            context, _, sums = _summed([_unpack(share) for _, share in rows])
-            yield pa.RecordBatch.from_arrays([pa.array([home], pa.int32()), pa.array([_pack(context, *sums)], pa.binary())], names=["part", "contexts"])
+            (_, own), *told = rows
+            context, tokens, tables, _ = _with_tables(own, [_unpack(body) for _, body in told])
+            tables = tables or [_unpack(own)[2]] * samples
+            yield pa.RecordBatch.from_arrays([pa.array([home], pa.int32()), pa.array([_pack(_gaps(context), tokens, *map(_u32, tables))], pa.binary())], names=["part", "body"])
 
-    return _dealt(state, parts).mapInArrow(run, "part int, contexts binary")
+    return _dealt(around.union(_to_homes(kept, parts)), parts, "home", "part").mapInArrow(run, "part int, body binary")
 
 
 # ---------------------------------------------------------------- Gibbs
@@ -346,6 +428,8 @@ def draw_tables(customers: np.ndarray, weight: np.ndarray, discount: float, rng:
     """The number of tables of each pair, all its customers seated anew: t with probability in proportion to
     weight**t times the generalised Stirling number of its customers and t. ``weight`` is that of a new table."""
     out = np.minimum(customers, 1).astype(np.int64)
+    if not len(out):
+        return out
     many = np.flatnonzero(customers > STIRLING)
     if len(many):
         out[many] = _many_tables(customers[many], weight[many], discount, rng)
@@ -454,133 +538,137 @@ def parent_probability(customers: np.ndarray, tables: np.ndarray, all_customers:
     return (seated + (THETA + discount * all_tables) / (words + 1)) / (THETA + all_customers)
 
 
-def swept(part: int, counts: bytes, seating: bytes | None, shares: bytes, in_context: np.ndarray, number: int, shape: dict, totals: tuple[int, int], seed: int) -> tuple[int, bytes, bytes, bytes, list[int]]:
-    """A sweep over one part: ``part, counts, seating, shares, totals`` (parent customers, parent tables).
-    ``in_context``: tables of each of its contexts in all parts. Shares: contexts, tokens, tables of each sweep kept, tables now."""
+def first_seating(drawn: bytes) -> tuple[bytes, bytes]:
+    """``seating, shares`` to start with: each pair has one table in its context, each word one in the parent."""
+    alone, word, context, count, names, _ = _unpack(drawn)
+    ones = np.ones(len(count), np.uint32)
+    return _pack(ones, np.ones(len(alone), np.uint32), np.zeros(len(count), np.uint32)), _pack(names, _u32(np.bincount(context, minlength=len(names))))
+
+
+def swept(part: int, drawn: bytes, seating: bytes, kept: bytes | None, in_context: np.ndarray, number: int, burn_in: int, shape: dict, totals: tuple[int, int], seed: int) -> tuple[int, bytes, bytes, bytes | None, list[int]]:
+    """A sweep over one part: ``part, seating, shares, kept, totals`` (parent customers, parent tables).
+    ``in_context``: tables of each of its drawn contexts in all parts. ``shares``: contexts, tables now; ``kept``: contexts, tables of
+    each sweep after the burn-in."""
     rng = np.random.default_rng([seed, number, part])
-    words, word, context, count, names = _unpack(counts)
-    _, tokens, *kept = _unpack(shares)
-    many = np.flatnonzero(count > 1)
-    alone = np.bincount(word, minlength=len(words))
-    if seating is None:
-        up, up_tables = alone, np.ones(len(words), np.int64)
-        summed = np.zeros(len(many), np.uint32)
-        sampled: list[np.ndarray] = []
-    else:
-        tables, up_tables, summed, *sampled = _unpack(seating)
-        up = alone + np.bincount(word[many], tables.astype(np.int64) - 1, len(words)).astype(np.int64)
+    alone, gaps, context, count, names, (rest,) = _unpack(drawn)
+    word = _whole(gaps).astype(np.int64)
+    tables, up_tables, summed, *sampled = _unpack(seating)
+    up = alone + _sums_at(word, tables.astype(np.int64) - 1, len(alone))
     known = parent_probability(up, up_tables, *totals, shape["parent"], shape["words"])
-    weight = (THETA + shape["child"] * in_context[context[many]]) * known[word[many]]
-    tables = draw_tables(count[many].astype(np.int64), weight, shape["child"], rng)
-    up = alone + np.bincount(word[many], tables - 1, len(words)).astype(np.int64)
-    up_weight = np.full(len(words), (THETA + shape["parent"] * totals[1]) / (shape["words"] + 1))
+    weight = (THETA + shape["child"] * in_context[context]) * known[word]
+    tables = draw_tables(count.astype(np.int64), weight, shape["child"], rng)
+    up = alone + _sums_at(word, tables - 1, len(alone))
+    up_weight = np.full(len(alone), (THETA + shape["parent"] * totals[1]) / (shape["words"] + 1))
     up_tables = draw_tables(up, up_weight, shape["parent"], rng)
-    by_context = (np.bincount(context, minlength=len(names)) + np.bincount(context[many], tables - 1, len(names))).astype(np.uint32)
-    kept = kept[:-1]
-    if number >= BURN_IN:
-        summed = summed + tables.astype(np.uint32)
-        sampled += [up.astype(np.uint32), up_tables.astype(np.uint32)]
-        kept.append(by_context)
-    body = _pack(tables.astype(np.uint32), up_tables.astype(np.uint32), summed, *sampled)
-    return part, counts, body, _pack(names, tokens, *kept, by_context), [int(up.sum()), int(up_tables.sum())]
-
-
-def sweep(state: DataFrame, number: int, shape: dict, totals: tuple[int, int], parts: int, seed: int) -> DataFrame:
-    """One Gibbs sweep over every part of ``state(part, counts, seating, shares)``."""
-    mine = state.select("part", F.lit(-1).alias("home"), "counts", "seating", "shares", F.lit(None).cast("binary").alias("tables"))
+    here = _u32(_sums_at(context, tables, len(names)))
+    if number >= burn_in:
+        summed = summed + _u32(tables - 1)
+        sampled += [_u32(up), _u32(up_tables)]
+        kept = _pack(*(_unpack(kept) if kept else [names]), here)
+    return part, _pack(_u32(tables), _u32(up_tables), summed, *sampled), _pack(names, here), kept, [int(up.sum() + rest), int(up_tables.sum() + rest)]
+
+
+SEATING = "part int, seating binary, shares binary, kept binary, totals array<long>"
+_SEATING_TYPES = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+
+
+def _seating_batch(row: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _SEATING_TYPES, strict=True)], names=["part", "seating", "shares", "kept", "totals"])
+
+
+def begun(counts: DataFrame) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _by_key(batches, 2):
+            yield _seating_batch((part, *first_seating(rows[0][0]), None, []))
+
+    return counts.select("part", "drawn").mapInArrow(run, SEATING)
+
+
+def sweep(counts: DataFrame, state: DataFrame, around: DataFrame, number: int, burn_in: int, shape: dict, totals: tuple[int, int], parts: int, seed: int) -> DataFrame:
+    """One Gibbs sweep over every part of ``counts(part, drawn)`` and ``state(part, seating, shares, kept)``."""
     nothing = F.lit(None).cast("binary")
-    told = context_tables(state, parts).select("part", "home", nothing.alias("counts"), nothing.alias("seating"), nothing.alias("shares"), "tables")
-    rows = mine.union(told).repartition(parts, "part").sortWithinPartitions("part", "home")
+    rows = counts.select("part", F.lit(-2).alias("home"), F.col("drawn").alias("body"), nothing.alias("kept"))
+    rows = rows.union(state.select("part", F.lit(-1), "seating", "kept")).union(context_tables(around, state.select("part", "shares"), parts).select("part", "home", "tables", nothing))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, got in _by_key(batches, 6):
-            (_, counts, seating, shares, _), *replies = got
-            in_context = np.concatenate([_unpack(reply[4])[0] for reply in replies])
-            out = swept(part, counts, seating, shares, in_context, number, shape, totals, seed)
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(out, [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())], strict=True)], names=["part", "counts", "seating", "shares", "totals"])
+        for part, got in _by_key(batches, 4):
+            (_, drawn, _), (_, seating, kept), *replies = got
+            in_context = np.concatenate([np.empty(0, np.uint32), *(_unpack(reply)[0] for _, reply, _ in replies)])
+            yield _seating_batch(swept(part, drawn, seating, kept, in_context, number, burn_in, shape, totals, seed))
 
-    return rows.mapInArrow(run, "part int, counts binary, seating binary, shares binary, totals array<long>")
+    return _dealt(rows, parts, "part", "home").mapInArrow(run, SEATING)
 
 
 # ---------------------------------------------------------------- answers
 
 
-def answers(asked: DataFrame, state: DataFrame, parts: int, shape: dict, sampled: list[tuple[int, int]]) -> DataFrame:
-    """``part, block, answer``: of each asked pair the customers less discounts, averaged; of each word its training count,
-    its tokens as a context, and for each sample its probability in the parent and its tables as a context."""
-    nothing, size = F.lit(None).cast("binary"), len(sampled)
-    both = state.select("part", F.lit(-2).cast("long").alias("block"), "counts", "seating").union(contexts(state, parts).select("part", F.lit(-1).cast("long"), "contexts", nothing))
-    both = both.union(asked.select("part", "block", "asked", nothing)).repartition(parts, "part").sortWithinPartitions("part", "block")
-    none = np.zeros(1, np.int64)
-    unseen = [parent_probability(none, none, *t, shape["parent"], shape["words"])[0] for t in sampled]
-
-    def places(known: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(known, words), len(known) - 1)
-        return at, known[at] == words
-
-    def answer(model: list | None, around: list | None, got: list[np.ndarray]) -> bytes:
-        words, pairs, context, _ = got
-        gathered, in_training = np.zeros(len(context)), np.zeros(len(words), np.int64)
-        up = [np.full(len(words), p) for p in unseen]
-        tokens, tables = np.zeros(len(words), np.int64), [np.zeros(len(words), np.int64)] * size
-        if model is not None:
-            known, pair, customers, by_word, ups, names = model
-            at, there = places(known, words)
-            in_training = np.where(there, by_word[at], 0)
-            up = [np.where(there, ups[s][at], up[s]) for s in range(size)]
-            to, met = places(names, context)
-            code = np.repeat(at, pairs) * len(names) + to
-            place, same = places(pair, code)
-            gathered = np.where(same & met & np.repeat(there, pairs), customers[place], 0.0)
-        if around is not None:
-            at, there = places(around[0], words)
-            tokens, *tables = [np.where(there, x[at], 0) for x in around[1 : 2 + size]]
-        return _pack(gathered.astype(np.float32), in_training.astype(np.uint32), tokens.astype(np.uint32), *(x.astype(np.float32) for x in up), *(x.astype(np.uint32) for x in tables))
-
-    def load(counts: bytes, seating: bytes) -> list:
-        words, word, context, count, names = _unpack(counts)
-        _, _, summed, *ups = _unpack(seating)
-        tables = np.ones(len(count))
-        tables[count > 1] = summed / size
-        up = [parent_probability(ups[2 * s].astype(float), ups[2 * s + 1], *sampled[s], shape["parent"], shape["words"]) for s in range(size)]
-        return [words, word.astype(np.int64) * len(names) + context, count - shape["child"] * tables, np.bincount(word, count, len(words)).astype(np.int64), up, names]
+def answers(asked: DataFrame, state: DataFrame, around: DataFrame, parts: int, samples: int) -> DataFrame:
+    """``part, block, answer``: of each asked pair its customers and how many tables more than one it has had in all samples; of each word
+    its training count, its tokens as a context, and for each sample its customers and tables in the parent and its tables as a context."""
+    rows = state.select("part", F.lit(-2).cast("long").alias("block"), F.col("seating").alias("body"))
+    rows = rows.union(around.select("part", F.lit(-1).cast("long"), "body")).union(asked.select("part", "block", "asked"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, model, around = None, None, None
-        for batch in batches:
-            for part, block, body, seating in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if part != now:
-                    now, model, around = part, None, None
-                if block == -2:
-                    model = load(body, seating)
-                elif block == -1:
-                    around = _unpack(body)
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([answer(model, around, _unpack(body))], pa.binary())], names=["part", "block", "answer"])
-
-    return both.mapInArrow(run, "part int, block long, answer binary")
+        for part, got in _by_key(batches, 3):
+            own = {block: body for block, body in got if block < 0}
+            got = [(block, body) for block, body in got if block >= 0]
+            if not got:
+                continue  # contexts here are words of some block, so this can't be; a part without questions has no answers
+            m = Merged([body for _, body in got])
+            n = len(m.words)
+            extra, ups = np.zeros(len(m.pairs), np.uint32), []
+            _, _, summed, *sampled = _unpack(own[-2])
+            extra[m.many] = summed
+            once = np.minimum(m.alone, 1)
+            for values in sampled:
+                x = once.copy()
+                x[m.busy] = values
+                ups.append(x)
+            seen = [np.zeros(n, np.int64) for _ in range(1 + samples)]
+            if -1 in own:
+                gaps, *values = _unpack(own[-1])
+                names, mine = _whole(gaps), m.words >> _SHORT
+                at = np.minimum(np.searchsorted(names, mine), len(names) - 1)
+                seen = [np.where(names[at] == mine, v[at], 0) for v in values]
+            for (block, _), words, pairs in zip(got, m.at, m.back, strict=True):
+                body = _pack(_u32(m.count[pairs]), extra[pairs], *(_u32(x[words]) for x in (m.in_training, *seen, *ups)))
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([body], pa.binary())], names=["part", "block", "answer"])
+
+    return _dealt(rows, parts, "part", "block").mapInArrow(run, "part int, block long, answer binary")
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
 
-def gather_scores(texts: DataFrame, replies: DataFrame, parts: int, shape: dict) -> DataFrame:
+def gather_scores(texts: DataFrame, replies: DataFrame, parts: int, shape: dict, sampled: list[tuple[int, int]]) -> DataFrame:
     """Scores of the texts of every block, once the answers of all its parts are there."""
     both = texts.select("part", "block", "texts").union(replies.select("part", "block", "answer"))
-    both = both.repartition(parts, "block").sortWithinPartitions("block", "part")
+    tasks = min(parts, TASKS)
+    both = both.repartition(tasks, "block").sortWithinPartitions("block", "part")
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("perplexity", pa.float64())])
+    samples = len(sampled)
 
     def scored(body: bytes, got: list[list[np.ndarray]]) -> pa.RecordBatch:
-        ids, named, lengths, train, place, (end, words) = _unpack(body)
-        gathered, count, tokens, *rest = (np.concatenate(x).astype(float) for x in zip(*got, strict=True))
-        pair, at = np.unique(_codes(place, int(end), int(words), lengths), return_inverse=True)
-        word, context = np.divmod(pair, words)
-        ups, tables = rest[:SAMPLES], rest[SAMPLES:]
-        back = sum((THETA + shape["child"] * t[context]) * up[word] for up, t in zip(ups, tables, strict=True)) / SAMPLES
+        ids, named, lengths, train, sizes, number, place = _unpack(body)
+        starts = np.cumsum(sizes) - sizes
+        place = starts[number] + place
+        customers, extra, count, tokens, *rest = (np.concatenate(x).astype(float) for x in zip(*got, strict=True))
+        tables, ups = rest[:samples], rest[samples:]
+        part, words = np.repeat(np.arange(len(sizes)), sizes), len(count)
+        code = _codes(place, int(place[-1]), words, lengths)  # every text ends in the end token
+        pair, of = _pairs(code, part, words)
+        context, word = np.divmod(pair, words)
+        gathered = customers - shape["child"] * (np.minimum(customers, 1) + extra / samples)
+        back = np.zeros(len(pair))
+        for s, totals in enumerate(sampled):
+            up = parent_probability(ups[2 * s], ups[2 * s + 1], *totals, shape["parent"], shape["words"])
+            back += (THETA + shape["child"] * tables[s][context]) * up[word] / samples
         log_p = np.log10((gathered + back) / (THETA + tokens[context]))
+        order = np.argsort(pair, kind="stable")
+        log_p = log_p[order][np.searchsorted(pair[order], code)]
         starts = np.cumsum(lengths) - lengths
         base = np.log10((count + 1) / (shape["tokens"] + shape["words"] + 1))
-        score = np.add.reduceat(log_p[at], starts)
+        score = np.add.reduceat(log_p, starts)
         known = np.add.reduceat((count > 0)[place].astype(np.int64), starts)
         columns = [pa.array(ids, mask=named == 0), train == 0, lengths, known, np.full(len(ids), shape["tokens"]), np.add.reduceat(base[place], starts), score, 10 ** np.minimum(300, -score / lengths)]
         return pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(columns, schema.types, strict=True)], schema=schema)
@@ -598,13 +686,13 @@ def gather_scores(texts: DataFrame, replies: DataFrame, parts: int, shape: dict)
     return both.mapInArrow(run, SCORES)
 
 
-def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = 11) -> DataFrame:
+def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = 11, burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity`` of every whole text.
 
     Texts whose crc32(doc_id as text) mod 7 is not 2 are learnt from (a null id counts as empty text).
     A null or empty text is its end token alone. Repeated rows count as often as they are there. If
     nothing is learnt from, every token has the probability of the uniform base over one unknown
-    word, 1. An empty table gives no rows.
+    word, 1. An empty table gives no rows. A text longer than a block is a block of its own.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -612,21 +700,20 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", see
     blocks = store(read_blocks(rows, parts), "blocks", packed=True)
     asked = blocks.where(F.col("part") < LAST).select("part", "block", "asked")
     counts = store(merge(asked, parts), "counts", packed=True)
-    n1, n2, w1, w2, words, tokens, pairs = map(int, _sums(counts, "totals", 7))
+    n1, n2, w1, w2, words, tokens, pairs = _sums(counts, "totals", 7)
     shape = {"child": n1 / (n1 + 2 * n2) if n2 else 0.5, "parent": w1 / (w1 + 2 * w2) if w2 else 0.5, "words": words, "tokens": tokens}
-    # To start with, each pair has one table in its context, each word one in the parent.
-    totals = (pairs, words)
-    state = counts.select("part", "counts", F.lit(None).cast("binary").alias("seating"), "shares")
-    sampled = []
-    for number in range(BURN_IN + SAMPLES):
-        after = store(sweep(state, number, shape, totals, parts, seed), "seating", packed=True)
-        if number:
-            unstore(state)
-        state, totals = after, tuple(map(int, _sums(after, "totals", 2)))
-        if number >= BURN_IN:
+    around = store(homes(counts, parts), "contexts", packed=True)
+    state, totals, sampled = store(begun(counts), "seating", packed=True), (pairs, words), []
+    for number in range(burn_in + samples):
+        after = store(sweep(counts, state, around, number, burn_in, shape, totals, parts, seed), "seating", packed=True)
+        unstore(state)
+        a, b = _sums(after, "totals", 2)
+        state, totals = after, (a, b)
+        if number >= burn_in:
             sampled.append(totals)
-    replies = answers(asked, state, parts, shape, sampled)
-    return gather_scores(blocks.where(F.col("part") == LAST), replies, parts, shape)
+    seen = context_samples(around, state.where("kept is not null").select("part", "kept"), parts, samples)
+    replies = store(answers(asked, state, seen, parts, samples), "answers", packed=True)
+    return gather_scores(blocks.where(F.col("part") == LAST), replies, parts, shape, sampled)
 
 
 def op10_hpylm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
