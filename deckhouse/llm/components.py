@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import store, unstore
 
 
 def _distinct(edges: DataFrame) -> DataFrame:
@@ -40,5 +40,6 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
         if mark == seen or not mark.n:
             return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        seen = mark
+        seen, before = mark, now
         now = store(_small(_large(now)), "edges")
+        unstore(before)

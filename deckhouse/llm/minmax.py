@@ -8,7 +8,9 @@ if its full shingle sets confirm it, and components are the smallest ids reachab
 No bucket emits all its pairs. A bucket first links its members to its smallest one. Once
 components are known, only members of different components within a bucket are still open, and
 those are compared until none is. So a group of copies costs as much as its members, and no link
-that the bands offer is lost.
+that the bands offer is lost. A bucket that is large and still holds several components (texts that share
+a passage, say) isn't compared: its members meet anew by their rarest shingles, a prefix that linked
+sets can't but share, so what many have in common brings none of them together.
 """
 
 from __future__ import annotations
@@ -94,11 +96,15 @@ def band_keys(distinct: np.ndarray) -> np.ndarray:
     return _mixed(_mixed((both + np.uint64(1)) * _VALUE).sum(1, keepdims=True) * _BAND).ravel().view(np.int64)
 
 
-def prefix_keys(distinct: np.ndarray) -> np.ndarray:
-    """The smallest shingles of a sorted set of up to EXACT, so many that linked sets have one of them in common; none of a larger set."""
+def prefix_keys(distinct: np.ndarray, frequent: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """The first shingles of a sorted set, so many that linked sets have one of them in common, whatever the order is, if it is
+    one for all sets: that of the hashes, but ``frequent`` (sorted shingles and their counts) last. An empty set has none."""
     n = len(distinct)
     least = -(-n * PERCENT // 100)  # shingles that a linked set shares at least
-    return distinct[: n - least + 1].view(np.int64) if 0 < n <= EXACT else np.empty(0, np.int64)
+    if frequent is not None and len(frequent[0]) and n:
+        at = np.minimum(np.searchsorted(frequent[0], distinct), len(frequent[0]) - 1)
+        distinct = distinct[np.argsort(np.where(frequent[0][at] == distinct, frequent[1][at], 0), kind="stable")]
+    return distinct[: n - least + 1 if n else 0].view(np.int64)
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -116,8 +122,11 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 SKETCH, LEAST_EQUAL = 1024, 0.69
 _SKETCH_MULTIPLY = _rng.integers(0, 1 << 32, SKETCH // 2, np.uint32) | np.uint32(1)
 _SKETCH_XOR = _rng.integers(0, 1 << 32, SKETCH // 2, np.uint32)
-#: Members of a bucket that meet in one cell; larger buckets are dealt to pairs of chunks.
+#: Members of a bucket that meet in one cell; members of larger buckets meet by their rarest shingles, in cells of so many.
 CELL = 512
+#: Texts from which the order of shingles is taken, the share of them that makes a shingle frequent, most frequent ones.
+#: (Any order gives the same links; a good one makes less work.)
+ORDER_TEXTS, FREQUENT, MOST_FREQUENT = 2000, 0.005, 200_000
 
 
 def sketch(distinct: np.ndarray) -> np.ndarray:
@@ -138,9 +147,9 @@ def sketch(distinct: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- the operator
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, exact: bool = False) -> DataFrame:
     """``doc_id, digest, n_shingles, keys`` of ``docs(doc_id, text)``: the digest of the word sequence (null
-    without words), the size of the shingle set, its band keys and, of a small set, its prefix."""
+    without words), the size of the shingle set, its band keys and, of a small set, its prefix; if ``exact``, its prefix alone."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -150,7 +159,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 distinct = shingles(words)
                 sizes.append(len(distinct))
                 digests.append(blake2b(b" ".join(words), digest_size=16).digest() if words else None)
-                keys.append(np.concatenate([band_keys(distinct), prefix_keys(distinct)]) if words else None)
+                keys.append(None if not words else prefix_keys(distinct) if exact else np.concatenate([band_keys(distinct), prefix_keys(distinct[: EXACT * (len(distinct) <= EXACT)])]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "n_shingles", "keys"])
 
     return docs.mapInArrow(run, "doc_id long, digest binary, n_shingles long, keys array<long>")
@@ -196,23 +205,68 @@ def _sketches(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "rep long, size long, keys binary, sketch binary, small binary")
 
 
-def open_pairs(buckets: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """``a, b``: pairs that share a bucket, are in different components and alike by sketch.
+def _by_rare_shingles(texts: DataFrame) -> DataFrame:
+    """``key, rep`` of ``texts(rep, text)``: the prefix of each in an order that has frequent shingles last."""
 
-    Members of a large bucket are dealt to chunks, and every two chunks meet in a cell of bounded
-    size; pairs are compared there and only the alike leave, in the first band that they share.
-    """
+    def shingles_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            found = np.concatenate([shingles(low_words(t)) for t in utf8(batch.column(1))])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["key"])
+
+    some = texts.orderBy(F.xxhash64("rep"), "rep").limit(ORDER_TEXTS)
+    often = some.mapInArrow(shingles_of, "key long").groupBy("key").count().where(F.col("count") > max(2, FREQUENT * ORDER_TEXTS))
+    often = often.orderBy(F.desc("count"), "key").limit(MOST_FREQUENT).toPandas()
+    names, count = often["key"].to_numpy(np.int64).view(np.uint64), often["count"].to_numpy(np.int64)
+    order = np.argsort(names)
+    frequent = names[order], count[order]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            keys = [prefix_keys(shingles(low_words(t)), frequent) for t in utf8(batch.column(1))]
+            reps = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(reps)], names=["key", "rep"])
+
+    return texts.mapInArrow(run, "key long, rep long")
+
+
+def _apart(buckets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``key, rep, label`` of all members, and ``of, n`` of the keys whose members are in different components."""
     named = buckets.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
-    of_key = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / CELL).alias("chunks")).where("low < high")
-    mixed = store(named.join(of_key.select(F.col("key").alias("of"), "chunks"), F.col("key") == F.col("of")).drop("of"), "mixed")
+    of_key = named.groupBy(F.col("key").alias("of")).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high")
+    return named, of_key.select("of", "n")
+
+
+def meetings(buckets: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """``key, banded, chunks, rep, label``: the buckets whose members still have to meet. Those of more than CELL members are
+    replaced by the buckets of their members' rarest shingles (``banded`` false), which are cut into chunks of about CELL."""
+    named, of_key = _apart(buckets, labels)
+    of_key = store(of_key, "open-keys")
+    met = named.join(of_key.where(F.col("n") <= CELL), F.col("key") == F.col("of")).select("key", F.lit(True).alias("banded"), F.lit(1).cast("long").alias("chunks"), "rep", "label")
+    large = of_key.where(F.col("n") > CELL)
+    if large.isEmpty():
+        return met
+    wanted = named.join(large, F.col("key") == F.col("of")).select(F.col("rep").alias("of")).distinct()
+    rare = store(_by_rare_shingles(store(texts.join(wanted, F.col("rep") == F.col("of")).select("rep", "text"), "crowd")), "rare")
+    named, of_key = _apart(rare, labels)
+    return met.union(named.join(of_key, F.col("key") == F.col("of")).select("key", F.lit(False), F.ceil(F.col("n") / CELL), "rep", "label"))
+
+
+def open_pairs(buckets: DataFrame, labels: DataFrame, texts: DataFrame, exact: bool = False) -> DataFrame:
+    """``a, b``: pairs that share a bucket, are in different components and alike by sketch (if ``exact``, by size alone).
+
+    Every two chunks of a bucket meet in a cell of bounded size; pairs are compared there and only the alike leave,
+    of a band in the first band that they share. No bucket, no pair: empty inputs give no rows.
+    """
+    mixed = store(meetings(buckets, labels, texts), "mixed")
     wanted = mixed.select(F.col("rep").alias("of")).distinct()
     known = store(_sketches(texts.join(wanted, F.col("rep") == F.col("of")).select("rep", "text")), "sketches")
     rows = mixed.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    rows = rows.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "label", F.col("rep").alias("of"))
-    rows = rows.join(known, F.col("of") == F.col("rep")).select("key", "i", "j", "chunk", "rep", "label", "size", "keys", "sketch", "small")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+    rows = rows.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "banded", "chunk", "label", F.col("rep").alias("of"))
+    cell = ["key", "i", "j", "banded"]
+    rows = rows.join(known, F.col("of") == F.col("rep")).select(*cell, "chunk", "rep", "label", "size", "keys", "sketch", "small")
+    rows = rows.repartition(*cell).sortWithinPartitions(*cell, "rep")
 
-    def compare(key: int, i: int, j: int, cell: list[tuple]) -> Iterator[tuple[int, int]]:
+    def compare(key: int, i: int, j: int, banded: bool, cell: list[tuple]) -> Iterator[tuple[int, int]]:
         chunk, rep, label, size = (np.array(x, np.int64) for x in list(zip(*cell, strict=True))[:4])
         keys = np.frombuffer(b"".join(x[4] for x in cell), np.int64).reshape(len(cell), -1)
         bytes_ = np.frombuffer(b"".join(x[5] for x in cell), np.uint8).reshape(len(cell), -1)
@@ -220,6 +274,11 @@ def open_pairs(buckets: DataFrame, labels: DataFrame, texts: DataFrame) -> DataF
         sets = np.zeros((len(cell), EXACT), np.uint64)
         held = np.arange(EXACT) < np.where(size <= EXACT, size, 0)[:, None]
         sets[held] = np.frombuffer(b"".join(x[6] for x in cell), np.uint64)
+
+        def pairs(x: int, at: np.ndarray) -> Iterator[tuple[int, int]]:
+            for y in at:
+                yield (int(rep[x]), int(rep[y])) if rep[x] < rep[y] else (int(rep[y]), int(rep[x]))
+
         for x in range(len(cell) - 1):
             later = slice(x + 1, None)
             near = (label[later] != label[x]) & (np.minimum(size[later], size[x]) * 100 >= PERCENT * np.maximum(size[later], size[x])) & (rep[later] != rep[x])
@@ -229,18 +288,17 @@ def open_pairs(buckets: DataFrame, labels: DataFrame, texts: DataFrame) -> DataF
             if not len(at):
                 continue
             if size[x] <= EXACT:
-                exact = at[size[at] <= EXACT]
-                common = (np.isin(sets[exact], sets[x][held[x]]) & held[exact]).sum(1)
-                for y in exact[100 * common >= PERCENT * (size[exact] + size[x] - common)]:
-                    yield (int(rep[x]), int(rep[y])) if rep[x] < rep[y] else (int(rep[y]), int(rep[x]))
+                small = at[size[at] <= EXACT]
+                common = (np.isin(sets[small], sets[x][held[x]]) & held[small]).sum(1)
+                yield from pairs(x, small[100 * common >= PERCENT * (size[small] + size[x] - common)])
                 at = at[size[at] > EXACT]
-            at = at[np.count_nonzero(bytes_[at] == bytes_[x], axis=1) >= LEAST_EQUAL * SKETCH]
-            if not len(at):
-                continue
-            shared = keys[at] == keys[x]
-            first = keys[x][np.argmax(shared, axis=1)]
-            for y in at[shared.any(1) & (first == key)]:
-                yield (int(rep[x]), int(rep[y])) if rep[x] < rep[y] else (int(rep[y]), int(rep[x]))
+            if not exact:
+                at = at[np.count_nonzero(bytes_[at] == bytes_[x], axis=1) >= LEAST_EQUAL * SKETCH]
+                if banded and len(at):
+                    shared = keys[at] == keys[x]
+                    first = keys[x][np.argmax(shared, axis=1)]
+                    at = at[shared.any(1) & (first == key)]
+            yield from pairs(x, at)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def finish() -> Iterator[pa.RecordBatch]:
@@ -251,26 +309,27 @@ def open_pairs(buckets: DataFrame, labels: DataFrame, texts: DataFrame) -> DataF
 
         now, cell = None, []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in range(10)), strict=True):
-                if row[:3] != now:
+            for row in zip(*(batch.column(c).to_pylist() for c in range(11)), strict=True):
+                if row[:4] != now:
                     yield from finish()
-                    now, cell = row[:3], []
-                cell.append(row[3:])
+                    now, cell = row[:4], []
+                cell.append(row[4:])
         yield from finish()
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", exact: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``.
 
     ``component_id`` is the smallest doc_id reachable over links, the own one included. Texts without
     words (null, empty, white space) have no shingles and are linked with nothing. Rows that repeat an
     id are one document with several texts and share its component. Rows with a null id can be neither
     named nor reached: their component is null and they are not kept. An empty table gives no rows.
+    ``exact``: candidates come from prefixes of the sets alone, without bands and sketches, so no link is missed.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = store(signatures(rows), "signatures")
+    signed = store(signatures(rows, exact), "signatures")
     named = signed.where("doc_id is not null")
     # Exact copies are one class, named by its smallest id; only classes go on.
     classes = store(named.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "classes")
@@ -280,9 +339,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     same_id = same_id.select("u", "v").union(same_id.select(F.col("doc_id").alias("u"), F.col("u").alias("v")))
 
     bands = classes.select("rep", F.explode("keys").alias("key"))
-    of_key = Window.partitionBy("key").orderBy("rep")
-    bands = bands.withColumn("leader", F.first("rep").over(of_key)).withColumn("next", F.lead("rep").over(of_key))
-    buckets = store(bands.where("leader <> rep or next is not null").select("key", "rep", "leader"), "buckets")
+    shared = bands.groupBy(F.col("key").alias("of")).agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last")
+    buckets = store(bands.join(shared, F.col("key") == F.col("of")).select("key", "rep", "leader"), "buckets")
     wanted = buckets.select(F.col("rep").alias("of")).distinct()
     texts = store(rows.join(wanted, F.col("doc_id") == F.col("of")).select(F.col("doc_id").alias("rep"), "text"), "texts")
 
@@ -291,7 +349,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     links = store(verified(pairs, texts).union(same_id), "links")
     labels = components(links)
     # Second round: what shares a bucket and is still apart.
-    more = store(verified(store(open_pairs(buckets, labels, texts), "open"), texts), "links")
+    more = store(verified(store(open_pairs(buckets, labels, texts, exact), "open"), texts), "links")
     labels = components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).union(more))
 
     out = members.join(labels, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
