@@ -1,15 +1,21 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Tokens of a page are its structural start tags and its text blocks, each told apart by its path of
-structural elements. Tokens of one host with the same occurrence vector over the host's pages form
-an equivalence class. A class is valid if it occurs on enough pages and is large enough. Of a valid
-class, the texts that keep their place (after the same sibling tag, or first in the same element) are
-the host's template: they are page furniture, and what remains between its tags are slots. What stands
-inside another element of the page, such as an article, changes no place. The slots under boilerplate elements are dropped, those of the article make the text.
+Tokens of a page are its structural start tags and its text blocks, each told apart by the chain of
+structural elements around it. Tokens of one host with the same occurrence vector over the host's pages form
+an equivalence class. A class is valid if it occurs on enough pages and is large enough; as a token names the elements
+around it, the tags of valid classes nest into the host's template. What remains between them are its slots:
+
+* The main slot is the template's article (the innermost that holds three quarters of what any of them holds), or without one
+  the innermost element that holds three quarters of the host's text. Only it makes the text, with what stands right in the
+  elements around it if it is no article.
+* Texts of a valid class that keep their place (after the same sibling tag, or first in the same element) are furniture, too.
+
+Words that name furniture decide only where there is no template: on pages without their host's main slot, and, as the
+contract drops adverts, forms, notices and comments from articles, for whole blocks inside one.
 
 Occurrence vectors are never collected: a vector is represented by its support and by two sums of
 31-bit hashes of (page, count), which partial aggregation adds up before any shuffle. So a host
-with a third of all pages is as cheap as any other.
+with a third of all pages is as cheap as any other. Reading a page takes time in proportion to its length, whatever is in it.
 """
 
 from __future__ import annotations
@@ -32,9 +38,11 @@ LEAST_PAGES, LEAST_TOKENS = 8, 3
 #: once for each page, must be so many: few pages say as much by many texts as many pages by one.
 LEAST_SIGHTINGS = 8
 
+# A tag ends at its >, before the next < or with the page, so that no start is read on from twice.
+_ATTRIBUTES = r"((?:\"[^\"]*\"|'[^']*'|[^'\"<>]+|['\"])*+)"
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|textarea|svg|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([A-Za-z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|textarea|svg|title)\b{_ATTRIBUTES}(?:>.*?(?:</\1\s*>|\Z)|(?=<)|\Z)"
+    rf"|<(/?)([A-Za-z][\w:-]*){_ATTRIBUTES}(?:>|(?=<)|\Z)|<[!?][^<>]*(?:>|(?=<)|\Z)",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -61,122 +69,166 @@ MAIN_WORDS = frozenset("articlebody main".split())
 HEADER_WORDS = frozenset(("header",))
 
 
-def blocks_of(page: str) -> Iterator[tuple[str, tuple[str, ...], str, bool, bool]]:
-    """Events of a page in order: ``(kind, path, value, furniture, main)``.
+_DIGITS, _HEAD = re.compile(r"\d+"), re.compile(r"[^-_]*")
+#: Elements whose token is their name: what class and id they have differs from page to page.
+PLAIN = frozenset("html head body main".split())
+
+
+class Event:
+    """A structural start tag, or a block of text (white space made one, references decoded).
+
+    ``token`` names it with the elements around it, ``parent`` the innermost of those. ``furniture`` tells that an element around
+    it (below the main slot, if it is in one) is boilerplate by name, ``main`` that it is in an article or main element,
+    ``inside`` that it is in the main slot. Of a tag ``held`` counts the characters of text that are in the element and no furniture.
+    """
+
+    __slots__ = ("tag", "parent", "token", "text", "furniture", "main", "inside", "core", "depth", "held")
+
+    def __init__(self, tag: bool, parent: int, token: int, text: str, furniture: bool, main: bool, inside: bool, core: bool = False, depth: int = 0) -> None:
+        self.tag, self.parent, self.token, self.text, self.furniture, self.main, self.inside, self.core, self.depth, self.held = tag, parent, token, text, furniture, main, inside, core, depth, 0
+
 
-    kind is ``tag`` for a structural start tag (value: the tag with its class and id) or ``text`` for a
-    block of text (white space made one, references decoded). ``furniture`` tells that an element
-    around it is boilerplate by name, ``main`` that it is inside an article or main element. Unclosed and
-    unmatched tags are taken as browsers do in the common cases: an end tag closes down to its start
+def events_of(page: str, slot: int = 0) -> tuple[list[Event], set[int]]:
+    """Events of a page in order, and the tokens of the elements around the main slot ``slot`` where it is first met.
+
+    Unclosed and unmatched tags are taken as browsers do in the common cases: an end tag closes down to its start
     tag if there is one, inline tags never nest.
 
-    A word in class, id, role or itemprop marks an element only as a whole token (of an inline element also
-    as its head, as in ``share-count``), never an html, body, main or article element, a heading by its id,
-    or what is in code, and never an element around an article that no such word names.
+    A word in class, id, role or itemprop marks an element only as a whole token (of an inline element also as its head, as in
+    ``share-count``, and in an article only so), never an html, body, main or article element, a heading or anything in an article by its
+    id, or what is in code, and never an element around an article that no such word names.
     """
     around: dict[bool, set[int]] = {False: set(), True: set()}  # elements by word around articles that no word names, or one does
-    events = list(_events(page, frozenset(), around))
+    found = _events(page, slot, frozenset(), around)
     exempt = (around[False] or around[True]) - {-1}
-    yield from _events(page, frozenset(exempt), {False: set(), True: set()}) if exempt else events
+    return _events(page, slot, frozenset(exempt), {False: set(), True: set()}) if exempt else found
 
 
-def _events(page: str, exempt: frozenset[int], around: dict[bool, set[int]]) -> Iterator[tuple[str, tuple[str, ...], str, bool, bool]]:
-    """``blocks_of``, where words don't mark the elements at the offsets ``exempt``; adds to ``around`` the
+def _events(page: str, slot: int, exempt: frozenset[int], around: dict[bool, set[int]]) -> tuple[list[Event], set[int]]:
+    """``events_of``, where words don't mark the elements at the offsets ``exempt``; adds to ``around`` the
     offsets of the marked elements around articles (-1 if there is an article), by whether a word names the article."""
+    out: list[Event] = []
     code = False
-    marks: list[int] = [-1]  # for each element in the stack, its offset if a word marks it, else -1
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
-    path: tuple[str, ...] = ()
+    root = Event(True, 0, 0, "", False, False, False)
+    stack: list[tuple[str, Event]] = [("", root)]
+    open_: Counter[str] = Counter()
+    marked: list[tuple[int, int]] = []  # offset and depth of the open elements that a word marks
+    told = {False: 0, True: 0}  # how many of those are in ``around``
     parts: list[str] = []
     mute: tuple[str, bool] | None = None  # an element whose text goes; does it last until its end tag?
-    at = 0
+    outer: set[int] = set()
+    at = total = 0
 
-    def flush() -> Iterator[tuple]:
+    def flush() -> None:
+        nonlocal total
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            yield "text", path, text, stack[-1][2], stack[-1][3]
+            e = stack[-1][1]
+            out.append(Event(False, e.token, 0, text, e.furniture, e.main, e.inside))
+            total += 0 if e.furniture else len(text)
+
+    def close() -> str:
+        name, e = stack.pop()
+        e.held += total
+        open_[name] -= 1
+        while marked and marked[-1][1] >= len(stack):
+            marked.pop()
+        return name
 
     for m in _MARKUP.finditer(page):
         if m.start() > at and not mute:
             parts.append(page[at : m.start()])
         at = m.end()
-        name = (m[3] or "").lower()
+        name = (m[4] or "").lower()
         if not name:
             if m[1] and m[1].lower() not in ("script", "style", "noscript", "template"):
-                yield from flush()
+                flush()
             continue
-        attributes = {k.lower(): (x or y or z).lower() for k, x, y, z in _ATTRIBUTE.findall(m[4])} if len(m[4]) > 4 and not m[2] else {}
+        inner = stack[-1][1]
+        attributes = {k.lower(): (x or y or z).lower() for k, x, y, z in _ATTRIBUTE.findall(m[5])} if len(m[5]) > 4 and not m[3] else {}
         words = {w for v in attributes.values() for w in _PIECES.findall(v)}
         if name in ("pre", "code"):
-            code = not m[2]
-        tokens = {w for k, v in attributes.items() if k != "id" or name not in HEADINGS for w in v.split()}
+            code = not m[3]
+        tokens = {w for k, v in attributes.items() if k != "id" or not (name in HEADINGS or inner.main) for w in v.split()}
         if name in INLINE:
-            tokens |= {w.split("-")[0].split("_")[0] for w in tokens}
+            heads = {w: _HEAD.match(w)[0] for w in tokens}
+            tokens = {head for w, head in heads.items() if head != w} | (set() if inner.main else tokens)
         named = bool(tokens & FURNITURE_WORDS)
-        marked = named and not code and name not in ("html", "body", "main", "article") and m.start() not in exempt
-        empty = m[4].endswith("/") or name in EMPTY
+        own = name not in PLAIN and name != "article"
+        by_word = named and not code and own and m.start() not in exempt
+        empty = m[5].endswith("/") or name in EMPTY
         if name in INLINE and name not in FURNITURE:
-            if mute and m[2] and mute[0] == name:
+            if mute and m[3] and mute[0] == name:
                 mute = None
-            elif marked and not mute and not empty:
+            elif by_word and not mute and not empty:
                 mute = (name, False)
             continue
         if name == "br":
             if not mute:
                 parts.append(" ")
             continue
-        yield from flush()
-        if mute and (not mute[1] or m[2] and mute[0] == name):
+        flush()
+        if mute and (not mute[1] or m[3] and mute[0] == name):
             mute = None
-            if m[2]:
+            if m[3]:
                 continue
-        if m[2]:
-            if any(x[0] == name for x in stack):
-                while stack.pop()[0] != name:
+        if m[3]:
+            if open_[name] > 0:
+                while close() != name:
                     pass
-                del marks[len(stack) :]
-                path = tuple(x[1] for x in stack[1:])
             continue
-        _, _, furniture, main = stack[-1]
         core = name in ("article", "main") or bool(words & MAIN_WORDS)
-        head = bool(tokens & HEADER_WORDS) and name not in ("html", "body", "main", "article") and m.start() not in exempt and not main
-        bad = name in FURNITURE or marked or head or (not main and name == "header")
+        head = bool(tokens & HEADER_WORDS) and own and m.start() not in exempt and not inner.main
+        bad = name in FURNITURE or by_word or head or (not inner.main and name == "header")
         if name in STRUCTURE or (bad and name not in FURNITURE and name not in PARAGRAPHS):
-            value = name + "".join(f"[{k}={attributes[k]}]" for k in ("class", "id") if k in attributes)
-            yield "tag", path, value, furniture or bad, main or core
+            said = "" if name in PLAIN else " ".join(sorted(tokens & FURNITURE_WORDS)) if name == "article" else _DIGITS.sub("0", "|".join(attributes.get(k, "") for k in ("class", "id")))
+            token = xxhash.xxh64_intdigest(f"{name}|{said}", inner.token) >> 1
+            inside = bool(slot) and token == slot
+            if inside and not outer:
+                outer.update(e.token for _, e in stack)
+            e = Event(True, inner.token, token, "", not inside and (inner.furniture or bad), inner.main or core, inner.inside or inside, core, len(stack))
+            out.append(e)
             if core:
-                around[named].update(marks)
+                around[named].add(-1)
+                around[named].update(x for x, _ in marked[told[named] :])
+                told[named] = len(marked)
             if not empty:
-                marks.append(m.start() if (marked or head) and name not in FURNITURE else -1)
-                stack.append((name, value, furniture or bad, main or core))
-                path = (*path, value)
+                e.held = -total
+                if (by_word or head) and name not in FURNITURE:
+                    marked.append((m.start(), len(stack)))
+                stack.append((name, e))
+                open_[name] += 1
+                told = {k: min(n, len(marked)) for k, n in told.items()} if len(marked) < max(told.values()) else told
         elif bad and not empty and not mute:
             mute = (name, name in FURNITURE)
     if at < len(page) and not mute:
         parts.append(page[at:])
-    yield from flush()
+    flush()
+    while len(stack) > 1:
+        close()
+    return out, outer
 
 
-def token_hash(kind: str, path: tuple[str, ...], value: str) -> int:
-    return xxhash.xxh64_intdigest("\x1f".join((kind, *path, value))) >> 1
+def text_token(e: Event) -> int:
+    return xxhash.xxh64_intdigest(e.text, e.parent ^ 1) >> 1
 
 
-def main_text(page: str, template: frozenset[int]) -> str:
-    """Blocks of the article slots, joined by a space; ``template`` holds the hashes of the host's template texts."""
-    kept, rest, whole = [], [], []
-    has_main = False
-    for kind, path, value, furniture, main in blocks_of(page):
-        has_main |= main and not furniture
-        if kind != "text" or furniture:
-            continue
-        whole.append((main, value))
-        if not template or token_hash(kind, path, value) not in template:
-            (kept if main else rest).append(value)
-    if has_main:
-        # An article that is all template is a page that its host repeats: then it is the text.
-        return " ".join(kept or [v for main, v in whole if main])
-    return " ".join(rest or [v for _, v in whole])
+def main_text(page: str, texts: frozenset[int] = frozenset(), slot: int = 0, article: bool = True) -> str:
+    """The text of a page, block by block, joined by a space. ``texts`` holds the tokens of the host's template texts, ``slot`` the
+    token of its main slot (0: none), ``article`` whether that is one; a page without it is read by elements and words."""
+    events, outer = events_of(page, slot)
+    blocks = [e for e in events if not e.tag and not e.furniture]
+    slots = [e for e in blocks if e.inside]
+    if slots:
+        chosen = slots if article else [e for e in blocks if e.inside or e.parent in outer]
+    else:
+        main = [e for e in blocks if e.main]
+        # (A page with an article that says nothing has no text.)
+        chosen = main if main or any(e.tag and e.main and not e.furniture for e in events) else blocks
+    # A text that is all template is a page that its host repeats: then it is the text.
+    kept = [e for e in chosen if text_token(e) not in texts] if texts else chosen
+    return " ".join(e.text for e in kept or chosen)
 
 
 def host_of(url: Column) -> Column:
@@ -184,12 +236,15 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
 
 
-OCCURRENCES = "host string, token long, before long, tag boolean, main boolean, half1 long, half2 long"
+OCCURRENCES = "host string, token long, before long, tag boolean, main boolean, core boolean, usable boolean, depth int, held long, half1 long, half2 long"
+_TYPES = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "int": pa.int32()}
+_OCCURRENCES = pa.schema([(n, _TYPES[t]) for n, t in (x.split() for x in OCCURRENCES.split(", "))])
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """One row for each token of each page: the token, the tag before it among its siblings (or around it), whether it is a tag,
-    whether it is in an article, and the page's share of its occurrence vector."""
+    """One row for each token of each page: the token, the tag before it among its siblings (or around it), whether it is a tag, in an
+    article, an article, no furniture (and so usable as a slot), how deep it is, how much text it holds, and the page's share of its
+    occurrence vector."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
@@ -197,73 +252,85 @@ def occurrences(pages: DataFrame) -> DataFrame:
             for host, url, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if not page:
                     continue
-                count: Counter[int] = Counter()
-                before: dict[int, int] = {}
-                tags, mains = set(), set()
-                last: dict[tuple[str, ...], int] = {}
-                for kind, path, value, _, main in blocks_of(page):
-                    token = token_hash(kind, path, value)
-                    count[token] += 1
-                    before.setdefault(token, last.get(path, 0))
-                    if main:
-                        mains.add(token)
-                    if kind == "tag":
-                        tags.add(token)
-                        last[path] = last[(*path, value)] = token
+                rows: dict[int, list] = {}
+                last: dict[int, int] = {}
+                for e in events_of(page)[0]:
+                    token = e.token if e.tag else text_token(e)
+                    row = rows.get(token)
+                    if row is None:
+                        row = rows[token] = [0, last.get(e.parent, 0), e.tag, False, False, False, e.depth, 0]
+                    row[0] += 1
+                    row[3] |= e.main
+                    row[4] |= e.core
+                    row[5] |= e.tag and not e.furniture
+                    row[7] += e.held
+                    if e.tag:
+                        last[e.parent] = last[token] = token
                 seed = xxhash.xxh64_intdigest(f"{url}\x1f{page}")
-                for token, n in count.items():
+                for token, (n, *rest) in rows.items():
                     h = xxhash.xxh64_intdigest(n.to_bytes(8, "little"), seed)
-                    out.append((host, token, before[token], token in tags, token in mains, h & 0x7FFFFFFF, h >> 33))
+                    out.append((host, token, *rest, h & 0x7FFFFFFF, h >> 33))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64()], strict=True)], names=["host", "token", "before", "tag", "main", "half1", "half2"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _OCCURRENCES.types, strict=True)], schema=_OCCURRENCES)
 
     return pages.mapInArrow(run, OCCURRENCES)
 
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
-    """``host, texts``: hashes of the template texts of every host that has any.
+    """``host, texts, slot, article`` of every host with a template: tokens of its template texts (none: empty), the token of its main slot
+    (none: null) and whether that is an article.
 
     Two shuffles, of one row for each distinct token of a host and then of one for each token that
-    is frequent enough; a template is as large as the host's page furniture, not as its pages.
+    is on two pages; a template is as large as the host's page furniture, not as its pages.
     """
     tokens = occurrences(pages).groupBy("host", "token").agg(
-        F.count("*").alias("support"), F.sum("half1").alias("half1"), F.sum("half2").alias("half2"), F.max("tag").alias("tag"), F.max("main").alias("main"), F.min("before").alias("low"), F.max("before").alias("high")
+        F.count("*").alias("support"), F.sum("half1").alias("half1"), F.sum("half2").alias("half2"), F.max("tag").alias("tag"), F.max("main").alias("main"), F.min("before").alias("low"), F.max("before").alias("high"),
+        F.max("core").alias("core"), F.min("usable").alias("usable"), F.max("depth").alias("depth"), F.sum("held").alias("held"),
     )
     frequent = tokens.where("support >= 2").withColumn("ordered", F.col("low") == F.col("high"))
     vector = ["host", "support", "half1", "half2"]
     small = F.col("support") < LEAST_PAGES
-    classes = frequent.groupBy(*vector).agg(F.count("*").alias("size"), F.count_if("tag").alias("tags"), F.collect_list(F.when(~F.col("tag") & F.col("ordered") & ~(small & F.col("main")), F.col("token"))).alias("texts"))
-    enough = (F.col("size") >= LEAST_TOKENS) & (F.col("tags") >= 2) & (~small | (F.col("support") * F.size("texts") >= LEAST_SIGHTINGS))
+    element = F.when(F.col("tag") & F.col("usable"), F.struct("core", "held", (-F.col("depth")).alias("up"), "token"))
+    classes = frequent.groupBy(*vector).agg(
+        F.count("*").alias("size"), F.count_if("tag").alias("tags"), F.collect_list(F.when(~F.col("tag") & F.col("ordered") & ~(small & F.col("main")), F.col("token"))).alias("texts"), F.collect_list(element).alias("elements")
+    )
+    valid = (F.col("size") >= LEAST_TOKENS) & (F.col("tags") >= 2)
+    enough = valid & (~small | (F.col("support") * F.size("texts") >= LEAST_SIGHTINGS))
     found = F.collect_list(F.when(enough & (F.size("texts") > 0), F.struct("support", "texts")))
     # The most frequent token of a small host is on all of its pages.
-    hosts = classes.groupBy("host").agg(F.max("support").alias("pages"), found.alias("found"))
+    hosts = classes.groupBy("host").agg(F.max("support").alias("pages"), found.alias("found"), F.flatten(F.collect_list(F.when(valid, F.col("elements")))).alias("elements"))
     whole = F.filter("found", lambda c: (c["support"] >= LEAST_PAGES) | (c["support"] == F.col("pages")))
-    return hosts.select("host", F.array_sort(F.flatten(F.transform(whole, lambda c: c["texts"]))).alias("texts")).where(F.size("texts") > 0)
+    articles = F.filter("elements", lambda e: e["core"] & (e["held"] > 0))
+    hosts = hosts.select("host", F.array_sort(F.flatten(F.transform(whole, lambda c: c["texts"]))).alias("texts"), "elements", articles.alias("articles"))
+    hosts = hosts.withColumn("article", F.size("articles") > 0).withColumn("among", F.when(F.col("article"), F.col("articles")).otherwise(F.col("elements")))
+    most = F.array_max(F.transform("among", lambda e: e["held"]))
+    holding = F.transform(F.filter("among", lambda e: (e["held"] > 0) & (e["held"] * 4 >= most * 3)), lambda e: F.struct(e["held"], e["up"], e["token"]))
+    return hosts.select("host", "texts", F.array_min(holding)["token"].alias("slot"), "article").where((F.size("texts") > 0) | F.col("slot").isNotNull())
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` for every page, from its whole html.
 
     Null and empty pages have an empty text; null urls share the nameless host; repeated rows are
-    kept. Only the named columns are read. Templates are joined by host: broadcast if Spark's size
-    estimate of the stored templates allows, else by a shuffle whose skewed hosts AQE splits.
+    kept. Only the named columns are read. Very long pages and pages of broken markup take time in proportion to their length. Templates
+    are joined by host: broadcast if Spark's size estimate of the stored templates allows, else by a shuffle whose skewed hosts AQE splits.
     """
     rows = pages.select(host_of(F.col(url)).alias("host"), F.col(url).alias("url"), F.col(page).alias("html"), F.col(page_id).cast("long").alias("page_id"))
     templates = store(deduce_templates(rows), "page-templates")
-    joined = rows.join(templates, "host", "left").select("page_id", "url", "html", "host", "texts")
+    joined = rows.join(templates, "host", "left").select("page_id", "url", "html", "host", "texts", "slot", "article")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, frozenset[int]] = {}
+        known: dict[str, tuple] = {}
         for batch in slices(batches, 2):
             texts = []
-            lists = batch.column(4)
             for i, (host, source) in enumerate(zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 template = known.get(host)
                 if template is None:
                     if len(known) > 4096:
                         known.clear()
-                    template = known[host] = frozenset(lists[i].as_py() or ())
-                texts.append(main_text(source or "", template))
+                    repeated, slot, article = (batch.column(c)[i].as_py() for c in (4, 5, 6))
+                    template = known[host] = frozenset(repeated or ()), slot or 0, bool(article)
+                texts.append(main_text(source or "", *template))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
