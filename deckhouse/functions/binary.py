@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -47,84 +49,150 @@ def gif_frame_count(media: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield some.map(gif_frames).astype("Int32")
 
 
-_START = re.compile(rb"startxref\s+(\d+)\s*%%EOF\s*$")
-_REFERENCE = rb"(\d+)\s+0\s+R"
+class PdfError(ValueError):
+    """A file that isn't a PDF with classic cross-reference tables."""
+
+
+class Ref(NamedTuple):
+    number: int
+    generation: int
+
+
+class Raw(bytes):
+    """A token kept as it is written: a string, a number, a keyword, a name with its slash."""
+
+
+_TOKEN = re.compile(rb"(?:[\x00\t\n\f\r ]|%[^\r\n]*)*(<<|>>|[\[\]]|/[^\x00\t\n\f\r ()<>\[\]{}/%]*|<[0-9A-Fa-f\s]*>|\(|[^\x00\t\n\f\r ()<>\[\]{}/%]+)")
+_NESTING = re.compile(rb"\\.|[()]", re.S)
+
+
+class Scanner:
+    """Reads PDF objects from bytes: dictionaries as dict, arrays as list, references as Ref, all else as Raw."""
+
+    def __init__(self, data: bytes, at: int) -> None:
+        self.data, self.at = data, at
+
+    def token(self) -> bytes:
+        found = _TOKEN.match(self.data, self.at)
+        if not found:
+            raise PdfError(f"no token at byte {self.at}")
+        self.at = found.end()
+        if found[1] != b"(":
+            return found[1]
+        depth, begin = 1, found.start(1)
+        while depth:  # a string ends where its brackets balance
+            sign = _NESTING.search(self.data, self.at)
+            if not sign:
+                raise PdfError(f"a string without end at byte {begin}")
+            depth += {b"(": 1, b")": -1}.get(sign[0], 0)
+            self.at = sign.end()
+        return self.data[begin : self.at]
+
+    def value(self, most: int = 100):
+        return self._from(self.token(), most)
+
+    def _from(self, token: bytes, most: int):
+        if not most:
+            raise PdfError("objects nested too deeply")
+        if token == b"<<":
+            pairs = self._until(b">>", most)
+            return dict(zip(pairs[::2], pairs[1::2], strict=False))
+        if token == b"[":
+            return self._until(b"]", most)
+        return Raw(token)
+
+    def _until(self, end: bytes, most: int) -> list:
+        out: list = []
+        while (token := self.token()) != end:
+            if token == b"R" and len(out) > 1:
+                generation, number = out.pop(), out.pop()
+                out.append(Ref(int(number), int(generation)))
+            else:
+                out.append(self._from(token, most - 1))
+        return out
+
+
+def pdf_bytes(value) -> bytes:
+    """An object as it is written in a file."""
+    if isinstance(value, dict):
+        return b"<< " + b" ".join(k + b" " + pdf_bytes(v) for k, v in value.items()) + b" >>"
+    if isinstance(value, list):
+        return b"[" + b" ".join(map(pdf_bytes, value)) + b"]"
+    return b"%d %d R" % value if isinstance(value, Ref) else value
+
+
+class Leaf(NamedTuple):
+    """A page: its object and the box that it has or inherits."""
+
+    ref: Ref
+    entries: dict
+    box: list
+
+
+_LETTER = [b"0", b"0", b"612", b"792"]
 
 
 class Pdf:
-    """Objects of a PDF file with classic cross-reference tables."""
+    """A PDF file with classic cross-reference tables."""
 
     def __init__(self, data: bytes) -> None:
         self.data = data
-        start = _START.search(data[-2048:])
-        if not start:
-            raise ValueError("no startxref")
-        self.start = int(start[1])
-        self.offsets: dict[int, int] = {}
-        self.trailer = b""
-        at: int | None = self.start
-        seen: set[int] = set()
-        while at is not None and at not in seen and 0 < at < len(data):
-            seen.add(at)
-            at = self._table(at)
-        root = re.search(rb"/Root\s+" + _REFERENCE, self.trailer)
-        if not root:
-            raise ValueError("no /Root in trailer")
-        self.root = int(root[1])
-
-    def _table(self, at: int) -> int | None:
-        """Read one table, newest first; the place of the one before."""
-        if self.data[at : at + 4] != b"xref":
-            raise ValueError("cross-reference streams are not supported")
-        at += 4
-        while head := re.compile(rb"\s*(\d+)\s+(\d+)\s*").match(self.data, at, at + 64):
-            first, count = int(head[1]), int(head[2])
-            for n, entry in enumerate(re.findall(rb"(?s).{20}", self.data[head.end() : head.end() + 20 * count])):
-                if entry[17:18] == b"n":
-                    self.offsets.setdefault(first + n, int(entry[:10]))
-            at = head.end() + 20 * count
-        at = self.data.find(b"trailer", at)
-        if at < 0:
+        mark = data.rfind(b"startxref")
+        if mark < 0:
+            raise PdfError("no startxref")
+        self.start = int(Scanner(data, mark + 9).token())
+        self.places: dict[int, int] = {}
+        self.trailer: dict = {}
+        for places, trailer in self._revisions():  # the newest comes first, and what it says counts
+            self.places = places | self.places
+            self.trailer = trailer | self.trailer
+        if not isinstance(self.trailer.get(b"/Root"), Ref):
+            raise PdfError("the trailer names no catalogue")
+
+    def _revisions(self) -> Iterator[tuple[dict[int, int], dict]]:
+        at, met = self.start, set()
+        while at not in met:
+            met.add(at)
+            scan = Scanner(self.data, at)
+            if scan.token() != b"xref":
+                raise PdfError("no classic cross-reference table (a stream, perhaps)")
+            places = {}
+            while (word := scan.token()) != b"trailer":
+                first, count = int(word), int(scan.token())
+                for number in range(first, first + count):
+                    place, _, kind = scan.token(), scan.token(), scan.token()
+                    if kind == b"n":
+                        places[number] = int(place)
+            trailer = scan.value()
+            yield places, trailer
+            if b"/Prev" not in trailer:
+                return
+            at = int(trailer[b"/Prev"])
+
+    def object(self, value):
+        """What a reference refers to (null objects and missing ones: None); any other value is itself."""
+        if not isinstance(value, Ref):
+            return value
+        if value.number not in self.places:
             return None
-        trailer = self.data[at + 7 : at + 2055]
-        self.trailer = self.trailer or trailer
-        before = re.search(rb"/Prev\s+(\d+)", trailer)
-        return int(before[1]) if before else None
-
-    def body(self, number: int) -> bytes | None:
-        at = self.offsets.get(number)
-        head = re.compile(rb"\s*\d+\s+\d+\s+obj").match(self.data, at, at + 64) if at is not None else None
-        return self.data[head.end() : self.data.find(b"endobj", head.end())] if head else None
-
-    def pages(self) -> list[int]:
-        """Object numbers of the pages in order; the tree is followed 64 levels deep."""
-        top = re.search(rb"/Pages\s+" + _REFERENCE, self.body(self.root) or b"")
-        out: list[int] = []
-        waiting = [(int(top[1]), 0)] if top else []
+        scan = Scanner(self.data, self.places[value.number])
+        scan.token(), scan.token(), scan.token()  # its number, its generation, obj
+        return scan.value()
+
+    def leaves(self) -> Iterator[Leaf]:
+        """The pages in order. Boxes are inherited downwards; US letter if no node has one."""
+        root = self.object(self.trailer[b"/Root"])
+        waiting = [(root.get(b"/Pages"), _LETTER, frozenset())] if isinstance(root, dict) else []
         while waiting:
-            number, depth = waiting.pop()
-            body = self.body(number)
-            if body is None or depth > 64:
+            ref, box, above = waiting.pop()
+            node = self.object(ref)
+            if not isinstance(ref, Ref) or not isinstance(node, dict) or ref in above:
                 continue
-            if re.search(rb"/Type\s*/Page[^s]", body):
-                out.append(number)
-            elif kids := re.search(rb"(?s)/Kids\s*\[(.*?)\]", body):
-                waiting += [(int(k), depth + 1) for k in reversed(re.findall(_REFERENCE, kids[1]))]
-        return out
-
-    def media_box(self, number: int) -> tuple[float, ...]:
-        """The page's box or the nearest parent's; US letter if none has one."""
-        for _ in range(33):
-            body = self.body(number)
-            if body is None:
-                break
-            if box := re.search(rb"/MediaBox\s*\[\s*" + rb"\s+".join([rb"([\d.+-]+)"] * 4), body):
-                return tuple(map(float, box.groups()))
-            parent = re.search(rb"/Parent\s+" + _REFERENCE, body)
-            if not parent:
-                break
-            number = int(parent[1])
-        return 0.0, 0.0, 612.0, 792.0
+            box = self.object(node.get(b"/MediaBox")) or box
+            if node.get(b"/Type") == b"/Page":
+                yield Leaf(ref, node, box)
+            else:
+                waiting += [(kid, box, above | {ref}) for kid in reversed(self.object(node.get(b"/Kids")) or [])]
 
 
 def pdf_string(text: str) -> bytes:
@@ -132,47 +200,58 @@ def pdf_string(text: str) -> bytes:
     return b"<FEFF" + text.encode("utf-16-be").hex().upper().encode() + b">"
 
 
+def note_box(box: list) -> list:
+    """A square of 20 near the upper left corner of a page."""
+    left, top = float(box[0]), float(box[3])
+    return [b"%.2f" % x for x in (left + 12, top - 32, left + 32, top - 12)]
+
+
 def annotate_pdf(data: bytes, notes: dict[int, str]) -> tuple[bytes | None, int]:
     """K8: the file with a text annotation for each page's note, and how many; nothing if none fits.
 
-    The original bytes stay; new objects, a table of them and a trailer that points back follow.
-    Notes of pages that the file doesn't have are left out (F8).
+    An incremental update: the bytes that are there stay, objects that are new or changed follow with a table of their places. Notes
+    of pages that the file doesn't have are left out (F8).
     """
     pdf = Pdf(data)
-    pages = pdf.pages()
-    if not pages:
-        raise ValueError("no pages found")
-    size = re.search(rb"/Size\s+(\d+)", pdf.trailer)
-    free = int(size[1]) if size else max(pdf.offsets) + 1
-    out = bytearray(data if data.endswith(b"\n") else data + b"\n")
-    places: dict[int, int] = {}
+    leaves = list(pdf.leaves())
+    if not leaves:
+        raise PdfError("no pages")
+    free = max(int(pdf.trailer.get(b"/Size", 0)), max(pdf.places, default=0) + 1)
+    changed: dict[int, dict | list] = {}
     added = 0
     for page, text in sorted(notes.items()):
-        number = pages[page - 1] if 1 <= page <= len(pages) else None
-        body = pdf.body(number) if number is not None else None
-        if body is None:
+        if not 1 <= page <= len(leaves):
             continue
-        listed = re.search(rb"(?s)/Annots\s*\[(.*?)\]", body)
-        at = listed.end(1) if listed else body.find(b"<<") + 2
-        if at < 2:
-            continue
-        link = b" %d 0 R" % free if listed else b" /Annots [%d 0 R]" % free
-        left, _, _, top = pdf.media_box(number)  # P28: a square of 20 near the upper left corner
-        note = b"<< /Type /Annot /Subtype /Text /Name /Note /F 4 /C [1 0.85 0.2]\n/Rect [%.2f %.2f %.2f %.2f]\n/T %b\n/Contents %b\n/P %d 0 R >>" % (left + 12, top - 32, left + 32, top - 12, pdf_string("Speaker notes"), pdf_string(text), number)
-        for n, content in ((free, b"\n" + note + b"\n"), (number, body[:at] + link + body[at:])):
-            places[n] = len(out)
-            out += b"%d 0 obj" % n + content + b"endobj\n"
-        free += 1
+        ref, entries, box = leaves[page - 1]
+        note = Ref(free + added, 0)
         added += 1
-    if not added:
-        return None, 0
+        changed[note.number] = {
+            b"/Type": b"/Annot", b"/Subtype": b"/Text", b"/Rect": note_box(box), b"/Contents": pdf_string(text), b"/T": pdf_string("Speaker notes"),
+            b"/Name": b"/Note", b"/C": [b"1", b"0.85", b"0.2"], b"/F": b"4", b"/P": ref,
+        }
+        listed = entries.get(b"/Annots")
+        if isinstance(listed, Ref):  # a list of its own, which stays one
+            changed[listed.number] = [*(pdf.object(listed) or []), note]
+        else:
+            changed[ref.number] = entries | {b"/Annots": [*(listed or []), note]}
+    return (pdf_update(pdf, changed, free + added), added) if added else (None, 0)
+
+
+def pdf_update(pdf: Pdf, changed: dict[int, dict | list], size: int) -> bytes:
+    """A revision after the last one: objects, their table in a section for each run of numbers (W11), a trailer."""
+    out = bytearray(pdf.data)
+    if not out.endswith(b"\n"):
+        out += b"\n"
+    places = []
+    for number in sorted(changed):
+        places.append((number, len(out)))
+        out += b"%d 0 obj\n%b\nendobj\n" % (number, pdf_bytes(changed[number]))
     table = len(out)
     out += b"xref\n"
-    numbers = sorted(places)
-    first = 0
-    for i in range(1, len(numbers) + 1):  # W11: one section for each run of numbers
-        if i == len(numbers) or numbers[i] != numbers[i - 1] + 1:
-            out += b"%d %d\n" % (numbers[first], i - first) + b"".join(b"%010d 00000 n \n" % places[n] for n in numbers[first:i])
-            first = i
-    out += b"trailer\n<< /Size %d /Root %d 0 R /Prev %d >>\nstartxref\n%d\n%%%%EOF\n" % (free, pdf.root, pdf.start, table)
-    return bytes(out), added
+    for _, run in groupby(enumerate(places), lambda x: x[1][0] - x[0]):
+        section = [place for _, place in run]
+        out += b"%d %d\n" % (section[0][0], len(section))
+        out += b"".join(b"%010d 00000 n \n" % at for _, at in section)
+    trailer = {b"/Size": b"%d" % size, b"/Root": pdf.trailer[b"/Root"], b"/Prev": b"%d" % pdf.start}
+    out += b"trailer\n%b\nstartxref\n%d\n%%%%EOF\n" % (pdf_bytes(trailer), table)
+    return bytes(out)

@@ -108,6 +108,14 @@ def slide_entries(presentation: Column) -> Column:
     return F.transform(tags, lambda t: F.struct(F.nullif(F.regexp_extract(t, r'\bid="(\d+)"', 1), F.lit("")).alias("sld_id"), attribute(t, "r:id").alias("rid")))
 
 
+def body_runs(xml: Column) -> Column:
+    """``array<array<array<string>>>``: the text runs of each paragraph of each body placeholder of a notes part, as written."""
+    shapes = F.regexp_extract_all(xml, F.lit(r"(?s)<p:sp\b.*?</p:sp>"), F.lit(0))
+    bodies = F.filter(shapes, lambda s: s.rlike(r'<p:ph\b[^>]*type="body"'))
+    paragraphs = lambda s: F.regexp_extract_all(s, F.lit(r"(?s)<a:p\b.*?</a:p>"), F.lit(0))
+    return F.transform(bodies, lambda s: F.transform(paragraphs(s), lambda p: F.regexp_extract_all(p, F.lit(r"(?s)<a:t>(.*?)</a:t>"), F.lit(1))))
+
+
 def note_lines(xml: Column) -> Column:
     """Text of the first body placeholder with any; paragraphs by line feed, no entity decoding; empty if none.
 
@@ -115,12 +123,6 @@ def note_lines(xml: Column) -> Column:
     """
     from .text import strip
 
-    def text_of(shape: Column) -> Column:
-        paragraphs = F.regexp_extract_all(shape, F.lit(r"(?s)<a:p\b.*?</a:p>"), F.lit(0))
-        lines = F.transform(paragraphs, lambda p: strip(F.array_join(F.regexp_extract_all(p, F.lit(r"(?s)<a:t>(.*?)</a:t>"), F.lit(1)), "")))
-        return strip(F.array_join(F.filter(lines, lambda x: x != ""), "\n"))
-
-    shapes = F.regexp_extract_all(xml, F.lit(r"(?s)<p:sp\b.*?</p:sp>"), F.lit(0))
-    bodies = F.filter(shapes, lambda s: s.rlike(r'<p:ph\b[^>]*type="body"'))
-    texts = F.filter(F.transform(bodies, text_of), lambda t: ~t.rlike(r"(?U)^[\d\s]*$"))
-    return F.coalesce(F.try_element_at(texts, F.lit(1)), F.lit(""))
+    lines = lambda body: F.transform(body, lambda runs: strip(F.array_join(runs, "")))
+    texts = F.transform(body_runs(xml), lambda body: strip(F.array_join(F.filter(lines(body), lambda x: x != ""), "\n")))
+    return F.coalesce(F.try_element_at(F.filter(texts, lambda t: ~t.rlike(r"(?U)^[\d\s]*$")), F.lit(1)), F.lit(""))

@@ -42,28 +42,27 @@ def slide_notes(parts: DataFrame) -> DataFrame:
     p = parts.withColumn("kind", xml.part_kind(F.col("part"))).withColumn("xml", F.decode("content", "UTF-8"))
     slides = presentation_slides(parts).where(~F.col("hidden"))
     rels = p.where("kind = 'slide_rels'").select(F.col("path").alias("deck"), F.regexp_replace(F.regexp_replace("part", "/_rels/", "/"), r"\.rels$", "").alias("part"), xml.notes_target(F.col("xml")).alias("target"))
-    notes = p.where("kind = 'notes'").select(F.col("path").alias("deck"), F.col("part").alias("target"), decoded_note(F.col("xml")).alias("text"))
+    notes = p.where("kind = 'notes'").select(F.col("path").alias("deck"), F.col("part").alias("target"), first_note(xml.body_runs(F.col("xml"))).alias("text"))
     return slides.join(rels, ["deck", "part"]).join(notes, ["deck", "target"]).where("text <> ''").select("deck", "slide_no", "text")
 
 
 @F.pandas_udf(T.StringType())
-def decoded_note(xmls: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """P12 by Arrow batches: html entities have thousands of names, which only a library knows."""
-    import re
-
-    shape, paragraph, run = re.compile(r"<p:sp\b.*?</p:sp>", re.S), re.compile(r"<a:p\b.*?</a:p>", re.S), re.compile(r"<a:t>(.*?)</a:t>", re.S)
-
-    def note(x: str | None) -> str:
-        for body in shape.findall(x or ""):
-            if re.search(r'<p:ph\b[^>]*type="body"', body):
-                lines = (html.unescape("".join(run.findall(p))).strip() for p in paragraph.findall(body))
-                text = "\n".join(filter(None, lines)).strip()
-                if not re.fullmatch(r"[\d\s]*", text):
-                    return text
-        return ""
-
-    for some in xmls:
-        yield some.map(note)
+def first_note(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """P12 of ``xml.body_runs``, by Arrow batches: html entities have thousands of names, which only a library knows.
+
+    The first body whose lines, decoded and trimmed, hold more than digits; empty if none does or the column is null.
+    """
+    for some in bodies:
+        yield some.map(lambda found: next(filter(_says_something, map(_lines, found if found is not None else ())), ""))
+
+
+def _lines(paragraphs) -> str:
+    decoded = ("".join(map(html.unescape, runs)).strip() for runs in paragraphs)
+    return "\n".join(line for line in decoded if line)
+
+
+def _says_something(text: str) -> bool:
+    return any(not sign.isdecimal() for sign in "".join(text.split()))
 
 
 def notes_on_pages(parts: DataFrame, pages: DataFrame | None = None) -> DataFrame:

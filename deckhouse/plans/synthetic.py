@@ -23,7 +23,7 @@ def slide(shapes: list[str], clicks: list[str] = (), hidden: bool = False) -> st
     return f'<p:sld {P}{" show=\"0\"" if hidden else ""}><p:cSld><p:spTree>{"".join(shapes)}</p:spTree></p:cSld>{timing}</p:sld>'
 
 
-def notes(text: str, number: int = 7) -> str:
+def notes(text: str, number: int = 31) -> str:
     lines = "".join(f"<a:p><a:r><a:t>{t}</a:t></a:r></a:p>" for t in text.split("\n"))
     return (
         f'<p:notes {P}><p:cSld><p:spTree><p:sp><p:nvPr><p:ph type="sldImg"/></p:nvPr><p:txBody><a:p><a:r><a:t>{number}</a:t></a:r></a:p></p:txBody></p:sp>'
@@ -62,9 +62,11 @@ def deck(slides: list[str], slide_rels: dict[int, str] | None = None, extra: dic
 
 
 def gif(frames: int) -> bytes:
-    """A GIF of 1 x 1 frames."""
-    image = b"\x21\xf9\x04\x00\x0a\x00\x00\x00" + b"\x2c" + bytes(4) + b"\x01\x00\x01\x00\x00" + b"\x02\x02\x44\x01\x00"
-    return b"GIF89a\x01\x00\x01\x00\x80\x00\x00" + bytes(6) + image * frames + b";"
+    """A GIF of 2 x 1 pixels in four grey tones; every frame has a comment, and its pixels as uncompressed codes."""
+    screen = b"GIF89a" + (2).to_bytes(2, "little") + (1).to_bytes(2, "little") + bytes([0x81, 0, 0]) + bytes(x for tone in (0, 85, 170, 255) for x in (tone,) * 3)
+    comment = b"\x21\xfe\x05frame\x00"
+    picture = b"\x2c" + bytes(4) + b"\x02\x00\x01\x00\x00" + b"\x02\x02\x8c\x0a\x00"
+    return screen + (comment + picture) * frames + b";"
 
 
 def pdf(pages: int) -> bytes:

@@ -8,7 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from deckhouse.functions import binary, package, slides
+from deckhouse.functions import binary, package, slides, xml
 from deckhouse.operators import builds, export, library, media, notes, pages
 from deckhouse.plans import synthetic as s
 from deckhouse.sources import decks as source
@@ -237,7 +237,7 @@ def test_media(spark, parts):
 
 def test_gif_frames():
     assert [binary.gif_frames(s.gif(n)) for n in (0, 1, 2, 7)] == [0, 1, 2, 7]
-    assert binary.gif_frames(b"PNG") is None and binary.gif_frames(None) is None and binary.gif_frames(s.gif(3)[:30]) == 1 and binary.gif_frames(b"GIF89a") == 0
+    assert binary.gif_frames(b"PNG") is None and binary.gif_frames(None) is None and binary.gif_frames(s.gif(3)[:45]) == 1 and binary.gif_frames(b"GIF89a") == 0
 
 
 def test_pdf_notes(spark):
@@ -246,15 +246,52 @@ def test_pdf_notes(spark):
     assert added == 2 and out.startswith(data) and len(out) - len(data) < 4096 and out.count(b"/Subtype /Text") == 2 and b"/Prev" in out
     twice, added = binary.annotate_pdf(out, {1: "again", 2: "two"})
     assert added == 2 and twice.startswith(out)
-    pdf = binary.Pdf(twice)
-    first = pdf.body(pdf.pages()[0])
-    assert len(pdf.pages()) == 4 and re.search(rb"/Annots \[(\d+) 0 R (\d+) 0 R\]", first) and pdf.media_box(pdf.pages()[1]) == (0.0, 0.0, 720.0, 405.0)
+    leaves = list(binary.Pdf(twice).leaves())
+    assert len(leaves) == 4 and [float(x) for x in leaves[1].box] == [0, 0, 720, 405]
+    assert len(leaves[0].entries[b"/Annots"]) == 2 and [len(p.entries.get(b"/Annots", [])) for p in leaves] == [2, 1, 1, 0]
+    note = binary.Pdf(twice).object(leaves[1].entries[b"/Annots"][0])
+    assert note[b"/P"] == leaves[1].ref and note[b"/Rect"] == [b"12.00", b"373.00", b"32.00", b"393.00"] and note[b"/Contents"] == binary.pdf_string("two")
     assert binary.annotate_pdf(data, {7: "x"}) == (None, 0)
     for bad in (b"no pdf", data.replace(b"xref\n0", b"stream")):
         with pytest.raises(ValueError):
             binary.annotate_pdf(bad, {1: "x"})
     df = spark.createDataFrame([(data, {1: "a"}), (b"bad", {1: "a"})], "pdf binary, notes map<int,string>").select(builds.annotated("pdf", "notes").alias("x"))
-    assert sorted((r.x.added, r.x.error) for r in df.collect()) == [(0, "ValueError: no startxref"), (1, None)]
+    assert sorted((r.x.added, r.x.error) for r in df.collect()) == [(0, "PdfError: no startxref"), (1, None)]
+
+
+def test_pdf_objects():
+    scan = binary.Scanner(b"<< /A [1 0 R (a\\)(b)) <0A> -1.5 /N] % no\n/B << /C true >> /D 2 0 R >>x", 0)
+    got = scan.value()
+    assert got == {b"/A": [binary.Ref(1, 0), b"(a\\)(b))", b"<0A>", b"-1.5", b"/N"], b"/B": {b"/C": b"true"}, b"/D": binary.Ref(2, 0)}
+    assert binary.Scanner(binary.pdf_bytes(got), 0).value() == got
+    for bad in (b"[" * 500, b"(a", b"<< /A"):
+        with pytest.raises(binary.PdfError):
+            binary.Scanner(bad, 0).value()
+
+
+def test_annotations_in_a_list_of_their_own():
+    """A page whose list of annotations is an object keeps it there; boxes come from the nearest node above."""
+    objects = ["<< /Type /Catalog /Pages 2 0 R >>", "<< /Type /Pages /Kids [3 0 R 6 0 R] /Count 2 /MediaBox [0 0 100 50] >>", "<< /Type /Pages /Kids [4 0 R] /MediaBox [10 0 200 80] >>", "<< /Type /Page /Annots 5 0 R >>", "[7 0 R]", "<< /Type /Page /MediaBox [1 2 3 64] >>", "<< /Type /Annot >>"]
+    data, places = b"%PDF-1.4\n", []
+    for n, body in enumerate(objects, 1):
+        places.append(len(data))
+        data += f"{n} 0 obj\n{body}\nendobj\n".encode()
+    data += f"xref\n0 1\n0000000000 65535 f \n1 7\n{''.join(f'{p:010d} 00000 n {chr(10)}' for p in places)}trailer << /Size 8 /Root 1 0 R >>\nstartxref\n{len(data)}\n%%EOF".encode()
+    out, added = binary.annotate_pdf(data, {1: "a", 2: "b"})
+    pdf = binary.Pdf(out)
+    one, two = pdf.leaves()
+    assert added == 2 and one.entries[b"/Annots"] == binary.Ref(5, 0) and pdf.object(one.entries[b"/Annots"]) == [binary.Ref(7, 0), binary.Ref(8, 0)]
+    assert one.box[0] == b"10" and pdf.object(binary.Ref(8, 0))[b"/Rect"][0] == b"22.00" and two.entries[b"/Annots"] == [binary.Ref(9, 0)] and pdf.object(binary.Ref(9, 0))[b"/Rect"][1] == b"32.00"
+
+
+def test_first_note(spark):
+    def part(*bodies):
+        shapes = "".join(f'<p:sp><p:ph type="{kind}"/>' + "".join("<a:p>" + "".join(f"<a:r><a:t>{t}</a:t></a:r>" for t in runs) + "</a:p>" for runs in lines) + "</p:sp>" for kind, lines in bodies)
+        return f"<p:notes>{shapes}</p:notes>"
+
+    cases = {part(("sldImg", [["no"]]), ("body", [["7"]]), ("body", [[" a", "&amp;b "], ["&nbsp;"], ["&lt;a:t&gt;"]])): "a&b\n<a:t>", part(("body", [["&#49;&#50;"]])): "", "": "", None: "", part(("body", [["x&eacute;"]]), ("body", [["y"]])): "xé"}
+    df = spark.createDataFrame([(x, i) for i, x in enumerate(cases)], "xml string, i int")
+    assert [r.t for r in df.select(notes.first_note(xml.body_runs(F.col("xml"))).alias("t"), "i").orderBy("i").collect()] == list(cases.values())
 
 
 # ---------------------------------------------------------------- plan of a library

@@ -41,19 +41,35 @@ def test_entry(spark):
 # ---------------------------------------------------------------- names
 
 
-@pytest.mark.parametrize(
-    "face, family, style",
-    [("Helvetica Neue LT Std 75", "Helvetica Neue", "Bold"), ("HelveticaNeueLTStd-Lt", "Helvetica Neue", "Light"), ("HelveticaNeueLT Std Bold Cn", "Helvetica Neue", "Bold"),
-     ("Source Sans Pro SemiBold", "Source Sans Pro", "SemiBold"), ("ObjektivMk3W03-Bold", "Objektiv Mk3", "Bold"), ("Source Code Pro", "Source Code Pro", None), ("Aptos Narrow (Body)", "Aptos", None)],
-)
-def test_face_names(face, family, style):
-    assert faces.parse_face(face)[:2] == (family, style)
-
-
-def test_face_parts_and_noise(spark):
-    df = spark.createDataFrame([("HelveticaNeueLT Std Bold Cn",), ("Aptos Display",), (None,), ("Display",)], "face string")
-    got = [tuple(r.p) for r in df.select(faces.face_parts("face").alias("p")).collect()]
-    assert got == [("Helvetica Neue", "Bold", "Condensed", None), ("Aptos", None, None, "Display"), (None,) * 4, ("Display", None, None, None)]
+FACES = {
+    "Helvetica Neue LT Std 75": ("Helvetica Neue", "Bold", None, None),
+    "HelveticaNeueLTStd-Lt": ("Helvetica Neue", "Light", None, None),
+    "HelveticaNeueLT Std Bold Cn": ("Helvetica Neue", "Bold", "Condensed", None),
+    "Source Sans Pro SemiBold": ("Source Sans Pro", "SemiBold", None, None),
+    "ObjektivMk3W03-Bold": ("Objektiv Mk3", "Bold", None, None),
+    "Source Code Pro": ("Source Code Pro", None, None, None),
+    "Aptos Narrow (Body)": ("Aptos", None, "Narrow", "Body"),
+    "Aptos Display": ("Aptos", None, None, "Display"),
+    "Display": ("Display", None, None, None),
+    "Text Display": ("Text", None, None, "Display"),
+    "Book LT": ("", "Light", None, None),
+    "HelveticaNeue755": ("Helvetica Neue755", None, None, None),
+    "PTSerif_ExtraBold.Italic": ("PT Serif", "ExtraBold", None, None),
+    "Gotham X Light Wide": ("Gotham", "ExtraLight", "Wide", None),
+    "Univers 45 Bold": ("Univers", "Bold", None, None),
+    "": ("", None, None, None),
+    None: (None, None, None, None),
+}
+
+
+def test_face_names(spark):
+    df = spark.createDataFrame([(f,) for f in FACES], "face string").select("face", faces.face_words(F.col("face")).alias("words"), faces.face_parts(F.col("face")).alias("p"))
+    got = {r.face: r for r in df.collect()}
+    assert {f: tuple(r.p) for f, r in got.items()} == FACES
+    assert got["PTSerif_ExtraBold.Italic"].words == ["PT", "Serif", "ExtraBold", "Italic"] and got["Gotham X Light Wide"].words == ["Gotham", "XLight", "Wide"]
+
+
+def test_noise(spark):
     names = ["ui-sans-serif", "Hel\\", "ab", "12345", "Graphik Semibold", " Serif "]
     reasons = [r[0] for r in spark.createDataFrame([(n,) for n in names], "face string").select(faces.noise_reason(F.col("face"))).collect()]
     assert [bool(r) for r in reasons] == [True, True, True, True, False, True]
