@@ -5,10 +5,10 @@ including it, in shuffled order, divided by the source's target. All copies are
 by finish time and cut at the total budget. A source whose target exceeds its size is
 handed out again, up to ``most`` times.
 
-Both running sums are taken in two steps so that no task sees a whole source or the whole
-mix: rows fall into slices of the sort order, slice totals are summed up (a small table),
-and each slice adds its offset to a window of its own rows. The mix is cut where the total
-comes nearest to the budget.
+Both running sums are taken over range-sorted rows so that no task sees a whole source or the whole
+mix: rows are partitioned by ranges of the whole order (ties included, so no value makes a range large), the sums of ranges
+are a small table, and each range adds its offset to a window of its own rows. There are as many ranges as shuffle partitions. The mix is
+cut where the total comes nearest to the budget.
 """
 
 from __future__ import annotations
@@ -18,10 +18,19 @@ from pyspark.sql import functions as F
 
 from .common import store, table, word_count
 
-#: Hex digits of the shuffle key that name a slice of a source: 4096 slices.
-SLICE_DIGITS = 3
-#: Slices of virtual time per unit, two units in all; at time 1 every source has met its target.
-TICKS = 1 << 14
+
+def running_sum(rows: DataFrame, size: str, order: list[str | Column], name: str, within: str | None = None) -> DataFrame:
+    """Adds ``name``: the sum of ``size`` over all rows up to this one in ``order``, or over those with one value of the column ``within``,
+    by which ``order`` must begin. The range-sorted rows are stored, as ranges are drawn from a sample and would differ from run to run."""
+    ranged = store(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), f"{name}-ranges")
+    keys = [within] if within else []
+    sums = ranged.groupBy(*keys, "range").agg(F.sum(size).alias("words"))
+    before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = sums.select(F.col("range").alias("of_range"), *(F.col(k).alias("of") for k in keys), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
+    same = F.col("range") == F.col("of_range")
+    met = ranged.join(offsets, same & F.col(within).eqNullSafe(F.col("of")) if within else same).drop("of_range", "of")
+    inside = Window.partitionBy(*keys, "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return met.withColumn(name, F.sum(size).over(inside) + F.col("offset")).drop("range", "offset")
 
 
 def shuffle_key(doc_id: Column, seed: int) -> Column:
@@ -61,38 +70,19 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     without words the target 0. ``copies`` counts how often the mix takes the document.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"))
-    rows = store(rows.withColumn("key", shuffle_key(F.col("doc_id"), seed)).withColumn("part", F.substring("key", 1, SLICE_DIGITS)), "mix-sizes")
+    rows = store(rows.withColumn("key", shuffle_key(F.col("doc_id"), seed)), "mix-sizes")
     targets = store(source_targets(rows, most, share), "mix-targets")
-
-    slices = rows.groupBy("source", "part").agg(F.sum("size").alias("words"))
-    offset = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.withColumn("offset", F.coalesce(F.sum("words").over(offset), F.lit(0))).drop("words")
-    slices = slices.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    slices = slices.withColumnsRenamed({"source": "of", "part": "at"})
-    # (source, part) names a slice of at most about 1/4096 of a source; the small side is bounded by 4096 rows a source.
-    placed = rows.join(slices, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("at"))).drop("of", "at")
-    inside = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.withColumn("given", F.sum("size").over(inside) + F.col("offset")).drop("offset", "key", "part")
-    placed = store(placed, "mix-placed")
+    placed = running_sum(rows, "size", [F.col("source").isNull(), "source", "key", "doc_id", "size"], "given", "source").drop("key")
+    placed = store(placed.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of"), "mix-placed")
 
     # Copy e of a document has finished when its source has served e * source_size + given words.
     copies = placed.where("size > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
     copies = copies.select("source", "doc_id", "size", "target", (F.col("copy") * F.col("source_size") + F.col("given")).alias("served"))
-    copies = copies.withColumn("finish", F.try_divide(F.col("served").cast("double"), F.col("target")))
-    copies = copies.withColumn("tick", F.least(F.floor(F.col("finish") * TICKS), F.lit(2 * TICKS)))
-    ticks = copies.groupBy("tick").agg(F.sum("size").alias("words"))  # 2 * TICKS + 1 rows at most
-    ticks = ticks.withColumn("offset", F.sum("words").over(Window.orderBy("tick")) - F.col("words"))
+    copies = copies.select("source", "doc_id", "size", "served", F.try_divide(F.col("served").cast("double"), F.col("target")).alias("finish"))
     budget = int(targets.agg(F.sum("source_size")).first()[0] or 0) * share
-    # Whole ticks before the one in which the budget runs out are taken, whole ticks after it are not.
-    cut = ticks.where(F.col("offset") + F.col("words") > F.lit(budget)).agg(F.min(F.struct("tick", "offset")).alias("cut")).first().cut
-    if cut is None:
-        upto = copies.groupBy("source").agg(F.max("served").alias("upto"))
-    else:
-        order = Window.orderBy("finish", F.col("source").isNull(), "source", "doc_id", "size", "served").rowsBetween(Window.unboundedPreceding, 0)
-        at_cut = copies.where(F.col("tick") == F.lit(cut.tick)).withColumn("used", F.sum("size").over(order) + F.lit(cut.offset))
-        # The copy that crosses the budget stays if that brings the total nearer to it.
-        at_cut = at_cut.where(F.col("used") * 2 - F.col("size") <= F.lit(2 * budget)).select("source", "served")
-        upto = copies.where(F.col("tick") < F.lit(cut.tick)).select("source", "served").union(at_cut).groupBy("source").agg(F.max("served").alias("upto"))
+    ordered = running_sum(copies, "size", ["finish", F.col("source").isNull(), "source", "doc_id", "size", "served"], "used")
+    # The copy that crosses the budget stays if that brings the total nearer to it.
+    upto = ordered.where(F.col("used") * 2 - F.col("size") <= F.lit(2 * budget)).groupBy("source").agg(F.max("served").alias("upto"))
     # Within a source copies are taken in the order in which it serves them, so one number a source tells them all.
     upto = upto.withColumnRenamed("source", "of")
     out = placed.join(upto, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")

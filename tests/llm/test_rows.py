@@ -392,6 +392,25 @@ def test_mix_matches_sql(spark):
     assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want[got.columns].values.tolist()))
 
 
+@pytest.mark.parametrize("share", [0.4, 0.0, 2.5])
+def test_mix_of_a_share(spark, share):
+    """A share of all words: targets and the total follow it; from 3 on everything is taken thrice."""
+    rows = [(i, "w " * (1 + i % 5), "ab"[i % 2]) for i in range(200)]
+    got = mixing.mix(docs(spark, rows), share=share).collect()
+    total = sum(r.size for r in got)
+    assert abs(sum(r.taken for r in got) - min(share, 3) * total) <= 5 and abs(sum({r.source: r.target for r in got}.values()) - share * total) < 1e-6
+    assert all(r.copies <= 3 for r in got)
+
+
+def test_running_sums(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice("ab") if i % 9 else None, rng.randrange(6), rng.randrange(9), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, x int, n int, i int")
+    got = {r.i: (r.all, r.own) for r in mixing.running_sum(mixing.running_sum(df, "n", ["x", "i"], "all"), "n", [F.col("g").isNull(), "g", "x", "i"], "own", "g").collect()}
+    for g, x, _, i in rows:
+        assert got[i] == (sum(r[2] for r in rows if (r[1], r[3]) <= (x, i)), sum(r[2] for r in rows if r[0] == g and (r[1], r[3]) <= (x, i)))
+
+
 def test_applied_mix_has_the_copies(spark):
     df = docs(spark, ROWS)
     counts = Counter()
