@@ -87,6 +87,31 @@ def _u32(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint32)
 
 
+def _ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order and the place of each value there: one sort of values with their positions in the low bits."""
+    low = np.uint64(max(1, len(x) - 1).bit_length())
+    values = x.astype(np.uint64, copy=False)
+    if len(x) and int(values.max()) >> (64 - int(low)):
+        if x.dtype != np.uint64:
+            return np.unique(x, return_inverse=True)
+        kept = values >> low  # of hashes the high bits do, unless two meet in them
+    else:
+        kept = values
+    both = kept << low
+    both |= np.arange(len(x), dtype=np.uint64)
+    both.sort()
+    order = (both & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    new = np.empty(len(x), bool)
+    new[:1] = True
+    ordered = x[order]
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    if kept is not values and (new[1:] & (both[1:] >> low == both[:-1] >> low)).any():
+        return np.unique(x, return_inverse=True)
+    place = np.empty(len(x), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ordered[new], place
+
+
 def _part_of(names: np.ndarray, parts: int) -> np.ndarray:
     """The part of words or contexts, by the first 32 bits of their 48."""
     return ((names >> np.uint64(16)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -140,34 +165,26 @@ def read_blocks(docs: DataFrame, parts: int) -> DataFrame:
     def block_rows(block: int, ids: list, texts: list[np.ndarray]) -> Iterator[tuple]:
         lengths = np.array(list(map(len, texts)), np.int64)
         train = np.array([not held_out(i) for i in ids])
-        words, place = np.unique(np.concatenate(texts), return_inverse=True)
-        part = _part_of(words >> _SHORT, parts)
-        runs = list(_runs(part))
-        starts = np.zeros(len(words), np.int64)
-        for _, lo, hi in runs:
-            starts[lo:hi] = lo
-        code = _codes(place, int(np.searchsorted(words, np.uint64(END))), len(words), lengths)
-        pair, of = _pairs(code, part, len(words))
-        trained, times = np.unique(code[np.repeat(train, lengths)], return_counts=True)
-        count = np.zeros(len(pair), np.int64)
-        order = np.argsort(pair, kind="stable")
-        count[order[np.searchsorted(pair[order], trained)]] = times
+        words, place = _ranked(np.concatenate(texts))
+        runs = list(_runs(_part_of(words >> _SHORT, parts)))
+        sizes = np.array([hi - lo for _, lo, hi in runs])
+        number, rank = np.repeat(np.arange(len(runs)), sizes)[place], (np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[place]
+        pair, at = _ranked(_codes(number, rank, place, sizes, lengths))
+        count = np.bincount(at[np.repeat(train, lengths)], minlength=len(pair))
         named = np.array([i is not None for i in ids])
-        number = np.repeat(np.arange(len(runs)), [hi - lo for _, lo, hi in runs])
-        yield LAST, block, None, _pack(np.array([i or 0 for i in ids], np.int64), named.astype(np.uint8), lengths, train.astype(np.uint8), np.array([hi - lo for _, lo, hi in runs]), _u32(number[place]), _u32((np.arange(len(words)) - starts)[place]))
-        edges = {p: (a, b) for p, a, b in _runs(of)}
-        for p, lo, hi in runs:
-            a, b = edges[p]
-            context, word = np.divmod(pair[a:b], len(words))
-            used, to = np.unique(context, return_inverse=True)
-            yield p, block, _pack(_gaps(words[lo:hi]), _gaps(words[used] >> _SHORT), _gaps(to * (hi - lo) + word - lo), _u32(count[a:b])), None
+        yield LAST, block, None, _pack(np.array([i or 0 for i in ids], np.int64), named.astype(np.uint8), lengths, train.astype(np.uint8), sizes, _u32(number), _u32(rank))
+        edges = np.searchsorted(pair, np.arange(len(runs) + 1) * len(words) * int(sizes.max()))
+        for (p, lo, hi), a, b in zip(runs, edges, edges[1:], strict=False):
+            context, word = np.divmod(pair[a:b] % (len(words) * int(sizes.max())), int(sizes.max()))
+            new = np.diff(context, prepend=-1) > 0  # contexts ascend
+            yield p, block, _pack(_gaps(words[lo:hi]), _gaps(words[context[new]] >> _SHORT), _gaps((np.cumsum(new) - 1) * (hi - lo) + word), _u32(count[a:b])), None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         ids, texts, size, done = [], [], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for row in block_rows(task << 32 | done, ids, texts):
+            for row in block_rows(done << 32 | task, ids, texts):
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int32(), pa.int64(), pa.binary(), pa.binary()], strict=True)], names=["part", "block", "asked", "texts"])
 
         for batch in slices(batches, 1):
@@ -188,20 +205,13 @@ def read_blocks(docs: DataFrame, parts: int) -> DataFrame:
     return docs.mapInArrow(run, "part int, block long, asked binary, texts binary")
 
 
-def _codes(place: np.ndarray, end: int, words: int, lengths: np.ndarray) -> np.ndarray:
-    """place of the word before * words + place of the word, for every token."""
+def _codes(number: np.ndarray, rank: np.ndarray, place: np.ndarray, sizes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """(number of the word's part, place of the word before, the word's rank in its part) of every token, as one number.
+    Before a text's first word stands the end, which is every text's last token."""
     context = np.empty(len(place), np.int64)
     context[1:] = place[:-1]
-    context[np.cumsum(lengths) - lengths] = end
-    return context * words + place
-
-
-def _pairs(code: np.ndarray, part: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs by part of their word, then in order; and those parts."""
-    pair = np.unique(code)
-    of = part[pair % words]
-    order = np.argsort(of, kind="stable")
-    return pair[order], of[order]
+    context[np.cumsum(lengths) - lengths] = place[-1]
+    return (number * int(sizes.sum()) + context) * int(sizes.max()) + rank
 
 
 # ---------------------------------------------------------------- counting
@@ -213,15 +223,15 @@ class Merged:
     def __init__(self, asked: list[bytes]) -> None:
         got = [_unpack(body) for body in asked]
         words, contexts = [_whole(g[0]) for g in got], [_whole(g[1]) for g in got]
-        self.words, at = np.unique(np.concatenate(words), return_inverse=True)
-        self.contexts, to = np.unique(np.concatenate(contexts), return_inverse=True)
+        self.words, at = _ranked(np.concatenate(words))
+        self.contexts, to = _ranked(np.concatenate(contexts))
         #: For each block, its words among all.
         self.at = np.split(at, np.cumsum([len(w) for w in words])[:-1])
         codes = []
         for (_, _, code, _), mine, theirs in zip(got, self.at, np.split(to, np.cumsum([len(c) for c in contexts])[:-1]), strict=True):
             context, word = np.divmod(_whole(code).astype(np.int64), max(1, len(mine)))
             codes.append(mine[word] * len(self.contexts) + theirs[context])
-        self.pairs, back = np.unique(np.concatenate(codes), return_inverse=True)
+        self.pairs, back = _ranked(np.concatenate(codes))
         self.back = np.split(back, np.cumsum([len(c) for c in codes])[:-1])
         self.count = _sums_at(back, np.concatenate([g[3] for g in got]), len(self.pairs))
         word, context = np.divmod(self.pairs, max(1, len(self.contexts)))
@@ -287,7 +297,7 @@ def homes(counts: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for home, rows in _by_key(batches, 3):
             got = [_unpack(body) for _, body in rows]
-            context, at = np.unique(np.concatenate([_whole(g[0]) for g in got]), return_inverse=True)
+            context, at = _ranked(np.concatenate([_whole(g[0]) for g in got]))
             sums = [_u32(_sums_at(at, np.concatenate([g[i] for g in got]), len(context))) for i in (1, 2)]
             yield pa.RecordBatch.from_arrays([pa.array([home], pa.int32()), pa.array([-1], pa.int32()), pa.array([_pack(_gaps(context), *sums)], pa.binary())], names=["home", "part", "body"])
 
@@ -640,35 +650,35 @@ def answers(asked: DataFrame, state: DataFrame, around: DataFrame, parts: int, s
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
 
-def gather_scores(texts: DataFrame, replies: DataFrame, parts: int, shape: dict, sampled: list[tuple[int, int]]) -> DataFrame:
-    """Scores of the texts of every block, once the answers of all its parts are there."""
+def gather_scores(texts: DataFrame, replies: DataFrame, readers: int, shape: dict, sampled: list[tuple[int, int]]) -> DataFrame:
+    """Scores of the texts of every block, once the answers of all its parts are there. (Blocks are numbered by reading task, of
+    which there are ``readers``, so that they deal out evenly.)"""
     both = texts.select("part", "block", "texts").union(replies.select("part", "block", "answer"))
-    tasks = min(parts, TASKS)
-    both = both.repartition(tasks, "block").sortWithinPartitions("block", "part")
+    tasks = min(max(1, texts.count()), TASKS)
+    dense = F.shiftright("block", 32) * F.lit(readers) + F.col("block").bitwiseAND(F.lit((1 << 32) - 1))
+    both = both.repartitionById(tasks, F.pmod(dense, F.lit(tasks)).cast("int")).sortWithinPartitions("block", "part")
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("perplexity", pa.float64())])
     samples = len(sampled)
 
     def scored(body: bytes, got: list[list[np.ndarray]]) -> pa.RecordBatch:
-        ids, named, lengths, train, sizes, number, place = _unpack(body)
-        starts = np.cumsum(sizes) - sizes
-        place = starts[number] + place
+        ids, named, lengths, train, sizes, number, rank = _unpack(body)
+        number = number.astype(np.int64)
+        place = (np.cumsum(sizes) - sizes)[number] + rank
         customers, extra, count, tokens, *rest = (np.concatenate(x).astype(float) for x in zip(*got, strict=True))
         tables, ups = rest[:samples], rest[samples:]
-        part, words = np.repeat(np.arange(len(sizes)), sizes), len(count)
-        code = _codes(place, int(place[-1]), words, lengths)  # every text ends in the end token
-        pair, of = _pairs(code, part, words)
-        context, word = np.divmod(pair, words)
+        pair, at = _ranked(_codes(number, rank, place, sizes, lengths))
+        before, word = np.divmod(pair, int(sizes.max()))
+        part, context = np.divmod(before, len(count))
+        word += (np.cumsum(sizes) - sizes)[part]
         gathered = customers - shape["child"] * (np.minimum(customers, 1) + extra / samples)
         back = np.zeros(len(pair))
         for s, totals in enumerate(sampled):
             up = parent_probability(ups[2 * s], ups[2 * s + 1], *totals, shape["parent"], shape["words"])
             back += (THETA + shape["child"] * tables[s][context]) * up[word] / samples
         log_p = np.log10((gathered + back) / (THETA + tokens[context]))
-        order = np.argsort(pair, kind="stable")
-        log_p = log_p[order][np.searchsorted(pair[order], code)]
         starts = np.cumsum(lengths) - lengths
         base = np.log10((count + 1) / (shape["tokens"] + shape["words"] + 1))
-        score = np.add.reduceat(log_p, starts)
+        score = np.add.reduceat(log_p[at], starts)
         known = np.add.reduceat((count > 0)[place].astype(np.int64), starts)
         columns = [pa.array(ids, mask=named == 0), train == 0, lengths, known, np.full(len(ids), shape["tokens"]), np.add.reduceat(base[place], starts), score, 10 ** np.minimum(300, -score / lengths)]
         return pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(columns, schema.types, strict=True)], schema=schema)
@@ -713,7 +723,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", see
             sampled.append(totals)
     seen = context_samples(around, state.where("kept is not null").select("part", "kept"), parts, samples)
     replies = store(answers(asked, state, seen, parts, samples), "answers", packed=True)
-    return gather_scores(blocks.where(F.col("part") == LAST), replies, parts, shape, sampled)
+    return gather_scores(blocks.where(F.col("part") == LAST), replies, max(1, rows.rdd.getNumPartitions()), shape, sampled)
 
 
 def op10_hpylm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
