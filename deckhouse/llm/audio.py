@@ -8,7 +8,6 @@ and equal everywhere.
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -179,45 +178,44 @@ def resample(samples: np.ndarray, rate: int, target: int) -> np.ndarray:
     return out
 
 
-def describe(codec: int, samples: np.ndarray, pcm: np.ndarray) -> str:
+def describe(codec: int, samples: np.ndarray, pcm: np.ndarray, target: int = TARGET_RATE) -> str:
     """Features of decoded audio as text: all integers, so equal media give equal strings."""
     wide = samples.astype(np.int64)
     crossings = int(np.count_nonzero((samples[1:] < 0) != (samples[:-1] < 0)))
-    return f"codec={CODEC_NAMES[codec]} samples={len(samples)} peak={int(np.abs(wide).max(initial=0))} power={int(wide @ wide) // max(1, len(wide))} crossings={crossings} pcm={len(pcm)}@{TARGET_RATE} pcm_crc32={zlib.crc32(pcm.astype('<i2').tobytes())}"
+    return f"codec={CODEC_NAMES[codec]} samples={len(samples)} peak={int(np.abs(wide).max(initial=0))} power={int(wide @ wide) // max(1, len(wide))} crossings={crossings} pcm={len(pcm)}@{target} pcm_crc32={zlib.crc32(pcm.astype('<i2').tobytes())}"
 
 
-def as_pcm(files: list[bytes], target: int = TARGET_RATE) -> Iterator[tuple[int, int, bytes, int, str, bytes] | ValueError]:
-    """``codec, rate, coded payload, number of samples, feature, 16-bit WAVE file at the target rate`` of each file."""
-    for got in decode_waves(files):
-        if isinstance(got, ValueError):
-            yield got
-            continue
-        codec, rate, payload, samples = got
-        pcm = resample(samples, rate, target)
-        yield codec, rate, payload, len(samples), describe(codec, samples, pcm), write_wave(PCM, pcm.astype("<i2").tobytes(), target)
+#: What ``store_pcm`` adds to a row.
+STORED = {"codec": "string", "rate": "int", "n_samples": "long", "feature": "string", "payload": "binary", "pcm": "binary", "error": "string"}
+_STORED_TYPES = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[t] for t in STORED.values()]
 
 
-def store_pcm(df: DataFrame, key: str, media: str, target: int = TARGET_RATE) -> DataFrame:
-    """``key, codec, rate, n_samples, feature, pcm, error`` for a column of WAVE files.
+def store_pcm(df: DataFrame, media: str = "media", target: int = TARGET_RATE) -> DataFrame:
+    """``df`` with its column ``media`` of WAVE files read: ``codec, rate, n_samples, feature, payload, pcm, error``.
 
-    ``pcm`` is a 16-bit WAVE file at the target rate. Media that are null, empty or not a known
-    mono file keep their row with null results and a reason in ``error``. Repeated rows are kept.
+    ``payload`` holds the coded samples as they are stored, ``pcm`` is a 16-bit WAVE file at the target rate. Media that are null, empty or
+    not a known mono file keep their row with null results and a reason in ``error``. Repeated rows are kept, all other columns too, but
+    those of the names that are added. An empty table gives none.
     """
-    schema = "key long, codec string, rate int, n_samples long, feature string, pcm binary, error string"
+    kept = [c for c in df.columns if c not in STORED]
+    rows = df.select(*(F.col(f"`{c}`") for c in kept))
+    at = kept.index(media)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), *(f"{n} {t}" for n, t in STORED.items())])
+
+    def one(got) -> tuple:
+        if isinstance(got, ValueError):
+            return (None,) * 6 + (str(got),)
+        codec, rate, payload, samples = got
+        pcm = resample(samples, rate, target)
+        return CODEC_NAMES[codec], rate, len(samples), describe(codec, samples, pcm, target), payload, write_wave(PCM, pcm.astype("<i2").tobytes(), target), None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            out = []
-            for got, k in zip(as_pcm(batch.column(1).fill_null(b"").to_pylist(), target), batch.column(0).to_pylist(), strict=True):
-                if isinstance(got, ValueError):
-                    out.append((k, None, None, None, None, None, str(got)))
-                    continue
-                codec, rate, _, n, feature, pcm = got
-                out.append((k, CODEC_NAMES[codec], rate, n, feature, pcm, None))
-            types = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["key", "codec", "rate", "n_samples", "feature", "pcm", "error"])
+        for batch in slices(batches, at):
+            out = [one(got) for got in decode_waves(batch.column(at).fill_null(b"").to_pylist())]
+            added = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), _STORED_TYPES, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*kept, *STORED])
 
-    return df.select(F.col(key).cast("long"), F.col(media)).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def carry(payload: bytes) -> bytes:
@@ -233,30 +231,31 @@ def carry(payload: bytes) -> bytes:
     return write_wave(codec, blocks.tobytes())
 
 
-CARRIED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, pcm binary"
-_CARRIED_ARROW = pa.schema([(n, {"string": pa.string(), "binary": pa.binary()}.get(t, pa.int64())) for n, t in (x.split() for x in CARRIED.split(", "))])
-
-
 def carry_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Store every whole text as telephony audio, read it back, store it as PCM and describe it.
+    """``doc_id, n_bytes, media``: every whole text as a telephony file.
 
     The payload is the text as UTF-8 with bytes 0 up to a positive multiple of 64; a null text is
-    empty and gives 64 zero bytes. All digests are of what was read back. ``pcm`` is the 16-bit WAVE file
-    at TARGET_RATE that ``store_pcm`` gives for the audio. Every row has its row;
-    an empty table gives none.
+    empty and gives 64 zero bytes. Every row has its row; an empty table gives none.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             raw = utf8(batch.column(1))
             media = [carry(x + b"\0" * (-len(x) % BLOCK or (not x) * BLOCK)) for x in raw]
-            out = []
-            for key, text, file, (codec, _, payload, _, feature, pcm) in zip(batch.column(0).to_pylist(), raw, media, as_pcm(media), strict=True):
-                out.append((key, len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(file), hashlib.sha256(file).hexdigest(), feature, CODEC_NAMES[codec], pcm))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _CARRIED_ARROW.types, strict=True)], schema=_CARRIED_ARROW)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, raw)), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, CARRIED)
+def described(stored: DataFrame) -> DataFrame:
+    """The digests of ``store_pcm(carry_texts(docs))``, all of what was read back from the stored bytes."""
+    payload, media = F.col("payload"), F.col("media")
+    return stored.select(
+        "doc_id", "n_bytes", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), F.crc32(F.substring(payload, -BLOCK, BLOCK)).alias("tail_crc32"),
+        F.octet_length(media).cast("long").alias("media_bytes"), F.sha2(media, 256).alias("media_sha256"), "feature", "codec", "pcm",
+    )
 
 
 def op4_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return carry_texts(table(spark, sf_dir, "documents", "doc_id", "text"))
+    """Texts to files, files to their payload and stored PCM, digests of those."""
+    return described(store_pcm(carry_texts(table(spark, sf_dir, "documents", "doc_id", "text"))))

@@ -128,19 +128,26 @@ def test_resampling():
     assert audio.resample(tone, 8000, 8000).tolist() == tone.tolist()
 
 
+def carried(df):
+    return audio.described(audio.store_pcm(audio.carry_texts(df)))
+
+
 def test_carried_texts(spark):
-    got = audio.carry_texts(docs(spark)).collect()
+    got = carried(docs(spark)).collect()
     assert len(got) == len(ROWS)
     for r, (key, text, _) in zip(sorted(got, key=lambda r: (r.doc_id or 0, r.payload_sha256)), sorted(ROWS, key=lambda x: (x[0] or 0, payload_digest(x[1]))), strict=True):
         assert (r.doc_id, r.n_bytes, r.payload_sha256) == (key, len((text or "").encode()), payload_digest(text))
         assert r.payload_bytes % 64 == 0 and r.payload_bytes >= max(64, r.n_bytes) and r.media_bytes > r.payload_bytes
+        payload = (text or "").encode() + b"\0" * (r.payload_bytes - r.n_bytes)
+        file = audio.carry(payload)
+        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-64:]), len(file), hashlib.sha256(file).hexdigest())
     same = {r.payload_sha256: r for r in got}
     assert all((same[r.payload_sha256].feature, same[r.payload_sha256].media_sha256) == (r.feature, r.media_sha256) for r in got)
-    assert audio.carry_texts(docs(spark, [])).count() == 0
+    assert carried(docs(spark, [])).count() == 0
 
 
 def test_carried_texts_have_stored_pcm(spark):
-    for r in audio.carry_texts(docs(spark)).collect():
+    for r in carried(docs(spark)).collect():
         codec, rate, _, data = audio.read_wave(bytes(r.pcm))
         assert (codec, rate) == (audio.PCM, audio.TARGET_RATE)
         assert f"pcm={len(data) // 2}@{rate} pcm_crc32={zlib.crc32(data)}" in r.feature
@@ -151,10 +158,30 @@ def payload_digest(text):
     return hashlib.sha256(raw + b"\0" * (64 if not raw else -len(raw) % 64)).hexdigest()
 
 
+def plain_resample(samples, rate, target):
+    """One output sample at a time, each from its eight neighbours."""
+    up, down = target // math.gcd(rate, target), rate // math.gcd(rate, target)
+    taps, out = audio._taps(up, down), []
+    for j in range(len(samples) * up // down):
+        at, phase = divmod(j * down, up)
+        near = [samples[i] if 0 <= i < len(samples) else 0 for i in range(at - 3, at + 5)]
+        out.append(max(-32768, min(32767, (sum(int(x) * int(t) for x, t in zip(near, taps[phase], strict=True)) + (1 << 13)) >> 14)))
+    return out
+
+
+@pytest.mark.parametrize("rate, target", [(8000, 16000), (11025, 16000), (16000, 8000), (8000, 11025)])
+def test_resampling_matches_one_sample_at_a_time(rate, target):
+    samples = np.random.default_rng(1).integers(-32768, 32768, 333).astype(np.int16)
+    assert audio.resample(samples, rate, target).tolist() == plain_resample(samples, rate, target)
+
+
 def test_stored_pcm(spark):
     files = [(i, audio.write_wave(c, bytes(range(68)) * 4)) for i, c in enumerate((audio.MULAW, audio.ALAW, audio.IMA_ADPCM, audio.PCM))]
     rows = [*files, (8, b"no wave"), (9, None), (None, b"")]
-    got = {r.key: r for r in audio.store_pcm(spark.createDataFrame(rows, "id long, media binary"), "id", "media").collect()}
+    df = spark.createDataFrame([(*r, "x", -1) for r in rows], "id long, media binary, codec string, extra int")  # a column of an added name goes
+    got = {r.id: r for r in audio.store_pcm(df).collect()}
+    assert all(r.extra == -1 for r in got.values()) and audio.store_pcm(df.limit(0)).count() == 0
+    assert [bytes(got[i].payload)[:68] for i in (0, 1, 3)] == [bytes(range(68))] * 3 and got[2].payload == b"".join(bytes(range(4, 68)) for _ in range(4))
     assert [got[i].codec for i in range(4)] == ["mulaw", "alaw", "ima_adpcm", "pcm"] and [got[i].n_samples for i in range(4)] == [272, 272, 4 * 129, 136]
     codec, rate, _, data = audio.read_wave(bytes(got[0].pcm))
     assert (codec, rate, len(data)) == (audio.PCM, 16000, 2 * 2 * 272)
