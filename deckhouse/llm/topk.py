@@ -6,7 +6,8 @@ farther than that in no segment order could differ in that few bits. A query sto
 its k-th verified distance is within that bound, so results are exact, ties included.
 
 The stated query set meets all rows in blocks: codes are cut into shards of bounded size, each
-with its own index, query blocks stream past every shard, and the shards' top-k are merged.
+with its own index, query blocks stream past every shard, and the shards' top-k are merged. A query first meets the
+shard that its own code falls into; the k-th distance found there bounds what it asks the others for.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ BITS = 64
 
 
 def sign_code(embedding: Column) -> Column:
-    """64-bit code of a vector: bit i is set where element i is positive. Missing, null and NaN elements count as not positive; elements beyond 64 are an input error that the caller cuts."""
+    """64-bit code of a vector: bit i is set where element i is positive. Missing, null and NaN elements count as not positive; a null vector has no code. A vector of more than 64 elements is an error."""
     def bit(i: int) -> Column:
         x = F.try_element_at(embedding, F.lit(i + 1))
         return F.when((x > 0) & ~F.isnan(x), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
@@ -35,7 +36,8 @@ def sign_code(embedding: Column) -> Column:
     out = bit(0)
     for i in range(1, BITS):
         out = out.bitwiseOR(bit(i))
-    return F.when(embedding.isNotNull(), out)
+    too_long = F.raise_error(F.lit(f"a vector of more than {BITS} elements has no {BITS}-bit code")).cast("long")
+    return F.when(F.size(embedding) > BITS, too_long).when(embedding.isNotNull(), out)
 
 
 @lru_cache(maxsize=None)
@@ -64,8 +66,8 @@ class MultiIndex:
     def part(codes: np.ndarray, lo: int, width: int) -> np.ndarray:
         return ((codes >> np.uint64(lo)) & np.uint64((1 << width) - 1)).astype(np.int64)
 
-    def search(self, code: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and distances of the k nearest codes, by (distance, position)."""
+    def search(self, code: int, k: int, limit: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and distances of the k nearest codes, by (distance, position); none beyond the distance ``limit``."""
         query = np.array([code], np.int64).view(np.uint64)
         found, dist = np.empty(0, np.int64), np.empty(0, np.int64)
         for radius in range(max(w for _, w in self.segments) + 1):
@@ -87,10 +89,14 @@ class MultiIndex:
                     if len(found) > k:
                         best = np.lexsort((found, dist))[:k]
                         found, dist = found[best], dist[best]
-                if len(found) == min(k, len(self.codes)) and (not len(dist) or dist.max() <= self.m * radius + a or len(self.codes) <= k):
-                    best = np.lexsort((found, dist))
-                    return found[best], dist[best]
+                covered = self.m * radius + a
+                if covered >= limit or len(found) == min(k, len(self.codes)) and (not len(dist) or dist.max() <= covered or len(self.codes) <= k):
+                    break
+            else:
+                continue
+            break
         best = np.lexsort((found, dist))
+        best = best[dist[best] <= limit]
         return found[best], dist[best]
 
 
@@ -106,22 +112,34 @@ def hamming_topk(rows: DataFrame, queries: DataFrame, k: int = 10, row_id: str =
     smallest = Window.partitionBy("code").orderBy("id")  # a group limit: cut to k + 1 ids a code before the shuffle
     codes = clean[0].withColumn("n", F.row_number().over(smallest)).where(F.col("n") <= k + 1).groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     codes, queries = store(codes, "codes"), store(clean[1], "queries")
-    cores = rows.sparkSession.sparkContext.defaultParallelism
     shards = max(1, -(-codes.count() // shard_codes))
-    groups = max(1, -(-queries.count() // block), -(-cores // shards))
+    codes = codes.withColumn("shard", F.pmod(F.xxhash64("code"), F.lit(shards)))
+    home = queries.withColumn("shard", F.pmod(F.xxhash64("code"), F.lit(shards)))
+    near = _searched(codes, home.withColumn("limit", F.lit(BITS)), k, shards, -(-queries.count() // (shards * block)))
+    if shards > 1:
+        near = store(near, "near")
+        bounds = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("distance")).alias("limit"))
+        shard = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")), lambda s: s != F.col("shard")))
+        away = home.join(bounds, F.col("id") == F.col("query_id"), "left").select("id", "code", shard.alias("shard"), F.coalesce("limit", F.lit(BITS)).cast("int").alias("limit"))
+        near = near.union(_searched(codes, away, k, shards, -(-queries.count() // block)))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id")).cast("long")
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
+
+
+def _searched(codes: DataFrame, queries: DataFrame, k: int, shards: int, groups: int) -> DataFrame:
+    """``query_id, neighbor_id, distance``: the k nearest of ``queries(id, code, shard, limit)`` in their shard of ``codes(code, ids, shard)``."""
+    groups = max(1, groups, -(-codes.sparkSession.sparkContext.defaultParallelism // shards))
     # Every (shard, query group) is one task: the shard's codes first, then the group's queries in a stream.
-    left = codes.withColumn("shard", F.pmod(F.xxhash64("code"), F.lit(shards))).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("first", F.lit(True))
-    right = queries.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    right = right.select("code", F.array("id").alias("ids"), "shard", "group", F.lit(False).alias("first"))
     cell = F.col("shard") * groups + F.col("group")
-    both = left.select("code", "ids", "shard", "group", "first").unionByName(right).select(cell.alias("cell"), "first", "code", "ids")
-    both = both.repartition(shards * groups, "cell").sortWithinPartitions("cell", F.desc("first"), F.col("ids")[0], "code")
+    left = codes.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(cell.alias("cell"), F.lit(True).alias("first"), "code", "ids", F.lit(None).cast("int").alias("limit"))
+    right = queries.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).select(cell.alias("cell"), F.lit(False).alias("first"), "code", F.array("id").alias("ids"), "limit")
+    both = left.union(right).repartition(shards * groups, "cell").sortWithinPartitions("cell", F.desc("first"), F.col("ids")[0], "code")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell_now, codes_, ids_, index, memo = None, [], [], None, {}
         for batch in batches:
             out: list[tuple[int, int, int]] = []
-            for cell_, first, c, ids in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for cell_, first, c, ids, limit in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if cell_ != cell_now:
                     cell_now, codes_, ids_, index, memo = cell_, [], [], None, {}
                 if first:
@@ -130,19 +148,17 @@ def hamming_topk(rows: DataFrame, queries: DataFrame, k: int = 10, row_id: str =
                     continue
                 if index is None:
                     index = MultiIndex(np.array(codes_, np.int64).view(np.uint64))
-                if c not in memo:
+                if (c, limit) not in memo:
                     if len(memo) >= 4096:
                         memo.clear()
-                    at, dist = index.search(c, k + 1) if codes_ else ((), ())
-                    memo[c] = sorted((int(d), i) for p, d in zip(at, dist, strict=True) for i in ids_[p])[: k + 1]
+                    at, dist = index.search(c, k + 1, limit) if codes_ else ((), ())
+                    memo[c, limit] = sorted((int(d), i) for p, d in zip(at, dist, strict=True) for i in ids_[p])[: k + 1]
                 query = ids[0]
-                out += [(query, i, d) for d, i in memo[c] if i != query][:k]
+                out += [(query, i, d) for d, i in memo[c, limit] if i != query][:k]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["query_id", "neighbor_id", "distance"])
 
-    near = both.mapInArrow(run, "query_id long, neighbor_id long, distance long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id")).cast("long")
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
+    return both.mapInArrow(run, "query_id long, neighbor_id long, distance long")
 
 
 def op1_mih_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,12 +59,17 @@ def test_multi_index_stops_at_the_bound():
         apart = np.bitwise_count(codes ^ np.array([q], np.int64).view(np.uint64)).astype(int)
         want = np.lexsort((np.arange(3000), apart))[:9]
         assert at.tolist() == want.tolist() and dist.tolist() == apart[want].tolist()
+        for limit in (0, int(apart[want[4]]), 64):
+            at, dist = index.search(int(q), 9, limit)
+            assert at.tolist() == [x for x in want.tolist() if apart[x] <= limit] and (dist <= limit).all()
 
 
 def test_sign_codes(spark):
     rows = [([1.0, -1.0, 0.5] + [0.0] * 60 + [2.0],), ([float("nan"), None, 3.0],), (None,), ([],)]
     got = [r[0] for r in spark.createDataFrame(rows, "e array<float>").select(topk.sign_code(F.col("e"))).collect()]
     assert got == [5 - (1 << 63), 4, None, 0]
+    with pytest.raises(Exception, match="more than 64 elements"):
+        spark.createDataFrame([([1.0] * 65,)], "e array<float>").select(topk.sign_code(F.col("e"))).collect()
 
 
 # ---------------------------------------------------------------- near-duplicates
