@@ -7,7 +7,9 @@ import unicodedata
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -90,6 +92,22 @@ def test_known_licenses_are_distinct(spark):
     assert licenses.scan(spark.createDataFrame(rewrapped, "doc_id long, text string"), known).first().license_id == "BSD-3-Clause"
 
 
+def test_planted_licenses_match_the_sql(spark):
+    """Every known licence, rewrapped, re-cased, with other copyright lines and British spelling, among texts that only quote them."""
+    rows = []
+    for i, (name, text) in enumerate(licenses.LICENSES.items()):
+        changed = [text, " ".join(text.split()).upper(), "Copyright (c) 2019 Some One\nAll rights reserved.\n\n" + text.replace("license", "licence").replace(". ", " ; "), f"* {text}\n\n(c) 2001 X"]
+        rows += [(10 * i + j, t, name) for j, t in enumerate(changed)] + [(10 * i + 7, "See below. " + text, None), (10 * i + 8, text[:-30], None)]
+    rows += [(5000, None, None), (5001, "", None), (5002, " ".join(["licence"] * 400_000), None)]
+    docs_ = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(docs_, spark.createDataFrame(list(licenses.LICENSES.items()), "license_id string, text string")).collect()}
+    assert {i: got[i].license_id for i, _, _ in rows} == {i: name for i, _, name in rows}
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([r[:2] for r in rows], columns=["doc_id", "text"]))
+    want = con.sql(licenses.OP3_SQL).fetchall()
+    assert sorted(want, key=str) == sorted(((r.doc_id, r.canonical_chars, r.digest, r.license_id) for r in got.values()), key=str)
+
+
 # ---------------------------------------------------------------- audio
 
 
