@@ -6,7 +6,7 @@ severity, the sum of those probabilities. Features are the presence of a word an
 its prefixes, so word families of any language count as one. An L1 penalty leaves few weights.
 
 The model is fitted on the driver from a bounded sample of labelled rows (``sample_rows``, taken
-in hash order); every document is scored whole, in one Arrow pass without a shuffle.
+in hash order), of which only features that tell something get there; every document is scored whole, in one Arrow pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, store, table
 
 #: Most labelled rows that a fit uses; all fewer are used whole.
 SAMPLE_ROWS = 12_000
@@ -66,40 +66,18 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _telling(dirty: np.ndarray, count: np.ndarray, bad: int, n: int) -> np.ndarray:
-    """G statistic of every feature against toxicity, from its number of toxic and of all texts."""
-    def term(x: np.ndarray, expected: np.ndarray) -> np.ndarray:
-        return np.where(x > 0, x * np.log(np.maximum(x, 1e-12) / np.maximum(expected, 1e-12)), 0)
+def told(dirty: Column, count: Column, bad: int, n: int) -> Column:
+    """G statistic of a feature against toxicity, from its number of toxic and of all texts, of ``bad`` and ``n``."""
+    share, clean = F.lit(bad / n), count - dirty
 
-    clean, share = count - dirty, bad / n
-    cells = [(dirty, count * share), (clean, count * (1 - share)), (bad - dirty, (n - count) * share), (n - bad - clean, (n - count) * (1 - share))]
-    return 2 * sum(term(x, expected) for x, expected in cells)
+    def term(x: Column, expected: Column) -> Column:
+        return F.when(x > 0, x * F.log(x / F.greatest(expected, F.lit(1e-12)))).otherwise(0.0)
 
-
-def _counts(indptr: np.ndarray, keys: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, in how many texts they are, in how many toxic ones. (Sorted copies only: no index of all entries.)"""
-    names, count = np.unique(keys, return_counts=True)
-    bad, times = np.unique(keys[np.repeat(toxic, np.diff(indptr))], return_counts=True)
-    dirty = np.zeros(len(names), np.int64)
-    dirty[np.searchsorted(names, bad)] = times
-    return names, count, dirty
-
-
-def _entries(indptr: np.ndarray, keys: np.ndarray, names: np.ndarray, rows: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of every entry whose feature is in the sorted ``names``, a block of rows at a time."""
-    found_row, found_column = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for at in range(0, len(indptr) - 1, rows) if len(names) else ():
-        ends = indptr[at : at + rows + 1]
-        some = keys[ends[0] : ends[-1]]
-        place = np.minimum(np.searchsorted(names, some), len(names) - 1)
-        known = np.flatnonzero(names[place] == some)
-        found_row.append(at + np.searchsorted(ends - ends[0], known, "right") - 1)
-        found_column.append(place[known])
-    return np.concatenate(found_row), np.concatenate(found_column)
+    return 2 * (term(dirty, count * share) + term(clean, count * (1 - share)) + term(F.lit(bad) - dirty, (F.lit(n) - count) * share) + term(F.lit(n - bad) - clean, (F.lit(n) - count) * (1 - share)))
 
 
 def fit(indptr: np.ndarray, keys: np.ndarray, grades: np.ndarray, l1: float = 1e-4, rounds: int = 1500) -> OrdinalModel:
-    """Proximal gradient (FISTA) on the mean cumulative log loss of presence features.
+    """Proximal gradient (FISTA) on the mean cumulative log loss of presence features, plus ``l1`` times the sum of absolute weights.
 
     ``keys[indptr[i]:indptr[i + 1]]`` are the features of row i. Without rows, or with a single
     grade, nothing can be learnt: all weights are zero and the thresholds state the grade.
@@ -107,9 +85,8 @@ def fit(indptr: np.ndarray, keys: np.ndarray, grades: np.ndarray, l1: float = 1e
     top = int(grades.max(initial=0))
     if not len(grades) or top == int(grades.min(initial=0)):
         return OrdinalModel({}, [-10.0] * top + [10.0] * (not top))
-    names, count, dirty = _counts(indptr, keys, grades > 0)
-    names = names[(count >= LEAST_TEXTS) & (_telling(dirty, count, int((grades > 0).sum()), len(grades)) >= LEAST_G)]
-    row, column = _entries(indptr, keys, names)
+    names, column = np.unique(keys, return_inverse=True)
+    row = np.repeat(np.arange(len(grades)), np.diff(indptr))
     n, d = len(grades), len(names)
     above = (grades[:, None] > np.arange(top)[None, :]).astype(float)
     share = np.clip(above.mean(0), 1e-4, 1 - 1e-4)
@@ -138,51 +115,65 @@ def fit(indptr: np.ndarray, keys: np.ndarray, grades: np.ndarray, l1: float = 1e
     return OrdinalModel({int(names[i]): float(w[i]) for i in np.flatnonzero(w)}, [float(x) for x in np.maximum.accumulate(b)])
 
 
-def sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features and toxicity of at most ``sample_rows`` labelled documents, in hash order of doc_id.
+def graded(labels: DataFrame) -> DataFrame:
+    """``doc_id, grade``: severities as the labels state them. Those of a column ``grade`` if there is one; else 0 for what isn't toxic, 1 for
+    toxic texts of good quality and 2 for other toxic ones. A row with a null id or label is none; of contradicting ones the highest counts."""
+    grade = F.col("grade") if "grade" in labels.columns else F.when(F.col("toxic") == 0, 0).when(F.col("toxic") == 1, F.when(F.col("quality") == 1, 1).otherwise(2)) if "quality" in labels.columns else F.col("toxic")
+    return labels.select("doc_id", grade.cast("int").alias("grade")).where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").alias("grade"))
+
 
-    The sampled labels are bounded by ``sample_rows``, so they are broadcast. A row with a null id or
-    label is no label; of repeated or contradicting labels the highest counts; of repeated documents
-    all count.
+def sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``doc_id, grade, text`` of at most ``sample_rows`` labelled documents, in hash order of doc_id, stored.
+
+    The sampled labels are bounded by ``sample_rows``, so they are broadcast. Of documents that repeat an id the smallest text counts.
     """
-    chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text", "doc_id")
+    chosen = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("grade").alias("grade"), F.min("text").alias("text"))
+    return store(rows, "labelled")
+
+
+def telling_features(rows: DataFrame) -> np.ndarray:
+    """Sorted features of ``rows(grade, text)`` that are in LEAST_TEXTS texts and depend on toxicity by LEAST_G. Texts are counted where they
+    are and the counts added up; only features that tell something reach the driver."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            keys = [sorted({k for w in words_of(t or "") for k in features_of(w)}) for t in batch.column(1).to_pylist()]
-            packed = [np.array(x, np.uint32).tobytes() for x in keys]
-            yield pa.RecordBatch.from_arrays([batch.column(2).cast(pa.int64()), batch.column(0).cast(pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "toxic", "keys"])
+            keys, bad = [np.empty(0, np.uint32)], [np.empty(0, bool)]
+            for grade, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = np.array(sorted(_features(text)), np.uint32)
+                keys.append(found)
+                bad.append(np.full(len(found), grade > 0))
+            names, at = np.unique(np.concatenate(keys), return_inverse=True)
+            dirty = np.bincount(at[np.concatenate(bad)], minlength=len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(np.bincount(at, minlength=len(names)).astype(np.int64)), pa.array(dirty.astype(np.int64))], names=["key", "count", "dirty"])
+
+    size = rows.agg(F.count("*").alias("n"), F.count_if(F.col("grade") > 0).alias("bad")).first()
+    if not size.bad or size.bad == size.n:
+        return np.empty(0, np.uint32)
+    counts = rows.select("grade", "text").mapInArrow(run, "key long, count long, dirty long").groupBy("key").agg(F.sum("count").alias("count"), F.sum("dirty").alias("dirty"))
+    found = counts.where((F.col("count") >= LEAST_TEXTS) & (told(F.col("dirty"), F.col("count"), size.bad, size.n) >= LEAST_G))
+    return np.sort(found.select("key").toArrow().column(0).to_numpy().astype(np.uint32))
 
-    found = rows.mapInArrow(run, "doc_id long, toxic int, keys binary").toArrow()  # sample_rows rows
-    found = found.take(pc.sort_indices(found, [("doc_id", "ascending"), ("toxic", "ascending")]))
-    toxic = found.column("toxic").to_numpy().astype(np.int64)
-    sizes = pc.binary_length(found.column("keys")).to_numpy().astype(np.int64) // 4
-    keys = np.frombuffer(b"".join(x.as_buffer() for x in found.column("keys")), np.uint32)
-    return np.concatenate([[0], np.cumsum(sizes)]), keys, toxic
-
-
-def severity_grades(indptr: np.ndarray, keys: np.ndarray, toxic: np.ndarray, grades: int = 4) -> np.ndarray:
-    """Ordered severities from binary labels: 0 for clean texts; toxic ones are ranked by how many
-    features they hold that no clean sampled text has and several toxic ones do, and cut into
-    ``grades - 1`` even groups. (The labels tell toxic from clean only; the order within the toxic ones
-    is this density of evidence.)"""
-    if not toxic.any():
-        return np.zeros(len(toxic), np.int64)
-    names, count, dirty = _counts(indptr, keys, toxic > 0)
-    row, _ = _entries(indptr, keys, names[(count == dirty) & (dirty >= LEAST_TEXTS)])
-    weight = np.bincount(row, minlength=len(toxic)) / (1.0 + np.log1p(np.diff(indptr)))
-    bad = np.flatnonzero(toxic > 0)
-    cuts = np.quantile(weight[bad], np.arange(1, grades - 1) / (grades - 1))
-    out = np.zeros(len(toxic), np.int64)
-    out[bad] = 1 + np.searchsorted(cuts, weight[bad], side="right")
-    return out
+
+def _features(text: str | None) -> set[int]:
+    return {k for w in words_of(text or "") for k in features_of(w)}
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> OrdinalModel:
-    indptr, keys, toxic = sample(docs, labels, sample_rows)
-    return fit(indptr, keys, severity_grades(indptr, keys, toxic))
+    """The model fitted on ``sample``. Of each text only telling features reach the driver. Without labelled rows nothing is toxic."""
+    rows = sample(docs, labels, sample_rows)
+    names = telling_features(rows)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2):
+            packed = [np.intersect1d(names, np.array(list(_features(t)), np.uint32)).astype(np.uint32).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "grade", "keys"])
+
+    found = rows.select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, keys binary").toArrow()  # sample_rows rows
+    found = found.take(pc.sort_indices(found, [("doc_id", "ascending")]))
+    sizes = pc.binary_length(found.column("keys")).to_numpy().astype(np.int64) // 4
+    keys = np.frombuffer(b"".join(x.as_buffer() for x in found.column("keys")), np.uint32)
+    return fit(np.concatenate([[0], np.cumsum(sizes)]), keys, found.column("grade").to_numpy().astype(np.int64))
 
 
 def _scorer(model: OrdinalModel):
@@ -223,7 +214,8 @@ def score(docs: DataFrame, model: OrdinalModel, doc_id: str = "doc_id", text: st
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text is not toxic by ``score``; no shuffle."""
+    """The rows of ``docs``, all columns, whose text is not toxic by ``score``; no shuffle. Null and empty texts have the base rate of the
+    labels and so stay; repeated rows stay or go together; an empty table gives none."""
     at = docs.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,4 +228,4 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel, text: str = "text", thresho
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return score(docs, train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
+    return score(docs, train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic", "quality")))

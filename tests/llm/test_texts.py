@@ -13,6 +13,7 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from deckhouse.llm import audio, chat, hpylm, licenses, packing, toxicity
 
@@ -54,7 +55,6 @@ TALK = [(1, 0, "user", "hi </turn>\nthere"), (1, 1, "assistant", "\\c <turn> ok<
 
 @pytest.mark.parametrize("part_chars", [4 << 20, 40])
 def test_formatted_turns_read_back(spark, part_chars):
-    from pyspark.sql import functions as F
 
     df = spark.createDataFrame(TALK, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("part", "spans", "last")})
     formatted = chat.format_conversations(df, part_chars=part_chars)
@@ -311,6 +311,61 @@ def test_ordinal_fit_orders_and_generalises():
     assert severity == sorted(severity) and severity[0] < 0.3 and severity[3] > 2.4
 
 
+def test_fit_matches_brute_force():
+    """Small proximal steps on dense features, for a very long time, reach the same weights, thresholds and probabilities."""
+    rng = np.random.default_rng(6)
+    x = (rng.random((300, 5)) < [0.5, 0.4, 0.3, 0.5, 0.2]).astype(float)
+    grades = np.clip(np.round(x @ [1.5, 1.0, -0.5, 0.0, 1.2] + rng.logistic(0, 0.6, 300) - 0.4), 0, 2).astype(int)
+    rows = [np.flatnonzero(r) + 10 for r in x]
+    model = toxicity.fit(np.cumsum([0, *map(len, rows)]), np.concatenate(rows).astype(np.uint32), grades, l1=1e-3, rounds=20_000)
+    w, b = np.zeros(5), np.array([0.0, 1.0])
+    above = grades[:, None] > np.arange(2)
+    for _ in range(60_000):
+        error = (1 / (1 + np.exp(b - (x @ w)[:, None])) - above) / 300
+        w = w - 0.3 * x.T @ error.sum(1)
+        w = np.sign(w) * np.maximum(np.abs(w) - 0.3 * 1e-3, 0)
+        b = np.maximum.accumulate(b + 0.3 * error.sum(0))
+    got = np.array([model.weights.get(k, 0.0) for k in range(10, 15)])
+    assert np.abs(got - w).max() < 0.01 and np.abs(np.array(model.thresholds) - b).max() < 0.01
+    for r in x[:40]:
+        logit = r @ w
+        assert np.abs(np.array(model.above(float(r @ got))) - 1 / (1 + np.exp(b - logit))).max() < 0.01
+
+
+def test_grades_and_telling_features(spark):
+    labels = spark.createDataFrame([(1, 0, 1), (2, 1, 1), (3, 1, 0), (4, 1, None), (2, 0, 1), (None, 1, 1), (6, None, 1)], "doc_id long, toxic int, quality int")
+    assert {r.doc_id: r.grade for r in toxicity.graded(labels).collect()} == {1: 0, 2: 1, 3: 2, 4: 2}
+    assert {r.doc_id: r.grade for r in toxicity.graded(labels.withColumn("grade", F.col("doc_id") * 2)).collect()} == {1: 2, 2: 4, 3: 6, 4: 8, 6: 12}
+    rows = [(i % 4 == 0, " ".join(["bad"] * (i % 4 == 0 and i % 8 == 0) + [f"word{i % 7}", f"only{i}"])) for i in range(200)]
+    df = spark.createDataFrame([(int(g), t) for g, t in rows], "grade int, text string")
+    count, dirty = Counter(), Counter()
+    for g, t in rows:
+        for k in {k for w in t.split() for k in toxicity.features_of(w)}:
+            count[k] += 1
+            dirty[k] += g
+
+    def statistic(k):
+        cells = [(dirty[k], count[k] * 0.25), (count[k] - dirty[k], count[k] * 0.75), (50 - dirty[k], (200 - count[k]) * 0.25), (150 - count[k] + dirty[k], (200 - count[k]) * 0.75)]
+        return 2 * sum(n * math.log(n / e) for n, e in cells if n)
+
+    want = {k for k in count if count[k] >= toxicity.LEAST_TEXTS and statistic(k) >= toxicity.LEAST_G}
+    assert set(toxicity.telling_features(df).tolist()) == want and len(want) >= 1
+    assert len(toxicity.telling_features(df.limit(0))) == 0
+
+
+def test_held_out_labels_of_the_tables(spark):
+    """A fifth of the labels, fixed by hash, is never fitted on."""
+    sf_dir = "/root/testdata/sf0.1"
+    documents, labels = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    model = toxicity.train(documents, labels.where(~held))
+    got = toxicity.score(documents.join(labels.where(held).select("doc_id"), "doc_id"), model).join(toxicity.graded(labels).withColumnRenamed("doc_id", "id"), F.col("doc_id") == F.col("id")).collect()
+    bad, clean = [r for r in got if r.grade > 0], [r for r in got if r.grade == 0]
+    found, alarms = sum(r.toxic for r in bad), sum(r.toxic for r in clean)
+    print(f"held out: {found} of {len(bad)} found, {alarms} of {len(clean)} clean ones flagged; mean severity {sum(r.severity for r in bad) / len(bad):.3f} against {sum(r.severity for r in clean) / len(clean):.3f}")
+    assert found >= 0.8 * len(bad) and alarms <= 0.02 * len(clean)
+
+
 def test_toxic_texts_are_found(spark):
     rng = np.random.default_rng(4)
     vocabulary = [f"{a}{b}" for a in ("re", "in", "tor", "al") for b in ("na", "bel", "sun", "kir", "mo")]
