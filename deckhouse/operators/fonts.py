@@ -66,9 +66,9 @@ def alias_candidates(faces: DataFrame) -> DataFrame:
 
 
 def first_match(candidates: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Of ``candidates(face, tier, ord, key)`` those in ``catalogue(tier, key, target, kind)``, the first by (tier, ord)."""
+    """Of ``candidates(face, tier, ord, key)`` those in ``catalogue(tier, key, target, kind)``, the first by (tier, ord), then by target."""
     met = candidates.join(catalogue, ["tier", "key"])
-    return met.groupBy("face").agg(F.min_by(F.struct("target", "kind"), F.struct("tier", "ord")).alias("m")).select("face", F.col("m.target").alias("target"), F.col("m.kind").alias("kind"))
+    return met.groupBy("face").agg(F.min(F.struct("tier", "ord", "target", "kind")).alias("m")).select("face", F.col("m.target").alias("target"), F.col("m.kind").alias("kind"))
 
 
 def face_plan(missing: DataFrame, system: DataFrame, office: DataFrame, ours: DataFrame) -> DataFrame:
