@@ -124,6 +124,8 @@ _SKETCH_MULTIPLY = _rng.integers(0, 1 << 32, SKETCH // 2, np.uint32) | np.uint32
 _SKETCH_XOR = _rng.integers(0, 1 << 32, SKETCH // 2, np.uint32)
 #: Members of a bucket that meet in one cell; members of larger buckets meet by their rarest shingles, in cells of so many.
 CELL = 512
+#: Smallest keys of a prefix that tell in which of the buckets that two members share they are compared.
+LOW = 16
 #: Texts from which the order of shingles is taken, the share of them that makes a shingle frequent, most frequent ones.
 #: (Any order gives the same links; a good one makes less work.)
 ORDER_TEXTS, FREQUENT, MOST_FREQUENT = 2000, 0.005, 200_000
@@ -206,7 +208,7 @@ def _sketches(texts: DataFrame) -> DataFrame:
 
 
 def _by_rare_shingles(texts: DataFrame) -> DataFrame:
-    """``key, rep`` of ``texts(rep, text)``: the prefix of each in an order that has frequent shingles last."""
+    """``key, rep, low`` of ``texts(rep, text)``: the prefix of each in an order that has frequent shingles last, and its LOW smallest keys."""
 
     def shingles_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -223,47 +225,50 @@ def _by_rare_shingles(texts: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             keys = [prefix_keys(shingles(low_words(t)), frequent) for t in utf8(batch.column(1))]
-            reps = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(reps)], names=["key", "rep"])
+            sizes = [len(k) for k in keys]
+            low = pa.array([np.sort(k.view(np.uint64))[:LOW].tobytes() for k in keys], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column(0).take(pa.array(np.repeat(np.arange(len(keys)), sizes))), low.take(pa.array(np.repeat(np.arange(len(keys)), sizes)))], names=["key", "rep", "low"])
 
-    return texts.mapInArrow(run, "key long, rep long")
+    return texts.mapInArrow(run, "key long, rep long, low binary")
 
 
 def _apart(buckets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``key, rep, label`` of all members, and ``of, n`` of the keys whose members are in different components."""
-    named = buckets.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
+    """``key, rep, label`` (and ``low``) of all members, and ``of, n`` of the keys whose members are in different components."""
+    low = F.col("low") if "low" in buckets.columns else F.lit(None).cast("binary").alias("low")
+    named = buckets.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "rep").alias("label"), low)
     of_key = named.groupBy(F.col("key").alias("of")).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high")
     return named, of_key.select("of", "n")
 
 
 def meetings(buckets: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """``key, banded, chunks, rep, label``: the buckets whose members still have to meet. Those of more than CELL members are
+    """``key, banded, chunks, rep, label, low``: the buckets whose members still have to meet. Those of more than CELL members are
     replaced by the buckets of their members' rarest shingles (``banded`` false), which are cut into chunks of about CELL."""
     named, of_key = _apart(buckets, labels)
     of_key = store(of_key, "open-keys")
-    met = named.join(of_key.where(F.col("n") <= CELL), F.col("key") == F.col("of")).select("key", F.lit(True).alias("banded"), F.lit(1).cast("long").alias("chunks"), "rep", "label")
+    met = named.join(of_key.where(F.col("n") <= CELL), F.col("key") == F.col("of")).select("key", F.lit(True).alias("banded"), F.lit(1).cast("long").alias("chunks"), "rep", "label", "low")
     large = of_key.where(F.col("n") > CELL)
     if large.isEmpty():
         return met
     wanted = named.join(large, F.col("key") == F.col("of")).select(F.col("rep").alias("of")).distinct()
     rare = store(_by_rare_shingles(store(texts.join(wanted, F.col("rep") == F.col("of")).select("rep", "text"), "crowd")), "rare")
     named, of_key = _apart(rare, labels)
-    return met.union(named.join(of_key, F.col("key") == F.col("of")).select("key", F.lit(False), F.ceil(F.col("n") / CELL), "rep", "label"))
+    return met.union(named.join(of_key, F.col("key") == F.col("of")).select("key", F.lit(False), F.ceil(F.col("n") / CELL), "rep", "label", "low"))
 
 
 def open_pairs(buckets: DataFrame, labels: DataFrame, texts: DataFrame, exact: bool = False) -> DataFrame:
     """``a, b``: pairs that share a bucket, are in different components and alike by sketch (if ``exact``, by size alone).
 
     Every two chunks of a bucket meet in a cell of bounded size; pairs are compared there and only the alike leave,
-    of a band in the first band that they share. No bucket, no pair: empty inputs give no rows.
+    each pair in the first bucket that it shares. Small sets are compared in full, so of those a cell gives only links that
+    join components. No bucket, no pair: empty inputs give no rows.
     """
     mixed = store(meetings(buckets, labels, texts), "mixed")
     wanted = mixed.select(F.col("rep").alias("of")).distinct()
     known = store(_sketches(texts.join(wanted, F.col("rep") == F.col("of")).select("rep", "text")), "sketches")
     rows = mixed.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    rows = rows.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "banded", "chunk", "label", F.col("rep").alias("of"))
+    rows = rows.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "banded", "chunk", "label", F.col("rep").alias("of"), "low")
     cell = ["key", "i", "j", "banded"]
-    rows = rows.join(known, F.col("of") == F.col("rep")).select(*cell, "chunk", "rep", "label", "size", "keys", "sketch", "small")
+    rows = rows.join(known, F.col("of") == F.col("rep")).select(*cell, "chunk", "rep", "label", "size", "keys", "sketch", "small", "low")
     rows = rows.repartition(*cell).sortWithinPartitions(*cell, "rep")
 
     def compare(key: int, i: int, j: int, banded: bool, cell: list[tuple]) -> Iterator[tuple[int, int]]:
@@ -275,9 +280,13 @@ def open_pairs(buckets: DataFrame, labels: DataFrame, texts: DataFrame, exact: b
         held = np.arange(EXACT) < np.where(size <= EXACT, size, 0)[:, None]
         sets[held] = np.frombuffer(b"".join(x[6] for x in cell), np.uint64)
 
-        def pairs(x: int, at: np.ndarray) -> Iterator[tuple[int, int]]:
-            for y in at:
-                yield (int(rep[x]), int(rep[y])) if rep[x] < rep[y] else (int(rep[y]), int(rep[x]))
+        # The smallest keys of a prefix in rows of LOW; what smaller key two members share, both rows have.
+        nothing = np.uint64((1 << 64) - 1)
+        low = np.full((len(cell), LOW), nothing)
+        for x, row in enumerate(cell if not banded else ()):
+            some = np.frombuffer(row[7], np.uint64)
+            low[x, : len(some)] = some
+        here = np.array([key], np.int64).view(np.uint64)[0]
 
         for x in range(len(cell) - 1):
             later = slice(x + 1, None)
@@ -290,7 +299,10 @@ def open_pairs(buckets: DataFrame, labels: DataFrame, texts: DataFrame, exact: b
             if size[x] <= EXACT:
                 small = at[size[at] <= EXACT]
                 common = (np.isin(sets[small], sets[x][held[x]]) & held[small]).sum(1)
-                yield from pairs(x, small[100 * common >= PERCENT * (size[small] + size[x] - common)])
+                for y in small[100 * common >= PERCENT * (size[small] + size[x] - common)]:
+                    if label[y] != label[x]:  # linked for sure, so one link joins the two components for this cell
+                        label[label == label[y]] = label[x]
+                        yield (int(rep[x]), int(rep[y])) if rep[x] < rep[y] else (int(rep[y]), int(rep[x]))
                 at = at[size[at] > EXACT]
             if not exact:
                 at = at[np.count_nonzero(bytes_[at] == bytes_[x], axis=1) >= LEAST_EQUAL * SKETCH]
@@ -298,7 +310,11 @@ def open_pairs(buckets: DataFrame, labels: DataFrame, texts: DataFrame, exact: b
                     shared = keys[at] == keys[x]
                     first = keys[x][np.argmax(shared, axis=1)]
                     at = at[shared.any(1) & (first == key)]
-            yield from pairs(x, at)
+            if not banded and len(at):  # in the first bucket that they share; where the rows don't tell it, in each
+                least = np.where(np.isin(low[at], low[x][low[x] != nothing]), low[at], nothing).min(1)
+                at = at[(least == here) | (least == nothing)]
+            for y in at:
+                yield (int(rep[x]), int(rep[y])) if rep[x] < rep[y] else (int(rep[y]), int(rep[x]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def finish() -> Iterator[pa.RecordBatch]:
@@ -309,7 +325,7 @@ def open_pairs(buckets: DataFrame, labels: DataFrame, texts: DataFrame, exact: b
 
         now, cell = None, []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in range(11)), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in range(12)), strict=True):
                 if row[:4] != now:
                     yield from finish()
                     now, cell = row[:4], []
