@@ -1,4 +1,4 @@
-"""Commands: ``python -m deckhouse audit|fonts|plan|notes|media|expand LIBRARY ...``.
+"""Commands: ``python -m deckhouse audit|fonts|plan|export|render|expand|variants|notes|media|map LIBRARY ...``.
 
 Exit codes: 0 done, 1 a deck failed, 2 bad arguments.
 """
@@ -6,12 +6,14 @@ Exit codes: 0 done, 1 a deck failed, 2 bad arguments.
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import builds, export, fonts, library, media, notes, pages, sinks
+from .functions import text
+from .operators import builds, export, fonts, library, media, notes, pages, render, sinks
 from .sources import decks
 
 
@@ -31,39 +33,118 @@ def audit(spark: SparkSession, args: argparse.Namespace) -> int:
     return 0
 
 
+def _names(spark: SparkSession, listed: str | None, **columns: Column) -> DataFrame:
+    """A text file's lines as the given columns of ``value``; without a file no rows."""
+    rows = spark.read.text(listed) if listed else spark.createDataFrame([], "value string")
+    return rows.where("trim(value) <> ''").select(*(c.alias(n) for n, c in columns.items()))
+
+
+def _say(df: DataFrame, out: str | None = None) -> None:
+    """Every row: as JSON files where the caller wants them, else printed."""
+    if out:
+        df.write.mode("overwrite").json(out)
+        return
+    for line in sinks.lines(df):
+        print(line)
+
+
 def font_plan(spark: SparkSession, args: argparse.Namespace) -> int:
+    """What to do about each missing face; catalogues are lists of installed faces, office files and own substitutes."""
     records = library.audit(decks.read_parts(spark, args.library), _fonts(spark, args.fonts))
     missing = records.select("path", F.explode("fonts_missing").alias("face"))
-    none = spark.createDataFrame([], "key string, family string, face string, path string, source string")
-    system = fonts.installed_faces(spark.read.text(args.listing).select(F.monotonically_increasing_id().alias("number"), F.col("value").alias("line"))) if args.listing else none
-    plan = fonts.face_plan(missing, system, none, none).cache()
-    plan.select("face", "verdict", "detail", "decks").show(200, False)
-    fonts.group_substitutes(plan.where("verdict = 'substitute'")).select("family", F.size("faces").alias("faces"), "deck_count").show(200, False)
+    value = F.col("value")
+    system = fonts.installed_faces(_names(spark, args.listing, number=F.monotonically_increasing_id(), line=value))
+    office = fonts.office_faces(_names(spark, args.office, ordinal=F.monotonically_increasing_id(), path=value))
+    ours = _names(spark, args.ours, key=text.plain_key(text.stem(value)), source=text.base_name(value))
+    plan = fonts.face_plan(missing, system, office, ours).cache()
+    _say(plan.withColumn("paths", F.array_join("paths", ";")), args.json)
+    if not args.json:
+        _say(fonts.group_substitutes(plan.where("verdict = 'substitute'")).select("family", F.size("faces"), "deck_count"))
     return 0
 
 
-def plan(spark: SparkSession, args: argparse.Namespace) -> int:
+def _planned(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     found = decks.read_decks(spark, args.library, hidden="export", only=args.only)
     manifest = sinks.read_manifest(spark, args.manifest) if args.manifest else None
-    planned = export.export_plan(found.select("path", "status"), args.layout, args.library, args.out, args.on_conflict, manifest).cache()
-    planned.show(1000, False)
+    return export.export_plan(found.select("path", "status"), args.layout, args.library, args.out, args.on_conflict, manifest)
+
+
+def plan(spark: SparkSession, args: argparse.Namespace) -> int:
+    planned = _planned(spark, args).cache()
+    _say(planned, args.json)
     return 1 if planned.where("action = 'fail'").count() else 0
 
 
+def export_library(spark: SparkSession, args: argparse.Namespace) -> int:
+    """The plan carried out by a renderer that is plugged in as ``module:function``, deck bytes to PDF bytes."""
+    module, _, function = args.renderer.partition(":")
+    renderer = getattr(importlib.import_module(module), function or "render")
+    planned = _planned(spark, args).cache()
+    wanted = planned.where("action in ('export', 'overwrite')").select("path", "dest")
+    content = decks.read_decks(spark, args.library, hidden="export", only=args.only, content="true").select("path", "bytes", "content").join(wanted, "path")
+    done = render.export_decks(content, renderer, states=not args.no_states).join(content.select("path", "bytes", "dest"), "path").cache()
+    good = done.where("status = 'ok'")
+    name = F.concat("dest", F.lit("/"), text.stem(F.col("path")), F.lit(".pdf"))
+    pdf = F.col("pdf")
+    if not args.no_notes:
+        parts = decks.read_parts(spark, args.library, hidden="export", only=args.only)
+        slides = notes.presentation_slides(parts)
+        states = good.select(F.col("path").alias("deck"), F.explode("expanded").alias("e")).select("deck", F.col("e.slide").alias("slide_no"), F.col("e.pages").alias("n_states"))
+        on_pages = notes.notes_on_pages(parts, pages.page_map(slides, states))
+        by_deck = on_pages.groupBy(F.col("deck").alias("path")).agg(F.map_from_entries(F.collect_list(F.struct("page", "text"))).alias("notes"))
+        good = good.join(by_deck, "path", "left").withColumn("with_notes", builds.annotated("pdf", F.coalesce("notes", F.create_map().cast("map<int,string>"))))
+        pdf = F.coalesce("with_notes.pdf", "pdf")
+    sinks.write_files(good.select(name.alias("file"), pdf.alias("content")), "/" if "://" not in args.library else args.library.partition("://")[0] + "://")
+    if not args.no_media:
+        items = media.extract_media(decks.read_parts(spark, args.library, hidden="export", only=args.only, content=r"\.rels$|^ppt/media/"), svg=args.svg)
+        placed = items.join(good.select(F.col("path").alias("deck"), "dest"), "deck")
+        sinks.write_files(placed.select(F.concat("dest", F.lit("/media/"), "file").alias("file"), "content"), "/" if "://" not in args.library else args.library.partition("://")[0] + "://")
+    if args.manifest:
+        sinks.append_manifest(good.select("dest", "path", "bytes"), args.manifest)
+    failed = done.where("status <> 'ok'").select("path", "status", "attempts")
+    _say(done.select("path", "dest", "status", "recovery"), args.json)
+    return 1 if failed.count() or planned.where("action = 'fail'").count() else 0
+
+
+def images(spark: SparkSession, args: argparse.Namespace) -> int:
+    """The PDF files of an archive that still want images; drawing them is left to a renderer."""
+    pdfs = render.archive(spark, args.library, args.only)
+    have = render.archive_images(spark, args.library)
+    _say(render.render_plan(pdfs, have, args.format, args.force), args.json)
+    return 0
+
+
+def _below(path: Column, folder: str) -> Column:
+    return F.substring(path, len(folder.rstrip("/")) + 2, 1 << 20)
+
+
 def expand(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Decks with a slide for each build state, and their page maps beside them."""
     found = decks.read_decks(spark, args.library, content="true", only=args.only)
     out = found.select("path", builds.expansion("content").alias("x")).cache()
-    name = F.concat(F.regexp_replace(F.regexp_replace("path", f"^{args.library.rstrip('/')}/", ""), r"(?i)\.pptx$", ""), F.lit(" (expanded).pptx"))
+    name = F.concat(F.regexp_replace(_below(F.col("path"), args.library), r"(?i)\.pptx$", ""), F.lit(" (expanded)"))
     good = out.where("x.error is null and size(x.faults) = 0")
-    sinks.write_files(good.select(name.alias("file"), F.col("x.deck").alias("content")), args.out)
-    bad = out.where("x.error is not null or size(x.faults) > 0").select("path", F.coalesce("x.error", F.array_join(F.slice("x.faults", 1, 6), "; ")).alias("reason"))
-    bad.show(100, False)
+    sinks.write_files(good.select(F.concat(name, F.lit(".pptx")).alias("file"), F.col("x.deck").alias("content")), args.out)
+    slides = notes.presentation_slides(decks.read_parts(spark, args.library, only=args.only))
+    states = good.select(F.col("path").alias("deck"), F.explode("x.expanded").alias("e")).select("deck", F.col("e.slide").alias("slide_no"), F.col("e.pages").alias("n_states"))
+    maps = sinks.page_map_json(pages.page_map(slides, states), states).join(good.select(F.col("path").alias("deck"), name.alias("name")), "deck")
+    sinks.write_files(maps.select(F.concat("name", F.lit(".pages.json")).alias("file"), F.col("json").cast("binary").alias("content")), args.out)
+    bad = out.where("x.error is not null or size(x.faults) > 0").select("path", F.coalesce("x.error", F.array_join("x.faults", "; ")).alias("reason")).cache()
+    _say(bad)
     return 1 if bad.count() else 0
 
 
+def variants(spark: SparkSession, args: argparse.Namespace) -> int:
+    """A deck for each build state of one slide."""
+    found = decks.read_decks(spark, args.library, content="true", only=args.only)
+    stem = F.regexp_replace(_below(F.col("path"), args.library), r"(?i)\.pptx$", "") if not args.library.lower().endswith(".pptx") else text.stem(F.col("path"))
+    states = found.select(stem.alias("stem"), F.posexplode(builds.slide_variants("content", F.lit(args.slide))).alias("state", "content"))
+    sinks.write_files(states.select(F.concat("stem", F.lit(f" (slide {args.slide}, state "), F.col("state").cast("string"), F.lit(").pptx")).alias("file"), "content"), args.out)
+    return 0
+
+
 def speaker_notes(spark: SparkSession, args: argparse.Namespace) -> int:
-    found = notes.notes_json(notes.notes_on_pages(decks.read_parts(spark, args.library)))
-    found.write.mode("overwrite").json(args.out) if args.out else found.show(100, False)
+    _say(notes.notes_json(notes.notes_on_pages(decks.read_parts(spark, args.library))), args.out)
     return 0
 
 
@@ -71,14 +152,14 @@ def extract(spark: SparkSession, args: argparse.Namespace) -> int:
     parts = decks.read_parts(spark, args.library, content=r"\.rels$|^ppt/media/")
     items = media.extract_media(parts, args.all_gifs, args.svg)
     sinks.write_files(items, args.out)
-    media.kind_summary(items).show()
+    _say(media.kind_summary(items))
     return 0
 
 
 def page_maps(spark: SparkSession, args: argparse.Namespace) -> int:
     slides = notes.presentation_slides(decks.read_parts(spark, args.library))
     none = spark.createDataFrame([], "deck string, slide_no int, n_states int")
-    sinks.page_map_json(pages.page_map(slides, none), none).show(100, False)
+    _say(sinks.page_map_json(pages.page_map(slides, none), none), args.json)
     return 0
 
 
@@ -93,19 +174,24 @@ def main(argv: list[str] | None = None) -> int:
             c.add_argument(flag, **settings)
         c.set_defaults(function=function)
 
-    fonts_option, out = ("--fonts", {}), ("--out", {})
-    command("audit", audit, ("--json", {}), fonts_option)
-    command("fonts", font_plan, fonts_option, ("--listing", {}))
-    command("plan", plan, out, ("--layout", {"default": "mirror", "choices": export.LAYOUTS}), ("--on-conflict", {"default": "skip", "choices": export.CONFLICTS}), ("--only", {"default": ""}), ("--manifest", {}))
-    command("expand", expand, ("--out", {"required": True}), ("--only", {"default": ""}))
+    fonts_option, out, as_json, only, yes = ("--fonts", {}), ("--out", {}), ("--json", {}), ("--only", {"default": ""}), {"action": "store_true"}
+    planning = (out, ("--layout", {"default": "mirror", "choices": export.LAYOUTS}), ("--on-conflict", {"default": "skip", "choices": export.CONFLICTS}), only, ("--manifest", {}), as_json)
+    command("audit", audit, as_json, fonts_option)
+    command("fonts", font_plan, fonts_option, ("--listing", {}), ("--office", {}), ("--ours", {}), as_json)
+    command("plan", plan, *planning)
+    command("export", export_library, *planning, ("--renderer", {"required": True}), ("--no-states", yes), ("--no-notes", yes), ("--no-media", yes), ("--svg", yes))
+    command("render", images, only, ("--format", {"default": "png", "choices": list(render.IMAGE_EXTENSION)}), ("--force", yes), as_json)
+    command("expand", expand, ("--out", {"required": True}), only)
+    command("variants", variants, ("--slide", {"required": True, "type": int}), ("--out", {"required": True}), only)
     command("notes", speaker_notes, out)
-    command("media", extract, ("--out", {"required": True}), ("--svg", {"action": "store_true"}), ("--all-gifs", {"action": "store_true"}))
-    command("map", page_maps)
+    command("media", extract, ("--out", {"required": True}), ("--svg", yes), ("--all-gifs", yes))
+    command("map", page_maps, as_json)
     args = p.parse_args(argv)
     spark = SparkSession.builder.appName("deckhouse").getOrCreate()
     try:
-        decks.open_library(args.library)
+        if args.command != "render":
+            decks.open_library(args.library)
         return args.function(spark, args)
-    except (ValueError, FileNotFoundError) as e:
+    except (ValueError, FileNotFoundError, ImportError, AttributeError) as e:
         print(e, file=sys.stderr)
         return 2

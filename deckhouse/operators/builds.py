@@ -88,6 +88,23 @@ def expansion(decks: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([one(x) for x in some], columns=["deck", "expanded", "faults", "error"])
 
 
+@F.pandas_udf(T.ArrayType(T.BinaryType()))
+def slide_variants(decks: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """K4 by Arrow batches: a deck for each build state of one slide, by its place in the presentation; none of a deck that has no such
+    slide or can't be read."""
+    from ..functions.package import Package, variants
+
+    def one(data: bytes | None, slide: int) -> list[bytes]:
+        try:
+            listed = Package(bytes(data or b"")).slides()
+            return variants(bytes(data), listed[slide - 1][0]) if 1 <= slide <= len(listed) else []
+        except Exception:
+            return []
+
+    for contents, slides in decks:
+        yield pd.Series([one(x, int(n)) for x, n in zip(contents, slides, strict=True)])
+
+
 @F.pandas_udf(T.ArrayType(_struct(rule=T.StringType(), message=T.StringType())))
 def deck_faults(decks: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """TV5 by Arrow batches."""

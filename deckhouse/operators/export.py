@@ -77,12 +77,18 @@ def destinations(decks: DataFrame, layout: str, root: str, out: str | None = Non
     numbered = r"^(.*) \((\d+)\) \(export\)$"
     rows = rows.withColumn("head", F.when(settled | written, F.regexp_extract("dest", numbered, 1)).otherwise(head))
     rows = rows.withColumn("n", F.when(settled | written, F.nullif(F.regexp_extract("dest", numbered, 2), F.lit("")).cast("int")))
-    same = Window.partitionBy("head")
-    folders = F.collect_list(F.when(written & F.col("n").isNotNull(), F.struct("n", "writer"))).over(same)
-    used = F.array_union(F.transform(folders, lambda f: f["n"]), F.collect_set(F.when(settled, F.col("n"))).over(same))
-    rows = rows.withColumn("used", F.array_sort(used)).withColumn("own", F.array_min(F.transform(F.filter(folders, lambda f: f["writer"] == path), lambda f: f["n"])))
-    rank = F.row_number().over(Window.partitionBy("head", settled | written | F.col("own").isNotNull()).orderBy("path"))
-    number = F.coalesce("own", lowest_free(rank, F.col("used")))
+    # A number is taken once by a settled deck or an earlier folder. Below the j-th taken number t are t - 1 - j free ones, so a deck
+    # that is due the r-th free number gets r + 1 and one more for each taken number with fewer than r free ones below it.
+    n = F.col("n")
+    rows = rows.withColumn("taken", (settled | written) & F.coalesce(n >= 2, F.lit(False)))
+    rows = rows.withColumn("taken", F.col("taken") & (F.row_number().over(Window.partitionBy("head", "n", "taken").orderBy("path")) == 1))
+    rows = rows.withColumn("free", n - 1 - F.row_number().over(Window.partitionBy("head", "taken").orderBy("n")))
+    owner = F.when(written, F.col("writer")).otherwise(path)
+    rows = rows.withColumn("own", F.min(F.when(written, n)).over(Window.partitionBy("head", owner)))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("head", settled | written | F.col("own").isNotNull()).orderBy("path")))
+    rows = rows.withColumn("seat", F.when(F.col("taken"), F.col("free")).otherwise(F.col("rank")))
+    passed = F.count(F.when(F.col("taken"), 1)).over(Window.partitionBy("head").orderBy("seat").rangeBetween(Window.unboundedPreceding, -1))
+    number = F.coalesce("own", F.col("rank") + 1 + passed.cast("int"))
     return rows.withColumn("number", number).where(~written).select("path", "stem", F.when(settled, mine).otherwise(named(F.col("number").cast("string"))).alias("dest"), "clash")
 
 

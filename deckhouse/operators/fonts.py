@@ -6,6 +6,8 @@ joined by key; Spark broadcasts them while they are as small as such catalogues
 
 from __future__ import annotations
 
+from os.path import commonprefix
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,7 +155,7 @@ def recommend(groups: DataFrame, widths: DataFrame, anchor: float, chars: int =
     ``widths(candidate, width)`` against the anchor's width, measured on ``chars`` characters; ``ranked`` has the best five."""
     spark = groups.sparkSession
     pool = spark.createDataFrame([(n, g, i) for i, (n, g) in enumerate(CANDIDATES.items())], "candidate string, genre string, pool int")
-    usable = pool.where("genre not in ('display', 'mono')").join(widths.where("width > 0"), "candidate")  # F9
+    usable = pool.where("genre not in ('display', 'mono')").join(widths.where("width > 0").groupBy("candidate").agg(F.min("width").alias("width")), "candidate")  # F9; at most a row for each of CANDIDATES
     rows = groups.select("family", "deck_count", successor_of(F.col("family")).alias("successor"), genre_of(F.col("family")).alias("wanted"))
     measured = rows.where("successor is null").join(F.broadcast(usable), F.lit(True)).withColumn("ratio", F.col("width") / F.lit(anchor)).withColumn("in_genre", F.coalesce(F.col("genre") == F.col("wanted"), F.lit(False)))
     best = rank_candidates(measured, ["family"]).where("rank <= 5").groupBy("family").agg(F.array_sort(F.collect_list(F.struct("rank", "candidate", "ratio", ((F.col("ratio") - 1) * 100).alias("delta_pct")))).alias("ranked"))
@@ -198,9 +200,12 @@ def group_label(family: Column, faces: Column, delta_pct: Column) -> Column:
 def text_budget(texts: DataFrame, limit: int = 200_000) -> DataFrame:
     """Decks of ``texts(path, chars)`` in path order until the sum passes the limit, that deck included.
 
-    Slices of the path order are summed first, so that one task sees slice totals and the rows of one slice only.
+    Slices of the path order, by the three signs after what all paths have in common, are summed first, so that one task sees
+    slice totals and the rows of one slice only. An empty table gives none.
     """
-    cut = texts.select("path", F.coalesce("chars", F.lit(0)).alias("chars")).withColumn("slice", F.substring("path", 1, 24))
+    ends = texts.agg(F.min("path").alias("low"), F.max("path").alias("high")).first()
+    shared = len(commonprefix([ends.low or "", ends.high or ""]))
+    cut = texts.select("path", F.coalesce("chars", F.lit(0)).alias("chars")).withColumn("slice", F.substring("path", shared + 1, 3))
     totals = cut.groupBy("slice").agg(F.sum("chars").alias("n"))
     before = totals.select("slice", (F.sum("n").over(Window.orderBy("slice")) - F.col("n")).alias("offset")).where(F.col("offset") <= limit)
     inside = F.sum("chars").over(Window.partitionBy("slice").orderBy("path")) - F.col("chars")

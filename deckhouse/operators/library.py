@@ -142,7 +142,7 @@ def audit(parts: DataFrame, available: DataFrame) -> DataFrame:
 
 
 def summary(decks: DataFrame) -> DataFrame:
-    """One row over deck records; ``missing_faces`` as pairs by frequency (A10)."""
+    """One row over deck records. Missing faces are a table of their own (``missing_faces``), as long as there are faces."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     with_media = (F.col("gifs") > 0) | (F.col("videos") > 0) | (F.col("audio") > 0) | (F.size("external_media") > 0)
     numbers = decks.agg(
@@ -153,10 +153,8 @@ def summary(decks: DataFrame) -> DataFrame:
         total("gifs").alias("animated_gifs"), total("videos").alias("videos"), total(F.size("external_media")).alias("external_media"), total("noted_slides").alias("noted_slides"),
         total("notes_chars").alias("notes_chars"), F.count_if(F.col("bytes") >= text.OVERSIZED_BYTES).alias("oversized_decks"), F.lit(text.OVERSIZED_BYTES).cast("long").alias("oversized_bytes_threshold"),
     )
-    faces = decks.select("path", F.posexplode("fonts_missing").alias("place", "face")).groupBy("face").agg(F.count("*").alias("n"), F.min(F.struct("path", "place")).alias("first"))
-    ranked = faces.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "first", "face", "n"))), lambda x: F.struct(x["face"].alias("face"), x["n"].alias("decks"))).alias("missing_faces"))
-    # Three results of one row each.
-    return numbers.join(F.broadcast(redundant_copies(decks)), F.lit(True)).join(F.broadcast(ranked), F.lit(True))
+    # Two results of one row each.
+    return numbers.join(F.broadcast(redundant_copies(decks)), F.lit(True))
 
 
 def inventory(slides: DataFrame) -> DataFrame:

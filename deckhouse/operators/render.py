@@ -26,6 +26,12 @@ def archive(spark: SparkSession, folder: str, only: str = "") -> DataFrame:
     return files.select("path", text.folder_name(F.col("path")).alias("dir"), F.regexp_replace(text.base_name(F.col("path")), r"\.pdf$", "").alias("stem"))
 
 
+def archive_images(spark: SparkSession, folder: str) -> DataFrame:
+    """``path`` of the images of an archive."""
+    found = [f for extension in sorted(set(IMAGE_EXTENSION.values())) for f in list_files(folder, f".{extension}")]
+    return spark.createDataFrame(found, "path string, bytes long").select("path")
+
+
 def render_plan(pdfs: DataFrame, images: DataFrame, image_format: str = "png", force: bool = False) -> DataFrame:
     """the PDFs whose ``images`` folder has no ``images(path)`` of the wanted format yet; all of them by force."""
     if image_format not in IMAGE_EXTENSION:

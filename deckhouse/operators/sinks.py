@@ -97,6 +97,12 @@ def human_summary(summary: Row, oversized: list[Row], unreadable: list[Row]) ->
     return "\n".join(lines)
 
 
+def lines(df: DataFrame) -> Iterator[str]:
+    """Rows as tab-separated text, all of them, a partition at a time on the driver."""
+    for row in df.toLocalIterator():
+        yield "\t".join("" if x is None else str(x) for x in row)
+
+
 def to_document(records: list[Row], summary: Row) -> str:
     """K1 as one document, for libraries that are small enough to be one."""
     return json.dumps({"decks": [r.asDict(True) for r in records], "summary": summary.asDict(True)}, indent=1)

@@ -1,4 +1,4 @@
-"""Queries d36 to d52: whole packages, their notes, media, fonts and faults, over the virtual library, with DuckDB SQL.
+"""Queries d36 to d53: whole packages, their notes, media, fonts and faults, over the virtual library, with DuckDB SQL.
 
 Packages are tables of parts with real markup, made from the driver's tables, so the operators parse what they would
 find in a library; the SQL states what the markup says.
@@ -105,17 +105,20 @@ def d36(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.drop("name", "external_media")
 
 
-@query("d37_audit_summary", VAUDIT + f""",
-faces AS (SELECT 'Inter' AS face, count(*) AS n FROM audit UNION ALL SELECT 'Graphik', count(*) FILTER (fonts_missing = 'Graphik,Inter') FROM audit)
+@query("d37_audit_summary", VAUDIT + f"""
 SELECT count(*) AS decks, sum(slides)::BIGINT AS slides, sum(bytes)::BIGINT AS bytes, 0::BIGINT AS unreadable, count(*) AS font_risk_decks, count(*) FILTER (fonts_embedded <> '') AS decks_embedding_fonts,
   count(*) FILTER (animated_slides > 0) AS animated_decks, sum(animated_slides)::BIGINT AS animated_slides, sum(hidden_slides)::BIGINT AS hidden_slides, count(*) FILTER (hidden_slides > 0) AS decks_with_hidden,
   sum(build_states)::BIGINT AS build_states, count(*) FILTER (gifs > 0 OR videos > 0 OR links > 0) AS decks_with_media, sum(gifs)::BIGINT AS animated_gifs, sum(videos)::BIGINT AS videos,
   sum(links)::BIGINT AS external_media, sum(noted_slides)::BIGINT AS noted_slides, sum(notes_chars)::BIGINT AS notes_chars, 0::BIGINT AS oversized_decks, {text.OVERSIZED_BYTES}::BIGINT AS oversized_bytes_threshold,
-  (SELECT coalesce(sum(n - 1), 0)::BIGINT FROM same) AS redundant_copies, (SELECT string_agg(face || ' ' || n, ',' ORDER BY n DESC, face DESC) FROM faces WHERE n > 0) AS missing_faces
-FROM audit""")
+  (SELECT coalesce(sum(n - 1), 0)::BIGINT FROM same) AS redundant_copies FROM audit""")
 def d37(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = F.array_join(F.transform("missing_faces", lambda f: F.concat_ws(" ", f["face"], f["decks"].cast("string"))), ",")
-    return library.summary(vaudit(spark, sf_dir)).withColumn("missing_faces", shown)
+    return library.summary(vaudit(spark, sf_dir))
+
+
+@query("d53_audit_missing_faces", VAUDIT + " SELECT 'Inter' AS face, count(*) AS decks FROM audit HAVING count(*) > 0 UNION ALL SELECT 'Graphik', count(*) FROM audit WHERE fonts_missing = 'Graphik,Inter' HAVING count(*) > 0")
+def d53(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10 over whole packages."""
+    return library.missing_faces(vaudit(spark, sf_dir))
 
 
 @query("d38_presentation_slides", VSLIDE + " SELECT '/lib/deck' || deck || '.pptx' AS deck, slide_no::BIGINT AS slide_no, 'ppt/slides/slide' || slide_no || '.xml' AS part, hidden FROM vslide")

@@ -139,7 +139,7 @@ def d06(spark: SparkSession, sf_dir: str) -> DataFrame:
         "fonts_embedded": some(i % 6 == 0, "array<string>", F.lit("Inter")), "error": F.when(i % 11 == 0, "BadZipFile"), "gifs": i % 2, "videos": F.lit(0), "audio": F.lit(0),
         "external_media": some(i % 9 == 0, "array<struct<slide:int,url:string>>", F.struct(F.lit(1).alias("slide"), F.lit("u").alias("url"))), "noted_slides": F.lit(0), "notes_chars": F.lit(0),
     }).withColumn("build_states", 2 * F.col("animated_slides"))
-    return library.summary(records).drop("missing_faces")
+    return library.summary(records)
 
 
 @query("d07_duplicates", VDECK + """,

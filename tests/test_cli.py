@@ -41,6 +41,53 @@ def test_other_commands(spark, root, tmp_path, capsys):
     assert "Fixture speaker notes." in capsys.readouterr().out
 
 
+def test_written_outputs(spark, tmp_path, capsys):
+    """Folders with signs of regular expressions, catalogues of faces, variants, page maps and JSON outputs."""
+    root = tmp_path / "decks (2024) c++"
+    root.mkdir()
+    (root / "one.pptx").write_bytes(decks.fixture())
+    assert cli.main(["expand", str(root), "--out", str(tmp_path / "x")]) == 0
+    assert sorted(p.name for p in (tmp_path / "x").iterdir()) == ["one (expanded).pages.json", "one (expanded).pptx"]
+    found = json.loads((tmp_path / "x/one (expanded).pages.json").read_text())
+    assert [p["slide"] for p in found["pages"]] == [1, 1, 1, 2] and found["expanded_slides"] == [{"slide": 1, "pages": 3}]
+    assert cli.main(["variants", str(root), "--slide", "1", "--out", str(tmp_path / "v")]) == 0 and len(list((tmp_path / "v").iterdir())) == 3
+    assert cli.main(["variants", str(root), "--slide", "9", "--out", str(tmp_path / "w")]) == 0 and not (tmp_path / "w").exists()
+    (tmp_path / "office.txt").write_text("/office/NotARealFontFace.ttf\n")
+    (tmp_path / "ours.txt").write_text("/own/Helvetica.otf\n")
+    assert cli.main(["fonts", str(root), "--office", str(tmp_path / "office.txt"), "--ours", str(tmp_path / "ours.txt"), "--json", str(tmp_path / "f")]) == 0
+    plan = [json.loads(line) for f in (tmp_path / "f").glob("*.json") for line in f.read_text().splitlines()]
+    assert {p["face"]: (p["verdict"], p.get("kind"), p.get("detail")) for p in plan} == {"NotARealFontFace": ("alias", "office", "NotARealFontFace"), "Helvetica": ("alias", "installed", "Helvetica.otf")}
+    for command in (["plan", str(root), "--out", "/o", "--json", str(tmp_path / "p")], ["map", str(root), "--json", str(tmp_path / "q")]):
+        assert cli.main(command) == 0 and list(__import__("pathlib").Path(command[-1]).glob("*.json"))
+
+
+def draw(data: bytes) -> bytes:
+    """A renderer for the export command: a PDF with a page for each slide."""
+    from deckhouse.plans import synthetic
+
+    return synthetic.pdf(len(package.Package(data).slides()))
+
+
+def test_export_and_render_commands(spark, tmp_path, capsys):
+    root = tmp_path / "in"
+    root.mkdir()
+    (root / "one.pptx").write_bytes(decks.fixture())
+    out, manifest = tmp_path / "out", str(tmp_path / "manifest")
+    command = ["export", str(root), "--out", str(out), "--renderer", "tests.test_cli:draw", "--manifest", manifest]
+    assert cli.main(command) == 0
+    data = (out / "one (export)/one.pdf").read_bytes()
+    assert data.count(b"/Subtype /Text") == 3 and len(list(__import__("deckhouse.functions.binary").functions.binary.Pdf(data).leaves())) == 4
+    assert (out / "one (export)/media/one-slide001-loop.gif").exists() and sinks.read_manifest(spark, manifest).count() == 1
+    capsys.readouterr()
+    assert cli.main(command) == 0 and "one" not in capsys.readouterr().out  # done before
+    assert cli.main(["export", str(root), "--out", str(out), "--renderer", "no.such:module"]) == 2
+    assert cli.main(["render", str(out)]) == 0 and "one.pdf" in capsys.readouterr().out
+    (out / "one (export)/images").mkdir()
+    (out / "one (export)/images/one-01.png").write_bytes(b"x")
+    assert cli.main(["render", str(out)]) == 0 and "one.pdf" not in capsys.readouterr().out
+    assert cli.main(["render", str(out), "--force"]) == 0 and "one.pdf" in capsys.readouterr().out
+
+
 def test_page_maps_round_trip(spark, root, tmp_path):
     slides = notes.presentation_slides(source.read_parts(spark, str(root), only="fixture"))
     expanded = slides.where("slide_no = 1").select("deck", "slide_no", F.lit(3).alias("n_states"))

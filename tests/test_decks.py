@@ -84,7 +84,7 @@ def test_summary(spark, parts):
     r = library.summary(library.audit(parts, available)).first()
     assert (r.decks, r.slides, r.unreadable, r.font_risk_decks, r.decks_embedding_fonts, r.animated_decks, r.build_states) == (6, 10, 1, 2, 1, 2, 4)
     assert (r.hidden_slides, r.decks_with_hidden, r.external_media, r.redundant_copies, r.oversized_decks) == (2, 2, 2, 1, 0)
-    assert [tuple(x) for x in r.missing_faces] == [("NotARealFontFace", 2)]
+    assert [tuple(x) for x in library.missing_faces(library.audit(parts, available)).collect()] == [("NotARealFontFace", 2)]
 
 
 @pytest.mark.parametrize("ratio, label", [(16 / 9, "16:9"), (4 / 3, "4:3"), (2**0.5, "A4"), (1.005, "1.00:1"), (2.675, "2.67:1"), (None, None)])
