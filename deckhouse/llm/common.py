@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 #: White space as the contracts mean it: space and U+0009 to U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-#: Spark's setting that removes the shuffle files of a finished query.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -41,21 +39,40 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def _written(df: DataFrame, name: str, packed: bool, by: str | None = None) -> str:
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/deckhouse/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    # What the write shuffled is read again by nobody: Spark removes it once the step is written. Kinds of rows go to files side by side, unsorted.
+    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxConcurrentOutputFileWriters": "8"}
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        writer = df.write.option("compression", "none" if packed else "snappy")
+        (writer.partitionBy(by) if by else writer).parquet(path)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+    return path
+
+
 def store(df: DataFrame, name: str, packed: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors.
 
     ``packed``: the columns are compressed already; readers then need no buffers to inflate large pages.
     """
+    return df.sparkSession.read.schema(df.schema).parquet(_written(df, name, packed))
+
+
+def store_kinds(df: DataFrame, name: str, by: str, kinds: list[str], packed: bool = False) -> list[DataFrame]:
+    """``store`` in one go for rows of a few ``kinds`` (values of the column ``by``), each of which can be unstored by itself."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/deckhouse/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    # What the write shuffled is read again by nobody: Spark removes it once the step is written.
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "none" if packed else "snappy").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
-    return spark.read.schema(df.schema).parquet(path)
+    path = _written(df, name, packed, by)
+    rest = df.drop(by).schema
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = [files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{by}={kind}")) for kind in kinds]
+    return [spark.read.schema(rest).parquet(f"{path}/{by}={kind}") if found else spark.createDataFrame([], rest) for kind, found in zip(kinds, there, strict=True)]
 
 
 def unstore(df: DataFrame) -> None:

@@ -36,11 +36,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import low_words, slices, store, table, unstore, utf8
+from .common import low_words, slices, store, store_kinds, table, unstore, utf8
 from .minmax import _WORDS
 
 #: Tokens in a block; texts in a part, in bytes; most tasks that share the parts.
-BLOCK_TOKENS, PART_BYTES, TASKS = 2_000_000, 16 << 20, 16_384
+BLOCK_TOKENS, PART_BYTES, TASKS = 1_500_000, 16 << 20, 16_384
 #: Sweeps that are thrown away, sweeps that are averaged.
 BURN_IN, SAMPLES = 2, 3
 #: Customers up to which table counts are drawn from a table of Stirling numbers; beyond, from contour integrals.
@@ -156,7 +156,7 @@ def _by_key(batches: Iterable[pa.RecordBatch], columns: int) -> Iterator[tuple[i
 
 
 def read_blocks(docs: DataFrame, parts: int) -> DataFrame:
-    """``part, block, asked, texts``: for each block a row of its texts (part LAST) and a row for each part.
+    """``kind, part, block, body``: for each block a row ``texts`` (part LAST) and a row ``asked`` for each part.
 
     ``asked``: distinct words, contexts of their pairs, the pairs (context * words + word), training count of each pair.
     ``texts``: ids, lengths, training flags, number of words in each part, part and place there of each token's word.
@@ -172,12 +172,12 @@ def read_blocks(docs: DataFrame, parts: int) -> DataFrame:
         pair, at = _ranked(_codes(number, rank, place, sizes, lengths))
         count = np.bincount(at[np.repeat(train, lengths)], minlength=len(pair))
         named = np.array([i is not None for i in ids])
-        yield LAST, block, None, _pack(np.array([i or 0 for i in ids], np.int64), named.astype(np.uint8), lengths, train.astype(np.uint8), sizes, _u32(number), _u32(rank))
+        yield "texts", LAST, block, _pack(np.array([i or 0 for i in ids], np.int64), named.astype(np.uint8), lengths, train.astype(np.uint8), sizes, _u32(number), _u32(rank))
         edges = np.searchsorted(pair, np.arange(len(runs) + 1) * len(words) * int(sizes.max()))
         for (p, lo, hi), a, b in zip(runs, edges, edges[1:], strict=False):
             context, word = np.divmod(pair[a:b] % (len(words) * int(sizes.max())), int(sizes.max()))
             new = np.diff(context, prepend=-1) > 0  # contexts ascend
-            yield p, block, _pack(_gaps(words[lo:hi]), _gaps(words[context[new]] >> _SHORT), _gaps((np.cumsum(new) - 1) * (hi - lo) + word), _u32(count[a:b])), None
+            yield "asked", p, block, _pack(_gaps(words[lo:hi]), _gaps(words[context[new]] >> _SHORT), _gaps((np.cumsum(new) - 1) * (hi - lo) + word), _u32(count[a:b]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -185,7 +185,7 @@ def read_blocks(docs: DataFrame, parts: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             for row in block_rows(done << 32 | task, ids, texts):
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int32(), pa.int64(), pa.binary(), pa.binary()], strict=True)], names=["part", "block", "asked", "texts"])
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.string(), pa.int32(), pa.int64(), pa.binary()], strict=True)], names=["kind", "part", "block", "body"])
 
         for batch in slices(batches, 1):
             for key, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
@@ -202,7 +202,7 @@ def read_blocks(docs: DataFrame, parts: int) -> DataFrame:
         if ids:
             yield from flush()
 
-    return docs.mapInArrow(run, "part int, block long, asked binary, texts binary")
+    return docs.mapInArrow(run, "kind string, part int, block long, body binary")
 
 
 def _codes(number: np.ndarray, rank: np.ndarray, place: np.ndarray, sizes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -263,7 +263,7 @@ def merge(asked: DataFrame, parts: int) -> DataFrame:
             single = np.bincount(m.context[m.count == 1], minlength=len(m.contexts))
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([drawn], pa.binary()), pa.array([_pack(_gaps(m.contexts[there]), _u32(tokens[there]), _u32(single[there]))], pa.binary()), pa.array([shape], pa.list_(pa.int64()))], names=["part", "drawn", "shares", "totals"])
 
-    return _dealt(asked, parts, "part", "block").select("part", "asked").mapInArrow(run, "part int, drawn binary, shares binary, totals array<long>")
+    return _dealt(asked, parts, "part", "block").select("part", "body").mapInArrow(run, "part int, drawn binary, shares binary, totals array<long>")
 
 
 def _sums(df: DataFrame, column: str, size: int) -> list[int]:
@@ -616,7 +616,7 @@ def answers(asked: DataFrame, state: DataFrame, around: DataFrame, parts: int, s
     """``part, block, answer``: of each asked pair its customers and how many tables more than one it has had in all samples; of each word
     its training count, its tokens as a context, and for each sample its customers and tables in the parent and its tables as a context."""
     rows = state.select("part", F.lit(-2).cast("long").alias("block"), F.col("seating").alias("body"))
-    rows = rows.union(around.select("part", F.lit(-1).cast("long"), "body")).union(asked.select("part", "block", "asked"))
+    rows = rows.union(around.select("part", F.lit(-1).cast("long"), "body")).union(asked.select("part", "block", "body"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, got in _by_key(batches, 3):
@@ -653,7 +653,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def gather_scores(texts: DataFrame, replies: DataFrame, readers: int, shape: dict, sampled: list[tuple[int, int]]) -> DataFrame:
     """Scores of the texts of every block, once the answers of all its parts are there. (Blocks are numbered by reading task, of
     which there are ``readers``, so that they deal out evenly.)"""
-    both = texts.select("part", "block", "texts").union(replies.select("part", "block", "answer"))
+    both = texts.select("part", "block", "body").union(replies.select("part", "block", "answer"))
     tasks = min(max(1, texts.count()), TASKS)
     dense = F.shiftright("block", 32) * F.lit(readers) + F.col("block").bitwiseAND(F.lit((1 << 32) - 1))
     both = both.repartitionById(tasks, F.pmod(dense, F.lit(tasks)).cast("int")).sortWithinPartitions("block", "part")
@@ -707,8 +707,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", see
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, -(-size // PART_BYTES))
-    blocks = store(read_blocks(rows, parts), "blocks", packed=True)
-    asked = blocks.where(F.col("part") < LAST).select("part", "block", "asked")
+    asked, blocks = store_kinds(read_blocks(rows, parts), "blocks", "kind", ["asked", "texts"], packed=True)
     counts = store(merge(asked, parts), "counts", packed=True)
     n1, n2, w1, w2, words, tokens, pairs = _sums(counts, "totals", 7)
     shape = {"child": n1 / (n1 + 2 * n2) if n2 else 0.5, "parent": w1 / (w1 + 2 * w2) if w2 else 0.5, "words": words, "tokens": tokens}
@@ -721,9 +720,12 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", see
         state, totals = after, (a, b)
         if number >= burn_in:
             sampled.append(totals)
+    unstore(counts)
     seen = context_samples(around, state.where("kept is not null").select("part", "kept"), parts, samples)
     replies = store(answers(asked, state, seen, parts, samples), "answers", packed=True)
-    return gather_scores(blocks.where(F.col("part") == LAST), replies, max(1, rows.rdd.getNumPartitions()), shape, sampled)
+    for step in (asked, around, state):
+        unstore(step)
+    return gather_scores(blocks, replies, max(1, rows.rdd.getNumPartitions()), shape, sampled)
 
 
 def op10_hpylm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
