@@ -502,7 +502,8 @@ DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, los
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Parse CHAT_TEMPLATE output (parts in stream order) back to turns and loss text, as digests per conversation."""
+    """Parse CHAT_TEMPLATE output (parts in stream order) back to turns and loss text, as digests per conversation. Null ids are one
+    conversation; null texts were formatted as empty ones and come back so; no parts give no rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader()

@@ -171,7 +171,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of ``pairs(a, b)`` whose full shingle sets are linked, as ``u, v``.
 
     The pairs of one ``a`` are dealt to streams of about STREAM; a stream starts with the text of ``a``
-    and compares each ``b`` as it comes, so a task holds one set, however many partners it has.
+    and compares each ``b`` as it comes, so a task holds one set, however many partners it has. Null and empty texts have empty
+    sets, which are linked with nothing; pairs whose texts aren't there are dropped; no pairs give no rows.
     """
     streams = pairs.groupBy("a").agg(F.ceil(F.count("*") / STREAM).alias("n"))
     partners = pairs.join(streams.withColumnRenamed("a", "of"), F.col("a") == F.col("of")).select("a", F.pmod(F.xxhash64("b"), F.col("n")).alias("stream"), "b")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import audio, chat, hpylm, licenses, minmax, mixing, packing, pages, topk, toxicity
+from .common import release  # noqa: F401 (for whoever runs the queries: deletes what they stored)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mih_topk": topk.op1_mih_topk,

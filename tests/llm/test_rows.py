@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from deckhouse.llm import minmax, mixing, packing, pages, registry, topk, toxicity
@@ -454,10 +455,10 @@ def test_pipeline_matches_brute_force(spark):
     size = lambda t: len((t or "").encode().split())
     texts = {r[0]: r[1] for r in unique}
     copies = Counter({i: int(t) // size(texts[i]) for i, t in con.sql(f"SELECT doc_id, taken FROM ({mixing.OP7_SQL})").fetchall() if t})
-    encoder = packing.ChunkEncoder(packing.vocabulary())
+    whole = Tokenizer.from_file(packing.vocabulary())
     want = Counter()
     for i, n in copies.items():
-        length = len(encoder.encode([texts[i]])[0]) // 4 + 1
+        length = len(whole.encode(texts[i], add_special_tokens=False).ids) + 1
         want.update({(i, p, min(4096, length - 4096 * p)): n for p in range(-(-length // 4096))})
     got = corpus_pipeline.run(spark, sf_dir).collect()
     assert Counter((r.doc_id, r.piece, r.length) for r in got) == want
