@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, table, utf8
 
@@ -34,6 +35,8 @@ IMA_STEPS = [
 ]
 IMA_INDEX = [-1, -1, -1, -1, 2, 4, 6, 8]
 
+#: Bytes of texts or media that are worked on at a time: their PCM is up to eight times as long.
+SLICE = 1 << 20
 #: Payload bytes in an ADPCM block, after its 4-byte header.
 BLOCK = 64
 RATE, TARGET_RATE = 8000, 16000
@@ -197,11 +200,16 @@ def store_pcm(df: DataFrame, media: str = "media", target: int = TARGET_RATE) ->
     not a known mono file keep their row with null results and a reason in ``error``. Repeated rows are kept, all other columns too, but
     those of the names that are added. An empty table gives none.
     """
-    kept = [c for c in df.columns if c not in STORED]
-    rows = df.select(*(F.col(f"`{c}`") for c in kept))
-    at = kept.index(media)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), *(f"{n} {t}" for n, t in STORED.items())])
+    rows = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in STORED))
+    names = rows.columns
+    return rows.mapInArrow(lambda batches: _stored(batches, names, names.index(media), target), _with_stored(rows.schema))
 
+
+def _with_stored(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, *T._parse_datatype_string(", ".join(f"{n} {t}" for n, t in STORED.items())).fields])
+
+
+def _stored(batches: Iterable[pa.RecordBatch], names: list[str], at: int, target: int) -> Iterator[pa.RecordBatch]:
     def one(got) -> tuple:
         if isinstance(got, ValueError):
             return (None,) * 6 + (str(got),)
@@ -209,13 +217,10 @@ def store_pcm(df: DataFrame, media: str = "media", target: int = TARGET_RATE) ->
         pcm = resample(samples, rate, target)
         return CODEC_NAMES[codec], rate, len(samples), describe(codec, samples, pcm, target), payload, write_wave(PCM, pcm.astype("<i2").tobytes(), target), None
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, at):
-            out = [one(got) for got in decode_waves(batch.column(at).fill_null(b"").to_pylist())]
-            added = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), _STORED_TYPES, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*kept, *STORED])
-
-    return rows.mapInArrow(run, schema)
+    for batch in slices(batches, at, SLICE):
+        out = [one(got) for got in decode_waves(batch.column(at).fill_null(b"").to_pylist())]
+        added = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), _STORED_TYPES, strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*names, *STORED])
 
 
 def carry(payload: bytes) -> bytes:
@@ -238,13 +243,28 @@ def carry_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     empty and gives 64 zero bytes. Every row has its row; an empty table gives none.
     """
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            raw = utf8(batch.column(1))
-            media = [carry(x + b"\0" * (-len(x) % BLOCK or (not x) * BLOCK)) for x in raw]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, raw)), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+    return _texts(docs, doc_id, text).mapInArrow(_carried, CARRIED)
+
+
+CARRIED = "doc_id long, n_bytes long, media binary"
+
+
+def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+
+
+def _carried(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 1, SLICE):
+        raw = utf8(batch.column(1))
+        media = [carry(x + b"\0" * (-len(x) % BLOCK or (not x) * BLOCK)) for x in raw]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, raw)), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+def carried_and_stored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``store_pcm(carry_texts(docs))`` in one pass: the media column goes from step to step without leaving the worker, a slice at a time."""
+    names = ["doc_id", "n_bytes", "media"]
+    schema = _with_stored(T._parse_datatype_string(CARRIED))
+    return _texts(docs, doc_id, text).mapInArrow(lambda batches: _stored(_carried(batches), names, 2, TARGET_RATE), schema)
 
 
 def described(stored: DataFrame) -> DataFrame:
@@ -258,4 +278,4 @@ def described(stored: DataFrame) -> DataFrame:
 
 def op4_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts to files, files to their payload and stored PCM, digests of those."""
-    return described(store_pcm(carry_texts(table(spark, sf_dir, "documents", "doc_id", "text"))))
+    return described(carried_and_stored(table(spark, sf_dir, "documents", "doc_id", "text")))

@@ -147,7 +147,10 @@ def test_resampling():
 
 
 def carried(df):
-    return audio.described(audio.store_pcm(audio.carry_texts(df)))
+    in_steps = audio.store_pcm(audio.carry_texts(df))
+    whole = audio.carried_and_stored(df)
+    assert whole.columns == in_steps.columns and Counter(map(str, whole.collect())) == Counter(map(str, in_steps.collect()))
+    return audio.described(whole)
 
 
 def test_carried_texts(spark):
