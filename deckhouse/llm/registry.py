@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, chat, hpylm, licenses, minmax, mixing, packing, pages, repeats, spelling, topk, toxicity
+from . import audio, chat, erasure, hpylm, licenses, minmax, mixing, packing, pages, repeats, spelling, topk, toxicity
 from .common import release  # noqa: F401 (for whoever runs the queries: deletes what they stored)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_best_fit_pack": packing.op9_best_fit_pack,
     "op10_hpylm_score": hpylm.op10_hpylm_score,
+    "op11_cascading_erasure": erasure.op11_cascading_erasure,
     "op12_substring_dedup": repeats.op12_substring_dedup,
     "op13_spelling_variants": spelling.op13_spelling_variants,
 }
