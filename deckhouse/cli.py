@@ -1,6 +1,6 @@
-"""Commands: ``python -m deckhouse audit|fonts|plan|export|render|expand|variants|notes|media|map LIBRARY ...``.
+"""Commands: ``python -m deckhouse audit|fonts|plan|export|render|expand|variants|notes|media|map LIBRARY ...``, ``version``.
 
-Exit codes: 0 done, 1 a deck failed, 2 bad arguments.
+Exit codes: 0 done, 1 a deck failed or was never reached, 2 bad arguments.
 """
 
 from __future__ import annotations
@@ -12,9 +12,10 @@ import sys
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import __version__
 from .functions import text
-from .operators import builds, export, fonts, library, media, notes, pages, render, sinks
-from .sources import decks
+from .operators import builds, export, fonts, library, media, notes, pages, publish, render, sinks
+from .sources import decks, exports
 
 
 def _fonts(spark: SparkSession, path: str | None) -> DataFrame:
@@ -63,10 +64,19 @@ def font_plan(spark: SparkSession, args: argparse.Namespace) -> int:
     return 0
 
 
+def _store(args: argparse.Namespace) -> str:
+    """Where exports go: ``--out``, or beside the decks."""
+    if args.out:
+        return args.out
+    return args.library if not args.library.lower().endswith(".pptx") else args.library.rpartition("/")[0] or "."
+
+
 def _planned(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """The plan against what is in the output store now; a manifest is a log and decides nothing."""
+    export.check_arguments(args.layout, args.on_conflict, args.out)
     found = decks.read_decks(spark, args.library, hidden="export", only=args.only)
-    manifest = sinks.read_manifest(spark, args.manifest) if args.manifest else None
-    return export.export_plan(found.select("path", "status"), args.layout, args.library, args.out, args.on_conflict, manifest)
+    there = exports.read_exports(spark, _store(args))
+    return export.export_plan(found.select("path", "status"), args.layout, args.library, args.out, args.on_conflict, there)
 
 
 def plan(spark: SparkSession, args: argparse.Namespace) -> int:
@@ -75,16 +85,25 @@ def plan(spark: SparkSession, args: argparse.Namespace) -> int:
     return 1 if planned.where("action = 'fail'").count() else 0
 
 
+def _renderer(name: str) -> render.Renderer:
+    """``module:function``; ValueError if there is none."""
+    module, _, function = name.partition(":")
+    try:
+        return getattr(importlib.import_module(module), function or "render")
+    except (ImportError, AttributeError) as e:
+        raise ValueError(f"no renderer {name}: {e}") from e
+
+
 def export_library(spark: SparkSession, args: argparse.Namespace) -> int:
     """The plan carried out by a renderer that is plugged in as ``module:function``, deck bytes to PDF bytes."""
-    module, _, function = args.renderer.partition(":")
-    renderer = getattr(importlib.import_module(module), function or "render")
+    renderer, store = _renderer(args.renderer), _store(args)
+    publish.recover(spark, store, args.manifest)
     planned = _planned(spark, args).cache()
-    wanted = planned.where("action in ('export', 'overwrite')").select("path", "dest")
+    wanted = planned.where("action in ('export', 'overwrite')").select("path", "dest", (F.col("action") == "overwrite").alias("replace"))
     content = decks.read_decks(spark, args.library, hidden="export", only=args.only, content="true").select("path", "bytes", "content").join(wanted, "path")
-    done = render.export_decks(content, renderer, states=not args.no_states).join(content.select("path", "bytes", "dest"), "path").cache()
+    rendered = render.export_decks(content, renderer, not args.no_states, args.deadline, args.most_failures)
+    done = rendered.join(wanted, "path").cache()
     good = done.where("status = 'ok'")
-    name = F.concat("dest", F.lit("/"), text.stem(F.col("path")), F.lit(".pdf"))
     pdf = F.col("pdf")
     if not args.no_notes:
         parts = decks.read_parts(spark, args.library, hidden="export", only=args.only)
@@ -94,16 +113,33 @@ def export_library(spark: SparkSession, args: argparse.Namespace) -> int:
         by_deck = on_pages.groupBy(F.col("deck").alias("path")).agg(F.map_from_entries(F.collect_list(F.struct("page", "text"))).alias("notes"))
         good = good.join(by_deck, "path", "left").withColumn("with_notes", builds.annotated("pdf", F.coalesce("notes", F.create_map().cast("map<int,string>"))))
         pdf = F.coalesce("with_notes.pdf", "pdf")
-    sinks.write_files(good.select(name.alias("file"), pdf.alias("content")), "/" if "://" not in args.library else args.library.partition("://")[0] + "://")
+    files = good.select("dest", "path", F.concat(text.stem(F.col("path")), F.lit(".pdf")).alias("file"), pdf.alias("content"), "replace")
     if not args.no_media:
         items = media.extract_media(decks.read_parts(spark, args.library, hidden="export", only=args.only, content=r"\.rels$|^ppt/media/"), svg=args.svg)
-        placed = items.join(good.select(F.col("path").alias("deck"), "dest"), "deck")
-        sinks.write_files(placed.select(F.concat("dest", F.lit("/media/"), "file").alias("file"), "content"), "/" if "://" not in args.library else args.library.partition("://")[0] + "://")
-    if args.manifest:
-        sinks.append_manifest(good.select("dest", "path", "bytes"), args.manifest)
-    failed = done.where("status <> 'ok'").select("path", "status", "attempts")
-    _say(done.select("path", "dest", "status", "recovery"), args.json)
-    return 1 if failed.count() or planned.where("action = 'fail'").count() else 0
+        placed = items.join(done.where("status = 'ok'").select(F.col("path").alias("deck"), "dest", "replace"), "deck")
+        files = files.unionByName(placed.select("dest", F.col("deck").alias("path"), F.concat(F.lit("media/"), "file").alias("file"), "content", "replace"))
+    run = publish.stage(files, store)
+    blocked = publish.finish(spark, store, run, args.manifest)
+    _say(done.select("path", "dest", "status", "recovery", "reason"), args.json)
+    return _summary(planned, done, blocked)
+
+
+def _summary(planned: DataFrame, done: DataFrame, blocked: list) -> int:
+    """The last lines of an export (A18, A22, K13), and its exit code."""
+    unplanned = planned.where("action in ('skip', 'fail')").select(F.col("action").alias("status"))
+    outcomes = done.select("status").union(unplanned).withColumn("all", F.lit(1))
+    totals = export.run_totals(outcomes.where("status <> 'stopped'"), ["all"], outcomes.groupBy("all").agg(F.count("*").alias("decks")))
+    for row in sinks.substitution_report(done).toLocalIterator():
+        print(f"without its embedded fonts: {row.path}")
+    for row in blocked:
+        print(f"not replaced, written meanwhile by another run: {row.dest}")
+    t = export.exit_code(totals).first()
+    if t is None:
+        never = outcomes.where("status = 'stopped'").count()
+        print(f"done: nothing exported{f', {never} never reached' if never else ''}")
+        return 1 if never else 0
+    print(f"done: {t.exported - len(blocked)} exported, {t.skipped} skipped, {t.failed + len(blocked)} failed" + (f", {t.shortfall} never reached" if t.shortfall else ""))
+    return 1 if blocked else t.exit_code
 
 
 def images(spark: SparkSession, args: argparse.Namespace) -> int:
@@ -114,15 +150,17 @@ def images(spark: SparkSession, args: argparse.Namespace) -> int:
     return 0
 
 
-def _below(path: Column, folder: str) -> Column:
-    return F.substring(path, len(folder.rstrip("/")) + 2, 1 << 20)
+def _below(path: Column, library: str) -> Column:
+    """A deck's path below its library without the extension; of a library that is one deck, its name."""
+    below = F.substring(path, len(exports.file_system(library)[1].rstrip("/")) + 2, 1 << 20)
+    return text.stem(path) if library.lower().endswith(".pptx") else F.regexp_replace(below, r"(?i)\.pptx$", "")
 
 
 def expand(spark: SparkSession, args: argparse.Namespace) -> int:
     """Decks with a slide for each build state, and their page maps beside them."""
     found = decks.read_decks(spark, args.library, content="true", only=args.only)
     out = found.select("path", builds.expansion("content").alias("x")).cache()
-    name = F.concat(F.regexp_replace(_below(F.col("path"), args.library), r"(?i)\.pptx$", ""), F.lit(" (expanded)"))
+    name = F.concat(_below(F.col("path"), args.library), F.lit(" (expanded)"))
     good = out.where("x.error is null and size(x.faults) = 0")
     sinks.write_files(good.select(F.concat(name, F.lit(".pptx")).alias("file"), F.col("x.deck").alias("content")), args.out)
     slides = notes.presentation_slides(decks.read_parts(spark, args.library, only=args.only))
@@ -137,8 +175,7 @@ def expand(spark: SparkSession, args: argparse.Namespace) -> int:
 def variants(spark: SparkSession, args: argparse.Namespace) -> int:
     """A deck for each build state of one slide."""
     found = decks.read_decks(spark, args.library, content="true", only=args.only)
-    stem = F.regexp_replace(_below(F.col("path"), args.library), r"(?i)\.pptx$", "") if not args.library.lower().endswith(".pptx") else text.stem(F.col("path"))
-    states = found.select(stem.alias("stem"), F.posexplode(builds.slide_variants("content", F.lit(args.slide))).alias("state", "content"))
+    states = found.select(_below(F.col("path"), args.library).alias("stem"), F.posexplode(builds.slide_variants("content", F.lit(args.slide))).alias("state", "content"))
     sinks.write_files(states.select(F.concat("stem", F.lit(f" (slide {args.slide}, state "), F.col("state").cast("string"), F.lit(").pptx")).alias("file"), "content"), args.out)
     return 0
 
@@ -179,19 +216,24 @@ def main(argv: list[str] | None = None) -> int:
     command("audit", audit, as_json, fonts_option)
     command("fonts", font_plan, fonts_option, ("--listing", {}), ("--office", {}), ("--ours", {}), as_json)
     command("plan", plan, *planning)
-    command("export", export_library, *planning, ("--renderer", {"required": True}), ("--no-states", yes), ("--no-notes", yes), ("--no-media", yes), ("--svg", yes))
+    limits = ("--deadline", {"type": float}), ("--most-failures", {"type": int, "default": render.MOST_FAILURES})
+    command("export", export_library, *planning, *limits, ("--renderer", {"required": True}), ("--no-states", yes), ("--no-notes", yes), ("--no-media", yes), ("--svg", yes))
     command("render", images, only, ("--format", {"default": "png", "choices": list(render.IMAGE_EXTENSION)}), ("--force", yes), as_json)
     command("expand", expand, ("--out", {"required": True}), only)
     command("variants", variants, ("--slide", {"required": True, "type": int}), ("--out", {"required": True}), only)
     command("notes", speaker_notes, out)
     command("media", extract, ("--out", {"required": True}), ("--svg", yes), ("--all-gifs", yes))
     command("map", page_maps, as_json)
+    commands.add_parser("version")
     args = p.parse_args(argv)
+    if args.command == "version":
+        print(f"deckhouse {__version__}")
+        return 0
     spark = SparkSession.builder.appName("deckhouse").getOrCreate()
     try:
         if args.command != "render":
             decks.open_library(args.library)
         return args.function(spark, args)
-    except (ValueError, FileNotFoundError, ImportError, AttributeError) as e:
+    except (ValueError, FileNotFoundError) as e:
         print(e, file=sys.stderr)
         return 2

@@ -113,7 +113,8 @@ def resolve_conflicts(planned: DataFrame, existing: DataFrame, on_conflict: str
 
 def export_plan(decks: DataFrame, layout: str, root: str, out: str | None = None, on_conflict: str = "skip", manifest: DataFrame | None = None) -> DataFrame:
     """The dry run: ``path, dest, action, reason`` by path, from ``decks(path, status)``. Decks that can't be read fail, decks
-    without slides are skipped (S7, F1)."""
+    without slides are skipped (S7, F1). ``manifest(dest, path)`` is what there is: the folders of the output store
+    (``sources.exports``), or a list of earlier exports where the store can't be read."""
     check_arguments(layout, on_conflict, out)
     planned = destinations(decks.select("path"), layout, root, out, manifest)
     existing = manifest.select("dest") if manifest is not None else decks.sparkSession.createDataFrame([], "dest string")

@@ -5,6 +5,7 @@ An office program can't run here; whoever has one passes a function from deck by
 
 from __future__ import annotations
 
+import multiprocessing
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,7 +18,9 @@ from ..sources.decks import list_files
 IMAGE_EXTENSION = {"png": "png", "jpeg": "jpg", "jpg": "jpg"}
 #: Deck bytes to PDF bytes; None or an error means that it failed.
 Renderer = Callable[[bytes], bytes | None]
-EXPORTED = "path string, status string, recovery string, attempts int, feed string, pdf binary, expanded array<struct<slide:int,pages:int>>"
+EXPORTED = "path string, status string, recovery string, attempts int, feed string, pdf binary, expanded array<struct<slide:int,pages:int>>, reason string"
+#: Failures in a row after which a task tries no further deck.
+MOST_FAILURES = 3
 
 
 def archive(spark: SparkSession, folder: str, only: str = "") -> DataFrame:
@@ -53,12 +56,45 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return lines.select((F.col("i") + 1).alias("page"), "label")
 
 
-def export_decks(decks: DataFrame, renderer: Renderer, states: bool = True) -> DataFrame:
-    """TV16, K17: ``path, status, recovery, attempts, feed, pdf, expanded`` of ``decks(path, content)``.
+def within(renderer: Renderer, data: bytes, deadline: float | None) -> bytes | None:
+    """What ``renderer`` makes of a deck; with a ``deadline`` (seconds) in a process of its own, which is killed when that has passed. Its errors are
+    raised here as RuntimeError, and so is its silence."""
+    if deadline is None:
+        return renderer(data)
+    here, there = multiprocessing.get_context("fork").Pipe(duplex=False)
+
+    def work() -> None:
+        try:
+            there.send((renderer(data), None))
+        except BaseException as e:
+            there.send((None, f"{type(e).__name__}: {e}"))
+
+    child = multiprocessing.get_context("fork").Process(target=work, daemon=True)
+    child.start()
+    there.close()
+    try:
+        if not here.poll(deadline):
+            raise TimeoutError(f"nothing after {deadline:g} s")
+        pdf, error = here.recv()
+    except EOFError:
+        raise RuntimeError("the renderer's process died") from None
+    finally:
+        child.kill()
+        child.join()
+        here.close()
+    if error:
+        raise RuntimeError(error)
+    return pdf
+
+
+def export_decks(decks: DataFrame, renderer: Renderer, states: bool = True, deadline: float | None = None, most_failures: int | None = None) -> DataFrame:
+    """TV16, K17, W8: ``path, status, recovery, attempts, feed, pdf, expanded, reason`` of ``decks(path, content)``.
 
     A deck is rendered expanded (if ``states`` and the expansion has no faults), once more if that fails, then
     without its embedded fonts, then unexpanded. ``recovery`` says what was given up. A deck whose attempts
-    all fail has its row; it stops nothing else.
+    all fail has its row, with what the last one said as ``reason``; it stops nothing else. An attempt that takes longer than ``deadline`` seconds has
+    failed. After ``most_failures`` decks that fail one after the other a task tries no more: what is left of its decks
+    is ``stopped`` (the renderer itself is broken then, and each further deck would cost its deadlines).
     """
 
     def attempts(data: bytes) -> Iterator[tuple[str, bytes, list]]:
@@ -81,25 +117,33 @@ def export_decks(decks: DataFrame, renderer: Renderer, states: bool = True) -> D
             yield "flat", data, []
 
     def one(path: str, data: bytes | None) -> tuple:
-        n = 0
+        n, reason = 0, None
         try:
             for n, (kind, feed, expanded) in enumerate(attempts(data or b""), 1):
                 try:
-                    pdf = renderer(feed)
-                except Exception:
-                    pdf = None
+                    pdf = within(renderer, feed, deadline)
+                    reason = None if pdf else "the renderer made nothing"
+                except Exception as e:
+                    pdf, reason = None, f"{type(e).__name__}: {e}"
                 if pdf:
                     gave_up = {"nofonts": "fonts stripped", "flat": "build states flattened"}.get(kind, "retried" if n > 1 else None)
-                    return path, "ok", gave_up, n, kind, pdf, [{"slide": s, "pages": k} for s, k in expanded]
-        except Exception:
-            pass  # no package at all
-        return path, "fail", None, n, None, None, []
+                    return path, "ok", gave_up, n, kind, pdf, [{"slide": s, "pages": k} for s, k in expanded], None
+        except Exception as e:  # no package at all: what the renderer said of it comes first
+            reason = reason or f"{type(e).__name__}: {e}"
+        return path, "fail", None, n, None, None, [], reason
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pages = pa.list_(pa.struct([("slide", pa.int32()), ("pages", pa.int32())]))
-        types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.binary(), pages]
+        types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.binary(), pages, pa.string()]
+        names = ["path", "status", "recovery", "attempts", "feed", "pdf", "expanded", "reason"]
+        failures = 0
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(one(path, data), types, strict=True)], names=[c.split()[0] for c in EXPORTED.split(", ")])
+                if most_failures is not None and failures >= most_failures:
+                    row = path, "stopped", None, 0, None, None, [], f"not tried after {failures} failures in a row"
+                else:
+                    row = one(path, data)
+                    failures = 0 if row[1] == "ok" else failures + 1
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=names)
 
     return decks.select("path", "content").mapInArrow(run, EXPORTED)

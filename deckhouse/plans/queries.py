@@ -419,6 +419,22 @@ def d26(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.remaining(planned, manifest).select("path", "dest")
 
 
+@query("d54_conflicts", VNAME + """,
+store AS (
+  SELECT p.*, d.source, l.doc_id IS NOT NULL AS there, l.doc_id IS NOT NULL AND l.toxic <> 1 AND l.quality <> 1 AS foreign_deck
+  FROM planned p JOIN documents d ON d.doc_id = p.doc_id LEFT JOIN labels l ON l.doc_id = p.doc_id)
+SELECT path, CASE WHEN NOT foreign_deck THEN dest ELSE '/out/' || stem || ' (' || CASE WHEN clash THEN source || '-' ELSE '' END || folder || ') (export)' END AS dest,
+  CASE WHEN there AND NOT foreign_deck THEN 'skip' ELSE 'export' END AS action,
+  CASE WHEN there AND NOT foreign_deck THEN 'already exported' WHEN clash OR foreign_deck THEN 'name clash' END AS reason FROM store""")
+def d54(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dry run against a store in which labelled decks have folders: their own, ones that don't say whose they are, and ones of other decks."""
+    labels = _read(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    writer = F.when(F.col("toxic") == 1, None).when(F.col("quality") == 1, F.col("path")).otherwise("/elsewhere.pptx")
+    decks = vname(spark, sf_dir)
+    there = vplan(spark, sf_dir).join(decks, "path").join(labels, "doc_id").select("dest", writer.alias("path"))
+    return export.export_plan(decks.select("path", F.lit("ok").alias("status")), "flat", "/lib", "/out/", "skip", there)
+
+
 @query("d27_run_outcomes", """
 WITH o AS (
   SELECT user_id, ts, event_id, CASE event_type WHEN 'error' THEN 'fail' WHEN 'click' THEN 'fail' WHEN 'view' THEN 'skip' ELSE 'ok' END AS status FROM events),
