@@ -5,13 +5,13 @@ structural elements around it. Tokens of one host with the same occurrence vecto
 an equivalence class. A class is valid if it occurs on enough pages and is large enough; as a token names the elements
 around it, the tags of valid classes nest into the host's template. What remains between them are its slots:
 
-* The main slot is the template's article (the innermost that holds three quarters of what any of them holds), or without one
-  the innermost element that holds three quarters of the host's text. Only it makes the text, with what stands right in the
-  elements around it if it is no article.
+* The main slot is the innermost element that holds three quarters of the host's text; where elements of a valid class are that near to each
+  other (half of the text and more), a tag breaks the tie: an article or main element is taken before what is around or in it. Only the slot makes the text, with what stands
+  right in the elements around it if it is no article.
 * Texts of a valid class that keep their place (after the same sibling tag, or first in the same element) are furniture, too.
 
-Words that name furniture decide only where there is no template: on pages without their host's main slot, and, as the
-contract drops adverts, forms, notices and comments from articles, for whole blocks inside one.
+Words that name furniture decide where there is no template, on pages without their host's main slot. In an article or in the slot only blocks go that the contract names, adverts,
+notices and comments, by words that mean nothing else; whatever else is there goes only if other pages of the host repeat it.
 
 Occurrence vectors are never collected: a vector is represented by its support and by two sums of
 31-bit hashes of (page, count), which partial aggregation adds up before any shuffle. So a host
@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 
 from .common import slices, store, table
 
-#: A template class must occur on so many pages of a host and hold so many tokens.
-LEAST_PAGES, LEAST_TOKENS = 8, 3
-#: On a host of fewer pages (two at least) a class must be on all of them, and its texts outside articles, counted
-#: once for each page, must be so many: few pages say as much by many texts as many pages by one.
+#: A class holds so many tokens at least, and is on this share of the host's pages (two at least).
+LEAST_TOKENS, LEAST_SHARE = 3, 0.75
+#: So often must the texts of a class be seen, all of them together, on whatever pages; a text in an article so often by itself. Few pages
+#: say as much by many texts as many pages by one, and two versions of an article are no template.
 LEAST_SIGHTINGS = 8
 
 # A tag ends at its >, before the next < or with the page, so that no start is read on from twice.
@@ -45,7 +45,7 @@ _MARKUP = re.compile(
     rf"|<(/?)([A-Za-z][\w:-]*){_ATTRIBUTES}(?:>|(?=<)|\Z)|<[!?][^<>]*(?:>|(?=<)|\Z)",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PIECES = re.compile(r"[a-z]+")
 
 #: Elements whose text runs on in the line; every other element ends a block (fixed values).
@@ -64,12 +64,15 @@ FURNITURE_WORDS = frozenset(
     "cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe signup login form search share sharing social related recommended "
     "breadcrumb breadcrumbs contentinfo complementary pagination pager comment comments reply replies respond discussion disqus widget toolbar copyright".split()
 )
+#: Words that mark a block as an advert, a notice or a comment wherever it is, alone or before one of BLOCK_WORDS (ad-slot, comment-list).
+CONTRACT_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsored cookie cookies consent gdpr notice comment comments replies respond disqus".split())
+BLOCK_WORDS = frozenset("slot unit container wrapper wrap banner box block space label placement zone list section thread form area item notice consent bar popup message overlay modal".split())
 MAIN_WORDS = frozenset("articlebody main".split())
 #: A header of an article is its title; any other is the page's.
 HEADER_WORDS = frozenset(("header",))
 
 
-_DIGITS, _HEAD = re.compile(r"\d+"), re.compile(r"[^-_]*")
+_DIGITS, _SIGNS = re.compile(r"\d+"), re.compile(r"[-_]+")
 #: Elements whose token is their name: what class and id they have differs from page to page.
 PLAIN = frozenset("html head body main".split())
 
@@ -79,24 +82,24 @@ class Event:
 
     ``token`` names it with the elements around it, ``parent`` the innermost of those. ``furniture`` tells that an element around
     it (below the main slot, if it is in one) is boilerplate by name, ``main`` that it is in an article or main element,
-    ``inside`` that it is in the main slot. Of a tag ``held`` counts the characters of text that are in the element and no furniture.
+    ``inside`` that it is in the main slot. ``serial`` numbers the elements of a page; a text has that of its element. Of a tag ``held`` counts the characters of text that are in the element and no furniture.
     """
 
-    __slots__ = ("tag", "parent", "token", "text", "furniture", "main", "inside", "core", "depth", "held")
+    __slots__ = ("tag", "parent", "token", "text", "furniture", "main", "inside", "core", "depth", "held", "serial")
 
-    def __init__(self, tag: bool, parent: int, token: int, text: str, furniture: bool, main: bool, inside: bool, core: bool = False, depth: int = 0) -> None:
-        self.tag, self.parent, self.token, self.text, self.furniture, self.main, self.inside, self.core, self.depth, self.held = tag, parent, token, text, furniture, main, inside, core, depth, 0
+    def __init__(self, tag: bool, parent: int, token: int, text: str, furniture: bool, main: bool, inside: bool, core: bool = False, depth: int = 0, serial: int = 0) -> None:
+        self.tag, self.parent, self.token, self.text, self.furniture, self.main, self.inside, self.core, self.depth, self.held, self.serial = tag, parent, token, text, furniture, main, inside, core, depth, 0, serial
 
 
 def events_of(page: str, slot: int = 0) -> tuple[list[Event], set[int]]:
-    """Events of a page in order, and the tokens of the elements around the main slot ``slot`` where it is first met.
+    """Events of a page in order, and the serial numbers of the elements around the main slot ``slot`` where it is first met.
 
     Unclosed and unmatched tags are taken as browsers do in the common cases: an end tag closes down to its start
     tag if there is one, inline tags never nest.
 
-    A word in class, id, role or itemprop marks an element only as a whole token (of an inline element also as its head, as in
-    ``share-count``, and in an article only so), never an html, body, main or article element, a heading or anything in an article by its
-    id, or what is in code, and never an element around an article that no such word names.
+    A word in class, id, role or itemprop marks an element only as a whole token (or as a compound like ``ad-slot``; of an inline element also as its head, as in
+    ``share-count``), never an html, body, main or article element, or what is in code, and never an element around an article that no such word names. In an
+    article or the slot only CONTRACT_WORDS do, and neither inline elements, headings nor ids.
     """
     around: dict[bool, set[int]] = {False: set(), True: set()}  # elements by word around articles that no word names, or one does
     found = _events(page, slot, frozenset(), around)
@@ -125,7 +128,7 @@ def _events(page: str, slot: int, exempt: frozenset[int], around: dict[bool, set
         parts.clear()
         if text:
             e = stack[-1][1]
-            out.append(Event(False, e.token, 0, text, e.furniture, e.main, e.inside))
+            out.append(Event(False, e.token, 0, text, e.furniture, e.main, e.inside, serial=e.serial))
             total += 0 if e.furniture else len(text)
 
     def close() -> str:
@@ -150,11 +153,16 @@ def _events(page: str, slot: int, exempt: frozenset[int], around: dict[bool, set
         words = {w for v in attributes.values() for w in _PIECES.findall(v)}
         if name in ("pre", "code"):
             code = not m[3]
-        tokens = {w for k, v in attributes.items() if k != "id" or not (name in HEADINGS or inner.main) for w in v.split()}
-        if name in INLINE:
-            heads = {w: _HEAD.match(w)[0] for w in tokens}
-            tokens = {head for w, head in heads.items() if head != w} | (set() if inner.main else tokens)
-        named = bool(tokens & FURNITURE_WORDS)
+        main = inner.main or inner.inside
+        tokens = {w for k, v in attributes.items() if k != "id" or not (name in HEADINGS or main) for w in v.split()}
+        split = {w: _SIGNS.split(w, 1) for w in tokens}
+        compound = {head for head, *rest in split.values() if rest and head in CONTRACT_WORDS and rest[0] in BLOCK_WORDS}
+        if main:
+            named = name not in INLINE and name not in HEADINGS and bool(compound or tokens & CONTRACT_WORDS)
+        elif name in INLINE:
+            named = bool((tokens | {head for head, *_ in split.values()}) & FURNITURE_WORDS)
+        else:
+            named = bool(compound or tokens & FURNITURE_WORDS)
         own = name not in PLAIN and name != "article"
         by_word = named and not code and own and m.start() not in exempt
         empty = m[5].endswith("/") or name in EMPTY
@@ -179,15 +187,15 @@ def _events(page: str, slot: int, exempt: frozenset[int], around: dict[bool, set
                     pass
             continue
         core = name in ("article", "main") or bool(words & MAIN_WORDS)
-        head = bool(tokens & HEADER_WORDS) and own and m.start() not in exempt and not inner.main
-        bad = name in FURNITURE or by_word or head or (not inner.main and name == "header")
+        head = bool(tokens & HEADER_WORDS) and own and m.start() not in exempt and not main
+        bad = name in FURNITURE or by_word or head or (not main and name == "header")
         if name in STRUCTURE or (bad and name not in FURNITURE and name not in PARAGRAPHS):
             said = "" if name in PLAIN else " ".join(sorted(tokens & FURNITURE_WORDS)) if name == "article" else _DIGITS.sub("0", "|".join(attributes.get(k, "") for k in ("class", "id")))
             token = xxhash.xxh64_intdigest(f"{name}|{said}", inner.token) >> 1
             inside = bool(slot) and token == slot
             if inside and not outer:
-                outer.update(e.token for _, e in stack)
-            e = Event(True, inner.token, token, "", not inside and (inner.furniture or bad), inner.main or core, inner.inside or inside, core, len(stack))
+                outer.update(e.serial for _, e in stack)
+            e = Event(True, inner.token, token, "", not inside and (inner.furniture or bad), inner.main or core, inner.inside or inside, core, len(stack), m.start() + 1)
             out.append(e)
             if core:
                 around[named].add(-1)
@@ -221,7 +229,7 @@ def main_text(page: str, texts: frozenset[int] = frozenset(), slot: int = 0, art
     blocks = [e for e in events if not e.tag and not e.furniture]
     slots = [e for e in blocks if e.inside]
     if slots:
-        chosen = slots if article else [e for e in blocks if e.inside or e.parent in outer]
+        chosen = slots if article else [e for e in blocks if e.inside or e.serial in outer]
     else:
         main = [e for e in blocks if e.main]
         # (A page with an article that says nothing has no text.)
@@ -276,9 +284,9 @@ def occurrences(pages: DataFrame) -> DataFrame:
     return pages.mapInArrow(run, OCCURRENCES)
 
 
-def deduce_templates(pages: DataFrame) -> DataFrame:
-    """``host, texts, slot, article`` of every host with a template: tokens of its template texts (none: empty), the token of its main slot
-    (none: null) and whether that is an article.
+def deduce_templates(pages: DataFrame, least_tokens: int = LEAST_TOKENS, least_share: float = LEAST_SHARE, least_sightings: int = LEAST_SIGHTINGS) -> DataFrame:
+    """``host, texts, slot, article`` of every host with a template, from ``pages(host, url, html)``: tokens of its template texts (none: empty), the token of its main slot
+    (none: null) and whether that is an article. Null and empty pages say nothing, null hosts are one host; an empty table gives no rows.
 
     Two shuffles, of one row for each distinct token of a host and then of one for each token that
     is on two pages; a template is as large as the host's page furniture, not as its pages.
@@ -289,23 +297,21 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
     )
     frequent = tokens.where("support >= 2").withColumn("ordered", F.col("low") == F.col("high"))
     vector = ["host", "support", "half1", "half2"]
-    small = F.col("support") < LEAST_PAGES
-    element = F.when(F.col("tag") & F.col("usable"), F.struct("core", "held", (-F.col("depth")).alias("up"), "token"))
+    element = F.when(F.col("tag") & F.col("usable") & (F.col("held") > 0), F.struct("held", "core", (-F.col("depth")).alias("up"), "token"))
+    telling = ~F.col("tag") & F.col("ordered") & (~F.col("main") | (F.col("support") >= least_sightings))
     classes = frequent.groupBy(*vector).agg(
-        F.count("*").alias("size"), F.count_if("tag").alias("tags"), F.collect_list(F.when(~F.col("tag") & F.col("ordered") & ~(small & F.col("main")), F.col("token"))).alias("texts"), F.collect_list(element).alias("elements")
-    )
-    valid = (F.col("size") >= LEAST_TOKENS) & (F.col("tags") >= 2)
-    enough = valid & (~small | (F.col("support") * F.size("texts") >= LEAST_SIGHTINGS))
-    found = F.collect_list(F.when(enough & (F.size("texts") > 0), F.struct("support", "texts")))
-    # The most frequent token of a small host is on all of its pages.
-    hosts = classes.groupBy("host").agg(F.max("support").alias("pages"), found.alias("found"), F.flatten(F.collect_list(F.when(valid, F.col("elements")))).alias("elements"))
-    whole = F.filter("found", lambda c: (c["support"] >= LEAST_PAGES) | (c["support"] == F.col("pages")))
-    articles = F.filter("elements", lambda e: e["core"] & (e["held"] > 0))
-    hosts = hosts.select("host", F.array_sort(F.flatten(F.transform(whole, lambda c: c["texts"]))).alias("texts"), "elements", articles.alias("articles"))
-    hosts = hosts.withColumn("article", F.size("articles") > 0).withColumn("among", F.when(F.col("article"), F.col("articles")).otherwise(F.col("elements")))
-    most = F.array_max(F.transform("among", lambda e: e["held"]))
-    holding = F.transform(F.filter("among", lambda e: (e["held"] > 0) & (e["held"] * 4 >= most * 3)), lambda e: F.struct(e["held"], e["up"], e["token"]))
-    return hosts.select("host", "texts", F.array_min(holding)["token"].alias("slot"), "article").where((F.size("texts") > 0) | F.col("slot").isNotNull())
+        F.count("*").alias("size"), F.count_if("tag").alias("tags"), F.collect_list(F.when(telling, F.col("token"))).alias("texts"),
+        F.max(element["held"]).alias("most"), F.collect_list(element).alias("elements"),
+    ).where((F.col("size") >= least_tokens) & (F.col("tags") >= 2))
+    # Elements that hold less than half of what the class's largest holds can't be the slot; what is left is nested, or two at most.
+    classes = classes.withColumn("elements", F.filter("elements", lambda e: e["held"] * 2 >= F.col("most")))
+    found = F.collect_list(F.when((F.size("texts") > 0) & (F.col("support") * F.size("texts") >= least_sightings), F.struct("support", "texts")))
+    # The most frequent class of a host is on all of its pages, as its html element is.
+    hosts = classes.groupBy("host").agg(F.max("support").alias("pages"), F.max("most").alias("most"), found.alias("found"), F.flatten(F.collect_list("elements")).alias("elements"))
+    usual = F.filter("found", lambda c: c["support"] >= F.col("pages") * least_share)
+    slot = F.array_min(F.transform(F.filter("elements", lambda e: (e["core"] & (e["held"] * 2 >= F.col("most"))) | (e["held"] * 4 >= F.col("most") * 3)), lambda e: F.struct((~e["core"]).alias("plain"), e["held"], e["up"], e["token"])))
+    hosts = hosts.select("host", F.array_sort(F.flatten(F.transform(usual, lambda c: c["texts"]))).alias("texts"), slot.alias("slot"))
+    return hosts.select("host", "texts", F.col("slot.token").alias("slot"), F.coalesce(~F.col("slot.plain"), F.lit(False)).alias("article")).where((F.size("texts") > 0) | F.col("slot").isNotNull())
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

@@ -238,7 +238,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{{}}</style
 <div class="share">Share this</div><p>2 < 3 &amp;amp; {n}</p><script>no()</script><ul><li>one</li><li class="ad">an ad<p>more ad</p></li><li>two</li></ul>
 <p class="ad">Sponsored<p>thr<span class="share-count">99</span>ee<button>Go<b>!</b></button></p><h2 class="notice">Mind</h2><select><option>a</select> four<hr class="ad">five</article>
 <section class="comments"><article class="comment">Nice {n}</article></section><div class="sidebar">More</div><footer>&copy; x</footer></body>"""
-TEXT = "Title {n} Bold{n} next <x> Second line é 2 < 3 &amp; {n} one two three four five"
+TEXT = "Title {n} Bold{n} next <x> Second line é Share this 2 < 3 &amp; {n} one two thr99ee Mind four five"
 
 
 class Reader(html.parser.HTMLParser):
@@ -279,11 +279,14 @@ def test_main_text():
         ('<div class="search"><article class="notice"><p>one</p></article></div>', "one"),
         ('<article><section id="related-work"><h2 id="search">Search</h2><p>one</p></section></article>', "Search one"),
         ('<article><pre><code>x <span class="hljs-comment"># why</span> <span class="comment">y</span></code></pre><span class="comment">z</span></article>', "x # why y z"),
+        *((f"<article>one<{tag} class='{word}'>two</{tag}></article>", "one two") for tag, word in (("h2", "search"), ("p", "related"), ("div", "alert"), ("blockquote", "banner"), ("p", "form"), ("div", "ad-hoc"), ("h3", "comments"))),
+        *((f"<article>one<div {mark}>two</div></article>", "one") for mark in ("class=ad-slot", "class='x comment-list'", "class=cookie-notice", "aria-label=Advertisement", "class=sponsored")),
+        *((f"<body><p>one</p><div class={word}>two</div></body>", "one") for word in ("ad-slot", "comment-list", "cookie-notice")),
         ('<article><h2 id="social-science">A</h2><section id="form-and-function">b</section><p class="form-factor">c</p><p class="no-ad">d</p></article>', "A b c d"),
         ('<article><h2 id="comments-on-method">A</h2><p id="ad">a <span class="related">related</span> word</p></article>', "A a related word"),
         ('<div class="has-header"><article>one</article></div>', "one"),
         ('<article>one</article><section class="comments"><article class="comment">two</article></section>', "one"),
-        ('<article>one<div class="wide share">two</div></article>', "one"),
+        ('<article>one<div class="wide share">two</div></article>', "one two"),
     ],
 )
 def test_words_mark_whole_tokens_only(page, text):
@@ -299,7 +302,7 @@ def test_templates_are_deduced(spark):
     texts = {(r.page_id, r.url): r.text for r in got}
     assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
     assert all(texts[i, f"http://www.a.org/{i}"] == f"Story {i} Tail {i}" for i in range(12))  # the host's template is gone
-    assert texts[20, "http://b.org/0"] == "Follow us Once 0"  # too few pages to tell
+    assert texts[20, "http://b.org/0"] == "Follow us Once 0"  # seen three times only
     assert texts[40, None] == "" and texts[41, "x"] == "" and texts[None, "http://b.org/9"] == "n"
     assert pages.extract(df.limit(0)).count() == 0
 
@@ -341,6 +344,59 @@ def test_the_template_names_the_slot(spark):
     assert found["article.org"].article and not found["plain.org"].article and found["plain.org"].slot
 
 
+LOREM = "as stories go this one is long enough to hold most of what its page says and a little more than that"
+
+
+def test_slots_come_from_classes_not_from_names(spark):
+    """Hosts without article elements: the template alone tells the story from what is around it, and keeps what names would drop."""
+
+    def page(i):
+        story = "".join(f"<div class=k{k}>Part {k} of {i} {LOREM}</div>" for k in range(3))
+        inside = f"<div class=ad-slot>Buy {i}</div><div class=related>Kept {i}</div><h2 class=search>Head {i}</h2><div class=share>Share this</div><div class=cookie-notice>We use cookies</div>"
+        after = f"<div class=comment-list><div>Nice {i}</div><div>Poor {i}</div></div>"
+        return f"<html><body><div class=q1>Menu {i} of {i * 7}</div><div class=q2><div class=q3>{story}{inside}</div>{after}</div><div class=q4>Seen {i} times</div></body></html>"
+
+    rows = [(i, f"http://divs.org/{i}", page(i)) for i in range(12)]
+    # The largest text of this host isn't in its article elements, which are teasers.
+    teasers = "<div class=q5>{0}<div class=q6>Story {0} {1} {1} {1} {1}</div></div><article>Teaser {0}</article>"
+    rows += [(100 + i, f"http://teasers.org/{i}", f"<html><body>{teasers.format(i, LOREM)}</body></html>") for i in range(12)]
+    # An article that holds most of the text is taken whole, whatever its largest part is.
+    whole = "<div class=q7>Menu {0}</div><article><div class=q8>Title {0}</div><div class=q9>Story {0} {1}</div></article>"
+    rows += [(200 + i, f"http://articles.org/{i}", f"<html><body>{whole.format(i, LOREM)}</body></html>") for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.extract(df).collect()}
+    for i in range(12):
+        assert got[i] == " ".join([*(f"Part {k} of {i} {LOREM}" for k in range(3)), f"Kept {i} Head {i}"])
+        assert got[100 + i] == f"{i} Story {i} {LOREM} {LOREM} {LOREM} {LOREM}"
+        assert got[200 + i] == f"Title {i} Story {i} {LOREM}"
+    # Without the template the same pages keep what is around the slot, and names drop what is in it.
+    bare = pages.main_text(page(3))
+    assert "Menu 3" in bare and "Seen 3 times" in bare and "Kept 3" not in bare
+
+
+def test_tables_without_telling_names(spark):
+    """The supplied pages, all elements around their texts renamed to divs whose classes say nothing: only the template finds the text."""
+    source = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    html = F.col("html")
+    for pattern, to in ((r"<article>", "<div class=w>"), (r"<(nav|footer)>", "<div class=$1x>"), (r"</(article|nav|footer)>", "</div>"), ('class="ad"', 'class="u"')):
+        html = F.regexp_replace(html, pattern, to)
+    named = {r.page_id: (r.text, r.host) for r in pages.extract(source).join(source.select("page_id", pages.host_of(F.col("url")).alias("host")), "page_id").collect()}
+    plain = source.select("page_id", "url", html.alias("html"))
+    got = {r.page_id: r.text for r in pages.extract(plain).collect()}
+    slots = {r.host for r in pages.deduce_templates(plain.select(pages.host_of(F.col("url")).alias("host"), "url", "html")).where("slot IS NOT NULL").collect()}
+    of_hosts = [i for i, (_, host) in named.items() if host in slots]
+    assert len(of_hosts) > 200 and sum(got[i] == named[i][0] for i in of_hosts) >= 0.95 * len(of_hosts)
+    assert not any(pages.main_text(r.html) == named[r.page_id][0] for r in plain.limit(50).collect())
+
+
+@pytest.mark.parametrize("n", [2, 4, 8, 9, 40])
+def test_hosts_of_any_size_are_judged_alike(spark, n):
+    marks = [f"<div class=m{k}>Text {k}</div>" for k in range(8)]
+    rows = [(i, f"http://h.org/{i}", f"<html><body>{''.join(marks[:4])}<div class=s>Story {i} {LOREM}</div>{''.join(marks[4:])}</body></html>") for i in range(n)]
+    got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.text == f"Story {r.page_id} {LOREM}" for r in got) and len(got) == n
+
+
 def test_most_hosts_of_the_tables_have_a_template(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select(pages.host_of(F.col("url")).alias("host"), "url", "html")
     many = rows.groupBy("host").agg(F.countDistinct("url").alias("n")).where("n > 1")
