@@ -1,7 +1,8 @@
 """Deck libraries as a Spark data source.
 
-``spark.read.format("decks")`` after ``register(spark)``; every URI that Arrow's file systems read
-(local folders, s3, gs, hdfs) works, by ranged reads: the driver only lists, executors open packages
+``read_parts`` and ``read_decks`` list on the executors (``sources.listing``) and deal the decks out by path, to ``tasks`` tasks. With
+``partition_bytes``, as by ``spark.read.format("decks")`` after ``register(spark)``, the driver lists and packs decks by size. Every URI that
+Arrow's file systems read (local folders, s3, gs, hdfs) works, by ranged reads: executors open packages
 by path, read their directories, and inflate no member but those asked for.
 
 Options
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -81,6 +82,19 @@ class DeckPartition(InputPartition):
     decks: list[tuple[str, int]]
 
 
+def packed(decks: list[tuple[str, int]], most: int) -> list[DeckPartition]:
+    """Decks in their order, as many to a partition as ``most`` bytes hold (one at least)."""
+    out: list[DeckPartition] = []
+    held = most + 1
+    for path, size in decks:
+        if held + size > most:
+            out.append(DeckPartition([]))
+            held = 0
+        out[-1].decks.append((path, size))
+        held += size
+    return out or [DeckPartition([])]
+
+
 class DeckSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -98,16 +112,8 @@ class DeckReader(DataSourceReader):
         self.options, self.columns = options, columns
 
     def partitions(self) -> list[DeckPartition]:
-        most = int(self.options.get("partition_bytes", PARTITION_BYTES))
-        out: list[DeckPartition] = []
-        held = most + 1
-        for path, size in list_decks(self.options["path"], self.options.get("hidden", "audit"), self.options.get("only", "")):
-            if held + size > most:
-                out.append(DeckPartition([]))
-                held = 0
-            out[-1].decks.append((path, size))
-            held += size
-        return out or [DeckPartition([])]
+        found = list_decks(self.options["path"], self.options.get("hidden", "audit"), self.options.get("only", ""))
+        return packed(found, int(self.options.get("partition_bytes", PARTITION_BYTES)))
 
     def read(self, partition: DeckPartition) -> Iterator[pa.RecordBatch]:
         uri = self.options["path"]
@@ -177,11 +183,27 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(DeckSource)
 
 
-def read_parts(spark: SparkSession, path: str, **options: str):
-    register(spark)
-    return spark.read.format("decks").options(path=path, rows="parts", **options).load()
+def _opened(spark: SparkSession, schema: str, options: dict[str, str]) -> DataFrame:
+    """Decks that executors list, dealt out by path and opened where they come."""
+    from .listing import read_library
+
+    if "partition_bytes" in options:
+        register(spark)
+        return spark.read.format("decks").options(**options).load()
+    listed = read_library(spark, options["path"], **{k: v for k, v in options.items() if k in ("hidden", "only", "seeds")})
+    reader = DeckReader(options, [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from reader.read(DeckPartition(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))))
+
+    tasks = int(options.get("tasks", 4 * spark.sparkContext.defaultParallelism))
+    return listed.select("path", "bytes").repartition(tasks, "path").mapInArrow(run, schema)
+
+
+def read_parts(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    return _opened(spark, PARTS, {**options, "path": path, "rows": "parts"})
 
 
-def read_decks(spark: SparkSession, path: str, **options: str):
-    register(spark)
-    return spark.read.format("decks").options(path=path, rows="decks", **options).load()
+def read_decks(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    return _opened(spark, DECKS, {**options, "path": path, "rows": "decks"})
