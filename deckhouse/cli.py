@@ -8,12 +8,13 @@ from __future__ import annotations
 import argparse
 import importlib
 import sys
+import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import __version__
-from .functions import text
+from .functions import glyphs, text
 from .operators import builds, export, fonts, library, media, notes, pages, publish, render, sinks
 from .sources import decks, exports
 
@@ -49,18 +50,38 @@ def _say(df: DataFrame, out: str | None = None) -> None:
         print(line)
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read from there: what is built on it has a short plan. Only a local master may do without the setting."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="deckhouse-"))
+    return df.checkpoint()
+
+
 def font_plan(spark: SparkSession, args: argparse.Namespace) -> int:
-    """What to do about each missing face; catalogues are lists of installed faces, office files and own substitutes."""
-    records = library.audit(decks.read_parts(spark, args.library), _fonts(spark, args.fonts))
+    """What to do about each missing face; catalogues are lists of installed faces, office files and own substitutes. With a folder of font files
+    (candidates, and the anchor that they are compared with) substitutes are picked by width, on the decks' own text."""
+    parts = decks.read_parts(spark, args.library)
+    records = library.audit(parts, _fonts(spark, args.fonts))
     missing = records.select("path", F.explode("fonts_missing").alias("face"))
     value = F.col("value")
     system = fonts.installed_faces(_names(spark, args.listing, number=F.monotonically_increasing_id(), line=value))
     office = fonts.office_faces(_names(spark, args.office, ordinal=F.monotonically_increasing_id(), path=value))
     ours = _names(spark, args.ours, key=text.plain_key(text.stem(value)), source=text.base_name(value))
-    plan = fonts.face_plan(missing, system, office, ours).cache()
+    plan = _settled(fonts.face_plan(missing, system, office, ours))
     _say(plan.withColumn("paths", F.array_join("paths", ";")), args.json)
-    if not args.json:
-        _say(fonts.group_substitutes(plan.where("verdict = 'substitute'")).select("family", F.size("faces"), "deck_count"))
+    groups = fonts.group_substitutes(plan.where("verdict = 'substitute'"))
+    if args.faces:
+        groups = _settled(groups)
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(args.faces).where(r"lower(path) RLIKE '\\.(ttf|otf|ttc)$'")
+        widths = glyphs.glyph_widths(files).where("error IS NULL").cache()
+        picks = fonts.recommend_measured(groups, fonts.deck_texts(parts).cache(), widths, args.anchor)
+        _say(picks.select("family", "deck_count", "pick", F.format_string("%+.1f%%", "delta_pct").alias("width"), "why") if not args.json else picks, args.json and f"{args.json.rstrip('/')}-picks")
+    elif not args.json:
+        _say(groups.select("family", F.size("faces"), "deck_count"))
     return 0
 
 
@@ -214,7 +235,7 @@ def main(argv: list[str] | None = None) -> int:
     fonts_option, out, as_json, only, yes = ("--fonts", {}), ("--out", {}), ("--json", {}), ("--only", {"default": ""}), {"action": "store_true"}
     planning = (out, ("--layout", {"default": "mirror", "choices": export.LAYOUTS}), ("--on-conflict", {"default": "skip", "choices": export.CONFLICTS}), only, ("--manifest", {}), as_json)
     command("audit", audit, as_json, fonts_option)
-    command("fonts", font_plan, fonts_option, ("--listing", {}), ("--office", {}), ("--ours", {}), as_json)
+    command("fonts", font_plan, fonts_option, ("--listing", {}), ("--office", {}), ("--ours", {}), ("--faces", {}), ("--anchor", {"default": "Helvetica"}), as_json)
     command("plan", plan, *planning)
     limits = ("--deadline", {"type": float}), ("--most-failures", {"type": int, "default": render.MOST_FAILURES})
     command("export", export_library, *planning, *limits, ("--renderer", {"required": True}), ("--no-states", yes), ("--no-notes", yes), ("--no-media", yes), ("--svg", yes))

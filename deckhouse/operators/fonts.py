@@ -6,8 +6,6 @@ joined by key; Spark broadcasts them while they are as small as such catalogues
 
 from __future__ import annotations
 
-from os.path import commonprefix
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,12 +179,39 @@ def deck_texts(parts: DataFrame) -> DataFrame:
     return found.select("path", F.array_join("runs", " ").alias("text"), chars.alias("chars"))
 
 
-def sample_text(texts: DataFrame, limit: int = 200_000) -> DataFrame:
-    """One row with ``text``: that of the decks within the budget, and SAMPLE_TEXT if it has 200 characters or less.
-    It is as long as the limit and the last deck, whatever the library's size."""
-    chosen = texts.join(text_budget(texts.select("path", "chars"), limit).select("path"), "path")
-    whole = chosen.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda d: d["text"]), " ").alias("t"))
-    return whole.select(F.when(F.length("t") > 200, F.col("t")).otherwise(F.concat_ws(" ", "t", F.lit(SAMPLE_TEXT))).alias("text"))
+def sample_text(texts: DataFrame, limit: int = 200_000, by: list[str] | None = None) -> DataFrame:
+    """One row with ``text`` (or one for each value of the columns ``by``): that of the decks within the budget, and SAMPLE_TEXT if it has
+    200 characters or less. It is as long as the limit and the last deck, whatever the library's size."""
+    by = by or []
+    chosen = texts.join(text_budget(texts.select(*by, "path", "chars"), limit, by).select(*by, "path"), [*by, "path"])
+    whole = chosen.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda d: d["text"]), " ").alias("t"))
+    return whole.select(*by, F.when(F.length("t") > 200, F.col("t")).otherwise(F.concat_ws(" ", "t", F.lit(SAMPLE_TEXT))).alias("text"))
+
+
+def recommend_measured(groups: DataFrame, texts: DataFrame, glyphs: DataFrame, anchor: str) -> DataFrame:
+    """TV13, K15, P24, J11: as ``recommend``, with every group of ``groups(family, decks, deck_count)`` measured on the text of its own decks
+    (``texts(path, text, chars)``, within the budget), by ``glyphs(family, codepoint, advance, upm)`` of the candidates and of the family ``anchor``.
+
+    A group whose decks say nothing is measured on SAMPLE_TEXT; without widths of the anchor or of any candidate there is no pick.
+    """
+    rows = groups.select("family", "deck_count", successor_of(F.col("family")).alias("successor"), genre_of(F.col("family")).alias("wanted"))
+    open_ = rows.where("successor IS NULL").select("family")
+    of_groups = groups.join(open_, "family", "left_semi").select("family", F.explode("decks").alias("path")).join(texts, "path")
+    said = open_.join(sample_text(of_groups, by=["family"]), "family", "left").select(F.col("family").alias("group"), F.coalesce("text", F.lit(" " + SAMPLE_TEXT)).alias("text"))
+    widths = mean_width(said, glyphs, ["group"])
+    by_anchor = widths.where(plain_key(F.col("family")) == plain_key(F.lit(anchor))).groupBy("group").agg(F.min("width").alias("anchor"))
+    known = {plain: n for n in CANDIDATES for plain in ["".join(c for c in n.lower() if c.isalnum())]}
+    pool = groups.sparkSession.createDataFrame([(plain, n, CANDIDATES[n], i) for i, (plain, n) in enumerate(known.items())], "key string, candidate string, genre string, pool int")
+    usable = pool.where("genre NOT IN ('display', 'mono')")  # F9; at most a row for each of CANDIDATES
+    found = widths.where("width > 0").withColumn("key", plain_key(F.col("family"))).groupBy("group", "key").agg(F.min("width").alias("width")).join(usable, "key")
+    measured = found.join(by_anchor, "group").where("anchor > 0").join(rows.select(F.col("family").alias("group"), "wanted"), "group")
+    measured = measured.withColumn("ratio", F.col("width") / F.col("anchor")).withColumn("in_genre", F.coalesce(F.col("genre") == F.col("wanted"), F.lit(False)))
+    entry = F.struct("rank", "candidate", "ratio", ((F.col("ratio") - 1) * 100).alias("delta_pct"))
+    best = rank_candidates(measured, ["group"]).where("rank <= 5").groupBy("group").agg(F.array_sort(F.collect_list(entry)).alias("ranked"))
+    joined = rows.join(best, F.col("family") == F.col("group"), "left").drop("group").join(said.select("group", F.length("text").alias("chars")), F.col("family") == F.col("group"), "left")
+    top = F.try_element_at("ranked", F.lit(1))
+    why = F.when(F.col("successor").isNotNull(), "the same design, free").when(F.col("ranked").isNull(), "no candidate could be measured").otherwise(F.concat(F.lit("measured on "), F.col("chars").cast("string"), F.lit(" characters from these decks")))
+    return joined.select("family", "deck_count", F.coalesce("successor", top["candidate"]).alias("pick"), F.when(F.col("successor").isNull(), top["delta_pct"]).alias("delta_pct"), why.alias("why"), "ranked").orderBy(F.desc("deck_count"), "family")
 
 
 def group_label(family: Column, faces: Column, delta_pct: Column) -> Column:
@@ -197,17 +222,25 @@ def group_label(family: Column, faces: Column, delta_pct: Column) -> Column:
     return F.concat(family, weights, width)
 
 
-def text_budget(texts: DataFrame, limit: int = 200_000) -> DataFrame:
-    """Decks of ``texts(path, chars)`` in path order until the sum passes the limit, that deck included.
+#: Slices of the path order, and paths that their bounds are drawn from.
+SLICES, DRAWN = 256, 4096
+
+
+def text_budget(texts: DataFrame, limit: int = 200_000, by: list[str] | None = None) -> DataFrame:
+    """Decks of ``texts(path, chars)`` in path order until the sum passes the limit, that deck included; with columns
+    ``by`` for each of their values. An empty table gives none, a null number of characters counts as none.
 
-    Slices of the path order, by the three signs after what all paths have in common, are summed first, so that one task sees
-    slice totals and the rows of one slice only. An empty table gives none.
+    The path order is cut into slices of about as many decks each, at paths drawn by hash (so the slices are the same in every run, and even
+    whatever the paths have in common). Slices are summed first: a task sees slice totals, or the rows of one slice, and slices past the limit are never sorted.
     """
-    ends = texts.agg(F.min("path").alias("low"), F.max("path").alias("high")).first()
-    shared = len(commonprefix([ends.low or "", ends.high or ""]))
-    cut = texts.select("path", F.coalesce("chars", F.lit(0)).alias("chars")).withColumn("slice", F.substring("path", shared + 1, 3))
-    totals = cut.groupBy("slice").agg(F.sum("chars").alias("n"))
-    before = totals.select("slice", (F.sum("n").over(Window.orderBy("slice")) - F.col("n")).alias("offset")).where(F.col("offset") <= limit)
-    inside = F.sum("chars").over(Window.partitionBy("slice").orderBy("path")) - F.col("chars")
+    by = by or []
+    drawn = texts.select("path").where("path IS NOT NULL").orderBy(F.xxhash64("path"), "path").limit(DRAWN).agg(F.array_sort(F.collect_list("path")).alias("drawn"))
+    step = F.greatest(F.lit(1), F.floor(F.size("drawn") / SLICES).cast("int"))
+    bounds = drawn.select(F.filter("drawn", lambda _, i: i % step == 0).alias("bounds"))  # one row, 2 * SLICES bounds at most
+    cut = texts.select(*by, "path", F.coalesce("chars", F.lit(0)).alias("chars")).join(F.broadcast(bounds), F.lit(True))
+    cut = cut.withColumn("slice", F.size(F.filter("bounds", lambda b: b <= F.col("path")))).drop("bounds")
+    totals = cut.groupBy(*by, "slice").agg(F.sum("chars").alias("n"))
+    before = totals.select(*by, "slice", (F.sum("n").over(Window.partitionBy(*by).orderBy("slice")) - F.col("n")).alias("offset")).where(F.col("offset") <= limit)
+    inside = F.sum("chars").over(Window.partitionBy(*by, "slice").orderBy("path")) - F.col("chars")
     running: Column = inside + F.col("offset")
-    return cut.join(before, "slice").withColumn("before", running).where(F.col("before") <= limit).select("path", "chars", F.col("before").cast("long").alias("before"))
+    return cut.join(before, [*by, "slice"]).withColumn("before", running).where(F.col("before") <= limit).select(*by, "path", "chars", F.col("before").cast("long").alias("before"))

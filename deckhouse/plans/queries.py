@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import text, xml
+from ..functions import glyphs, text, xml
 from ..functions.binary import gif_frame_count
 from ..functions.faces import noise_reason
 from ..operators import builds, export, fonts, library, media, notes, pages
@@ -360,6 +360,21 @@ def d21(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fonts.mean_width(_read(spark, sf_dir, "benchmark", "item_id", "text"), glyphs, ["item_id"]).select("item_id", "width")
 
 
+@query("d55_glyph_widths", """
+WITH chars AS (SELECT unnest(range(32, 127)) AS codepoint)
+SELECT 'Face ' || p_partkey AS family, codepoint::INT AS codepoint, (200 + (codepoint * p_partkey) % 700)::INT AS advance, (CASE p_partkey % 3 WHEN 1 THEN 2048 ELSE 1000 END)::INT AS upm
+FROM part, chars WHERE (codepoint + p_partkey) % 7 <> 0""")
+def d55(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Widths read from a font file for every part, in three formats of character map."""
+    made = lambda key: synthetic.font(f"Face {key}", {c: 200 + c * key % 700 for c in range(32, 127) if (c + key) % 7}, 2048 if key % 3 == 1 else 1000, (4, 6, 12)[key % 3])
+
+    def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["p_partkey"].astype(str), "content": batch["p_partkey"].map(made)})
+
+    return glyphs.glyph_widths(_read(spark, sf_dir, "part", "p_partkey").mapInPandas(files, "path string, content binary")).select("family", "codepoint", "advance", "upm")
+
+
 @query("d22_text_budget", """
 WITH t AS (SELECT source || '/' || lpad(doc_id::VARCHAR, 8, '0') AS path, length(text)::BIGINT AS chars FROM documents),
 r AS (SELECT *, sum(chars) OVER (ORDER BY path) - chars AS before FROM t)

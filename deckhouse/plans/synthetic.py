@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
 
 P = 'xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
@@ -79,3 +80,38 @@ def pdf(pages: int) -> bytes:
         out += f"{n} 0 obj\n{body}\nendobj\n".encode()
     table = "".join(f"{p:010d} 00000 n \n" for p in places)
     return out + f"xref\n0 {len(objects) + 1}\n0000000000 65535 f \n{table}trailer\n<< /Size {len(objects) + 1} /Root 1 0 R >>\nstartxref\n{len(out)}\n%%EOF\n".encode()
+
+
+def font(family: str, advances: dict[int, int], upm: int = 1000, kind: int = 4) -> bytes:
+    """A TrueType font that has nothing but the widths of some characters (by code point), with a character map of format 4, 6 or 12."""
+    chars = sorted(advances)
+    glyph = {c: i + 1 for i, c in enumerate(chars)}
+    runs: list[list[int]] = []
+    for c in chars:
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    if kind == 4:
+        parts = [*runs, [0xFFFF, 0xFFFF]]
+        n = len(parts)
+        words = [4, 16 + 8 * n, 0, 2 * n, 0, 0, 0, *(b for _, b in parts), 0, *(a for a, _ in parts), *((glyph.get(a, 0) - a) & 0xFFFF for a, _ in parts), *[0] * n]
+        mapped = struct.pack(f">{len(words)}H", *words)
+    elif kind == 6:
+        first, last = (chars[0], chars[-1]) if chars else (0, -1)
+        mapped = struct.pack(f">5H{last - first + 1}H", 6, 10 + 2 * (last - first + 1), 0, first, last - first + 1, *(glyph.get(c, 0) for c in range(first, last + 1)))
+    else:
+        mapped = struct.pack(">HHLLL", 12, 0, 16 + 12 * len(runs), 0, len(runs)) + b"".join(struct.pack(">LLL", a, b, glyph[a]) for a, b in runs)
+    said = family.encode("utf-16-be")
+    tables = {
+        b"cmap": struct.pack(">HHHHL", 0, 1, 3, 10 if kind == 12 else 1, 12) + mapped,
+        b"head": bytes(18) + struct.pack(">H", upm) + bytes(34),
+        b"hhea": bytes(34) + struct.pack(">H", len(chars) + 1),
+        b"hmtx": b"".join(struct.pack(">HH", w, 0) for w in [0, *(advances[c] for c in chars)]),
+        b"name": struct.pack(">HHH6H", 0, 1, 18, 3, 1, 0x409, 1, len(said), 0) + said,
+    }
+    at, head, body = 12 + 16 * len(tables), b"", b""
+    for tag, data in sorted(tables.items()):
+        head += struct.pack(">4sLLL", tag, 0, at + len(body), len(data))
+        body += data + bytes(-len(data) % 4)
+    return struct.pack(">LHHHH", 0x10000, len(tables), 0, 0, 0) + head + body
