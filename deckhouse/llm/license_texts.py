@@ -138,3 +138,59 @@ Unless required by applicable law or agreed to in writing, software distributed
 "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
 language governing permissions and limitations under the License.""",
 }
+
+#: SHA-256 of the canonical form (``licenses.canonical``) of long licences as their authors publish them (fixed values): the whole text and, where
+#: it has one, the text up to its line "END OF TERMS AND CONDITIONS", with and without that line.
+LICENSE_DIGESTS = {
+    "Apache-2.0": [
+        "6074c3536c43b739207170b87d1681477d0f07374ed3d862ba461334cce848e3",
+        "f70a2718f78121f2da77cd6afbffffbd668d7c1fd36c85a3ef121e83cb5f48fe",
+        "6aa661403864282a4d084f1551e8149a5f1a7b5e8b05b6db8e1a8a28d0badc64",
+    ],
+    "Artistic-1.0-Perl": [
+        "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702",
+    ],
+    "CC0-1.0": [
+        "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    ],
+    "GFDL-1.2": [
+        "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b",
+    ],
+    "GFDL-1.3": [
+        "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d",
+    ],
+    "GPL-1.0": [
+        "98db0b473e0a45a62b04a39b6b864b4e079a58d513e2196f94fe7252fa8574a6",
+        "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc",
+        "89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70",
+    ],
+    "GPL-2.0": [
+        "e95eb1718f9f373d56cc586a5f7d1bfa11668867f6e85e982d2b6108b97d90a1",
+        "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34",
+        "6d332dc4c3c5293a73c6c9da402f9bbc970b3bb1eb472f577e00580573469808",
+    ],
+    "GPL-3.0": [
+        "0a85ab25a52f42a58c2cc4bf76b4808eb5d0505467f60ad614ac4d676f443478",
+        "7d75204ed685fd08ff55e7de654cd69da831b4d875c3d2c2e69d04d738cccc3e",
+        "dd35883083089e6d76ba8a178db431b99ae33b3d2e87dc33fa479fe6aa2ce307",
+    ],
+    "LGPL-2.0": [
+        "e4deecd0730802431ad09f00ae3793f3703c8e4dba639586545d9f958405614d",
+        "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260",
+        "430627da7218a92ab4a6d75d5140cdb70ee750be7a53f913299b37e0d1b0eea2",
+    ],
+    "LGPL-2.1": [
+        "d3826e4e563a04a354453ff139a32b19d6c3fe283f518eb566107c54e18cd01f",
+        "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4",
+        "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df",
+    ],
+    "LGPL-3.0": [
+        "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    ],
+    "MPL-1.1": [
+        "ad164cdd08feae08d94e21fea94df4f43d81588fbf2e9fe25da8af5330fc1d63",
+    ],
+    "MPL-2.0": [
+        "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d",
+    ],
+}

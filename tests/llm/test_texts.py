@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import unicodedata
 import zlib
@@ -108,6 +109,30 @@ def test_planted_licenses_match_the_sql(spark):
     assert sorted(want, key=str) == sorted(((r.doc_id, r.canonical_chars, r.digest, r.license_id) for r in got.values()), key=str)
 
 
+PUBLISHED = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.isdir(PUBLISHED), reason="no published texts on this machine")
+def test_long_licenses_are_known_by_digest(spark):
+    """The published texts, rewrapped and re-cased, whole and without what follows their terms; a changed word makes another text."""
+    files = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0"}
+    rows = []
+    for i, (name, file) in enumerate(files.items()):
+        with open(f"{PUBLISHED}/{file}") as f:
+            text = f.read()
+        end = text.find("END OF TERMS AND CONDITIONS")
+        for j, t in enumerate([text, text.upper(), "\n".join(line.strip() for line in text.splitlines()).replace("license", "licence"), *([text[:end]] if end > 0 else [])]):
+            rows.append((10 * i + j, t, name))
+        rows.append((10 * i + 8, text.replace("Program", "Recipe").replace("Work", "Recipe").replace("Covered Software", "Recipe").replace("Library", "Recipe"), None))
+        rows.append((10 * i + 9, text[: len(text) // 2], None))
+    known = licenses.catalogue(spark)
+    got = {r.doc_id: r.license_id for r in licenses.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), known.texts, digests=known.digests).collect()}
+    assert got == {i: name for i, _, name in rows}
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([r[:2] for r in rows], columns=["doc_id", "text"]))
+    assert {r[0]: r[3] for r in con.sql(licenses.OP3_SQL).fetchall()} == got
+
+
 # ---------------------------------------------------------------- audio
 
 
