@@ -117,7 +117,7 @@ def fit(indptr: np.ndarray, keys: np.ndarray, grades: np.ndarray, l1: float = 1e
 
 def graded(labels: DataFrame) -> DataFrame:
     """``doc_id, grade``: severities as the labels state them. Those of a column ``grade`` if there is one; else 0 for what isn't toxic, 1 for
-    toxic texts of good quality and 2 for other toxic ones. A row with a null id or label is none; of contradicting ones the highest counts."""
+    toxic texts of good quality and 2 for other toxic ones (a null quality is not a good one). A row with a null id or a null ``toxic`` is none; of contradicting ones the highest counts."""
     grade = F.col("grade") if "grade" in labels.columns else F.when(F.col("toxic") == 0, 0).when(F.col("toxic") == 1, F.when(F.col("quality") == 1, 1).otherwise(2)) if "quality" in labels.columns else F.col("toxic")
     return labels.select("doc_id", grade.cast("int").alias("grade")).where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").alias("grade"))
 
@@ -227,5 +227,6 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel, text: str = "text", thresho
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored. The tables state no severity: grade 2, toxic and of bad quality, is a proxy for one, and the expected severity means as much as that does."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return score(docs, train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic", "quality")))
