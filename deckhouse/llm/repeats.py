@@ -289,7 +289,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
 
     Words that a window of ``length`` words covers go if the same words start earlier: in a document of smaller id (null ids come
     last), or earlier in the same one. Windows are judged on what is given, not on what is left. ``longest`` is the greatest of ``length``,
-    twice, four times ... ``length`` for which a window of the document occurs elsewhere, too (null: none does).
+    twice, four times ... ``length`` for which a window of the document occurs elsewhere, too (0: none does).
 
     Null and empty texts have no words; very long ones are read whole. Documents of one id with different texts go by
     the digests of those; rows that repeat an id and its text are one document and get the same values. An empty table gives no rows.
@@ -313,7 +313,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     whole = F.when((F.col("n") > 1) & (F.col("n_words") >= length), F.pow(F.lit(2), doublings).cast("long") * length)
     return met.select(
         "doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.col("own_removed")).alias("n_removed"),
-        F.when(copy, F.lit(sha256(b"").hexdigest())).otherwise(F.col("own_sha256")).alias("kept_sha256"), F.greatest(F.col("longest").cast("long"), whole).alias("longest"),
+        F.when(copy, F.lit(sha256(b"").hexdigest())).otherwise(F.col("own_sha256")).alias("kept_sha256"), F.coalesce(F.greatest(F.col("longest").cast("long"), whole), F.lit(0)).cast("long").alias("longest"),
     )
 
 
@@ -360,7 +360,7 @@ level{k} AS (
     found = " UNION ALL ".join(f"SELECT DISTINCT doc_id, {length << k} AS long FROM (SELECT doc_id, count(*) OVER (PARTITION BY key) AS met FROM level{k}) WHERE met > 1" for k in range(levels))
     return out + f""",
 longest AS (SELECT doc_id, max(long)::BIGINT AS longest FROM ({found}) GROUP BY doc_id)
-SELECT l.doc_id, len(l.words)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.left_over, '')) AS kept_sha256, g.longest
+SELECT l.doc_id, len(l.words)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.left_over, '')) AS kept_sha256, coalesce(g.longest, 0)::BIGINT AS longest
 FROM listed l LEFT JOIN kept k ON l.doc_id = k.doc_id LEFT JOIN longest g ON l.doc_id = g.doc_id
 """
 

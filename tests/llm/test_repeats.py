@@ -45,7 +45,7 @@ def brute(rows, length):
     out = {}
     for doc, row in enumerate(order):
         kept = [x for i, x in enumerate(words_of(row[1])) if i not in gone[doc]]
-        out[row] = (len(words_of(row[1])), len(gone[doc]), sha256(b" ".join(kept)).hexdigest(), longest.get(doc), b" ".join(kept).decode())
+        out[row] = (len(words_of(row[1])), len(gone[doc]), sha256(b" ".join(kept)).hexdigest(), longest.get(doc, 0), b" ".join(kept).decode())
     return out
 
 
