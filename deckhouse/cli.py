@@ -1,4 +1,4 @@
-"""Commands: ``python -m deckhouse audit|fonts|plan|export|render|expand|variants|notes|media|map LIBRARY ...``, ``version``.
+"""Commands: ``python -m deckhouse audit|copies|dropped|fonts|plan|export|render|expand|variants|notes|media|map LIBRARY ...``, ``version``, ``help``.
 
 Exit codes: 0 done, 1 a deck failed or was never reached, 2 bad arguments.
 """
@@ -8,14 +8,14 @@ from __future__ import annotations
 import argparse
 import importlib
 import sys
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import __version__
 from .functions import glyphs, text
-from .operators import builds, export, fonts, library, media, notes, pages, publish, render, sinks
+from .operators import builds, content, export, fonts, library, lineage, media, notes, pages, publish, render, sinks
+from .operators.settle import settled
 from .sources import decks, exports
 
 
@@ -28,10 +28,13 @@ def _fonts(spark: SparkSession, path: str | None) -> DataFrame:
 
 def audit(spark: SparkSession, args: argparse.Namespace) -> int:
     parts = decks.read_parts(spark, args.library, content=r"\.(xml|rels|gif)$")
-    records = library.audit(parts, _fonts(spark, args.fonts)).cache()
+    records = library.audit(parts, _fonts(spark, args.fonts))
     if args.json:
         sinks.audit_json(records).write.mode("overwrite").json(args.json)
-    print(sinks.human_summary(library.summary(records).first(), library.oversized(records).collect(), library.unreadable(records).collect()))
+    summary = library.summary(records).first()
+    if args.document:
+        sinks.write_document(records, summary, args.document)
+    print(sinks.human_summary(summary, library.oversized(records).collect(), library.unreadable(records).collect()))
     return 0
 
 
@@ -50,17 +53,6 @@ def _say(df: DataFrame, out: str | None = None) -> None:
         print(line)
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read from there: what is built on it has a short plan. Only a local master may do without the setting."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="deckhouse-"))
-    return df.checkpoint()
-
-
 def font_plan(spark: SparkSession, args: argparse.Namespace) -> int:
     """What to do about each missing face; catalogues are lists of installed faces, office files and own substitutes. With a folder of font files
     (candidates, and the anchor that they are compared with) substitutes are picked by width, on the decks' own text."""
@@ -71,11 +63,11 @@ def font_plan(spark: SparkSession, args: argparse.Namespace) -> int:
     system = fonts.installed_faces(_names(spark, args.listing, number=F.monotonically_increasing_id(), line=value))
     office = fonts.office_faces(_names(spark, args.office, ordinal=F.monotonically_increasing_id(), path=value))
     ours = _names(spark, args.ours, key=text.plain_key(text.stem(value)), source=text.base_name(value))
-    plan = _settled(fonts.face_plan(missing, system, office, ours))
+    plan = settled(fonts.face_plan(missing, system, office, ours))
     _say(plan.withColumn("paths", F.array_join("paths", ";")), args.json)
     groups = fonts.group_substitutes(plan.where("verdict = 'substitute'"))
     if args.faces:
-        groups = _settled(groups)
+        groups = settled(groups)
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(args.faces).where(r"lower(path) RLIKE '\\.(ttf|otf|ttc)$'")
         widths = glyphs.glyph_widths(files).where("error IS NULL").cache()
         picks = fonts.recommend_measured(groups, fonts.deck_texts(parts).cache(), widths, args.anchor)
@@ -121,20 +113,22 @@ def export_library(spark: SparkSession, args: argparse.Namespace) -> int:
     publish.recover(spark, store, args.manifest)
     planned = _planned(spark, args).cache()
     wanted = planned.where("action in ('export', 'overwrite')").select("path", "dest", (F.col("action") == "overwrite").alias("replace"))
-    content = decks.read_decks(spark, args.library, hidden="export", only=args.only, content="true").select("path", "bytes", "content").join(wanted, "path")
-    rendered = render.export_decks(content, renderer, not args.no_states, args.deadline, args.most_failures)
+    packages = decks.read_decks(spark, args.library, hidden="export", only=args.only, content="true").select("path", "bytes", "content").join(wanted, "path")
+    rendered = render.export_decks(packages, renderer, not args.no_states, args.deadline, args.most_failures)
     done = rendered.join(wanted, "path").cache()
     good = done.where("status = 'ok'")
     pdf = F.col("pdf")
+    parts = decks.read_parts(spark, args.library, hidden="export", only=args.only)
+    states = good.select(F.col("path").alias("deck"), F.explode("expanded").alias("e")).select("deck", F.col("e.slide").alias("slide_no"), F.col("e.pages").alias("n_states"))
+    mapped = pages.page_map(notes.presentation_slides(parts), states)
+    maps = sinks.page_map_json(mapped, states).join(good.select(F.col("path").alias("deck"), "dest", "replace"), "deck")
     if not args.no_notes:
-        parts = decks.read_parts(spark, args.library, hidden="export", only=args.only)
-        slides = notes.presentation_slides(parts)
-        states = good.select(F.col("path").alias("deck"), F.explode("expanded").alias("e")).select("deck", F.col("e.slide").alias("slide_no"), F.col("e.pages").alias("n_states"))
-        on_pages = notes.notes_on_pages(parts, pages.page_map(slides, states))
+        on_pages = notes.notes_on_pages(parts, mapped)
         by_deck = on_pages.groupBy(F.col("deck").alias("path")).agg(F.map_from_entries(F.collect_list(F.struct("page", "text"))).alias("notes"))
         good = good.join(by_deck, "path", "left").withColumn("with_notes", builds.annotated("pdf", F.coalesce("notes", F.create_map().cast("map<int,string>"))))
         pdf = F.coalesce("with_notes.pdf", "pdf")
     files = good.select("dest", "path", F.concat(text.stem(F.col("path")), F.lit(".pdf")).alias("file"), pdf.alias("content"), "replace")
+    files = files.unionByName(maps.select("dest", F.col("deck").alias("path"), F.lit(render.PAGE_MAP).alias("file"), F.col("json").cast("binary").alias("content"), "replace"))
     if not args.no_media:
         items = media.extract_media(decks.read_parts(spark, args.library, hidden="export", only=args.only, content=r"\.rels$|^ppt/media/"), svg=args.svg)
         placed = items.join(done.where("status = 'ok'").select(F.col("path").alias("deck"), "dest", "replace"), "deck")
@@ -164,10 +158,30 @@ def _summary(planned: DataFrame, done: DataFrame, blocked: list) -> int:
 
 
 def images(spark: SparkSession, args: argparse.Namespace) -> int:
-    """The PDF files of an archive that still want images; drawing them is left to a renderer."""
+    """The images that an archive still wants, with their names and sizes; drawing them is left to a renderer."""
     pdfs = render.archive(spark, args.library, args.only)
     have = render.archive_images(spark, args.library)
-    _say(render.render_plan(pdfs, have, args.format, args.force), args.json)
+    named = render.read_labels(spark, args.labels) if args.labels else None
+    wanted = render.images_wanted(render.render_plan(pdfs, have, args.format, args.force), args.library, args.edge, args.format, args.page, named).cache()
+    _say(wanted, args.json)
+    return 1 if wanted.where("error is not null").count() else 0
+
+
+def copies(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Decks that hold the same as another one, or whose slides another one has all of."""
+    parts = decks.read_parts(spark, args.library, content=".")
+    same = content.duplicates_by_content(settled(content.package_digests(parts)))
+    held = content.contained_decks(settled(content.slide_digests(parts))).select(F.col("deck").alias("path"), "slides", "containers", "container")
+    _say(same.join(held, "path", "left").where("copies > 1 or containers > 0").select("path", "same_as", "copies", "slides", "containers", "container").orderBy("path"), args.json)
+    return 0
+
+
+def dropped(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Where entries of slide lists and forecast build states go, deck by deck."""
+    found = lineage.slide_lineage(decks.read_parts(spark, args.library)).orderBy("deck")
+    if not args.json:
+        print("\t".join(found.columns))
+    _say(found, args.json)
     return 0
 
 
@@ -234,19 +248,25 @@ def main(argv: list[str] | None = None) -> int:
 
     fonts_option, out, as_json, only, yes = ("--fonts", {}), ("--out", {}), ("--json", {}), ("--only", {"default": ""}), {"action": "store_true"}
     planning = (out, ("--layout", {"default": "mirror", "choices": export.LAYOUTS}), ("--on-conflict", {"default": "skip", "choices": export.CONFLICTS}), only, ("--manifest", {}), as_json)
-    command("audit", audit, as_json, fonts_option)
+    command("audit", audit, as_json, ("--document", {}), fonts_option)
+    command("copies", copies, as_json)
+    command("dropped", dropped, as_json)
     command("fonts", font_plan, fonts_option, ("--listing", {}), ("--office", {}), ("--ours", {}), ("--faces", {}), ("--anchor", {"default": "Helvetica"}), as_json)
     command("plan", plan, *planning)
     limits = ("--deadline", {"type": float}), ("--most-failures", {"type": int, "default": render.MOST_FAILURES})
     command("export", export_library, *planning, *limits, ("--renderer", {"required": True}), ("--no-states", yes), ("--no-notes", yes), ("--no-media", yes), ("--svg", yes))
-    command("render", images, only, ("--format", {"default": "png", "choices": list(render.IMAGE_EXTENSION)}), ("--force", yes), as_json)
+    command("render", images, only, ("--format", {"default": "png", "choices": list(render.IMAGE_EXTENSION)}), ("--edge", {"type": int, "default": 1920}), ("--page", {"type": int}), ("--labels", {}), ("--force", yes), as_json)
     command("expand", expand, ("--out", {"required": True}), only)
     command("variants", variants, ("--slide", {"required": True, "type": int}), ("--out", {"required": True}), only)
     command("notes", speaker_notes, out)
     command("media", extract, ("--out", {"required": True}), ("--svg", yes), ("--all-gifs", yes))
     command("map", page_maps, as_json)
     commands.add_parser("version")
+    commands.add_parser("help")
     args = p.parse_args(argv)
+    if args.command == "help":
+        p.print_help()
+        return 0
     if args.command == "version":
         print(f"deckhouse {__version__}")
         return 0

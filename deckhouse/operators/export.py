@@ -49,7 +49,8 @@ def destinations(decks: DataFrame, layout: str, root: str, out: str | None = Non
     named after its folder, else after two folders, else by its own earlier number or the lowest free one from 2.
 
     Decks and earlier folders are one table throughout; each step is a window over those that want the same name,
-    so the plan is a chain of shuffles of paths, and no claim is compared with all claims.
+    so the plan is a chain of shuffles of paths, and no claim is compared with all claims. Which names repeat is counted before
+    anything is dealt by name; a name that very many decks of one folder name have is numbered in one task (which sorts, and spills).
     """
     deck = base_destinations(decks.select("path"), layout, root, out).select("path", "stem", "parent", "dest", F.lit(None).cast("string").alias("writer"), F.lit(False).alias("written"))
     if manifest is not None:
@@ -57,10 +58,16 @@ def destinations(decks: DataFrame, layout: str, root: str, out: str | None = Non
         deck = deck.union(manifest.groupBy("dest").agg(F.max("path").alias("writer")).select(none, none, none, "dest", "writer", F.lit(True)))
     path, mine, written = F.col("path"), F.col("dest"), F.col("written")
     foreign = lambda w: F.coalesce(F.max(F.when(written, F.col("writer"))).over(w) != path, F.lit(False))
-    repeats = F.count("path").over(Window.partitionBy("stem")) > 1 if layout == "flat" else F.lit(False)
-    rows = deck.withColumn("wants", ~written & ~repeats & ~foreign(Window.partitionBy("dest")))
-    first = F.row_number().over(Window.partitionBy("dest", "wants").orderBy("path")) == 1
-    rows = rows.withColumn("settled", F.col("wants") & first).withColumn("clash", ~F.col("settled")).drop("wants")
+    if layout == "flat":
+        again = repeated_names(deck.where(~written)).select("stem", F.lit(True).alias("repeats"))
+        deck = deck.join(again, "stem", "left").withColumn("repeats", F.col("repeats").isNotNull())
+    else:
+        deck = deck.withColumn("repeats", F.lit(False))
+    # Decks whose names repeat want no destination yet, so they aren't dealt by it.
+    place = F.when(F.col("repeats"), F.concat("dest", F.lit("\n"), "path")).otherwise(mine)
+    rows = deck.withColumn("place", place).withColumn("wants", ~written & ~F.col("repeats") & ~foreign(Window.partitionBy("place")))
+    first = F.row_number().over(Window.partitionBy("place", "wants").orderBy("path")) == 1
+    rows = rows.withColumn("settled", F.col("wants") & first).withColumn("clash", ~F.col("settled")).drop("wants", "place", "repeats")
     folder = text.folder_name(path)
     one = text.base_name(folder)
     two = F.concat_ws("-", text.base_name(text.folder_name(folder)), one)

@@ -12,22 +12,18 @@ from pyspark.sql import types as T
 from ..functions import text, xml
 from ..functions.binary import gif_frame_count
 from .builds import click_effects
+from .settle import settled
 
 
-def with_duplicates(decks: DataFrame, one_pass: bool = False) -> DataFrame:
+def with_duplicates(decks: DataFrame) -> DataFrame:
     """A8, W7 (Q15): ``duplicate_of`` and ``duplicate_group_size`` by (bytes, slides). The first deck by path is the
     original.
 
     Only groups of several come back to the decks, and a group is only a minimum and a count, so a group of any
-    size is harmless; but ``decks`` is evaluated twice. With ``one_pass`` a window does it in one evaluation,
-    which is right where that means opening packages.
+    size is harmless. ``decks`` is evaluated twice: settle what is dear.
     """
-    if one_pass:
-        same = Window.partitionBy("bytes", "slides")
-        met = decks.withColumn("first", F.min("path").over(same)).withColumn("n", F.count("*").over(same))
-    else:
-        groups = decks.groupBy("bytes", "slides").agg(F.min("path").alias("first"), F.count("*").alias("n")).where("n > 1")
-        met = decks.join(groups, ["bytes", "slides"], "left")
+    groups = decks.groupBy("bytes", "slides").agg(F.min("path").alias("first"), F.count("*").alias("n")).where("n > 1")
+    met = decks.join(groups, ["bytes", "slides"], "left")
     return met.withColumn("duplicate_of", F.when(F.col("first") != F.col("path"), F.col("first"))).withColumn("duplicate_group_size", F.coalesce("n", F.lit(1)).cast("long")).drop("first", "n")
 
 
@@ -137,8 +133,8 @@ def deck_records(parts: DataFrame, available: DataFrame) -> DataFrame:
 
 
 def audit(parts: DataFrame, available: DataFrame) -> DataFrame:
-    """TV10: deck records with their duplicates, by path."""
-    return with_duplicates(deck_records(parts, available), one_pass=True).orderBy("path")
+    """TV10: deck records with their duplicates, by path. Records are settled, so packages are opened once, whatever is asked of them."""
+    return with_duplicates(settled(deck_records(parts, available))).orderBy("path")
 
 
 def summary(decks: DataFrame) -> DataFrame:

@@ -8,12 +8,18 @@ from __future__ import annotations
 import multiprocessing
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 from ..sources.decks import list_files
+from ..sources.exports import file_system
+from . import pages
+from .settle import settled
+from .sinks import PAGES
 
 IMAGE_EXTENSION = {"png": "png", "jpeg": "jpg", "jpg": "jpg"}
 #: Deck bytes to PDF bytes; None or an error means that it failed.
@@ -21,6 +27,8 @@ Renderer = Callable[[bytes], bytes | None]
 EXPORTED = "path string, status string, recovery string, attempts int, feed string, pdf binary, expanded array<struct<slide:int,pages:int>>, reason string"
 #: Failures in a row after which a task tries no further deck.
 MOST_FAILURES = 3
+#: The page map in an export folder.
+PAGE_MAP = "slides.json"
 
 
 def archive(spark: SparkSession, folder: str, only: str = "") -> DataFrame:
@@ -45,9 +53,9 @@ def render_plan(pdfs: DataFrame, images: DataFrame, image_format: str = "png", f
     return pdfs.join(have, F.concat("dir", F.lit("/images")) == F.col("have"), "left_anti")
 
 
-def only_page(pages: DataFrame, page: int | None) -> DataFrame:
+def only_page(drawn: DataFrame, page: int | None) -> DataFrame:
     """one page, or all."""
-    return pages if page is None else pages.where(F.col("page") == page)
+    return drawn if page is None else drawn.where(F.col("page") == page)
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -56,6 +64,60 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return lines.select((F.col("i") + 1).alias("page"), "label")
 
 
+_BOXES = T.ArrayType(T.StructType([T.StructField("page", T.IntegerType()), T.StructField("box_width", T.DoubleType()), T.StructField("box_height", T.DoubleType())]))
+
+
+def _drawn(folder: str):
+    """By Arrow batches, for paths of PDF files: the boxes of their pages, the page map beside them, and why there are none."""
+    kind = T.StructType([T.StructField("boxes", _BOXES), T.StructField("map", T.StringType()), T.StructField("error", T.StringType())])
+
+    @F.pandas_udf(kind)
+    def drawn(paths: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        from ..functions.binary import Pdf
+
+        files, _ = file_system(folder)
+
+        def one(path: str) -> tuple:
+            try:
+                with files.open_input_file(path) as f:
+                    boxes = [[float(x) for x in leaf.box] for leaf in Pdf(f.read()).leaves()]
+            except Exception as e:
+                return [], None, f"{type(e).__name__}: {e}"
+            try:
+                with files.open_input_file(f"{path.rpartition('/')[0]}/{PAGE_MAP}") as f:
+                    listed = f.read().decode()
+            except (OSError, ValueError):
+                listed = None
+            return [{"page": i, "box_width": abs(b[2] - b[0]), "box_height": abs(b[3] - b[1])} for i, b in enumerate(boxes, 1)], listed, None
+
+        for some in paths:
+            yield pd.DataFrame([one(p) for p in some], columns=["boxes", "map", "error"])
+
+    return drawn
+
+
+def images_wanted(pdfs: DataFrame, folder: str, edge: int = 1920, image_format: str = "png", page: int | None = None, labels: DataFrame | None = None) -> DataFrame:
+    """``path, page, file, width, height, error`` of every image that ``pdfs(path, stem)`` of an archive below ``folder`` want, by path and page.
+
+    Files are named after the slide and build that a page shows, by the page map beside the PDF or by ``labels(page, label)``; else after the page. A PDF
+    that can't be read has a row without a page, with its ``error``. PDFs are opened where their rows are; only boxes and maps are kept of them.
+    """
+    if image_format not in IMAGE_EXTENSION or edge <= 0:
+        raise ValueError("images are png or jpeg, with a positive edge")
+    found = settled(pdfs.select(F.col("path").alias("deck"), "stem", _drawn(folder)(F.col("path")).alias("x")))
+    boxes = found.select("deck", "stem", F.explode("x.boxes").alias("b")).select("deck", "stem", "b.*")
+    if labels is None:
+        mapped = found.select("deck", F.from_json("x.map", PAGES).alias("m")).select("deck", F.explode("m.pages").alias("p")).select("deck", "p.*")
+        named = pages.labels(mapped)
+    else:
+        named = boxes.select("deck", "page").join(labels, "page")
+    sized = pages.image_names(boxes, named, "", edge, IMAGE_EXTENSION[image_format])
+    wanted = only_page(sized, page).join(found.select("deck", "stem"), "deck").select(F.col("deck").alias("path"), "page", F.concat("stem", "file").alias("file"), "width", "height", F.lit(None).cast("string").alias("error"))
+    none = F.lit(None)
+    broken = found.where("x.error is not null").select("deck", none.cast("int"), none.cast("string"), none.cast("int"), none.cast("int"), "x.error")
+    return wanted.union(broken).orderBy("path", "page")
+
+
 def within(renderer: Renderer, data: bytes, deadline: float | None) -> bytes | None:
     """What ``renderer`` makes of a deck; with a ``deadline`` (seconds) in a process of its own, which is killed when that has passed. Its errors are
     raised here as RuntimeError, and so is its silence."""

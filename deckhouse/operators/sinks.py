@@ -7,7 +7,7 @@ is run again leaves the same files.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -103,6 +103,18 @@ def lines(df: DataFrame) -> Iterator[str]:
         yield "\t".join("" if x is None else str(x) for x in row)
 
 
-def to_document(records: list[Row], summary: Row) -> str:
-    """K1 as one document, for libraries that are small enough to be one."""
-    return json.dumps({"decks": [r.asDict(True) for r in records], "summary": summary.asDict(True)}, indent=1)
+def to_document(records: Iterable[Row], summary: Row) -> Iterator[str]:
+    """K1 as one JSON document, piece by piece: the summary and a record for each deck."""
+    yield f'{{"summary": {json.dumps(summary.asDict(True))},\n "decks": ['
+    for i, r in enumerate(records):
+        yield f"{',' if i else ''}\n  {json.dumps(r.asDict(True))}"
+    yield "\n ]}\n"
+
+
+def write_document(records: DataFrame, summary: Row, file: str) -> None:
+    """K1: the document as a file; records pass the driver a partition at a time."""
+    target, path = pafs.FileSystem.from_uri(file) if "://" in file else (pafs.LocalFileSystem(), file)
+    with target.open_output_stream(f"{path}.part") as out:
+        for piece in to_document(records.toLocalIterator(), summary):
+            out.write(piece.encode())
+    target.move(f"{path}.part", path)

@@ -28,6 +28,24 @@ def test_audit_command(spark, root, tmp_path, capsys):
     assert len(records) == 6 and {r["error"] is None for r in records} == {True, False} and all(len(r) == 23 for r in records)
 
 
+def test_documents_copies_and_dropped(spark, tmp_path, capsys):
+    root = tmp_path / "in"
+    root.mkdir()
+    for name in ("a", "b"):
+        (root / f"{name}.pptx").write_bytes(decks.fixture())
+    (root / "c.pptx").write_bytes(decks.hidden())
+    assert cli.main(["audit", str(root), "--document", str(tmp_path / "all.json")]) == 0
+    whole = json.loads((tmp_path / "all.json").read_text())
+    assert whole["summary"]["decks"] == 3 and [d["path"].rpartition("/")[2] for d in whole["decks"]] == ["a.pptx", "b.pptx", "c.pptx"] and whole["decks"][1]["duplicate_of"].endswith("a.pptx")
+    capsys.readouterr()
+    assert cli.main(["copies", str(root)]) == 0
+    assert [[x.rpartition("/")[2] for x in line.split("\t")[:3]] for line in capsys.readouterr().out.splitlines()] == [["a.pptx", "", "2"], ["b.pptx", "a.pptx", "2"]]
+    assert cli.main(["dropped", str(root)]) == 0
+    head, *rows = [line.split("\t") for line in capsys.readouterr().out.splitlines()]
+    assert [dict(zip(head, r, strict=True))["extra_pages"] for r in rows] == ["2", "2", "0"]
+    assert cli.main(["help"]) == 0 and "dropped" in capsys.readouterr().out and cli.main(["version"]) == 0
+
+
 def test_other_commands(spark, root, tmp_path, capsys):
     assert cli.main(["plan", str(root), "--out", "/out", "--only", "sub"]) == 0
     assert "/out/sub/hidden (export)" in capsys.readouterr().out
@@ -81,7 +99,18 @@ def test_export_and_render_commands(spark, tmp_path, capsys):
     capsys.readouterr()
     assert cli.main(command) == 0 and "one.pptx" not in capsys.readouterr().out  # done before
     assert cli.main(["export", str(root), "--out", str(out), "--renderer", "no.such:module"]) == 2
-    assert cli.main(["render", str(out)]) == 0 and "one.pdf" in capsys.readouterr().out
+    assert json.loads((out / "one (export)/slides.json").read_text())["expanded_slides"] == [{"slide": 1, "pages": 3}]
+    assert cli.main(["render", str(out)]) == 0
+    listed = [line.split("\t") for line in capsys.readouterr().out.splitlines()]
+    assert [line[1:5] for line in listed] == [[str(i), f"one-{n}.png", "1920", "1080"] for i, n in enumerate(("01.01", "01.02", "01.03", "02"), 1)] and listed[0][0].endswith("one.pdf")
+    (tmp_path / "labels.txt").write_text("a\n\nc")
+    assert cli.main(["render", str(out), "--edge", "720", "--format", "jpeg", "--labels", str(tmp_path / "labels.txt")]) == 0
+    assert [line.split("\t")[2:5] for line in capsys.readouterr().out.splitlines()] == [[f"one-{n}.jpg", "720", "405"] for n in ("a", "02", "c", "04")]
+    assert cli.main(["render", str(out), "--page", "4"]) == 0 and [line.split("\t")[2] for line in capsys.readouterr().out.splitlines()] == ["one-02.png"]
+    (out / "bad.pdf").write_bytes(b"no pdf")
+    assert cli.main(["render", str(out), "--only", "bad"]) == 1 and "no startxref" in capsys.readouterr().out
+    (out / "bad.pdf").unlink()
+    assert cli.main(["render", str(out), "--edge", "0"]) == 2
     (out / "one (export)/images").mkdir()
     (out / "one (export)/images/one-01.png").write_bytes(b"x")
     assert cli.main(["render", str(out)]) == 0 and "one.pdf" not in capsys.readouterr().out

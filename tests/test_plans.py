@@ -206,3 +206,17 @@ def test_recovery_and_yields(spark):
     assert got == {"a": ("ok", None), "b": ("ok", "fonts stripped"), "c": ("fail", None), "d": ("ok", "build states flattened"), "e": ("ok", "retried")}
     files = spark.createDataFrame([("media.json",), ("x.gif",)], "file string")
     assert tuple(export.yields(spark.range(4), spark.range(3), files).first()) == (4, 3, 1)
+
+
+def test_one_name_for_all_decks(spark):
+    """A name that every deck has: counted before anything is dealt by it, and no deck loses its place."""
+    paths = [f"/src/f{i:04}/D.pptx" for i in range(1500)]
+    decks = spark.createDataFrame([(p,) for p in paths], "path string")
+    planned = export.destinations(decks, "flat", "/src", "/out")
+    assert {r.path: (r.dest, r.clash) for r in planned.collect()} == {p: (f"/out/D ({p.split('/')[2]}) (export)", True) for p in paths}
+    # No window or join deals the decks by their name or by the destination that they share.
+    text_plan = planned._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(stem" not in text_plan and "windowspecdefinition(dest" not in text_plan
+    same = spark.range(3000).select(F.concat(F.lit("/"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("path"), F.lit(7).alias("bytes"), F.lit(2).alias("slides"))
+    got = library.with_duplicates(same).groupBy("duplicate_of", "duplicate_group_size").count().collect()
+    assert {tuple(r) for r in got} == {(None, 3000, 1), ("/00000", 3000, 2999)}
