@@ -177,3 +177,10 @@ def yields(pages: DataFrame, images: DataFrame, media: DataFrame) -> DataFrame:
     """One row with the numbers of pages, images and media files (its index not counted)."""
     one = lambda df, name: df.agg(F.count("*").alias(name))
     return one(pages, "pages").join(one(images, "images"), F.lit(True)).join(one(media.where("file <> 'media.json'"), "media"), F.lit(True))
+
+
+def deck_yields(pages: DataFrame, images: DataFrame, media: DataFrame) -> DataFrame:
+    """A19 by ``deck``: what each one has given, 0 where it has none of a kind; decks without any have no row."""
+    kinds = ("pages", pages), ("images", images), ("media", media.where("file <> 'media.json'"))
+    counted = [df.groupBy("deck").agg(*(F.count("*").alias(k) if k == kind else F.lit(0).cast("long").alias(k) for k, _ in kinds)) for kind, df in kinds]
+    return counted[0].union(counted[1]).union(counted[2]).groupBy("deck").agg(*(F.sum(k).alias(k) for k, _ in kinds))

@@ -12,17 +12,25 @@ from pyspark.sql import functions as F
 from ..functions.faces import CANDIDATES, face_parts, genre_of, noise_reason, successor_of, weight_of
 from ..functions.text import plain_key
 
+#: A block of a listing has the lines whose numbers agree but for these bits.
+BLOCK_BITS = 16
+
 
 def installed_faces(lines: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
     """``key, family, face`` from ``lines(number, line)`` of a font listing; the first of a key counts.
 
-    A family line names the faces after it. Families and faces in ``exclude(key)`` are left out.
+    A family line names the faces after it. Families and faces in ``exclude(key)`` are left out. Lines are read in blocks of numbers; a block
+    begins with the family that the blocks before it end with, so only those ends are ordered in one task.
     """
     said = F.trim(F.col("line"))
     family = F.when(said.startswith("Family: "), F.trim(F.substring(said, 9, 1 << 20)))
     full = F.when(said.startswith("Full Name: "), F.trim(F.substring(said, 12, 1 << 20)))
     rows = lines.withColumn("named", family).withColumn("full", full).where("named is not null or full is not null")
-    rows = rows.withColumn("family", F.last("named", ignorenulls=True).over(Window.orderBy("number")))
+    rows = rows.withColumn("block", F.shiftright(F.col("number").cast("long"), BLOCK_BITS))
+    ends = rows.groupBy("block").agg(F.max_by("named", F.when(F.col("named").isNotNull(), F.col("number"))).alias("end"))
+    before = F.last("end", ignorenulls=True).over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.join(ends.select("block", before.alias("before")), "block")
+    rows = rows.withColumn("family", F.coalesce(F.last("named", ignorenulls=True).over(Window.partitionBy("block").orderBy("number")), "before"))
     rows = rows.select("number", "family", F.coalesce("named", "full").alias("face")).where("family <> '' and face <> ''")
     rows = rows.withColumn("key", plain_key(F.col("face"))).withColumn("family_key", plain_key(F.col("family")))
     if exclude is not None:

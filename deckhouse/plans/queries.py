@@ -572,4 +572,4 @@ def d35(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("deck", F.col("pages").cast("int").alias("pages"), F.col("x.added").cast("int").alias("added"), kept.alias("kept"), F.col("x.error").alias("error"))
 
 
-from . import content_queries, lineage_queries, package_queries, source_queries  # noqa: E402, F401 (register their queries)
+from . import content_queries, lineage_queries, package_queries, run_queries, source_queries  # noqa: E402, F401 (register their queries)

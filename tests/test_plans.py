@@ -208,6 +208,25 @@ def test_recovery_and_yields(spark):
     assert tuple(export.yields(spark.range(4), spark.range(3), files).first()) == (4, 3, 1)
 
 
+def test_deck_yields(spark):
+    pages, images = (spark.createDataFrame(rows, "deck string") for rows in ([("a",), ("a",), ("b",), (None,)], [("a",)]))
+    files = spark.createDataFrame([("a", "media.json"), ("c", "x.gif"), ("d", "media.json"), ("c", None)], "deck string, file string")
+    assert {tuple(r) for r in export.deck_yields(pages, images, files).collect()} == {("a", 2, 1, 0), ("b", 1, 0, 0), (None, 1, 0, 0), ("c", 0, 0, 1)}
+    none = pages.limit(0)
+    assert export.deck_yields(none, none, files.limit(0)).count() == 0
+
+
+def test_listing_over_blocks(spark):
+    """Families that began blocks ago, blocks without a family, and blocks that aren't there."""
+    said = ["Full Name: Lost", "Family: One", "Full Name: A", "Version: 1", "Full Name: B", "Family: Two", "Full Name: A", "Full Name: C", "Full Name: D", None]
+    want = {("one", "One", "One"), ("a", "One", "A"), ("b", "One", "B"), ("two", "Two", "Two"), ("c", "Two", "C"), ("d", "Two", "D")}
+    for step in (1, 1 << (fonts.BLOCK_BITS - 1), 1 << fonts.BLOCK_BITS, 5 << fonts.BLOCK_BITS):
+        lines = spark.createDataFrame([(i * step, line) for i, line in enumerate(said)], "number long, line string").repartition(4)
+        assert {tuple(r) for r in fonts.installed_faces(lines).collect()} == want
+        ours = spark.createDataFrame([("one",)], "key string")
+        assert {tuple(r) for r in fonts.installed_faces(lines, ours).collect()} == {("two", "Two", "Two"), ("a", "Two", "A"), ("c", "Two", "C"), ("d", "Two", "D")}
+
+
 def test_one_name_for_all_decks(spark):
     """A name that every deck has: counted before anything is dealt by it, and no deck loses its place."""
     paths = [f"/src/f{i:04}/D.pptx" for i in range(1500)]
