@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from deckhouse.llm import audio, chat, hpylm, licenses, packing, toxicity
 
 from .cases import CLASHING, LONG, ROWS, docs
+from .seating import Seating
 
 # ---------------------------------------------------------------- chat
 
@@ -422,7 +423,7 @@ def test_gibbs_reaches_the_exact_posterior():
     d, weight, n, customers = 0.5, 0.8, 20_000, 4
     partitions = {(4,): 1, (3, 1): 4, (2, 2): 3, (2, 1, 1): 6, (1, 1, 1, 1): 1}  # sizes of tables and ways to seat
     mass = {p: ways * math.prod(weight * math.prod(j - d for j in range(1, s)) for s in p) for p, ways in partitions.items()}
-    seating, rng = hpylm.Seating(np.full(n, customers)), np.random.default_rng(1)
+    seating, rng = Seating(np.full(n, customers)), np.random.default_rng(1)
     for _ in range(80):
         seating.reseat(np.arange(n), np.full(n, weight), d, rng)
     at = seating.starts()
@@ -569,7 +570,7 @@ def test_scores_are_those_of_a_sequential_sampler(spark):
 def test_resizing_keeps_the_books():
     rng = np.random.default_rng(2)
     start = rng.integers(1, 6, 500)
-    seating, weight = hpylm.Seating(start), np.full(500, 0.4)
+    seating, weight = Seating(start), np.full(500, 0.4)
     wanted = np.maximum(1, start + rng.integers(-3, 4, 500))
     wanted[7] = 900
     seating.resize(wanted, weight, 0.6, rng)
