@@ -1,6 +1,9 @@
 """Names, fonts, export plans, outcomes, and the queries against their SQL."""
 
 import os
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pandas as pd
@@ -33,6 +36,15 @@ def test_query_matches_its_sql(spark, tables, name):
         assert columns == sorted(want.columns) and plain(got) == plain(want)
 
 
+@pytest.mark.parametrize("module", ["queries", "content_queries", "lineage_queries", "package_queries", "run_queries", "source_queries", "synthetic"])
+def test_any_module_of_queries_can_be_imported_first(module):
+    """As in a Python worker, which begins with the module of its function."""
+    code = f"import deckhouse.plans.{module}; from deckhouse.plans.queries import QUERIES; print(len(QUERIES))"
+    run = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True, check=False)
+    assert run.returncode == 0, run.stderr
+    assert int(run.stdout) == len(queries.QUERIES)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
