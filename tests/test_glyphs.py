@@ -3,6 +3,7 @@
 import random
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from deckhouse import cli
 from deckhouse.functions import glyphs
 from deckhouse.operators import fonts
 from deckhouse.plans import synthetic as s
+from deckhouse.plans.queries import QUERIES
 
 WIDE = {c: 400 + c % 50 for c in range(32, 127)}
 
@@ -37,6 +39,32 @@ def test_other_files(spark):
     assert glyphs.glyph_widths(spark.createDataFrame([], "path string, content binary")).count() == 0
 
 
+def test_batches_hold_many_fonts(monkeypatch):
+    """Batches of many small fonts and of broken files, and large fonts in one of their own; rows in the order of the files."""
+    monkeypatch.setattr(glyphs, "ROWS", 5000)
+    small = [(f"{i}.ttf", s.font(f"F{i}", {65 + k: 100 * i + k for k in range(i % 4)})) if i % 7 else (f"{i}.ttf", b"none") for i in range(200)]
+    large = [(f"large{i}.ttf", s.font("Large", {c: 500 + i for c in range(6000)}, kind=12)) for i in range(2)]
+    files = [*small, *large, *small]
+    batches = [pa.RecordBatch.from_pylist([{"path": p, "content": c} for p, c in part]) for part in (files[:50], files[50:])]
+    got = list(glyphs._widths(batches))
+    assert len(got) == 3
+    want = []
+    for path, content in files:
+        name, number = path[:-4], int("".join(filter(str.isdigit, path)))
+        if content == b"none":
+            want.append((path, None, None, None, None, "ValueError: not a font"))
+        elif "large" in name:
+            want += [(path, "Large", c, 500 + number, 1000, None) for c in range(6000)]
+        else:
+            want += [(path, f"F{number}", 65 + k, 100 * number + k, 1000, None) for k in range(number % 4)]
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == want
+
+
+def test_keys_of_fonts_are_dealt_to_tasks(spark):
+    """d55 makes its files in as many tasks as a shuffle has, though the table is one small file."""
+    assert QUERIES["d55_glyph_widths"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def brute_picks(groups, texts, widths, anchor):
     """Every group's text measured sign by sign, candidates sorted as the rule says."""
     from deckhouse.functions.faces import CANDIDATES
