@@ -6,14 +6,12 @@ find in a library; the SQL states what the markup says.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import faces, text
+from ..functions.rows import by_rows
 from ..operators import builds, export, fonts, library, media, notes, pages, sinks
 from . import synthetic
 from .queries import _VREL, VPAGES, VSLIDE, _gif_bytes, _long, _read, query, vpages, vrel, vslide
@@ -186,10 +184,7 @@ def _broken(number: int) -> bytes:
     return deck.write(without=gone)
 
 
-@F.pandas_udf(T.BinaryType())
-def _broken_decks(numbers: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for some in numbers:
-        yield some.map(_broken)
+_broken_decks = by_rows(T.BinaryType())(_broken)
 
 
 @query("d44_package_faults", f"SELECT DISTINCT conv_id AS deck, list_extract([{', '.join(repr(r) for r in _BROKEN)}], (conv_id % 12 + 1)::INT) AS rule FROM conversations WHERE conv_id % 12 <> 0")

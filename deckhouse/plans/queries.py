@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ..functions import glyphs, text, xml
 from ..functions.binary import gif_frame_count
 from ..functions.faces import noise_reason
+from ..functions.rows import by_rows
 from ..operators import builds, export, fonts, library, media, notes, pages
 from . import synthetic
 
@@ -506,30 +507,20 @@ def d30(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- trees and bytes
 
 
-@F.pandas_udf(T.BinaryType())
-def _slide_xml(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@by_rows(T.BinaryType())
+def _slide_xml(n: int) -> bytes:
     """A slide with a title and a shape for each line, which a click brings in."""
-    for some in lines:
-        yield some.map(lambda n: synthetic.slide([synthetic.shape(2, "Title", "t"), *(synthetic.shape(3 + i, f"s{i}", f"line {i}") for i in range(n))], [synthetic.click(3 + i) for i in range(n)]).encode())
+    return synthetic.slide([synthetic.shape(2, "Title", "t"), *(synthetic.shape(3 + i, f"s{i}", f"line {i}") for i in range(n))], [synthetic.click(3 + i) for i in range(n)]).encode()
 
 
-@F.pandas_udf(T.BinaryType())
-def _deck_bytes(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@by_rows(T.BinaryType())
+def _deck_bytes(counts: list[int]) -> bytes:
     """A deck with a slide for each number of clicks in a list."""
-    for some in lines:
-        yield some.map(lambda counts: synthetic.deck([synthetic.slide([synthetic.shape(2, "Title", "t"), *(synthetic.shape(3 + i, "s", "x") for i in range(n))], [synthetic.click(3 + i) for i in range(n)]) for n in counts], extra={"ppt/fonts/font1.fntdata": b"font"}))
+    return synthetic.deck([synthetic.slide([synthetic.shape(2, "Title", "t"), *(synthetic.shape(3 + i, "s", "x") for i in range(n))], [synthetic.click(3 + i) for i in range(n)]) for n in counts], extra={"ppt/fonts/font1.fntdata": b"font"})
 
 
-@F.pandas_udf(T.BinaryType())
-def _gif_bytes(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for some in frames:
-        yield some.map(synthetic.gif)
-
-
-@F.pandas_udf(T.BinaryType())
-def _pdf_bytes(counts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for some in counts:
-        yield some.map(synthetic.pdf)
+_gif_bytes = by_rows(T.BinaryType())(synthetic.gif)
+_pdf_bytes = by_rows(T.BinaryType())(synthetic.pdf)
 
 
 @query("d31_click_steps", VSLIDE + """,
