@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text, xml
-from ..functions.binary import gif_frame_count
-from .builds import click_effects
+from ..functions.binary import gif_frames
+from ..functions.rows import by_rows
+from ..functions.slides import click_effects
 from .settle import settled
 
 
@@ -67,10 +65,20 @@ def font_keys(names: DataFrame, column: str = "name") -> DataFrame:
     return names.select(F.explode(F.array(text.face_key(F.col(column)), text.plain_key(bare))).alias("key")).distinct()
 
 
-@F.pandas_udf(T.StringType())
-def _plain_ratio(ratios: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for some in ratios:  # T5: two decimals of the very double, which Spark rounds from its shortest form
-        yield some.map(lambda r: None if pd.isna(r) else f"{r:.2f}:1")
+@by_rows(T.StringType())
+def _plain_ratio(ratio: float | None) -> str | None:
+    """T5: two decimals of the very double, which Spark rounds from its shortest form."""
+    return None if ratio is None or ratio != ratio else f"{ratio:.2f}:1"
+
+
+@by_rows(T.StructType([T.StructField("steps", T.IntegerType()), T.StructField("frames", T.IntegerType())]))
+def _opened(content: bytes | None, gif: bool | None) -> dict:
+    """Click steps of a slide, or frames of a GIF: one function, so that a task has one Python worker for both, and only numbers come back."""
+    if content is None:
+        return {"steps": 0, "frames": None}
+    if gif:
+        return {"steps": 0, "frames": gif_frames(content)}
+    return {"steps": max((step for step, *_ in click_effects(content)), default=0), "frames": None}
 
 
 def aspect(ratio: Column) -> Column:
@@ -90,13 +98,13 @@ def deck_records(parts: DataFrame, available: DataFrame) -> DataFrame:
     p = parts.withColumn("kind", kind).withColumn("xml", F.when(~F.col("kind").isin("media", "font"), body))
     slide, rels = F.col("kind") == "slide", F.col("kind") == "slide_rels"
     timed = slide & F.contains("xml", F.lit("<p:timing"))
-    effects = F.when(timed, click_effects(F.when(timed, F.col("content"))))
     extension = text.extension(F.col("part"))
+    gif = (F.col("kind") == "media") & (extension == ".gif")
     file_no = xml.number_in(F.col("part"), xml.SLIDE_RELS)
     external = F.transform(F.filter(xml.external_targets(F.col("xml")), lambda u: text.is_playable(u, text.AUDIT_HOSTS)), lambda u: F.struct(file_no.alias("slide"), u.alias("url")))
     none = F.array().cast("array<string>")
     faces = F.when(F.col("kind").isin("slide", "slide_like", "layout", "master"), xml.latin_faces(F.col("xml"))).when(F.col("kind") == "theme", xml.theme_faces(F.col("xml")))
-    p = p.withColumns({"steps": F.coalesce(F.array_max(F.transform(effects, lambda e: e["step"])), F.lit(0)), "ext": extension, "frames": F.when((F.col("kind") == "media") & (extension == ".gif"), gif_frame_count(F.when(F.col("kind") == "media", F.col("content"))))})
+    p = p.withColumn("opened", _opened(F.when(timed | gif, F.col("content")), gif)).withColumns({"steps": F.col("opened.steps"), "ext": extension, "frames": F.col("opened.frames")})
     p = p.withColumn("media", F.when(F.col("kind") != "media", None).when(F.col("ext").isin(text.VIDEO), "video").when(F.col("ext").isin(text.AUDIO), "audio").when(F.col("frames") > 1, "gif"))
     presentation = F.when(F.col("kind") == "presentation", F.col("xml"))
     decks = p.groupBy("path").agg(
