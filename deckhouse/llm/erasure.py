@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from hashlib import sha256
 from typing import NamedTuple
 
@@ -27,6 +28,8 @@ from .common import shared_dir, store, table, unstore
 
 #: A table is cut into so many files at most.
 FILES = 150
+#: So many keys of victims a table are sent to every executor (8 bytes each); beyond, they meet the rows by a shuffle.
+HELD = 1 << 21
 
 
 class Laid(NamedTuple):
@@ -74,10 +77,26 @@ def _numbered(spark: SparkSession, laid: Laid, folder: str | None = None) -> dic
     return out
 
 
-def _write_files(rows: DataFrame, number: str, folder: str, files: int) -> None:
-    """Rows (a struct ``row``, its file number ``file`` and ``place``) as one Parquet file for each number: one task writes a file, in the order of places."""
+@contextmanager
+def _file_by_file(spark: SparkSession) -> Iterator[None]:
+    """What is read in here is read in a task for each file, whole: files are neither split nor put together."""
+    settings = dict.fromkeys(("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"), str(1 << 40))
+    settings["spark.sql.files.maxPartitionNum"] = str((1 << 31) - 1)
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+
+
+def _write_files(rows: DataFrame, number: str, folder: str, files: int | None) -> None:
+    """Rows (a struct ``row``, its file number ``file`` and ``place``) as one Parquet file for each number: one task writes a file, in the order of places.
+    Without ``files`` a file's rows are in one task already."""
     named = rows.select(F.col("file").cast("int").alias(number), F.col("place").alias("its_place"), "row")
-    dealt = named.repartitionById(max(1, files), number).sortWithinPartitions(number, "its_place")
+    dealt = (named if files is None else named.repartitionById(max(1, files), number)).sortWithinPartitions(number, "its_place")
     dealt.select(number, "row.*").write.partitionBy(number).option("maxRecordsPerFile", 0).parquet(folder)
 
 
@@ -151,12 +170,13 @@ def _number(laid: Laid) -> Column:
     return F.regexp_extract("_metadata.file_path", rf"/{laid.number}=(\d+)/[^/]*$", 1).cast("long")
 
 
-def _survivors(spark: SparkSession, laid: Laid, paths: list[str], victims: DataFrame) -> DataFrame:
-    """``row, file, place`` of the rows of the files at ``paths`` whose key is no victim's."""
+def _survivors(spark: SparkSession, laid: Laid, paths: list[str], victims: DataFrame, held: bool) -> DataFrame:
+    """``row, file, place`` of the rows of the files at ``paths`` whose key is no victim's. Keys that are ``held`` by every executor are looked up where a file is read, so
+    its rows stay in their task; others are met by a shuffle."""
     there = spark.read.schema(laid.schema).parquet(*paths)
     rows = whole_rows(there, _number(laid).alias("file"), F.col("_metadata.row_index").alias("place"))
     own = victims.where(F.col("table_name") == laid.name).select(F.col("key").alias("victim")).distinct()
-    return rows.join(own, F.col(f"row.`{laid.key}`").cast("long") == F.col("victim"), "left_anti")
+    return rows.join(F.broadcast(own) if held else own.hint("merge"), F.col(f"row.`{laid.key}`").cast("long") == F.col("victim"), "left_anti")
 
 
 def erase(spark: SparkSession, layout: Layout, victims: DataFrame) -> Layout:
@@ -177,7 +197,11 @@ def erase(spark: SparkSession, layout: Layout, victims: DataFrame) -> Layout:
         if not old:
             continue
         into = f"{stage}/{name}"
-        _write_files(_survivors(spark, laid, old, victims), laid.number, into, max(numbers) + 1)
+        if victims.where(F.col("table_name") == name).count() <= HELD:
+            with _file_by_file(spark):
+                _write_files(_survivors(spark, laid, old, victims, True), laid.number, into, None)
+        else:
+            _write_files(_survivors(spark, laid, old, victims, False), laid.number, into, max(numbers) + 1)
         new = _numbered(spark, laid, into)
         for n in numbers:
             moves += [(path, f"{laid.folder}/{laid.number}={n}") for path in new.get(n, [])] or [("", f"{laid.folder}/{laid.number}={n}")]
@@ -256,7 +280,7 @@ def file_report(spark: SparkSession, layout: Layout, rewritten: dict[str, list[i
     """A row for each data file that is there, read back from it: ``table_name, file_no, n_rows, n_erased, cents, rewritten, ids_sha256, columns, path``.
 
     ``cents`` sums ``floor(100 * x + 0.5)`` of the column that ``amounts`` names for the table (null and not a number: 0), ``ids_sha256`` is the digest of the first column's values, decimal, null
-    empty, comma-joined in file order. ``n_erased`` is what the layout wrote there less what is there.
+    empty, comma-joined in file order. ``n_erased`` is what the layout wrote there less what is there. Each file is read by one task, and the report (a row a file) is made at once.
     """
     out = None
     for name, laid in layout.tables.items():
@@ -268,7 +292,7 @@ def file_report(spark: SparkSession, layout: Layout, rewritten: dict[str, list[i
         amount = F.col(f"`{amounts[name]}`").cast("double")
         cents = F.when(amount.isNull() | F.isnan(amount), 0).otherwise(F.floor(amount * 100 + 0.5)).cast("long")
         rows = there.select(_number(laid).alias("file_no"), F.col("_metadata.row_index").alias("place"), F.col(f"`{laid.schema.names[0]}`").cast("string").alias("id"), cents.alias("cents"))
-        rows = rows.repartition("file_no").sortWithinPartitions("file_no", "place").mapInArrow(_digests, "file_no long, n_rows long, cents long, ids_sha256 string")
+        rows = rows.sortWithinPartitions("file_no", "place").mapInArrow(_digests, "file_no long, n_rows long, cents long, ids_sha256 string")
         number = F.col("file_no")
         path = F.create_map(*(F.lit(x) for n, each in files.items() for x in (n, each[0])))[number.cast("int")]
         planned = F.least(F.lit(laid.rows_a_file), F.lit(laid.rows) - number * laid.rows_a_file)
@@ -277,7 +301,10 @@ def file_report(spark: SparkSession, layout: Layout, rewritten: dict[str, list[i
             number.isin(rewritten.get(name, [])).alias("rewritten"), "ids_sha256", F.lit(",".join(laid.schema.names)).alias("columns"), F.regexp_replace(path, "^file:/+", "/").alias("path"),
         )
         out = mine if out is None else out.unionAll(mine)
-    return out if out is not None else spark.createDataFrame([], "table_name string, file_no long, n_rows long, n_erased long, cents long, rewritten boolean, ids_sha256 string, columns string, path string")
+    if out is not None:
+        with _file_by_file(spark):
+            return store(out, "erasure-report")
+    return spark.createDataFrame([], "table_name string, file_no long, n_rows long, n_erased long, cents long, rewritten boolean, ids_sha256 string, columns string, path string")
 
 
 # ---------------------------------------------------------------- the shop's clients and what belongs to them

@@ -129,3 +129,22 @@ def test_victims_and_ties(spark):
     clicks = spark.createDataFrame([(4,), (4,), (1,), (1,), (2,), (3,), (None,)], "client_id long")
     assert {r.client_id for r in erasure.victim_clients(clients, clicks).collect()} == {2, 3}
     assert {r.client_id for r in erasure.victim_clients(clients, clicks.union(clicks.where("client_id = 1"))).collect()} == {1}
+
+
+@pytest.mark.parametrize("held", [0, erasure.HELD])
+def test_files_are_rewritten_where_they_are_read(spark, monkeypatch, held):
+    """With few victims a file is a task, read to written, however Spark would pack or split files; with many, rows are dealt by file. Both do the same."""
+    monkeypatch.setattr(erasure, "HELD", held)
+    rows = spark.range(3000).select((F.col("id") % 300).alias("k"), F.col("id").alias("v"))
+    layout = erasure.layout(spark, {"t": (erasure.whole_rows(rows), "k", F.col("row.k"))}, files=40)
+    victims = spark.createDataFrame([("t", k) for k in range(0, 300, 3)], "table_name string, key long")
+    files = erasure._numbered(spark, layout.tables["t"])
+    paths = [p for each in files.values() for p in each]
+    with erasure._file_by_file(spark):
+        assert erasure._survivors(spark, layout.tables["t"], paths, victims, True).rdd.getNumPartitions() == len(paths) > 30
+    before = {n: [(r["k"], r["v"]) for p in each for r in pq.ParquetFile(p.removeprefix("file:")).read().to_pylist()] for n, each in files.items()}
+    erasure.erase(spark, layout, victims)
+    after = erasure._numbered(spark, layout.tables["t"])
+    want = {n: left for n, rs in before.items() if (left := [r for r in rs if r[0] % 3])}
+    assert {n: [(r["k"], r["v"]) for p in each for r in pq.ParquetFile(p.removeprefix("file:")).read().to_pylist()] for n, each in after.items()} == want
+    assert all(len(each) == 1 for each in after.values()) and spark.conf.get("spark.sql.files.maxPartitionBytes") == "134217728b"
